@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm.common import bound_batches
+
 WINDOW = 10
 BLOCK_CHARS = 4_000_000
 _KEEP = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
@@ -191,6 +193,7 @@ def item_blocks(items: DataFrame, item_id: str, text: str, block_chars: int) ->
 def matched(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Adds n_words, n_hit, hit_items (ids as sorted strings) and hit_spans (word positions) to every row."""
     spark = docs.sparkSession
+    bound_batches(spark)
     out = docs.drop("n_hit").withColumns({"n_words": F.lit(0).cast("long"), "hit_items": F.array().cast("array<string>"), "hit_spans": F.array().cast("array<struct<start:int,end:int>>")})
     rest = [f for f in out.schema.fields if f.name not in ("n_words", "hit_items", "hit_spans")]
     schema = T.StructType(rest + ADDED)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import bound_batches, written
 
 WORDS = 5
 #: Similarity 0.8 as a fraction: 5 |A & B| >= 4 |A | B|.
@@ -43,7 +43,6 @@ UP, DOWN = 4, 5
 #: Ratio of a size band's ends.
 BAND = 1.6
 SEED = np.uint64(0x9E3779B97F4A7C15)
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,29 +52,70 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Words(dict):
-    """Word to 64-bit hash, kept for the words seen last."""
+_RANDOM = np.random.default_rng(5).integers(1, 2**64, 256, dtype=np.uint64)
+#: A random value per byte; capitals as small letters, white space as nothing.
+BYTE = _RANDOM[[b + 32 if 65 <= b <= 90 else b for b in range(256)]]
+BYTE[[9, 10, 11, 12, 13, 32]] = 0
+STEP, BACK = np.uint64(0xD1342543DE82EF95), np.uint64(pow(0xD1342543DE82EF95, -1, 2**64))
+#: Bytes hashed at once, so that arrays stay in the cache; a longer text is a block of its own.
+BLOCK = 1 << 18
+_POWERS: list[np.ndarray] = []
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """STEP**i and BACK**i for i < n."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        with np.errstate(over="ignore"):
+            _POWERS[:] = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, x)])) for x in (STEP, BACK)]
+    return _POWERS[0], _POWERS[1]
 
-def shingles(text: str | None, words: Words) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the five-grams of a text."""
-    got = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not got:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(words.__getitem__, got), np.uint64, len(got))
-    k = min(WORDS, len(h))
-    n = len(h) - k + 1
+
+def _block_sets(raw: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
+    """The shingle sets of the texts raw[cuts[i]:cuts[i + 1]]: a word's hash is a polynomial of its bytes' values, a
+    shingle's mixes those of its words. All texts of a block are hashed together."""
     with np.errstate(over="ignore"):
-        acc = np.full(n, np.uint64(k), np.uint64)
-        for i in range(k):
+        ink = BYTE[raw]
+        on = ink != 0
+        start = on.copy()
+        start[1:] &= ~on[:-1]
+        first = cuts[:-1][cuts[:-1] < len(raw)]
+        start[first] = on[first]
+        at = np.flatnonzero(start)
+        if not len(at):
+            return [np.empty(0, np.uint64)] * (len(cuts) - 1)
+        power, back = _powers(len(raw))
+        h = mix(np.add.reduceat(ink * power[: len(raw)], at) * back[at])
+        words = np.searchsorted(at, cuts)
+        n = max(0, len(h) - WORDS + 1)
+        acc = np.full(n, np.uint64(WORDS), np.uint64)
+        for i in range(WORDS):
             acc = mix(acc * SEED + h[i : i + n])
-    return np.unique(acc)
+        out = []
+        for a, b in zip(words[:-1].tolist(), words[1:].tolist(), strict=True):
+            if b - a >= WORDS:
+                s = np.sort(acc[a : b - WORDS + 1])
+                out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+            elif b > a:
+                one = np.uint64(b - a)
+                for x in h[a:b]:
+                    one = mix(one * SEED + x)
+                out.append(np.array([one], np.uint64))
+            else:
+                out.append(np.empty(0, np.uint64))
+    return out
+
+
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the five-grams of each text."""
+    texts = texts.cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    cuts = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(cuts, cuts[i] + BLOCK, "right")) - 1)
+        yield from _block_sets(raw[cuts[i] : cuts[j]], cuts[i : j + 1] - cuts[i])
+        i = j
 
 
 def class_of(s: np.ndarray) -> int:
@@ -97,7 +137,8 @@ class Band:
 
     def _allocate(self) -> tuple[int, int]:
         best = None
-        for m in range(1, 2 * self.high // 3 + 3):
+        least = most_diff(self.high) + 1
+        for m in range(max(1, least // 2), 2 * least + 8, max(1, least // 64)):
             for q in sorted({0, 1, 2, 3, m // 16, m // 8, m // 4, m // 2, m}):
                 rows, ok = 0.0, True
                 for s in (self.low, self.high):
@@ -136,37 +177,37 @@ def bands_of(size: int) -> list[tuple[Band, int]]:
 
 
 def signatures(s: np.ndarray) -> tuple[np.ndarray, bool]:
-    """Signatures of a set in all its bands, and whether it is short in one of them."""
-    out, short = [], False
+    """Signatures of a set in all its bands, and whether it is short in one of them. Hashes are sorted and their leading
+    bits choose the segment, so segments are runs."""
     if len(s) == 0 or most_diff(len(s)) == 0 and len(s) * DOWN // UP == len(s):
         return np.empty(0, np.uint64), False  # only an equal set is as similar
+    out, short = [], False
     with np.errstate(over="ignore"):
-        spread = mix(s + SEED)
+        el, high = mix(s), s >> np.uint64(32)
         for b, diff in bands_of(len(s)):
-            seg = ((spread >> np.uint64(32)) * np.uint64(b.m)) >> np.uint64(32)
-            order = np.argsort(seg, kind="stable")
-            of, el = seg[order], mix(spread[order] * SEED + np.uint64(b.k))
-            first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            of = (high * np.uint64(b.m)) >> np.uint64(32)
+            new = np.empty(len(of), bool)
+            new[0] = True
+            np.not_equal(of[1:], of[:-1], out=new[1:])
+            first = np.flatnonzero(new)
             sums = np.add.reduceat(el, first)
             where = of[first]
-            base = mix(where * SEED + np.uint64(b.k + 1))
+            base = where * SEED + np.uint64(b.k + 1)
             out.append(mix(sums + base))
             if b.q:
-                few = of < b.q
-                part = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(of))))[few]
-                gone = sums[part] - el[few]
-                out.append(mix(gone + base[part]))
+                few = int(np.searchsorted(of, np.uint64(b.q)))
+                part = np.cumsum(new[:few]) - 1
+                out.append(mix(sums[part] - el[:few] + base[part]))
             short |= len(where) + int((where < b.q).sum()) <= diff
-    return np.unique(np.concatenate(out)), short
+    return np.concatenate(out), short
 
 
 def classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, cls long, n_shingles long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for b in batches:
-            sets = [shingles(t.as_py(), words) for t in b.column("t")]
+            sets = list(shingle_sets(b.column("t")))
             cols = [b.column("key"), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=["key", "cls", "n_shingles"])
 
@@ -179,21 +220,21 @@ PACK = 2_000_000
 
 def _packed(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = Words(), set()
+        seen: set[int] = set()
         sigs, ids, held = [], [], 0
 
         def out() -> pa.RecordBatch:
             s, c = np.concatenate(sigs), np.concatenate(ids)
-            part = (s >> np.uint64(40)) % np.uint64(parts)
+            part = ((s & np.uint64(0xFFFFFFFF)) * np.uint64(parts)) >> np.uint64(32)
+            part = part.astype(np.uint16) if parts < 1 << 16 else part
             order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+            cuts = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
             s, c = s[order], c[order]
             rows = [(p, s[x:y].tobytes(), c[x:y].tobytes()) for p, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "sigs", "ids"])
 
         for b in batches:
-            for t in b.column("t"):
-                s = shingles(t.as_py(), words)
+            for s in shingle_sets(b.column("t")):
                 c = class_of(s)
                 if c in seen:
                     continue  # an exact copy within the task
@@ -228,9 +269,16 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     s, c = np.concatenate(sigs), np.concatenate(ids)
     del sigs, ids
     short = np.unique(c[s == 0])
+    order = np.argsort(s)
+    s, c = s[order], c[order]
+    # most signatures are alone
+    same = s[1:] == s[:-1]
+    keep = (s != 0) & (np.append(same, False) | np.append(False, same))
+    s, c = s[keep], c[keep]
     order = np.lexsort((c, s))
     s, c = s[order], c[order]
-    keep = (s != 0) & np.concatenate([[True], (s[1:] != s[:-1]) | (c[1:] != c[:-1])])
+    keep = np.ones(len(s), bool)
+    keep[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])
     s, c = s[keep], c[keep]
     first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.empty(0, int)
     size = np.diff(np.append(first, len(s)))
@@ -300,9 +348,8 @@ def _sets(docs: DataFrame, text: str, wanted: DataFrame, rows: DataFrame, key: s
     """(cls, n, items) of the wanted classes: the texts of one row per class are fetched by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for b in batches:
-            sets = [shingles(t.as_py(), words) for t in b.column("t")]
+            sets = list(shingle_sets(b.column("t")))
             yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "n", "items"])
 
     some = rows.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("key").alias("key")).select("key", F.col("cls").alias("_cls"))
@@ -322,6 +369,7 @@ def _short_pairs(rows: DataFrame, short: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", parts: int | None = None, growth: int = 8) -> DataFrame:
     """Adds n_shingles, cls (class of equal sets) and component_id (smallest key that links lead to) to every row."""
     spark = docs.sparkSession
+    bound_batches(spark)
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.drop("n_shingles", "cls", "component_id")
     rows = written(classes(docs, key, text), "classes")

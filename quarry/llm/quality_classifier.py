@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import remainder
+from quarry.llm.common import bound_batches, remainder
 
 MAX_LABELLED = 20_000
 FEATURES = 192
@@ -114,6 +114,7 @@ def _isotonic(value: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, fits: Column, label: str = "quality", bound: int = MAX_LABELLED, seed: int = 7) -> Model:
+    bound_batches(docs.sparkSession)
     k = len(STATISTICS)
 
     def described(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,6 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, fits: Column, label: str = "quality"
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds score to every row."""
 
+    bound_batches(docs.sparkSession)
+
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(model.score(_table(texts)))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import text_of, written
+from quarry.llm.common import bound_batches, text_of, written
 
 #: Characters encoded at once, however many texts that is; a longer text is a batch of its own.
 BATCH_CHARS = 500_000
@@ -78,6 +78,7 @@ def encode_misses(docs: DataFrame, cache: DataFrame | None, path: str, text: str
 def token_counts(docs: DataFrame, path: str, cache_path: str | None = None, text: str = "text") -> DataFrame:
     """Adds digest, n_bytes and n_tokens. cache_path: an existing cache, appended to; without one a new one is written."""
     spark = docs.sparkSession
+    bound_batches(spark)
     if cache_path is None:
         cache = written(encode_misses(docs, None, path, text), "token-cache")
     else:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import remainder
+from quarry.llm.common import bound_batches, remainder
 from quarry.llm.quality_classifier import labelled
 
 MAX_LABELLED = 20_000
@@ -167,6 +167,7 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, fits, label: str = "toxic", bound: int = MAX_LABELLED, steps: int = 8) -> Model:
+    bound_batches(docs.sparkSession)
     rows = labelled(docs, labels, label, fits, bound).persist()
     lexicon = Lexicon(learn_terms(rows))
 
@@ -208,6 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, fits, label: str = "toxic", bound: i
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds score to every row."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import shared_folder, written
+from quarry.llm.common import bound_batches, shared_folder, written
 
 CHUNK = 1 << 20
 #: Smaller payloads are always stored in full.
@@ -208,6 +208,7 @@ def checked(chunks: DataFrame) -> DataFrame:
 
 def archive(pages: DataFrame, path: str | None = None, payload: str = "html", key: str = "page_id", uri: str = "url", chunk: int = CHUNK, revisit_from: int = REVISIT_FROM) -> str:
     """Writes a record per page below path (by default in the shared folder) and returns it."""
+    bound_batches(pages.sparkSession)
     path = path or shared_folder(pages.sparkSession, "warc")
     chunks = chunked(pages, payload, key, uri, chunk)
     types = written(record_types(chunks.drop("body"), revisit_from), "warc-types")
