@@ -33,7 +33,8 @@ MAX_TERMS = 4_000
 #: Beginnings of so many letters may become stems.
 STEMS = (4, 5, 6, 7)
 MIN_DOCS = 3
-MIN_LOG_ODDS = 3.0
+#: What a term's surprise, in nats, must be above the logarithm of the number of words.
+MARGIN = 2.0
 FUZZY_FROM = 5
 CONTEXT = 4
 TOKEN = re.compile(r"[^\W_]+|[\"“”„«»‘’]")
@@ -130,25 +131,32 @@ class Lexicon:
 
 
 def learn_terms(rows: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, float]:
-    """Terms with their log odds, from (text, y) rows: numbers of texts of either label that hold a word or stem."""
+    """Terms with their log odds, from (text, y) rows: numbers of distinct texts of either label that hold a word or stem.
+    A term's share of toxic texts must differ from theirs in all by more than chance among so many terms explains."""
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3))
-    per_doc = rows.where(F.col("y").isNotNull()).select((F.col("y") > 0).cast("int").alias("y"), F.explode(words).alias("w"))
-    by_word = per_doc.groupBy("w").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
-    n = rows.agg(F.sum((F.col("y") > 0).cast("int")).alias("t"), F.count("*").alias("n")).first()
+    texts = rows.where(F.col("y").isNotNull()).groupBy(F.xxhash64("text")).agg(F.first("text").alias("text"), (F.max("y") > 0).cast("int").alias("y"))
+    by_word = texts.select("y", F.explode(words).alias("w")).groupBy("w").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean")).persist()
+    n = texts.agg(F.sum("y").alias("t"), F.count("*").alias("n")).first()
     toxic, clean = n.t or 0, n.n - (n.t or 0)
     if not toxic:
+        by_word.unpersist()
         return {}
-    odds = lambda t, c: F.log((t + 0.5) / (toxic + 1)) - F.log((c + 0.5) / (clean + 1))
     stems = (
-        by_word.select(F.explode(F.array(*[F.when(F.length("w") > k, F.concat(F.substring("w", 1, k), F.lit("*"))) for k in STEMS])).alias("term"), "w", "toxic", "clean")
+        by_word.select(F.explode(F.array(*[F.when(F.length("w") > k, F.concat(F.substring("w", 1, k), F.lit("*"))) for k in STEMS])).alias("term"), "toxic", "clean")
         .where(F.col("term").isNotNull())
         .groupBy("term")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count("*").alias("kinds"))
         .where(F.col("kinds") >= 3)
     )
-    terms = by_word.select(F.col("w").alias("term"), "toxic", "clean", F.lit(1).alias("kinds")).unionByName(stems.select("term", "toxic", "clean", "kinds"))
-    best = terms.withColumn("weight", odds(F.col("toxic"), F.col("clean"))).where((F.col("toxic") >= MIN_DOCS) & (F.col("toxic") >= 20 * F.col("clean")) & (F.col("weight") >= min(MIN_LOG_ODDS, float(np.log((MIN_DOCS + 0.5) / (toxic + 1)) - np.log(0.5 / (clean + 1))))))
+    terms = by_word.select(F.col("w").alias("term"), "toxic", "clean").unionByName(stems.select("term", "toxic", "clean"))
+    weight = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
+    share, seen = toxic / (toxic + clean), F.col("toxic") + F.col("clean")
+    part = lambda k, p: F.when(k > 0, k * F.log(k / (seen * p))).otherwise(0.0)
+    surprise = part(F.col("toxic"), share) + part(F.col("clean"), max(1 - share, 1e-9))
+    least = MARGIN + float(np.log(max(1, by_word.count())))
+    best = terms.withColumn("weight", weight).where((F.col("toxic") >= MIN_DOCS) & (F.col("toxic") >= 20 * F.col("clean")) & (surprise >= least))
     got = best.orderBy(F.desc("weight"), "term").limit(max_terms).collect()
+    by_word.unpersist()
     # a word that a stem covers needs no entry, nor does a stem below a shorter one
     held = {r.term: r.weight for r in got}
     heads = {t[:-1] for t in held if t.endswith("*")}
