@@ -47,17 +47,28 @@ def _run(text: Column, kept: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{kept}]+", F.lit("")))
 
 
-def judged_line(line: Column, rules: LineRules) -> Column:
-    """Name of the first rule that a line fails, else null."""
-    ink = F.length(F.regexp_replace(line, r"[\x20\x09-\x0D]+", F.lit("")))
-    words = words_of(line)
+def measured_line(line: Column, words: Column, rules: LineRules) -> Column:
+    """Struct of a line with the figures that rules look at, each taken once."""
+    return F.struct(
+        line.alias("line"),
+        F.length(F.array_join(words, "")).alias("ink"),
+        F.size(words).alias("words"),
+        F.size(F.array_distinct(words)).alias("distinct"),
+        _run(line, _class(rules.symbols)).alias("symbols"),
+        _run(line, _class(rules.bars)).alias("bars"),
+        _run(line, r"\p{Lu}").alias("upper"),
+    )
+
+
+def failed_rule(m: Column, rules: LineRules) -> Column:
+    """Name of the first rule that a measured line fails, else null."""
     return (
-        F.when(ink == 0, F.lit(None).cast("string"))
-        .when(_run(line, _class(rules.symbols)) > ink * rules.max_symbol_share, "punctuation")
-        .when(_run(line, _class(rules.bars)) > ink * rules.max_bar_share, "navigation")
-        .when((F.size(words) >= rules.min_words) & (_run(line, r"\p{Lu}") > ink * rules.max_upper_share), "shouting")
-        .when((F.size(words) >= rules.min_words) & (F.size(F.array_distinct(words)) < F.size(words) * rules.min_distinct_share), "monotony")
-        .when((F.size(words) <= rules.boilerplate_words) & line.rlike(rules.boilerplate), "boilerplate")
+        F.when(m["ink"] == 0, F.lit(None).cast("string"))
+        .when(m["symbols"] > m["ink"] * rules.max_symbol_share, "punctuation")
+        .when(m["bars"] > m["ink"] * rules.max_bar_share, "navigation")
+        .when((m["words"] >= rules.min_words) & (m["upper"] > m["ink"] * rules.max_upper_share), "shouting")
+        .when((m["words"] >= rules.min_words) & (m["distinct"] < m["words"] * rules.min_distinct_share), "monotony")
+        .when((m["words"] <= rules.boilerplate_words) & m["line"].rlike(rules.boilerplate), "boilerplate")
     )
 
 
@@ -69,16 +80,19 @@ def line_cleaned(docs: DataFrame, rules: LineRules = LineRules(), text: str = "t
     """Adds clean_text, lost_share (of characters, by rules other than boilerplate), words_left, failed_rules
     (distinct names, sorted) and rules_kept."""
     lines = F.split(text_of(text), "\n")
-    judged = docs.withColumn("_judged", F.transform(lines, lambda x: F.struct(x.alias("line"), judged_line(x, rules).alias("rule"))))
+    split = F.transform(lines, lambda x: F.struct(x.alias("line"), words_of(x).alias("words")))
+    measured = F.transform(split, lambda x: measured_line(x["line"], x["words"], rules))
+    judged = docs.withColumn("_judged", F.transform(measured, lambda m: F.struct(m["line"].alias("line"), m["words"].alias("words"), failed_rule(m, rules).alias("rule"))))
     kept = F.filter("_judged", lambda x: x["rule"].isNull())
     lost = F.filter("_judged", lambda x: x["rule"].isNotNull() & (x["rule"] != "boilerplate"))
-    size = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.length(x["line"]))
+    total = lambda a, of: F.aggregate(a, F.lit(0), lambda n, x: n + of(x))
+    size = lambda x: F.length(x["line"])
     out = (
         judged.withColumn("clean_text", F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
-        .withColumn("lost_share", size(lost) / F.greatest(F.lit(1), size(F.col("_judged"))))
+        .withColumn("lost_share", total(lost, size) / F.greatest(F.lit(1), total(F.col("_judged"), size)))
         .withColumn("failed_rules", F.array_sort(F.array_distinct(F.array_compact(F.transform("_judged", lambda x: x["rule"])))))
+        .withColumn("words_left", total(kept, lambda x: x["words"]))
         .drop("_judged")
-        .withColumn("words_left", F.size(words_of(F.col("clean_text"))))
     )
     return out.withColumn("rules_kept", (F.col("lost_share") <= rules.max_lost_share) & (F.col("words_left") >= rules.min_words_left))
 
