@@ -1,6 +1,385 @@
-def queries():
-    return {}
+"""One query per operator over the generated tables, and the SQL that states the same rows.
 
+The tables stand in for a catalogue: a document's first line is its title, lang its category, source its subcategory,
+its id's last digits a date; events are the import queue, customers users, orders their conversations. Word lists that
+hit this prose replace the Vietnamese ones, which tests/ covers."""
 
-def oracle_sql():
-    return {}
+from __future__ import annotations
+
+import zlib
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry import config
+from quarry.functions import facts, ids, retrieval, text
+from quarry.operators import catalog, chat, chunk, html, match, normalize, quality, queue, retrieve
+from quarry.plans.answering import answer_questions
+
+LISTS = config.Keywords(stopwords=("and", "the", "that", "with"), compounds=("of the", "in the"), core_words=("the", "tion", "ing"), synonyms=())
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def read(s: SparkSession, d: str, table: str) -> DataFrame:
+    return s.read.parquet(f"{d}/{table}.parquet")
+
+
+def day(i):
+    """A date from an id: 2024-01-01 and up to 364 days."""
+    return F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (i % 365).cast("int")), "yyyy-MM-dd")
+
+
+def catalogue(s: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    status = F.element_at(F.array(*map(F.lit, (*config.STATUSES, "odd"))), (F.col("doc_id") % 7 + 1).cast("int"))
+    page = F.struct(F.lit(1).alias("page_number"), t.alias("raw_text"), t.alias("cleaned_text"))
+    return read(s, d, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), F.substring_index(t, "\n", 1).alias("title"), F.when(F.col("doc_id") % 3 == 0, F.concat((F.col("doc_id") % 50).cast("string"), F.lit("/TB"))).alias("document_number"),
+        F.when(F.col("doc_id") % 5 != 0, day(F.col("doc_id"))).alias("issue_date"), F.lit(None).cast("string").alias("issuing_unit"), F.when(F.col("doc_id") % 11 != 0, F.col("lang")).alias("category"), F.col("source").alias("subcategory"),
+        F.lit(None).cast("string").alias("deadline"), status.alias("effective_status"), *[F.lit(None).cast("string").alias(c) for c in ("effective_from", "effective_to", "replaced_by", "suggested_status", "status_evidence", "status_rationale", "certainty")],
+        (F.col("doc_id") % 13 == 0).alias("is_verified"), F.lit(None).cast("string").alias("verified_by"), F.lit(None).cast("timestamp").alias("verified_at"),
+        F.lit(None).cast("array<struct<previous_status:string,new_status:string,changed_by:string,changed_at:timestamp,evidence:string,note:string>>").alias("status_history"),
+        F.concat(F.lit("http://docs.example/"), F.sha2(t, 256)).alias("source_url"), F.concat(F.lit("http://docs.example/d"), F.col("doc_id").cast("string"), F.lit(".html")).alias("detail_url"),
+        F.concat(F.lit("files/"), F.col("source"), F.lit("/f"), (F.col("doc_id") % 900).cast("string"), F.lit(".pdf")).alias("source_file"), F.lit("pdf").alias("file_format"), F.lit(1).alias("total_pages"), t.alias("content"), F.array(page).alias("pages"),
+        F.when(F.col("doc_id") % 4 == 0, F.array(F.concat(F.lit("http://docs.example/a"), F.col("doc_id").cast("string"), F.lit(".pdf")))).otherwise(F.array().cast("array<string>")).alias("attachments"),
+        F.lit(None).cast("struct<notification_index:int,notification_title:string,detail_file:string,document_file:string,extracted_file:string>").alias("provenance"), F.col("doc_id").alias("ordinal"),
+    )
+
+
+#: The same catalogue in SQL, as far as queries look at it.
+CAT = """
+WITH cat AS (
+  SELECT CAST(doc_id AS VARCHAR) AS id, doc_id AS ordinal, split_part(text, chr(10), 1) AS title,
+    CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id % 50 AS VARCHAR) || '/TB' END AS document_number,
+    CASE WHEN doc_id % 5 <> 0 THEN strftime(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER), '%Y-%m-%d') END AS issue_date,
+    CASE WHEN doc_id % 11 <> 0 THEN lang END AS category, source AS subcategory,
+    ['active','deadline_passed','expired','replaced','unverified','unknown','odd'][CAST(doc_id % 7 + 1 AS INTEGER)] AS effective_status,
+    'http://docs.example/' || sha256(text) AS source_url, 'files/' || source || '/f' || CAST(doc_id % 900 AS VARCHAR) || '.pdf' AS source_file,
+    text AS content, doc_id % 4 = 0 AS has_attachment, doc_id % 13 = 0 AS is_verified
+  FROM documents)
+"""
+
+
+def import_queue(s: SparkSession, d: str) -> DataFrame:
+    """Events as queue rows: the type is the status, in the order of its name."""
+    kind = F.element_at(F.array(*map(F.lit, queue.STATUSES)), (F.pmod(F.crc32(F.col("event_type").cast("binary")), F.lit(6)) + 1).cast("int"))
+    e = read(s, d, "events")
+    null = lambda c, t="string": F.lit(None).cast(t).alias(c)
+    return e.select(
+        F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("uploaded_by_id"), F.concat(F.lit("f"), F.col("event_id").cast("string"), F.lit(".pdf")).alias("original_name"), null("storage_path"), null("mime_type"), F.lit("pdf").alias("file_format"),
+        F.floor(F.col("value") * 1000).cast("long").alias("size_bytes"), F.sha2(F.concat_ws("|", "event_type", "user_id"), 256).alias("checksum"), kind.alias("status"), F.lit("MANUAL_UPLOAD").alias("source_type"), null("source_url"), null("detail_url"), (F.col("user_id") % 25).cast("string").alias("crawl_job_id"), null("error_message"), F.lit(0).alias("retry_count"),
+        F.to_json(F.struct(F.array(F.struct(F.lit(1).alias("page_number"), F.col("props").alias("raw_text"), F.col("props").alias("cleaned_text"))).alias("pages"), F.struct(F.col("event_type").alias("title_candidate")).alias("metadata_hints"))).alias("extracted_json"),
+        null("edited_metadata"), null("document_id"), F.lit(1).alias("worker_pid"), F.col("ts").cast("timestamp").alias("processing_started_at"), null("processed_at", "timestamp"), null("published_at", "timestamp"), F.col("ts").cast("timestamp").alias("created_at"), F.col("ts").cast("timestamp").alias("updated_at"),
+    )
+
+
+def _event_kinds() -> str:
+    names = ("click", "view", "purchase", "signup", "error")
+    return " ".join(f"WHEN '{n}' THEN '{queue.STATUSES[zlib.crc32(n.encode()) % 6]}'" for n in names)
+
+
+Q = f"""
+WITH q AS (
+  SELECT CAST(event_id AS VARCHAR) AS id, user_id, value, ts AS created_at, CAST(user_id % 25 AS VARCHAR) AS crawl_job_id, sha256(event_type || '|' || CAST(user_id AS VARCHAR)) AS checksum,
+    CASE event_type {_event_kinds()} END AS status
+  FROM events)
+"""
+AS_OF = "2024-06-30"
+
+
+def questions(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "benchmark").select(F.col("item_id").alias("question_id"), F.substring("text", 1, 60).alias("question"))
+
+
+def corpus(s: SparkSession, d: str) -> DataFrame:
+    c = catalogue(s, d)
+    return c.select("ordinal", F.col("id").alias("document_id"), F.lit(1).alias("page_number"), "title", "document_number", "issue_date", "category", "subcategory", F.col("content").alias("text"))
+
+
+def keyword_hits(s: SparkSession, d: str) -> DataFrame:
+    return retrieve.top_keyword(questions(s, d), corpus(s, d), lists=LISTS)
+
+
+def semantic_hits(s: SparkSession, d: str) -> DataFrame:
+    e = read(s, d, "embeddings")
+    q = e.where("vec_id < 20").select(F.col("vec_id").alias("question_id"), "embedding")
+    v = e.select(F.col("vec_id").alias("ordinal"), F.col("vec_id").cast("string").alias("document_id"), F.lit(1).alias("page_number"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("title"), F.lit("").alias("text"), "embedding")
+    return retrieve.top_semantic(q, v, 0.1, 5)
+
+
+def notices(s: SparkSession, d: str) -> DataFrame:
+    """Documents as notices: a date as printed, and an order sentence as content."""
+    return catalogue(s, d).select("ordinal", "title", F.concat_ws("/", F.substring("issue_date", 9, 2), F.substring("issue_date", 6, 2), F.substring("issue_date", 1, 4)).alias("date"), "detail_url", "attachments", F.lit("").alias("content"), "document_number", F.lit(None).cast("string").alias("published_date"), "category", F.lit("ok").alias("crawl_status"), F.lit("2024-01-01").alias("crawled_at"), F.lit("list").alias("content_source"), F.array().cast("array<string>").alias("attachments_downloaded"))
+
+
+def extracted(s: SparkSession, d: str) -> DataFrame:
+    """Every second document as an extracted file, with order sentences as text."""
+    c = catalogue(s, d).where("ordinal % 2 = 0")
+    on = lambda days: F.date_add(F.coalesce("issue_date", F.lit("2024-03-01")).cast("date"), days)
+    said = F.concat(F.lit("Số: "), F.coalesce("document_number", F.lit("7/TB")), F.lit("\nHạn cuối đến ngày "), F.date_format(on(90), "dd/MM/yyyy"), F.lit("\n"), F.substring("content", 1, 400))
+    page = F.struct(F.lit(1).alias("page_number"), said.alias("raw_text"), said.alias("cleaned_text"), F.lit("ok").alias("extraction_status"))
+    return c.select(F.col("ordinal").alias("file_ordinal"), F.concat(F.lit("x/"), F.col("id")).alias("extracted_file"), F.concat(F.lit("a"), F.col("id"), F.lit(".pdf")).alias("source_file"), F.lit("").alias("source_url"), F.col("title").alias("notification_title"), F.lit(-1).alias("notification_index"), F.lit("pdf").alias("file_format"), F.lit(1).alias("total_pages"), F.array(page).alias("pages"), F.lit(None).cast("string").alias("ocr_quality"))
+
+
+def pages(s: SparkSession, d: str) -> DataFrame:
+    """Documents cut in pages of ten lines."""
+    cut = F.split("text", "\n")
+    n = F.ceil(F.size(cut) / 10).cast("int")
+    p = read(s, d, "documents").select(F.col("doc_id").alias("id"), F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(cut, (i - 1) * 10 + 1, 10), "\n"))).alias("i", "raw_text"))
+    return p.select("id", (F.col("i") + 1).alias("page_number"), "raw_text", F.col("raw_text").alias("cleaned_text"), F.when(F.length("raw_text") > 200, "ocr").otherwise("ocr_failed").alias("extraction_status"))
+
+
+def conversations(s: SparkSession, d: str) -> DataFrame:
+    o = read(s, d, "orders")
+    at = F.col("o_orderdate").cast("timestamp")
+    return o.select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("user_id"), F.col("o_orderpriority").alias("title"), at.alias("created_at"), at.alias("updated_at"))
+
+
+def messages(s: SparkSession, d: str) -> DataFrame:
+    c = read(s, d, "conversations")
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce("turn", F.lit(0)) * 60)
+    return c.select(F.concat_ws("_", "conv_id", "turn").alias("id"), F.col("conv_id").cast("string").alias("conversation_id"), F.upper("role").alias("role"), F.col("text").alias("content"), F.when(F.col("turn") % 3 == 1, '[{"page_number":1}]').alias("citations"), F.lit(None).cast("string").alias("model_used"), at.alias("created_at"))
+
+
+def users(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"), F.concat("c_name", F.lit("@example.org")).alias("email"), F.when(F.col("c_custkey") % 10 == 0, "ADMIN").otherwise("USER").alias("role"), (F.col("c_custkey") % 7 != 0).alias("is_active"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("c_custkey") * 3600).alias("created_at"))
+
+
+def events_of(s: SparkSession, d: str) -> DataFrame:
+    return html.page_events(read(s, d, "pages"))
+
+
+def uploads(s: SparkSession, d: str) -> DataFrame:
+    e = read(s, d, "events")
+    ext = F.element_at(F.array(*map(F.lit, ("pdf", "docx", "doc", "exe"))), (F.col("event_id") % 4 + 1).cast("int"))
+    size = F.when(F.col("event_id") % 17 == 0, 0).otherwise(F.floor(F.col("value") * 1000)).cast("long")
+    return e.select(F.col("user_id").alias("batch_id"), F.concat(F.lit("n"), F.col("event_id").cast("string"), F.lit("."), ext).alias("name"), size.alias("size_bytes"), F.sha2(F.concat_ws("|", "event_type", "user_id"), 256).alias("checksum"), F.col("event_id").alias("file_ordinal"))
+
+
+def ids_of(s: SparkSession, n: int, name: str = "id") -> DataFrame:
+    return s.range(0, n * 7, 7).select(F.col("id").cast("string").alias(name))
+
+
+def now():
+    return F.lit("2024-03-01 00:00:00").cast("timestamp")
+
+
+def queries() -> dict[str, Query]:
+    cat, q = catalogue, import_queue
+    t = F.col("text")
+    docs = lambda s, d, *c: read(s, d, "documents").select("doc_id", *c)
+    last = lambda s, d: q(s, d).select("id", "status", "retry_count", "worker_pid")
+    short = F.substring(t, 1, 300)
+    return {
+        # scans and projections
+        "clean_text": lambda s, d: docs(s, d, F.sha2(text.clean_document_text(t), 256).alias("clean_sha")),
+        "collapse_space": lambda s, d: docs(s, d, F.length(text.collapse_space(t)).alias("n")),
+        "strip_boilerplate": lambda s, d: docs(s, d, F.length(text.strip_boilerplate_lines(t, ("license", "copyright"))).alias("n")),
+        "garbage_lines": lambda s, d: docs(s, d, F.size(F.filter(F.split(t, "\n"), lambda x: text.garbage_line(x))).alias("n_garbage")),
+        "text_metrics": lambda s, d: docs(s, d, text.text_metrics(t, (("\\bthe\\b", "the"), (r"\b\d+\b", "number"))).alias("m")).select("doc_id", "m.text_length", "m.non_whitespace_chars", "m.alphanumeric_ratio", "m.suspicious_character_ratio", "m.repeated_character_ratio", "m.word_count", F.array_join("m.detected_legal_patterns", ",").alias("patterns")),
+        "title_number": lambda s, d: docs(s, d, facts.title_number(F.concat((F.col("doc_id") % 90).cast("string"), F.lit(" /TB-X "), F.substring(t, 1, 20))).alias("number")),
+        "document_number": lambda s, d: docs(s, d, facts.document_number(F.concat(F.lit("Số: "), (F.col("doc_id") % 90 + 10).cast("string"), F.lit(" / TB-X "), short)).alias("number")),
+        "normalize_date": lambda s, d: read(s, d, "orders").select("o_orderkey", facts.normalize_date(F.date_format("o_orderdate", "d/M/yyyy")).alias("iso")),
+        "issue_date": lambda s, d: read(s, d, "orders").select("o_orderkey", facts.issue_date(F.concat(F.lit("x ngày "), F.date_format("o_orderdate", "d"), F.lit(" tháng "), F.date_format("o_orderdate", "M"), F.lit(" năm "), F.date_format("o_orderdate", "yyyy"))).alias("iso")),
+        "posted_date": lambda s, d: read(s, d, "events").select("event_id", facts.posted_date(F.concat(F.lit("at "), F.date_format("ts", "dd/MM/yyyy HH:mm:ss"), F.lit(" by"))).alias("posted")),
+        "issuing_unit": lambda s, d: docs(s, d, facts.issuing_unit(t, (("the", "The office"), ("der", "Das Amt"))).alias("unit")),
+        "category_rules": lambda s, d: docs(s, d, facts.category(F.substring_index(t, "\n", 1), t, config.CategoryRules(((("the",), "A", "a"), (("der", "die"), "B", "b")), 300, "other")).alias("c")).select("doc_id", "c.category", "c.subcategory"),
+        "document_id": lambda s, d: read(s, d, "pages").select("page_id", ids.document_id(F.col("url"), F.lit(""), F.col("page_id")).alias("id")),
+        "slug": lambda s, d: read(s, d, "pages").select("page_id", ids.slug(F.col("url")).alias("slug")),
+        "normalize_url": lambda s, d: read(s, d, "pages").select("page_id", ids.normalize_url(F.col("url"), "https://base.example").alias("url")),
+        "normalize_title": lambda s, d: docs(s, d, ids.normalize_title(F.concat(F.substring_index(t, "\n", 1), F.lit(" - 03/08/2026"))).alias("title")),
+        "document_year": lambda s, d: read(s, d, "orders").select("o_orderkey", ids.document_year(F.lit("/u/202501/a.pdf"), F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "dd/MM/yyyy"))).alias("year")),
+        "file_format": lambda s, d: uploads(s, d).select("file_ordinal", ids.file_format(F.col("name"), F.lit("application/pdf")).alias("format"), ids.sharded_path(F.col("checksum"), ids.extension(F.col("name"))).alias("path")),
+        "magic_format": lambda s, d: read(s, d, "pages").select("page_id", F.coalesce(ids.magic_format(F.concat(F.lit("%PDF"), F.col("html")).cast("binary")), F.lit("-")).alias("kind"), ids.checksum(F.col("html")).alias("checksum")),
+        "status_label": lambda s, d: cat(s, d).select("id", catalog.status_label(F.col("effective_status")).alias("label")),
+        "user_roster": lambda s, d: catalog.user_roster(users(s, d)).drop("created_at"),
+        "question_log_status": lambda s, d: messages(s, d).select("id", chat.question_log_status(F.col("citations")).alias("state")),
+        "conversation_title": lambda s, d: docs(s, d, retrieval.conversation_title(F.substring(t, 1, 80)).alias("title")),
+        "html_text": lambda s, d: read(s, d, "pages").select("page_id", F.length(text.html_to_text(F.col("html"))).alias("n")),
+        "access_state": lambda s, d: read(s, d, "pages").select("page_id", html.access_state(F.col("html"), F.col("url"), F.when(F.col("page_id") % 9 == 0, 403)).alias("state")),
+        # catalogue
+        "search_catalogue": lambda s, d: catalog.search_catalogue(cat(s, d), "tion", "en", "all", "2024-0").select("id", "title"),
+        "search_catalogue_ui": lambda s, d: catalog.search_catalogue(cat(s, d), "  the ", "", "effective", "", trim=True).select("id", "title"),
+        "search_catalogue_admin": lambda s, d: catalog.search_catalogue(cat(s, d), "ing", "all", "unverified", "", admin=True).select("id", "title"),
+        "get_document": lambda s, d: catalog.get_document(cat(s, d), "17").select("id", "title", "category"),
+        "drop_short": lambda s, d: catalog.drop_short(cat(s, d)).select("id"),
+        "category_stats": lambda s, d: catalog.category_stats(cat(s, d)).select("category", "n_documents", F.array_join("subcategories", ",").alias("subcategories")),
+        "status_stats": lambda s, d: catalog.status_stats(cat(s, d)),
+        "distinct_categories": lambda s, d: catalog.distinct_categories(cat(s, d)),
+        "category_facets": lambda s, d: catalog.category_facets(cat(s, d), s.createDataFrame([("en",), ("fr",), ("none",)], "category string")),
+        "dashboard_totals": lambda s, d: catalog.dashboard_totals(cat(s, d), chunk.chunk_pages(cat(s, d), paragraphs="\n").agg(F.count("*").alias("n_chunks"))),
+        "corpus_audit": lambda s, d: catalog.corpus_audit(cat(s, d)),
+        "documents_by_category": lambda s, d: catalog.documents_by_category(cat(s, d), ("ordinal", "id")).select("category", F.size("documents").alias("n"), F.get("documents", F.lit(0))["id"].alias("first_id")),
+        "recent_documents": lambda s, d: catalog.recent_documents(cat(s, d)).select("id", "issue_date"),
+        "table_counts": lambda s, d: catalog.table_counts(documents=read(s, d, "documents"), orders=read(s, d, "orders"), events=read(s, d, "events")),
+        "flag_duplicates": lambda s, d: catalog.flag_duplicates(cat(s, d)).select("id", "dup_id", "dup_url", "dup_file"),
+        "dedupe_first": lambda s, d: catalog.dedupe_first(cat(s, d), "source_url", "title").select("id"),
+        "known_by_number": lambda s, d: catalog.known_by_number(cat(s, d), F.substring("issue_date", 1, 4)),
+        "stop_at_repeat": lambda s, d: catalog.stop_at_repeat(read(s, d, "events").select((F.floor(F.col("event_id") / 5)).alias("page"), F.when(F.col("event_id") < 9000, F.col("user_id").cast("string")).alias("url"))),
+        "claim_checksums": lambda s, d: catalog.claim_checksums(uploads(s, d).select("checksum", F.col("file_ordinal").alias("page"), F.lit(0).alias("item"), F.lit(0).alias("attachment")), uploads(s, d).where("file_ordinal % 50 = 0").select("checksum")).select("page", "claim"),
+        "classify_duplicates": lambda s, d: catalog.classify_duplicates(
+            cat(s, d).select("id", F.col("source_url").alias("detail_url"), F.sha2("title", 256).alias("checksum"), "document_number", F.substring("issue_date", 1, 4).alias("year")),
+            cat(s, d).where("ordinal % 10 = 1").select(F.col("source_url").alias("url")), cat(s, d).where("ordinal % 10 = 2").select(F.sha2("title", 256).alias("checksum")),
+            catalog.known_by_number(cat(s, d).where("ordinal % 10 < 5"), F.substring("issue_date", 1, 4))).select("id", "duplicate_status"),
+        "duplicate_facets": lambda s, d: catalog.duplicate_facets(queries()["classify_duplicates"](s, d)),
+        "items_by_duplicate_status": lambda s, d: catalog.items_by_duplicate_status(queries()["classify_duplicates"](s, d), "LIKELY"),
+        "known_union": lambda s, d: catalog.known_union(cat(s, d).select(F.col("source_url").alias("url")), cat(s, d).select(F.col("detail_url").alias("url"))),
+        "merge_new_documents": lambda s, d: catalog.merge_new_documents(cat(s, d).where("ordinal % 3 = 0"), cat(s, d).where("ordinal % 3 <> 0")).select("id"),
+        "crawl_summary": lambda s, d: catalog.crawl_summary(queries()["classify_duplicates"](s, d).withColumn("error_code", F.when(F.col("id").cast("int") % 40 == 0, "TIMEOUT")), q(s, d).select(F.when(F.col("status") == "PENDING", "skipped").otherwise("downloaded").alias("state")), F.lit("2024-01-01 00:00:00"), F.lit("2024-01-01 00:01:30")),
+        "download_stats": lambda s, d: catalog.count_states(q(s, d), "status", "PENDING", "PUBLISHED"),
+        "validity_counts": lambda s, d: quality.validity_counts(cat(s, d).withColumn("suggested_status", F.col("effective_status"))),
+        # notices, matching
+        "valid_notices": lambda s, d: notices(s, d).where(match.valid_notice(F.col("title"), F.col("detail_url"), ("the and",), ("d7",))).select("ordinal"),
+        "clean_notices": lambda s, d: match.clean_notices(notices(s, d), F.length("title") > 8, lambda a: ids.normalize_url(a, "https://base.example"), F.col("ordinal") % 10 == 0).select("ordinal", "crawl_status", F.size("attachments").alias("n")),
+        "notice_projection": lambda s, d: match.notice_projection(notices(s, d)).select("title", "date", "detail_url", F.size("attachments").alias("n")),
+        "allowed_documents": lambda s, d: read(s, d, "pages").select("page_id", match.allowed_document(F.concat("url", F.when(F.col("page_id") % 2 == 0, F.lit(".pdf")).otherwise(F.lit(".exe")))).alias("ok")),
+        "reject_unsafe": lambda s, d: match.reject_unsafe(uploads(s, d), config.UNSAFE_EXTENSIONS, "name").select("file_ordinal", "error_code"),
+        "match_extracted": lambda s, d: match.match_extracted(notices(s, d), extracted(s, d)).select("ordinal", "match_rule", "file_ordinal"),
+        "match_details": lambda s, d: match.match_details(cat(s, d).where("ordinal % 2 = 0").select(F.col("ordinal").alias("detail_ordinal"), F.col("detail_url").alias("url"), "title"), notices(s, d)).select("detail_ordinal", "notice_ordinal"),
+        "match_detail_pair": lambda s, d: notices(s, d).select("ordinal", match.match_detail_pair({"post_id": F.lit(""), "canonical_url": F.lit(""), "url": F.concat(F.lit("http://other/d"), (F.col("ordinal") % 3 * F.col("ordinal")).cast("string"), F.lit(".html")), "title": F.lit("")}, {"post_id": F.lit(""), "detail_url": F.col("detail_url"), "title": F.col("title")}).alias("same")),
+        "enrich_by_title": lambda s, d: match.enrich_by_title(read(s, d, "benchmark").select(F.col("item_id").alias("detail_ordinal"), F.substring("text", 1, 12).alias("title"), F.lit("01/02/2024").alias("date"), F.array(F.concat(F.lit("b"), F.col("item_id").cast("string"))).alias("attachments"), F.lit("").alias("detail_url")), notices(s, d)).select("ordinal", F.coalesce("date", F.lit("")).alias("date"), F.size("attachments").alias("n")),
+        "link_local_files": lambda s, d: match.link_local_files(read(s, d, "benchmark").select(F.concat(F.substring("text", 1, 9), F.lit(".pdf")).alias("name")), notices(s, d)).select("ordinal", F.size("attachments").alias("n")),
+        "attachment_index": lambda s, d: match.attachment_index(notices(s, d)).select("name", "ordinal"),
+        "lookup_attachments": lambda s, d: match.lookup_attachments(extracted(s, d).select("file_ordinal", "source_file"), match.attachment_index(notices(s, d))).select("file_ordinal", "notice_ordinal"),
+        "find_detail_file": lambda s, d: match.find_detail_file(notices(s, d), cat(s, d).where("ordinal % 3 = 0").select(F.concat(F.lit("d"), F.col("id"), F.when(F.col("ordinal") % 2 == 0, ".html").otherwise("-x.html")).alias("file"))).select("ordinal", "detail_file"),
+        "apply_details": lambda s, d: match.apply_details(notices(s, d), cat(s, d).where("ordinal % 2 = 0").select((F.floor(F.col("ordinal") / 4) * 4).alias("notice_ordinal"), F.col("ordinal").alias("detail_ordinal"), "content", "attachments", F.lit("01/01/2024").alias("date"), F.lit("1/TB").alias("document_number"), "title", F.lit("detail").alias("source"))).select("ordinal", F.length("content").alias("n_content"), "date", "document_number", "crawl_status"),
+        "needs_ocr": lambda s, d: match.needs_ocr(cat(s, d).select(F.concat(F.lit("a"), F.col("id"), F.lit(".pdf")).alias("path")), extracted(s, d).select(F.regexp_replace("source_file", "pdf$", "json").alias("source_file"), F.when(F.col("file_ordinal") % 6 == 0, "ocr").otherwise("ok").alias("extraction_status"))).select("path"),
+        # quality
+        "page_scores": lambda s, d: quality.score_pages(pages(s, d), ((r"\bthe\b", "the"),)).select("id", "page_number", "quality.score", "quality.label", F.array_join("quality.warnings", ",").alias("warnings")),
+        "document_text_quality": lambda s, d: quality.document_text_quality(quality.score_pages(pages(s, d), ((r"\bthe\b", "the"),))).drop("page_warnings"),
+        "text_quality_report": lambda s, d: quality.text_quality_report(queries()["document_text_quality"](s, d)),
+        "page_status_rollup": lambda s, d: quality.page_status_rollup(pages(s, d), least=200),
+        "extraction_stats": lambda s, d: quality.extraction_stats(quality.page_status_rollup(pages(s, d), least=200).withColumn("total_pages", F.col("n_pages"))),
+        "ocr_stats": lambda s, d: quality.ocr_stats(quality.ocr_file_status(pages(s, d))),
+        "quality_checks": lambda s, d: quality.scored_documents(cat(s, d)).select("id", F.size("issues").alias("n_issues"), F.size("warnings").alias("n_warnings"), "quality.score", "quality.status"),
+        "quality_report": lambda s, d: quality.quality_report(quality.scored_documents(cat(s, d))),
+        # normalisation
+        "normalize_documents": lambda s, d: normalize.normalize_documents(notices(s, d), extracted(s, d), AS_OF).select("ordinal", "id", "document_number", "issue_date", "deadline", "suggested_status", "certainty", F.size("norm_warnings").alias("n_warnings")),
+        "normalization_report": lambda s, d: normalize.normalization_report(normalize.normalize_documents(notices(s, d), extracted(s, d), AS_OF)),
+        "reapply_validity": lambda s, d: normalize.reapply_validity(cat(s, d).withColumn("deadline", F.col("issue_date")), AS_OF).select("id", "effective_status", "certainty"),
+        "import_hints": lambda s, d: normalize.import_hints(extracted(s, d).select(F.col("extracted_file").alias("id"), F.col("source_file").alias("file_name"), F.transform("pages", lambda p: F.struct(p["page_number"].alias("page_number"), p["raw_text"].alias("raw_text"), p["cleaned_text"].alias("cleaned_text"))).alias("pages")), AS_OF).select("id", "title", "document_number", "deadline", "suggested_status", "quality.score"),
+        "assemble_content": lambda s, d: pages(s, d).groupBy("id").agg(F.collect_list(F.struct("page_number", "raw_text", "cleaned_text")).alias("p")).select("id", F.sha2(normalize.assemble_content(F.col("p")), 256).alias("sha")),
+        # chunks, retrieval, answers
+        "chunk_pages": lambda s, d: chunk.chunk_pages(cat(s, d), paragraphs="\n").select("chunk_id", F.length("text").alias("n")),
+        "embed_chunks": lambda s, d: chunk.embedding_failures(chunk.embed_chunks(chunk.chunk_pages(cat(s, d), paragraphs="\n"), lambda texts: [[float(len(x)), float(x.count(" "))] for x in texts], "length")),
+        "replace_vectors": lambda s, d: chunk.replace_vectors(semantic_hits(s, d).select("document_id", "similarity"), semantic_hits(s, d).where("rank = 1").select("document_id", F.lit(1.0).alias("similarity"))).groupBy("document_id").agg(F.count("*").alias("n")),
+        "route_questions": lambda s, d: retrieve.route_questions(questions(s, d), LISTS).select("question_id", "question_class", F.array_join("keywords", ",").alias("keywords")),
+        "top_keyword": lambda s, d: keyword_hits(s, d).select("question_id", "document_id", "rank", "score"),
+        "top_semantic": lambda s, d: semantic_hits(s, d).select("question_id", "document_id", "rank", F.round("similarity", 3).alias("similarity")),
+        "fuse_hybrid": lambda s, d: retrieve.fuse_hybrid(keyword_hits(s, d), semantic_hits(s, d)).select("question_id", "document_id", "rank", "final_score"),
+        "build_sources": lambda s, d: retrieve.build_sources(keyword_hits(s, d), cat(s, d)).select("question_id", "document_id", "rank", "page", F.length("snippet").alias("n_snippet"), "url"),
+        "assemble_context": lambda s, d: retrieve.assemble_context(questions(s, d), keyword_hits(s, d)).select("question_id", F.length("context").alias("n")),
+        "extractive_answer": lambda s, d: retrieve.extractive_answer(questions(s, d), keyword_hits(s, d), retrieve.build_sources(keyword_hits(s, d), cat(s, d))).select("question_id", F.length("answer").alias("n")),
+        "answer_questions": lambda s, d: answer_questions(questions(s, d), corpus(s, d), cat(s, d), lists=LISTS).select("question_id", "question_class", "n_sources"),
+        # queue
+        "validate_uploads": lambda s, d: queue.validate_uploads(uploads(s, d)).select("file_ordinal", "error"),
+        "queue_by_status": lambda s, d: queue.queue_by_status(q(s, d), "PENDING").select("id"),
+        "queue_stats": lambda s, d: queue.queue_stats(q(s, d)),
+        "queue_page": lambda s, d: queue.queue_page(q(s, d), "PENDING", 2, 10).select("id", "total", "total_pages"),
+        "next_batch": lambda s, d: queue.next_batch(q(s, d)).select("id"),
+        "recent_imports": lambda s, d: queue.recent_imports(q(s, d)).select("id"),
+        "recent_jobs": lambda s, d: queue.recent_jobs(conversations(s, d)).select("id"),
+        "crawl_jobs_with_counts": lambda s, d: queue.crawl_jobs_with_counts(s.range(30).select(F.col("id").cast("string").alias("id")), q(s, d)),
+        "queue_with_uploader": lambda s, d: queue.queue_with_uploader(q(s, d), users(s, d)).select("id", "uploader_name"),
+        "intake": lambda s, d: queue.intake(queue.validate_uploads(uploads(s, d)), q(s, d).where("crawl_job_id < '13'"), now()).select("file_ordinal", "status"),
+        "intake_crawled": lambda s, d: queue.intake_crawled(uploads(s, d).withColumns({"title": F.col("name"), "document_number": F.lit("1/TB"), "date": F.lit("2024-01-01")}), q(s, d).where("crawl_job_id < '13'"), "job", now()).select("file_ordinal", "status"),
+        "recover_stale": lambda s, d: queue.recover_stale(q(s, d), F.lit("2024-01-15").cast("timestamp")).select("id", "status"),
+        "claim": lambda s, d: queue.claim(q(s, d), 25, now(), 9).select("id", "status"),
+        "apply_results": lambda s, d: queue.apply_results(q(s, d), ids_of(s, 200).withColumns({"extracted_json": F.lit("{}"), "error": F.when(F.col("id").cast("int") % 2 == 0, "bad")}), now(), prefill=True).select("id", "status", "retry_count"),
+        "edit_metadata": lambda s, d: queue.edit_metadata(q(s, d), ids_of(s, 200).withColumn("edited_metadata", F.lit("{}")), now()).select("id", "edit_outcome"),
+        "verify_queue": lambda s, d: queue.verify_queue(q(s, d), ids_of(s, 200), "me", now()).select("id", F.get_json_object("edited_metadata", "$.verified_by").alias("verified_by")),
+        "resolve_metadata": lambda s, d: queue.resolve_metadata(q(s, d)).select("id", "meta.title", "meta.category"),
+        "requeue": lambda s, d: queue.requeue(q(s, d), ids_of(s, 200), now()).select("id", "status", "retry_count"),
+        "delete_queue_rows": lambda s, d: queue.delete_queue_rows(q(s, d), ids_of(s, 200)).select("id"),
+        "publish": lambda s, d: queue.publish(q(s, d), cat(s, d), now())[1].select("id"),
+        "publish_queue": lambda s, d: queue.publish(q(s, d), cat(s, d), now())[0].groupBy("status").agg(F.count("*").alias("n")),
+        "batch_outcome": lambda s, d: queue.batch_outcome(uploads(s, d).select(F.element_at(F.array(*map(F.lit, ("ok", "duplicate", "failed"))), (F.col("file_ordinal") % 3 + 1).cast("int")).alias("outcome")), q(s, d)),
+        "update_validity": lambda s, d: queue.update_validity(cat(s, d), ids_of(s, 50).withColumns({"set_fields": F.array(F.lit("deadline")), "effective_status": F.when(F.col("id").cast("int") % 2 == 0, "bogus").otherwise("expired"), "deadline": F.lit(None).cast("string"), "verified_by": F.lit("me"), **{c: F.lit(None).cast("string") for c in ("effective_from", "effective_to", "replaced_by", "status_evidence", "status_rationale", "verification_note")}}), now()).select("id", "effective_status", "update_outcome", F.coalesce(F.size("status_history"), F.lit(0)).alias("n_history")),
+        "verify_documents": lambda s, d: queue.verify_documents(cat(s, d), ids_of(s, 400), "me", now())[1],
+        # chat
+        "conversation_history": lambda s, d: chat.conversation_history(conversations(s, d), messages(s, d), None).where(F.size("messages") > 0).select("id", F.size("messages").alias("n"), F.get("messages", F.lit(0))["id"].alias("first_id")),
+        "messages_in_order": lambda s, d: chat.messages_in_order(conversations(s, d), messages(s, d)).select("id", "conversation_id", "user_id"),
+        "owned_by": lambda s, d: chat.owned_by(read(s, d, "orders").select((F.col("o_orderkey") * 2).cast("string").alias("conversation_id"), F.col("o_custkey").cast("string").alias("user_id")), conversations(s, d)).select("conversation_id", "user_id", "outcome"),
+        "conversation_buckets": lambda s, d: chat.conversation_buckets(conversations(s, d), F.lit("1995-06-17")).groupBy("bucket").agg(F.count("*").alias("n")),
+        "delete_conversations": lambda s, d: chat.delete_conversations(conversations(s, d), messages(s, d), ids_of(s, 20))[1].select("id"),
+        "append_exchange": lambda s, d: chat.append_exchange(conversations(s, d), messages(s, d), ids_of(s, 20, "conversation_id").withColumns({"exchange_id": F.concat(F.lit("x"), F.col("conversation_id")), "question": F.lit("q"), "answer": F.lit("a"), "citations": F.lit("[]"), "model_used": F.lit("m")}), now())[1].groupBy("role").agg(F.count("*").alias("n")),
+        "rename_conversation": lambda s, d: chat.rename_conversation(conversations(s, d), read(s, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").cast("string").alias("conversation_id"), F.col("o_custkey").cast("string").alias("user_id"), F.when(F.col("o_orderkey") % 2 == 0, " ").otherwise("new").alias("title")), now())[1].groupBy("outcome").agg(F.count("*").alias("n")),
+        # html
+        "list_items": lambda s, d: html.extract_list_items(events_of(s, d), "https://base.example").select("page_id", "pos", "title", "detail_url"),
+        "page_details": lambda s, d: html.extract_detail(events_of(s, d), "https://base.example").select("page_id", "title", F.length("content").alias("n"), F.size("attachments").alias("n_attachments")),
+        "classify_pages": lambda s, d: html.classify_pages(read(s, d, "pages"), html.extract_list_items(events_of(s, d), "https://base.example"), html.extract_detail(events_of(s, d), "https://base.example")).select("page_id", "page_kind"),
+        "discover_links": lambda s, d: html.discover_links(events_of(s, d), s.createDataFrame([], "url string"), "https://base.example").select("url", "page_id"),
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "collapse_space": "SELECT doc_id, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS n FROM documents",
+        "strip_boilerplate": "SELECT doc_id, length(array_to_string(list_filter(string_split(text, chr(10)), lambda x : NOT contains(lower(x), 'license') AND NOT contains(lower(x), 'copyright')), chr(10))) AS n FROM documents",
+        "title_number": "SELECT doc_id, CAST(doc_id % 90 AS VARCHAR) || '/TB-X' AS number FROM documents",
+        "document_number": "SELECT doc_id, CAST(doc_id % 90 + 10 AS VARCHAR) || '/TB-X' AS number FROM documents",
+        "normalize_date": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders",
+        "issue_date": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders",
+        "posted_date": "SELECT event_id, strftime(ts, '%d/%m/%Y %H:%M:%S') AS posted FROM events",
+        "issuing_unit": "SELECT doc_id, CASE WHEN contains(lower(substr(text, 1, 600)), 'the') THEN 'The office' WHEN contains(lower(substr(text, 1, 600)), 'der') THEN 'Das Amt' END AS unit FROM documents",
+        "category_rules": "WITH x AS (SELECT doc_id, lower(split_part(text, chr(10), 1)) || ' ' || lower(substr(text, 1, 300)) AS l FROM documents) SELECT doc_id, CASE WHEN contains(l, 'the') THEN 'A' WHEN contains(l, 'der') OR contains(l, 'die') THEN 'B' ELSE 'other' END AS category, CASE WHEN contains(l, 'the') THEN 'a' WHEN contains(l, 'der') OR contains(l, 'die') THEN 'b' END AS subcategory FROM x",
+        "document_id": "SELECT page_id, 'doc_' || substr(sha256(url), 1, 12) AS id FROM pages",
+        "document_year": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 AND year(o_orderdate) >= 2000 THEN CAST(year(o_orderdate) AS VARCHAR) ELSE '2025' END AS year FROM orders",
+        "file_format": "SELECT event_id AS file_ordinal, x AS format, substr(c, 1, 2) || '/' || c || '.' || x AS path FROM (SELECT event_id, ['pdf','docx','doc','exe'][event_id % 4 + 1] AS x, sha256(event_type || '|' || CAST(user_id AS VARCHAR)) AS c FROM events)",
+        "magic_format": "SELECT page_id, 'pdf' AS kind, sha256(html) AS checksum FROM pages",
+        "status_label": CAT + "SELECT id, CASE effective_status WHEN 'active' THEN 'In force' WHEN 'deadline_passed' THEN 'Deadline passed' WHEN 'expired' THEN 'Expired' WHEN 'replaced' THEN 'Replaced' ELSE 'Unverified' END AS label FROM cat",
+        "user_roster": "SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, c_name || '@example.org' AS email, CASE WHEN c_custkey % 10 = 0 THEN 'Admin' ELSE 'User' END AS role_label, CASE WHEN c_custkey % 7 <> 0 THEN 'Active' ELSE 'Locked' END AS state_label, CAST(TIMESTAMP '2023-11-14 22:13:20' + INTERVAL 1 HOUR * c_custkey AS DATE) AS created_on FROM customer",
+        "question_log_status": "SELECT concat_ws('_', conv_id, turn) AS id, CASE WHEN turn % 3 = 1 THEN 'answered' ELSE 'refused' END AS state FROM conversations",
+        "search_catalogue": CAT + "SELECT id, title FROM cat WHERE (contains(lower(title), 'tion') OR contains(lower(coalesce(document_number, '')), 'tion') OR contains(lower(content), 'tion')) AND category = 'en' AND starts_with(issue_date, '2024-0')",
+        "search_catalogue_ui": CAT + "SELECT id, title FROM cat WHERE false",
+        "search_catalogue_admin": CAT + "SELECT id, title FROM cat WHERE contains(lower(title || ' ' || coalesce(issue_date, '') || ' ' || content), 'ing') AND effective_status IN ('unverified', 'unknown', '')",
+        "get_document": CAT + "SELECT id, title, category FROM cat WHERE id = '17'",
+        "drop_short": CAT + "SELECT id FROM cat WHERE length(title) >= 10 AND length(content) >= 120",
+        "category_stats": CAT + "SELECT coalesce(category, 'Chưa phân loại') AS category, count(*) AS n_documents, array_to_string(list_sort(list_distinct(list(subcategory))), ',') AS subcategories FROM cat GROUP BY 1",
+        "status_stats": CAT + ", s AS (SELECT CASE WHEN effective_status = 'odd' THEN 'unverified' ELSE effective_status END AS s FROM cat) SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE s = '{x}') AS {x}" for x in config.STATUSES) + " FROM s",
+        "distinct_categories": CAT + "SELECT DISTINCT category FROM cat WHERE category IS NOT NULL",
+        "category_facets": CAT + "SELECT c AS category, (SELECT count(*) FROM cat WHERE category = c) AS n_documents FROM (VALUES ('en'), ('fr'), ('none')) v(c)",
+        "corpus_audit": CAT + "SELECT count(*) AS n_documents, count(*) AS n_pages, count(DISTINCT id) AS n_ids, count(*) FILTER (WHERE title = '') AS no_title, count(*) FILTER (WHERE document_number IS NULL) AS no_number, count(*) FILTER (WHERE issue_date IS NULL) AS no_date, count(*) FILTER (WHERE has_attachment) AS with_attachments, count(*) FILTER (WHERE trim(content) = '') AS empty, CAST(sum(ceil(length(trim(content, chr(32) || chr(10) || chr(9) || chr(13))) / 650.0)) AS BIGINT) AS estimated_chunks FROM cat",
+        "documents_by_category": CAT + "SELECT category, CAST(count(*) AS INTEGER) AS n, arg_min(id, ordinal) AS first_id FROM cat WHERE category IS NOT NULL GROUP BY 1",
+        "recent_documents": CAT + "SELECT id, issue_date FROM cat ORDER BY coalesce(issue_date, '') DESC, ordinal LIMIT 5",
+        "table_counts": "SELECT 'documents' AS table_name, count(*) AS n FROM documents UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'events', count(*) FROM events",
+        "flag_duplicates": CAT + "SELECT id, row_number() OVER (PARTITION BY id ORDER BY ordinal) > 1 AS dup_id, row_number() OVER (PARTITION BY source_url ORDER BY ordinal) > 1 AS dup_url, row_number() OVER (PARTITION BY lower(regexp_extract(source_file, '[^/]*$')) ORDER BY ordinal) > 1 AS dup_file FROM cat",
+        "dedupe_first": CAT + "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY source_url ORDER BY ordinal) AS r FROM cat) WHERE r = 1",
+        "known_by_number": CAT + "SELECT document_number AS number, arg_max(coalesce(substr(issue_date, 1, 4), ''), ordinal) AS y FROM cat WHERE document_number IS NOT NULL GROUP BY 1".replace("arg_max(coalesce(substr(issue_date, 1, 4), ''), ordinal) AS y", "nullif(arg_max(coalesce(substr(issue_date, 1, 4), ''), ordinal), '') AS year"),
+        "claim_checksums": "WITH u AS (SELECT event_id, sha256(event_type || '|' || CAST(user_id AS VARCHAR)) AS c FROM events) SELECT event_id AS page, CASE WHEN c IN (SELECT c FROM u WHERE event_id % 50 = 0) OR row_number() OVER (PARTITION BY c ORDER BY event_id) > 1 THEN 'EXACT' ELSE 'NEW' END AS claim FROM u",
+        "known_union": CAT + "SELECT DISTINCT source_url AS url FROM cat UNION SELECT 'http://docs.example/d' || id || '.html' FROM cat",
+        "validity_counts": CAT + "SELECT effective_status AS suggested_status, count(*) AS n FROM cat WHERE NOT is_verified GROUP BY 1",
+        "download_stats": Q + "SELECT count(*) AS total, count(*) FILTER (WHERE status = 'PENDING') AS pending, count(*) FILTER (WHERE status = 'PUBLISHED') AS published FROM q",
+        "allowed_documents": "SELECT page_id, regexp_matches(lower(regexp_extract(url || CASE WHEN page_id % 2 = 0 THEN '.pdf' ELSE '.exe' END, '^([^?#]*)', 1)), '\\.(pdf|docx?)$') AS ok FROM pages",
+        "reject_unsafe": "SELECT event_id AS file_ordinal, CASE WHEN event_id % 4 = 3 THEN 'UNSAFE_FILE_EXTENSION' END AS error_code FROM events",
+        "match_extracted": CAT + ", n AS (SELECT ordinal, lower(trim(title)) AS t FROM cat), e AS (SELECT * FROM n WHERE ordinal % 2 = 0), m AS (SELECT ordinal, 3 AS rule, ordinal AS f FROM n WHERE ordinal % 4 = 0 UNION ALL SELECT n.ordinal, 4, e.ordinal FROM n JOIN e ON n.t = e.t AND length(n.t) >= 15), b AS (SELECT ordinal, min(CAST(rule AS BIGINT) * 1000000000 + f) AS k FROM m GROUP BY 1) SELECT n.ordinal, CAST(k // 1000000000 AS INTEGER) AS match_rule, CAST(k % 1000000000 AS BIGINT) AS file_ordinal FROM n LEFT JOIN b USING (ordinal)",
+        "validate_uploads": "WITH u AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, CASE WHEN event_id % 17 = 0 THEN 0 ELSE CAST(floor(value * 1000) AS BIGINT) END AS size FROM events), v AS (SELECT *, sum(size) OVER (PARTITION BY user_id) AS total FROM u) SELECT event_id AS file_ordinal, CASE WHEN n > 100 THEN 'BATCH_TOO_MANY_FILES' WHEN total > 524288000 THEN 'BATCH_TOO_LARGE' WHEN size = 0 THEN 'EMPTY_FILE' WHEN size > 20971520 THEN 'FILE_TOO_LARGE' WHEN event_id % 4 = 2 THEN 'OLD_DOC_FORMAT' WHEN event_id % 4 = 3 THEN 'UNSUPPORTED_FORMAT' END AS error FROM v",
+        "queue_by_status": Q + "SELECT id FROM q WHERE status = 'PENDING'",
+        "queue_stats": Q + "SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE status = '{x}') AS {x.lower()}" for x in queue.STATUSES) + " FROM q",
+        "queue_page": Q + "SELECT id, (SELECT count(*) FROM q WHERE status = 'PENDING') AS total, CAST(ceil((SELECT count(*) FROM q WHERE status = 'PENDING') / 10.0) AS BIGINT) AS total_pages FROM q WHERE status = 'PENDING' ORDER BY created_at DESC, id LIMIT 10 OFFSET 10",
+        "next_batch": Q + "SELECT id FROM q WHERE status = 'PENDING' ORDER BY created_at, id LIMIT 20",
+        "recent_imports": Q + "SELECT id FROM q ORDER BY created_at DESC, id LIMIT 5",
+        "recent_jobs": "SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) LIMIT 20",
+        "crawl_jobs_with_counts": Q + "SELECT CAST(i AS VARCHAR) AS id, (SELECT count(*) FROM q WHERE crawl_job_id = CAST(i AS VARCHAR)) AS n_queued FROM range(30) r(i)",
+        "queue_with_uploader": Q + "SELECT q.id, c_name AS uploader_name FROM q LEFT JOIN customer ON c_custkey = user_id",
+        "recover_stale": Q + "SELECT id, CASE WHEN status = 'PROCESSING' AND created_at < TIMESTAMP '2024-01-14 23:55:00' THEN 'PENDING' ELSE status END AS status FROM q",
+        "claim": Q + ", c AS (SELECT id FROM q WHERE status = 'PENDING' ORDER BY created_at, id LIMIT 25) SELECT id, CASE WHEN id IN (SELECT id FROM c) THEN 'PROCESSING' ELSE status END AS status FROM q",
+        "apply_results": Q + "SELECT id, CASE WHEN CAST(id AS INTEGER) % 7 = 0 AND CAST(id AS INTEGER) < 1400 THEN CASE WHEN CAST(id AS INTEGER) % 2 = 0 THEN 'FAILED' ELSE 'PROCESSED' END ELSE status END AS status, CASE WHEN CAST(id AS INTEGER) % 14 = 0 AND CAST(id AS INTEGER) < 1400 THEN 1 ELSE 0 END AS retry_count FROM q",
+        "edit_metadata": Q + "SELECT id, CASE WHEN CAST(id AS INTEGER) % 7 = 0 AND CAST(id AS INTEGER) < 1400 THEN CASE WHEN status = 'PUBLISHED' THEN 'refused' ELSE 'edited' END END AS edit_outcome FROM q",
+        "verify_queue": Q + "SELECT id, CASE WHEN CAST(id AS INTEGER) % 7 = 0 AND CAST(id AS INTEGER) < 1400 AND status = 'PROCESSED' THEN 'me' END AS verified_by FROM q",
+        "resolve_metadata": "SELECT CAST(event_id AS VARCHAR) AS id, event_type AS title, 'Thông báo' AS category FROM events",
+        "requeue": Q + ", r AS (SELECT *, CAST(id AS INTEGER) % 7 = 0 AND CAST(id AS INTEGER) < 1400 AND status <> 'PUBLISHED' AS hit FROM q) SELECT id, CASE WHEN hit THEN 'PENDING' ELSE status END AS status, CASE WHEN hit THEN 1 ELSE 0 END AS retry_count FROM r",
+        "delete_queue_rows": Q + "SELECT id FROM q WHERE NOT (CAST(id AS INTEGER) % 7 = 0 AND CAST(id AS INTEGER) < 1400 AND status <> 'PUBLISHED')",
+        "batch_outcome": Q + "SELECT count(*) AS total, count(*) FILTER (WHERE CAST(id AS INTEGER) % 3 = 0) AS ok, count(*) FILTER (WHERE CAST(id AS INTEGER) % 3 = 1) AS duplicate, count(*) FILTER (WHERE CAST(id AS INTEGER) % 3 = 2) AS failed, count(*) FILTER (WHERE status = 'PENDING') AS remaining FROM q",
+        "verify_documents": CAT + "SELECT CAST(i AS VARCHAR) AS id, CASE WHEN CAST(i AS VARCHAR) IN (SELECT id FROM cat) THEN 'verified' ELSE 'missing' END AS outcome FROM range(0, 2800, 7) r(i)",
+        "update_validity": CAT + ", u AS (SELECT *, ordinal % 7 = 0 AND ordinal < 350 AS asked FROM cat) SELECT id, CASE WHEN asked AND ordinal % 2 = 1 THEN 'expired' ELSE effective_status END AS effective_status, CASE WHEN asked THEN CASE WHEN ordinal % 2 = 0 THEN 'refused' ELSE 'updated' END END AS update_outcome, CASE WHEN asked AND ordinal % 2 = 1 THEN 1 ELSE 0 END AS n_history FROM u",
+        "owned_by": "SELECT CAST(r.o_orderkey * 2 AS VARCHAR) AS conversation_id, CAST(r.o_custkey AS VARCHAR) AS user_id, CASE WHEN o.o_orderkey IS NULL THEN 'not_found' WHEN o.o_custkey <> r.o_custkey THEN 'forbidden' ELSE 'ok' END AS outcome FROM orders r LEFT JOIN orders o ON o.o_orderkey = r.o_orderkey * 2",
+        "conversation_buckets": "SELECT CASE WHEN CAST(o_orderdate AS DATE) >= DATE '1995-06-17' THEN 'today' WHEN CAST(o_orderdate AS DATE) >= DATE '1995-06-16' THEN 'yesterday' WHEN CAST(o_orderdate AS DATE) >= DATE '1995-06-11' THEN 'last7Days' ELSE 'older' END AS bucket, count(*) AS n FROM orders GROUP BY 1",
+        "conversation_history": "SELECT CAST(conv_id AS VARCHAR) AS id, CAST(count(*) AS INTEGER) AS n, arg_min(concat_ws('_', conv_id, turn), turn) AS first_id FROM conversations WHERE conv_id IN (SELECT o_orderkey FROM orders) GROUP BY 1, conv_id",
+        "messages_in_order": "SELECT concat_ws('_', conv_id, turn) AS id, CAST(conv_id AS VARCHAR) AS conversation_id, CAST(o_custkey AS VARCHAR) AS user_id FROM conversations JOIN orders ON o_orderkey = conv_id",
+        "delete_conversations": "SELECT concat_ws('_', conv_id, turn) AS id FROM conversations WHERE NOT (conv_id % 7 = 0 AND conv_id < 140)",
+        "rename_conversation": "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'blank' ELSE 'ok' END AS outcome, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1",
+        "merge_new_documents": CAT + ", b AS (SELECT * FROM cat WHERE ordinal % 3 = 0), f AS (SELECT id, row_number() OVER (PARTITION BY lower(trim(title)) ORDER BY ordinal) AS r FROM cat WHERE ordinal % 3 <> 0 AND source_url NOT IN (SELECT source_url FROM b) AND lower(trim(title)) NOT IN (SELECT lower(trim(title)) FROM b)) SELECT id FROM b UNION ALL SELECT id FROM f WHERE r = 1",
+        "top_semantic": "WITH p AS (SELECT q.vec_id AS question_id, v.vec_id AS ordinal, greatest(-1.0, least(1.0, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]))) AS sim FROM embeddings q, embeddings v WHERE q.vec_id < 20), r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY sim DESC, ordinal) AS rank FROM p WHERE sim >= 0.1) SELECT question_id, CAST(ordinal AS VARCHAR) AS document_id, CAST(rank AS INTEGER) AS rank, floor(sim * 1000 + 0.5) / 1000 AS similarity FROM r WHERE rank <= 5",
+    }
