@@ -93,73 +93,75 @@ CLAUSES = {
     "event": rf"(?iuU)(?:Thời\s+gian\s+(?:khảo\s+sát|thi|tổ\s+chức)|diễn\s+ra\s+vào)[\s\S]{{0,100}}?ngày\s+{_NUM}",
     "before": rf"(?iuU)(?:(?:đến|trước)\s+(?:hết\s+)?ngày\s+){_NUM}",
 }
-FACTS = "struct<issue_date:string,effective_from:string,effective_to:string,deadline:string,replaced_by:string,status_evidence:string,evidence_page:int,clause_type:string>"
 LONG_TERM = ("quy định", "quy chế", "quy trình", "chiến lược")
 
 
-def _date_of(t: Column, pattern: str) -> Column:
-    d, m, y = (F.regexp_extract(t, pattern, k) for k in (1, 2, 3))
+#: What each date clause ends with.
+_LAST = {"issue": _DMY, "from": _DMY, "to": _DMY, "due": _NUM, "event": _NUM, "before": _NUM}
+
+
+def _last_date(words: Column, form: str) -> Column:
+    """The date at the end of a clause's words, as ISO text; null if there is none or the calendar lacks it."""
+    d, m, y = (F.regexp_extract(words, f"(?iuU){form}$", k) for k in (1, 2, 3))
     iso = _iso(d, m, y)
-    return F.when(t.rlike(pattern) & F.try_to_date(iso).isNotNull(), iso)
-
-
-def page_clauses(text: Column, place: str) -> Column:
-    """Struct of what one page says: a date or value and the matched words, per clause."""
-    flat = F.regexp_replace(txt(text), r"(?U)\s+", F.lit(" "))
-    said = lambda name: _first(flat, CLAUSES[name], 0)
-    when = lambda name: _date_of(flat, CLAUSES[name])
-    cand = strip(F.regexp_extract(flat, CLAUSES["replaces"], 1))
-    ok = (F.length(cand) >= 3) & (cand.contains("/") | cand.contains("-") | cand.rlike("^[0-9]+$"))
-    later = F.coalesce(*[F.when(when(k).isNotNull(), F.struct(when(k).alias("date"), said(k).alias("words"))) for k in ("event", "before")])
-    return F.struct(
-        _date_of(txt(text), CLAUSES["issue"].replace("{place}", place)).alias("issue"),
-        F.when(ok, cand).alias("replaces"), said("replaces").alias("replaces_words"),
-        said("until_new").alias("until_new"), said("signed").alias("signed"),
-        when("from").alias("from"), said("from").alias("from_words"), when("to").alias("to"), said("to").alias("to_words"),
-        when("due").alias("due"), said("due").alias("due_words"), later["date"].alias("later"), later["words"].alias("later_words"),
-    )
+    return F.when(F.try_to_date(iso).isNotNull(), iso)
 
 
-def validity_facts(pages: Column, place: str = r"\p{L}[\p{L} ]{1,40}") -> Column:
-    """Facts of a document from its pages, in page order: a fold in which replaced_by and effective_from are set once,
-    regulatory clauses count only while there is no evidence, and explicit dates and any deadline replace the evidence.
-    pages: array of structs with page_number, raw_text, cleaned_text. place: pattern of what stands before the issue date."""
-    said = F.transform(
-        F.coalesce(pages, F.array().cast("array<struct<page_number:int,raw_text:string,cleaned_text:string>>")),
-        lambda p: F.struct(p["page_number"].cast("int").alias("n"), page_clauses(F.coalesce(F.nullif(p["cleaned_text"], F.lit("")), p["raw_text"]), place).alias("c")),
-    )
-    issued = F.get(F.filter(said, lambda x: x["c"]["issue"].isNotNull()), 0)["c"]["issue"]
+def page_clauses(pages: Column, place: str) -> Column:
+    """Array of structs, one a page: its number and, per clause, the matched words and what they give. Each pattern is run
+    once over a page; dates are read from the words."""
+    one_line = F.transform(pages, lambda p: F.struct(p["page_number"].cast("int").alias("n"), F.regexp_replace(F.coalesce(F.nullif(p["cleaned_text"], F.lit("")), p["raw_text"], F.lit("")), r"(?U)\s+", F.lit(" ")).alias("flat")))
+    patterns = CLAUSES | {"issue": CLAUSES["issue"].replace("{place}", place)}
+    said = F.transform(one_line, lambda x: F.struct(x["n"].alias("n"), *[_first(x["flat"], p, 0).alias(k) for k, p in patterns.items()], _first(x["flat"], CLAUSES["replaces"]).alias("number")))
+
+    def given(x: Column) -> Column:
+        number = strip(x["number"])
+        ok = (F.length(number) >= 3) & (number.contains("/") | number.contains("-") | number.rlike("^[0-9]+$"))
+        return F.struct(x["n"].alias("n"), *[x[k].alias(f"{k}_words") for k in CLAUSES], F.when(ok, number).alias("replaces"), *[_last_date(x[k], form).alias(k) for k, form in _LAST.items()])
+
+    return F.transform(said, given)
+
+
+def _fold_clauses(said: Column, issued: Column) -> Column:
+    """Facts from the clauses of the pages, in page order: replaced_by and effective_from are set once, regulatory clauses
+    count only while there is no evidence, explicit dates and any deadline replace the evidence."""
     page = lambda x, words: F.concat(F.lit("Trang "), x["n"].cast("string"), F.lit(": "), words)
+    names = ("effective_from", "effective_to", "replaced_by", "status_evidence", "evidence_page", "clause_type")
 
     def step(a: Column, x: Column) -> Column:
-        c = x["c"]
-        f = {k: a[k] for k in ("issue_date", "effective_from", "effective_to", "deadline", "replaced_by", "status_evidence", "evidence_page", "clause_type")}
+        f = {k: a[k] for k in names}
 
         def put(test: Column, **new: Column) -> None:
             f.update({k: F.when(test, v).otherwise(f[k]) for k, v in new.items()})
 
-        put(c["replaces"].isNotNull() & f["replaced_by"].isNull(), status_evidence=page(x, c["replaces_words"]), evidence_page=x["n"], replaced_by=c["replaces"])
-        for name, words in (("until_new", c["until_new"]), ("signed", F.lit("Có hiệu lực kể từ ngày ký"))):
-            put(c[name].isNotNull() & f["status_evidence"].isNull(), clause_type=F.lit("regulatory"), effective_from=F.coalesce(issued, f["effective_from"]), evidence_page=x["n"], status_evidence=page(x, words))
-        put(c["from"].isNotNull() & f["effective_from"].isNull(), clause_type=F.lit("regulatory"), status_evidence=page(x, c["from_words"]), evidence_page=x["n"], effective_from=c["from"])
-        put(c["to"].isNotNull() & f["effective_to"].isNull(), status_evidence=page(x, c["to_words"]), evidence_page=x["n"], effective_to=c["to"])
+        put(x["replaces"].isNotNull() & f["replaced_by"].isNull(), status_evidence=page(x, x["replaces_words"]), evidence_page=x["n"], replaced_by=x["replaces"])
+        for name, words in (("until_new", x["until_new_words"]), ("signed", F.lit("Có hiệu lực kể từ ngày ký"))):
+            put(x[f"{name}_words"].isNotNull() & f["status_evidence"].isNull(), clause_type=F.lit("regulatory"), effective_from=F.coalesce(issued, f["effective_from"]), evidence_page=x["n"], status_evidence=page(x, words))
+        put(x["from"].isNotNull() & f["effective_from"].isNull(), clause_type=F.lit("regulatory"), status_evidence=page(x, x["from_words"]), evidence_page=x["n"], effective_from=x["from"])
+        put(x["to"].isNotNull() & f["effective_to"].isNull(), status_evidence=page(x, x["to_words"]), evidence_page=x["n"], effective_to=x["to"])
         return F.struct(*[v.alias(k) for k, v in f.items()])
 
-    zero = F.struct(issued.alias("issue_date"), *[F.lit(None).cast(t).alias(n) for n, t in (("effective_from", "string"), ("effective_to", "string"), ("deadline", "string"), ("replaced_by", "string"), ("status_evidence", "string"), ("evidence_page", "int"), ("clause_type", "string"))])
-    first = lambda name: F.get(F.filter(said, lambda x: x["c"][name].isNotNull()), 0)
-    due, later = first("due"), first("later")
-
-    def finish(a: Column) -> Column:
-        date = F.coalesce(due["c"]["due"], later["c"]["later"])
-        words = F.when(due.isNotNull(), page(due, due["c"]["due_words"])).otherwise(page(later, later["c"]["later_words"]))
-        n = F.when(due.isNotNull(), due["n"]).otherwise(later["n"])
-        has = date.isNotNull()
-        return F.struct(
-            a["issue_date"].alias("issue_date"), a["effective_from"].alias("effective_from"), a["effective_to"].alias("effective_to"), date.alias("deadline"), a["replaced_by"].alias("replaced_by"),
-            F.when(has, words).otherwise(a["status_evidence"]).alias("status_evidence"), F.when(has, n).otherwise(a["evidence_page"]).alias("evidence_page"), F.when(has, "deadline").otherwise(a["clause_type"]).alias("clause_type"),
-        )
-
-    return F.aggregate(said, zero, step, finish)
+    zero = F.struct(*[F.lit(None).cast("int" if k == "evidence_page" else "string").alias(k) for k in names])
+    return F.aggregate(said, zero, step)
+
+
+def validity_facts(docs: DataFrame, place: str = r"\p{L}[\p{L} ]{1,40}") -> DataFrame:
+    """Adds facts, a struct of issue_date, effective_from, effective_to, deadline, replaced_by, status_evidence,
+    evidence_page and clause_type, read from pages (array of structs with page_number, raw_text, cleaned_text). place:
+    pattern of what stands before the issue date. Steps are columns of their own, so that none is computed twice."""
+    none = F.array().cast("array<struct<page_number:int,raw_text:string,cleaned_text:string>>")
+    first = lambda test: F.get(F.filter("_said", test), F.lit(0))
+    d = docs.withColumn("_said", page_clauses(F.coalesce("pages", none), place))
+    d = d.withColumns({"_issued": first(lambda x: x["issue"].isNotNull())["issue"], "_due": first(lambda x: x["due"].isNotNull()), "_later": first(lambda x: x["event"].isNotNull() | x["before"].isNotNull())})
+    d = d.withColumn("_f", _fold_clauses(F.col("_said"), F.col("_issued")))
+    use_due, has = F.col("_due").isNotNull(), F.col("_due").isNotNull() | F.col("_later").isNotNull()
+    at = lambda due, event, before: F.when(use_due, F.col(f"_due.{due}")).when(F.col("_later.event").isNotNull(), F.col(f"_later.{event}")).otherwise(F.col(f"_later.{before}"))
+    words = F.concat(F.lit("Trang "), at("n", "n", "n").cast("string"), F.lit(": "), at("due_words", "event_words", "before_words"))
+    facts = F.struct(
+        F.col("_issued").alias("issue_date"), "_f.effective_from", "_f.effective_to", at("due", "event", "before").alias("deadline"), "_f.replaced_by",
+        F.when(has, words).otherwise(F.col("_f.status_evidence")).alias("status_evidence"), F.when(has, at("n", "n", "n")).otherwise(F.col("_f.evidence_page")).alias("evidence_page"), F.when(has, "deadline").otherwise(F.col("_f.clause_type")).alias("clause_type"),
+    )
+    return d.withColumn("facts", facts).drop("_said", "_issued", "_due", "_later", "_f")
 
 
 def validity_status(docs: DataFrame, as_of: str, parity: bool = True, place: str = r"\p{L}[\p{L} ]{1,40}") -> DataFrame:
@@ -168,7 +170,7 @@ def validity_status(docs: DataFrame, as_of: str, parity: bool = True, place: str
 
     parity: 'replaces X' marks this very document as replaced by X, as the rules had it; without it, X goes to a
     column replaces and the status is decided by the other rules. Dates off the calendar count as absent."""
-    f = docs.withColumn("facts", validity_facts(F.col("pages"), place))
+    f = validity_facts(docs, place)
     own = lambda name: F.nullif(F.col(name), F.lit(""))
     f = f.withColumns(
         {

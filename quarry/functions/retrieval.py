@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry import config
@@ -49,31 +49,53 @@ def word_match(target: Column, pattern: Column) -> Column:
     """Both lower-cased. Long patterns and those with a space or slash match anywhere, others between word edges."""
     loose = (F.length(pattern) > 5) | pattern.contains(" ") | pattern.contains("/")
     edged = F.rlike(target, F.concat(F.lit(f"(?:^|{WORD_EDGE})"), _escaped(pattern), F.lit(f"(?:$|{WORD_EDGE})")))
-    return (target != "") & (pattern != "") & F.when(loose, F.contains(target, pattern)).otherwise(edged)
+    # the plain test comes first: few patterns are compiled
+    return (pattern != "") & F.contains(target, pattern) & (loose | edged)
 
 
 def occurrences(text: Column, part: Column) -> Column:
     return F.when(F.length(part) > 0, ((F.length(text) - F.length(F.replace(text, part, F.lit("")))) / F.length(part)).cast("int")).otherwise(0)
 
 
-def keyword_score(keywords: Column, title: Column, number: Column, category: Column, subcategory: Column, text: Column, lists: config.Keywords = config.DEFAULT_KEYWORDS) -> Column:
-    """Struct of score and matched keywords. All columns but keywords are given lower-cased, null as empty; lower-case
-    them once per row, before the pair is made."""
+def keyword_points(keywords: Column, title: Column, number: Column, category: Column, subcategory: Column, text: Column) -> Column:
+    """Array of (k, hit, points), one per keyword. The other columns are given lower-cased, null as empty: lower-case them
+    once per row, before pairs are made."""
 
-    def of(k: Column) -> Column:
-        title_hit, number_hit, text_hit = word_match(title, k), word_match(number, k), word_match(text, k)
-        kind_hit = word_match(category, k) | word_match(subcategory, k)
-        points = F.when(number_hit, 35).otherwise(0) + F.when(title_hit, 20).otherwise(0) + F.when(kind_hit, 15).otherwise(0) + F.when(text_hit, 5 + F.least(occurrences(text, k) - 1, F.lit(5))).otherwise(0)
-        return F.struct(k.alias("k"), (title_hit | number_hit | kind_hit | text_hit).alias("hit"), points.alias("points"))
+    def hits(k: Column) -> Column:
+        return F.struct(k.alias("k"), word_match(title, k).alias("title"), word_match(number, k).alias("number"), (word_match(category, k) | word_match(subcategory, k)).alias("kind"), word_match(text, k).alias("text"))
 
-    each = F.transform(keywords, lambda k: of(F.lower(k)))
+    def points(x: Column) -> Column:
+        p = F.when(x["number"], 35).otherwise(0) + F.when(x["title"], 20).otherwise(0) + F.when(x["kind"], 15).otherwise(0) + F.when(x["text"], 5 + F.least(occurrences(text, x["k"]) - 1, F.lit(5))).otherwise(0)
+        return F.struct(x["k"].alias("k"), (x["title"] | x["number"] | x["kind"] | x["text"]).alias("hit"), p.alias("points"))
+
+    return F.transform(F.transform(keywords, lambda k: hits(F.lower(k))), points)
+
+
+def compound_gate(keywords: Column, *fields: Column, lists: config.Keywords = config.DEFAULT_KEYWORDS) -> Column:
+    """True unless keywords hold compound phrases of which no field holds one."""
     asked = F.filter(texts(lists.compounds), lambda c: F.array_contains(keywords, c))
-    gate = (F.size(asked) == 0) | F.exists(asked, lambda c: F.contains(title, c) | F.contains(category, c) | F.contains(subcategory, c) | F.contains(number, c) | F.contains(text, c))
-    total = F.aggregate(each, F.struct(F.lit(0).alias("points"), F.lit(0).alias("hits")), lambda a, x: F.struct((a["points"] + x["points"]).alias("points"), (a["hits"] + x["hit"].cast("int")).alias("hits")))
-    coverage = total["hits"] / F.size(keywords)
-    ok = gate & (F.size(keywords) > 0) & (strip(text) != "") & (total["hits"] > 0) & ((F.size(keywords) == 1) | (coverage >= 0.4))
-    matched = F.array_distinct(F.filter(keywords, lambda k: F.exists(each, lambda x: x["hit"] & (x["k"] == F.lower(k)))))
-    return F.struct(F.when(ok, rounded(total["points"] * (0.5 + coverage))).otherwise(0.0).alias("score"), F.when(ok, matched).otherwise(texts(())).alias("matched"))
+
+    def held(c: Column) -> Column:
+        out = F.contains(fields[0], c)
+        for f in fields[1:]:
+            out = out | F.contains(f, c)
+        return out
+
+    return (F.size(asked) == 0) | F.exists(asked, held)
+
+
+def keyword_scores(pairs: DataFrame, keywords: str, fields: tuple[str, ...], text: str, lists: config.Keywords = config.DEFAULT_KEYWORDS) -> DataFrame:
+    """Adds score and matched to pairs of keywords and pages. fields: lower-cased title, number, category, subcategory. The
+    steps are columns of their own, so that each is computed once a pair."""
+    f = [F.col(c) for c in fields]
+    k = F.col(keywords)
+    p = pairs.where((F.size(k) > 0) & (strip(F.col(text)) != "") & compound_gate(k, *f, F.col(text), lists=lists))
+    p = p.withColumn("_each", keyword_points(k, *f, F.col(text)))
+    p = p.withColumn("_hits", F.filter("_each", lambda x: x["hit"]))
+    p = p.withColumns({"_n": F.size("_hits"), "_points": F.aggregate("_hits", F.lit(0), lambda a, x: a + x["points"])})
+    coverage = F.col("_n") / F.size(k)
+    ok = (F.col("_n") > 0) & ((F.size(k) == 1) | (coverage >= 0.4))
+    return p.withColumns({"score": F.when(ok, rounded(F.col("_points") * (0.5 + coverage))).otherwise(0.0), "matched": F.when(ok, F.array_distinct(F.filter(k, lambda w: F.exists("_hits", lambda x: x["k"] == F.lower(w))))).otherwise(texts(()))}).drop("_each", "_hits", "_n", "_points")
 
 
 def snippet(text: Column, keywords: Column, size: int = 240, before: int = 40) -> Column:

@@ -3,7 +3,6 @@ patterns can't follow); what comes after is columns."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -26,7 +25,7 @@ OUTSIDE_TAGS = frozenset(("header", "footer", "nav", "aside"))
 OUTSIDE_CLASSES = frozenset(("header", "footer", "menu", "user-account", "search-bar", "breadcrumb", "sidebar", "menu-btn", "notification", "notification2", "tin-lien-quan", "tin-tuc-khac", "right-sidebar"))
 DOWNLOAD_FOLDERS = r"(?i)/download/|/upload/|/files/|/van-ban/|viewfile|filemanager"
 DOWNLOAD_WORDS = r"(?iu)tải về|đính kèm|download|tải file|\.pdf|\.doc|xem:"
-DETAIL_LINK = re.compile(r"chi-tiet|thong-bao|tin-tuc|bai-viet", re.IGNORECASE)
+ARTICLE = r"(?i)(chi-tiet|thong-bao|tin-tuc|bai-viet).*\.html$"
 EVENTS = "page_id long, kind string, pos int, block int, href string, title string, text string"
 
 
@@ -131,14 +130,13 @@ def _usable(href: Column) -> Column:
     return (href != "") & ~href.startswith("javascript:") & (href != "#")
 
 
-def extract_list_items(events: DataFrame, base: str, generic: tuple[str, ...] = config.GENERIC_TITLES, navigation: tuple[str, ...] = config.NAVIGATION) -> DataFrame:
+def extract_list_items(events: DataFrame, base: str, generic: tuple[str, ...] = config.GENERIC_TITLES, navigation: tuple[str, ...] = config.NAVIGATION, article: str = ARTICLE) -> DataFrame:
     """(page_id, pos, title, date, detail_url, document_number): the valid links of table rows, else of cards, else links
     that look like articles; the first kind with results wins per page, a url counts once, the first of a block."""
     href = F.col("href")
-    article = href.rlike("(?i)" + DETAIL_LINK.pattern) & href.endswith(".html") & ~href.contains("dm-tin")
     kinds = events.where(F.col("kind").isin("row", "card", "link") & _usable(href))
     firsts = kinds.where("kind <> 'link'").groupBy("page_id", "kind", "block").agg(F.min("pos").alias("pos")).select("page_id", "pos")
-    both = kinds.join(firsts, ["page_id", "pos"], "left_semi").where((F.col("kind") != "row") | ~href.contains("page=")).unionByName(kinds.where(article).withColumn("kind", F.lit("link")))
+    both = kinds.join(firsts, ["page_id", "pos"], "left_semi").where((F.col("kind") != "row") | ~href.contains("page=")).unionByName(kinds.where(href.rlike(article) & ~href.contains("dm-tin")).withColumn("kind", F.lit("link")))
     title = collapse_space(F.coalesce(F.nullif("text", F.lit("")), F.col("title")))
     ok = both.withColumn("_t", title).where(valid_notice(F.col("_t"), href, generic, navigation))
     ok = ok.select("page_id", "pos", F.col("_t").alias("title"), posted_date(F.col("near")).alias("date"), absolute_url(href, base).alias("detail_url"), F.element_at(F.create_map(F.lit("row"), F.lit(1), F.lit("card"), F.lit(2), F.lit("link"), F.lit(3)), F.col("kind")).alias("_k"))
@@ -190,10 +188,10 @@ def classify_pages(pages: DataFrame, items: DataFrame, details: DataFrame) -> Da
     return pages.join(n, "page_id", "left").join(d, "page_id", "left").withColumn("page_kind", kind).drop("_n", "_d")
 
 
-def discover_links(events: DataFrame, known: DataFrame, base: str, least: int = 15) -> DataFrame:
-    """(page_id, pos, url, text): .html links whose text has more than least characters, each url once (first page, then
+def discover_links(events: DataFrame, known: DataFrame, base: str, least: int = 15, link: str = r"(?i)\.html($|[?#])") -> DataFrame:
+    """(page_id, pos, url, text): links (.html ones, by default) whose text has more than least characters, each url once (first page, then
     position), known ones left out."""
-    links = events.where(F.col("kind").isin("row", "card", "link") & F.col("href").rlike(r"(?i)\.html($|[?#])") & (F.length("text") > least))
+    links = events.where(F.col("kind").isin("row", "card", "link") & F.col("href").rlike(link) & (F.length("text") > least))
     u = links.select("page_id", "pos", absolute_url(F.col("href"), base).alias("url"), "text")
     first = u.groupBy("url").agg(F.min(F.struct("page_id", "pos", "text")).alias("f")).select("url", "f.*")
     return first.join(known.select("url").distinct(), "url", "left_anti")

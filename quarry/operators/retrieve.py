@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry import config
-from quarry.functions.retrieval import cosine, extract_keywords, keyword_score, norm, question_class, snippet
+from quarry.functions.retrieval import cosine, extract_keywords, keyword_scores, norm, question_class, snippet
 from quarry.functions.text import garbage_line, rounded, strip, txt
 
 #: Questions sent to every task at once; a larger batch is taken in blocks of this size.
@@ -50,8 +50,8 @@ def top_keyword(questions: DataFrame, pages: DataFrame, threshold: float = 20.0,
     parts = []
     for block in _blocks(asked, QUESTION_BLOCK):
         j = low.join(F.broadcast(block))
-        s = j.withColumn("s", keyword_score(F.col("keywords"), F.col("_title"), F.col("_document_number"), F.col("_category"), F.col("_subcategory"), F.col("_text"), lists))
-        parts.append(s.where(F.col("s.score") >= threshold).select("question_id", "ordinal", "page_number", F.col("s.score").alias("score"), F.col("s.matched").alias("matched")))
+        s = keyword_scores(j, "keywords", ("_title", "_document_number", "_category", "_subcategory"), "_text", lists)
+        parts.append(s.where(F.col("score") >= threshold).select("question_id", "ordinal", "page_number", "score", "matched"))
     return _top(_union(parts), k, F.desc("score"), "ordinal", "page_number").join(pages.drop("question_id", "score", "matched", "rank"), ["ordinal", "page_number"])
 
 

@@ -235,7 +235,7 @@ def queries() -> dict[str, Query]:
         "notice_projection": lambda s, d: match.notice_projection(notices(s, d)).select("title", "date", "detail_url", F.size("attachments").alias("n")),
         "allowed_documents": lambda s, d: read(s, d, "pages").select("page_id", match.allowed_document(F.concat("url", F.when(F.col("page_id") % 2 == 0, F.lit(".pdf")).otherwise(F.lit(".exe")))).alias("ok")),
         "reject_unsafe": lambda s, d: match.reject_unsafe(uploads(s, d), config.UNSAFE_EXTENSIONS, "name").select("file_ordinal", "error_code"),
-        "match_extracted": lambda s, d: match.match_extracted(notices(s, d), extracted(s, d)).select("ordinal", "match_rule", "file_ordinal"),
+        "match_extracted": lambda s, d: match.match_extracted(notices(s, d), extracted(s, d)).select("ordinal", F.coalesce("match_rule", F.lit(0)).alias("match_rule"), F.coalesce("file_ordinal", F.lit(-1)).alias("file_ordinal")),
         "match_details": lambda s, d: match.match_details(cat(s, d).where("ordinal % 2 = 0").select(F.col("ordinal").alias("detail_ordinal"), F.col("detail_url").alias("url"), "title"), notices(s, d)).select("detail_ordinal", "notice_ordinal"),
         "match_detail_pair": lambda s, d: notices(s, d).select("ordinal", match.match_detail_pair({"post_id": F.lit(""), "canonical_url": F.lit(""), "url": F.concat(F.lit("http://other/d"), (F.col("ordinal") % 3 * F.col("ordinal")).cast("string"), F.lit(".html")), "title": F.lit("")}, {"post_id": F.lit(""), "detail_url": F.col("detail_url"), "title": F.col("title")}).alias("same")),
         "enrich_by_title": lambda s, d: match.enrich_by_title(read(s, d, "benchmark").select(F.col("item_id").alias("detail_ordinal"), F.substring("text", 1, 12).alias("title"), F.lit("01/02/2024").alias("date"), F.array(F.concat(F.lit("b"), F.col("item_id").cast("string"))).alias("attachments"), F.lit("").alias("detail_url")), notices(s, d)).select("ordinal", F.coalesce("date", F.lit("")).alias("date"), F.size("attachments").alias("n")),
@@ -306,10 +306,10 @@ def queries() -> dict[str, Query]:
         "append_exchange": lambda s, d: chat.append_exchange(conversations(s, d), messages(s, d), ids_of(s, 20, "conversation_id").withColumns({"exchange_id": F.concat(F.lit("x"), F.col("conversation_id")), "question": F.lit("q"), "answer": F.lit("a"), "citations": F.lit("[]"), "model_used": F.lit("m")}), now())[1].groupBy("role").agg(F.count("*").alias("n")),
         "rename_conversation": lambda s, d: chat.rename_conversation(conversations(s, d), read(s, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").cast("string").alias("conversation_id"), F.col("o_custkey").cast("string").alias("user_id"), F.when(F.col("o_orderkey") % 2 == 0, " ").otherwise("new").alias("title")), now())[1].groupBy("outcome").agg(F.count("*").alias("n")),
         # html
-        "list_items": lambda s, d: html.extract_list_items(events_of(s, d), "https://base.example").select("page_id", "pos", "title", "detail_url"),
+        "list_items": lambda s, d: html.extract_list_items(events_of(s, d), "https://base.example", article="^/").select("page_id", "pos", "title", "detail_url"),
         "page_details": lambda s, d: html.extract_detail(events_of(s, d), "https://base.example").select("page_id", "title", F.length("content").alias("n"), F.size("attachments").alias("n_attachments")),
-        "classify_pages": lambda s, d: html.classify_pages(read(s, d, "pages"), html.extract_list_items(events_of(s, d), "https://base.example"), html.extract_detail(events_of(s, d), "https://base.example")).select("page_id", "page_kind"),
-        "discover_links": lambda s, d: html.discover_links(events_of(s, d), s.createDataFrame([], "url string"), "https://base.example").select("url", "page_id"),
+        "classify_pages": lambda s, d: html.classify_pages(read(s, d, "pages"), html.extract_list_items(events_of(s, d), "https://base.example", article="^/"), html.extract_detail(events_of(s, d), "https://base.example")).select("page_id", "page_kind"),
+        "discover_links": lambda s, d: html.discover_links(events_of(s, d), s.createDataFrame([("https://base.example/of",)], "url string"), "https://base.example", 8, "^/").select("url", "page_id"),
     }
 
 
@@ -353,7 +353,7 @@ def oracle_sql() -> dict[str, str]:
         "download_stats": Q + "SELECT count(*) AS total, count(*) FILTER (WHERE status = 'PENDING') AS pending, count(*) FILTER (WHERE status = 'PUBLISHED') AS published FROM q",
         "allowed_documents": "SELECT page_id, regexp_matches(lower(regexp_extract(url || CASE WHEN page_id % 2 = 0 THEN '.pdf' ELSE '.exe' END, '^([^?#]*)', 1)), '\\.(pdf|docx?)$') AS ok FROM pages",
         "reject_unsafe": "SELECT event_id AS file_ordinal, CASE WHEN event_id % 4 = 3 THEN 'UNSAFE_FILE_EXTENSION' END AS error_code FROM events",
-        "match_extracted": CAT + ", n AS (SELECT ordinal, lower(trim(title)) AS t FROM cat), e AS (SELECT * FROM n WHERE ordinal % 2 = 0), m AS (SELECT ordinal, 3 AS rule, ordinal AS f FROM n WHERE ordinal % 4 = 0 UNION ALL SELECT n.ordinal, 4, e.ordinal FROM n JOIN e ON n.t = e.t AND length(n.t) >= 15), b AS (SELECT ordinal, min(CAST(rule AS BIGINT) * 1000000000 + f) AS k FROM m GROUP BY 1) SELECT n.ordinal, CAST(k // 1000000000 AS INTEGER) AS match_rule, CAST(k % 1000000000 AS BIGINT) AS file_ordinal FROM n LEFT JOIN b USING (ordinal)",
+        "match_extracted": CAT + ", n AS (SELECT ordinal, lower(trim(title)) AS t FROM cat), e AS (SELECT * FROM n WHERE ordinal % 2 = 0), m AS (SELECT ordinal, 3 AS rule, ordinal AS f FROM n WHERE ordinal % 4 = 0 UNION ALL SELECT n.ordinal, 4, e.ordinal FROM n JOIN e ON n.t = e.t AND length(n.t) >= 15), b AS (SELECT ordinal, min(CAST(rule AS BIGINT) * 1000000000 + f) AS k FROM m GROUP BY 1) SELECT n.ordinal, CAST(coalesce(k // 1000000000, 0) AS INTEGER) AS match_rule, CAST(coalesce(k % 1000000000, -1) AS BIGINT) AS file_ordinal FROM n LEFT JOIN b USING (ordinal)",
         "validate_uploads": "WITH u AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, CASE WHEN event_id % 17 = 0 THEN 0 ELSE CAST(floor(value * 1000) AS BIGINT) END AS size FROM events), v AS (SELECT *, sum(size) OVER (PARTITION BY user_id) AS total FROM u) SELECT event_id AS file_ordinal, CASE WHEN n > 100 THEN 'BATCH_TOO_MANY_FILES' WHEN total > 524288000 THEN 'BATCH_TOO_LARGE' WHEN size = 0 THEN 'EMPTY_FILE' WHEN size > 20971520 THEN 'FILE_TOO_LARGE' WHEN event_id % 4 = 2 THEN 'OLD_DOC_FORMAT' WHEN event_id % 4 = 3 THEN 'UNSUPPORTED_FORMAT' END AS error FROM v",
         "queue_by_status": Q + "SELECT id FROM q WHERE status = 'PENDING'",
         "queue_stats": Q + "SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE status = '{x}') AS {x.lower()}" for x in queue.STATUSES) + " FROM q",

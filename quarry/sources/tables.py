@@ -52,7 +52,6 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], CATALOGUE)
 
 
-@F.pandas_udf("string")
 def _decode_1258(content: pd.Series) -> pd.Series:
     """The one code page that Spark's decode lacks."""
     return content.map(lambda b: None if b is None else bytes(b).decode("cp1258", "replace"))
@@ -62,7 +61,7 @@ def decoded(content: Column) -> Column:
     """Bytes as text: UTF-8 (a byte-order mark dropped) where valid, else UTF-16 by its mark, else windows-1258."""
     utf8 = F.regexp_replace(content.cast("string"), "^\uFEFF", F.lit(""))
     mark = F.hex(F.substring(content, 1, 2))
-    return F.when(mark.isin("FFFE", "FEFF"), F.decode(content, "UTF-16")).when(F.is_valid_utf8(content.cast("string")), utf8).otherwise(_decode_1258(content))
+    return F.when(mark.isin("FFFE", "FEFF"), F.decode(content, "UTF-16")).when(F.is_valid_utf8(content.cast("string")), utf8).otherwise(F.pandas_udf(_decode_1258, "string")(content))
 
 
 def read_html(spark: SparkSession, folder: str) -> DataFrame:
