@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -49,10 +50,15 @@ def shared_folder(spark: SparkSession, what: str) -> str:
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """The same rows as a table in the shared folder: it cuts the lineage and survives lost executors."""
-    path = shared_folder(df.sparkSession, what)
+    """The same rows as a table in the shared folder: it cuts the lineage and survives lost executors. Spark drops the
+    shuffle files of finished steps when the driver collects its garbage, so that is asked for here."""
+    spark = df.sparkSession
+    path, schema = shared_folder(spark, what), df.schema
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def remainder(doc_id: Column, by: int) -> Column:

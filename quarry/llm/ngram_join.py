@@ -340,12 +340,13 @@ def links_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     y = sets.select(F.col("cls").alias("b"), F.col("items").alias("y"), F.col("n").alias("nb"))
     size = (F.least("na", "nb") * DOWN >= F.greatest("na", "nb") * UP)
     # sizes first: the cheap test needs no set
-    fit = pairs.join(x.drop("x"), "a").join(y.drop("y"), "b").where(size).select("a", "b")
-    return fit.join(x.drop("na"), "a").join(y.drop("nb"), "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
+    fit = pairs.join(x.drop("x"), "a").join(y.drop("y"), "b").where(size).select("a", "b").distinct()
+    return fit.join(x.drop("na"), "a").join(y.drop("nb"), "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long").distinct()
 
 
 def _sets(docs: DataFrame, text: str, wanted: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """(cls, n, items) of the wanted classes: the texts of one row per class are fetched by key."""
+    """(cls, n, items) of the wanted classes: the texts of one row per class are fetched by key. A key that rows repeat
+    gives a class more than once; pairs and links are made distinct after that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -354,7 +355,7 @@ def _sets(docs: DataFrame, text: str, wanted: DataFrame, rows: DataFrame, key: s
 
     some = rows.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("key").alias("key")).select("key", F.col("cls").alias("_cls"))
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("t")).join(some, "key").select("t")
-    return texts.mapInArrow(run, "cls long, n long, items binary").dropDuplicates(["cls"])
+    return texts.mapInArrow(run, "cls long, n long, items binary")
 
 
 def _short_pairs(rows: DataFrame, short: DataFrame) -> DataFrame:
