@@ -97,6 +97,12 @@ def line_cleaned(docs: DataFrame, rules: LineRules = LineRules(), text: str = "t
     return out.withColumn("rules_kept", (F.col("lost_share") <= rules.max_lost_share) & (F.col("words_left") >= rules.min_words_left))
 
 
+def _here() -> Column:
+    """True. As it isn't deterministic to the optimizer, filters on what comes after aren't moved below it, where the
+    array that a lambda looks into would be computed for each of its elements."""
+    return F.monotonically_increasing_id() >= 0
+
+
 def repetition(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (words inside five-word windows that the
     text has twice or more). Windows are compared by their 64-bit hashes within one text. Only a text with a repeated
@@ -111,7 +117,7 @@ def repetition(docs: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("word_chars", F.length(F.array_join("_w", "")).cast("long"))
         .withColumn("_h", F.when(F.size("_w") >= 5, F.transform(F.sequence(F.lit(1), F.size("_w") - 4), lambda i: F.xxhash64(F.slice("_w", i, 5)))).otherwise(F.array().cast("array<long>")))
         .withColumn("_same", F.size("_h") == F.size(F.array_distinct("_h")))
-        .withColumn("_s", F.when(~F.col("_same"), F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+        .withColumn("_s", F.when(~F.col("_same") & _here(), F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     )
     twin = F.filter(
         "_s",

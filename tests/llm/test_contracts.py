@@ -64,8 +64,8 @@ def test_quality_rules(request, which):
 
 
 def test_quality_rules_verdicts(spark):
-    good = "A sentence of ordinary words that says something about a thing."
-    rows = [(1, f"{good}\n{good} More of it follows."), (2, "\n".join(["Home | News | About | Help | Login | Search | Map | Terms"] * 1 + ["A | B | C | D | E | F | G | H | I | J"])), (3, "BUY THIS NOW AND SAVE ALL YOUR MONEY TODAY " * 2), (4, "$$$ win*** this&&& now%%% big### prize$$$ a*** b&&& c%%% d### e$$$"), (5, f"{good}\nLicensed under the Apache License, Version 2.0.")]
+    good = "A sentence of ordinary words that says something about a thing which nobody here has said before in just this way."
+    rows = [(1, f"{good}\nMore of it follows, on a second line, with other words than the first."), (2, "\n".join(["Home | News | About | Help | Login | Search | Map | Terms"] * 1 + ["A | B | C | D | E | F | G | H | I | J"])), (3, "BUY THIS NOW AND SAVE ALL YOUR MONEY TODAY " * 2), (4, "$$$ win*** this&&& now%%% big### prize$$$ a*** b&&& c%%% d### e$$$"), (5, f"{good}\nLicensed under the Apache License, Version 2.0.")]
     got = table(quality_rules.op1_quality_rules(spark.createDataFrame(rows, "doc_id long, text string")), "kept", "failed_rules")
     assert {k: v[0] for k, v in got.items()} == {1: True, 2: False, 3: False, 4: False, 5: True}
     assert got[5][1] == "boilerplate"
