@@ -9,7 +9,7 @@ from dataclasses import dataclass
 # --- fixed values: question keywords -------------------------------------------------------------------------------
 STOPWORDS = tuple(
     """là gì như thế nào ở đâu khi bao giờ mấy ai sao có không cho của và các những được với về trong để ra đến từ này đó thì
-    hãy xin hỏi biết em mình tôi nhé ạ muốn xem thông tin phải làm sinh viên trường đại học kiến trúc đà nẵng dau nhà nhiêu
+    hãy xin hỏi biết em mình tôi nhé ạ muốn xem thông tin phải làm sinh viên trường đại học kiến trúc đà nẵng nhà nhiêu
     hiện tại năm cần hay tới lại hỗ trợ tên họ liên quan việc chuyện thứ viết nói bảo người bạn cậu mày tao ông bà anh chị
     ơi vậy nữa luôn chứ rồi chưa chào hello hi hey alo vừa đang đã sẽ""".split()
 )

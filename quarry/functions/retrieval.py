@@ -91,7 +91,8 @@ def keyword_scores(pairs: DataFrame, keywords: str, fields: tuple[str, ...], tex
     k = F.col(keywords)
     p = pairs.where((F.size(k) > 0) & (strip(F.col(text)) != "") & compound_gate(k, *f, F.col(text), lists=lists))
     p = p.withColumn("_each", keyword_points(k, *f, F.col(text)))
-    p = p.withColumn("_hits", F.filter("_each", lambda x: x["hit"]))
+    # not deterministic to the optimizer, so that a filter on the score isn't moved below and the steps computed again
+    p = p.withColumn("_hits", F.when(F.monotonically_increasing_id() >= 0, F.filter("_each", lambda x: x["hit"])))
     p = p.withColumns({"_n": F.size("_hits"), "_points": F.aggregate("_hits", F.lit(0), lambda a, x: a + x["points"])})
     coverage = F.col("_n") / F.size(k)
     ok = (F.col("_n") > 0) & ((F.size(k) == 1) | (coverage >= 0.4))
