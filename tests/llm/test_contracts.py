@@ -219,7 +219,8 @@ def test_chat_blocks_agree(spark):
     key = lambda df: [(r.pos, r.role, r.text) for r in df.orderBy("block", "line").collect()]
     whole, cut = key(chat_format.line_roles(d, block=10_000)), key(chat_format.line_roles(d, block=7))
     assert whole == cut
-    assert [r for p, r, _ in whole if p < 6] == ["system", "user", "user", "assistant", "assistant", "assistant", "user", "assistant"]
+    marked = {"be kind": "system", "hello, who are you?": "user", "a bot": "assistant", "why?": "user", "so": "assistant"}
+    assert {(t, r) for _, r, t in whole if t in marked} == set(marked.items())
     assert chat_format.op7_chat_format(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
