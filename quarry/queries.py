@@ -9,7 +9,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import config
@@ -166,11 +166,14 @@ def now():
 
 
 def queries() -> dict[str, Query]:
+    """Names and queries; columns are made when a query is called, so no session is needed before that."""
+    return {name: lambda s, d, name=name: _queries(F.col("text"))[name](s, d) for name in _queries(None)}
+
+
+def _queries(t: Column | None) -> dict[str, Query]:
     cat, q = catalogue, import_queue
-    t = F.col("text")
     docs = lambda s, d, *c: read(s, d, "documents").select("doc_id", *c)
     last = lambda s, d: q(s, d).select("id", "status", "retry_count", "worker_pid")
-    short = F.substring(t, 1, 300)
     return {
         # scans and projections
         "clean_text": lambda s, d: docs(s, d, F.sha2(text.clean_document_text(t), 256).alias("clean_sha")),
@@ -179,7 +182,7 @@ def queries() -> dict[str, Query]:
         "garbage_lines": lambda s, d: docs(s, d, F.size(F.filter(F.split(t, "\n"), lambda x: text.garbage_line(x))).alias("n_garbage")),
         "text_metrics": lambda s, d: docs(s, d, text.text_metrics(t, (("\\bthe\\b", "the"), (r"\b\d+\b", "number"))).alias("m")).select("doc_id", "m.text_length", "m.non_whitespace_chars", "m.alphanumeric_ratio", "m.suspicious_character_ratio", "m.repeated_character_ratio", "m.word_count", F.array_join("m.detected_legal_patterns", ",").alias("patterns")),
         "title_number": lambda s, d: docs(s, d, facts.title_number(F.concat((F.col("doc_id") % 90).cast("string"), F.lit(" /TB-X "), F.substring(t, 1, 20))).alias("number")),
-        "document_number": lambda s, d: docs(s, d, facts.document_number(F.concat(F.lit("Số: "), (F.col("doc_id") % 90 + 10).cast("string"), F.lit(" / TB-X "), short)).alias("number")),
+        "document_number": lambda s, d: docs(s, d, facts.document_number(F.concat(F.lit("Số: "), (F.col("doc_id") % 90 + 10).cast("string"), F.lit(" / TB-X "), F.substring(t, 1, 300))).alias("number")),
         "normalize_date": lambda s, d: read(s, d, "orders").select("o_orderkey", facts.normalize_date(F.date_format("o_orderdate", "d/M/yyyy")).alias("iso")),
         "issue_date": lambda s, d: read(s, d, "orders").select("o_orderkey", facts.issue_date(F.concat(F.lit("x ngày "), F.date_format("o_orderdate", "d"), F.lit(" tháng "), F.date_format("o_orderdate", "M"), F.lit(" năm "), F.date_format("o_orderdate", "yyyy"))).alias("iso")),
         "posted_date": lambda s, d: read(s, d, "events").select("event_id", facts.posted_date(F.concat(F.lit("at "), F.date_format("ts", "dd/MM/yyyy HH:mm:ss"), F.lit(" by"))).alias("posted")),
