@@ -43,8 +43,8 @@ def line_scores(line: str) -> np.ndarray:
     """Log probability, up to a constant, of a line's features under each role."""
     s = np.zeros(3)
     if m := MARK.match(line):
-        s += math.log(0.02)
-        s[_NAMES[m[1].lower()]] += math.log(0.96 / 0.02)
+        s += math.log(0.002)
+        s[_NAMES[m[1].lower()]] += math.log(0.996 / 0.002)
     if line.rstrip().endswith("?"):
         s += np.log([0.02, 0.3, 0.08])
     words = line.count(" ") + 1
