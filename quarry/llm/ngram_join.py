@@ -12,7 +12,9 @@ many empty segments for that (it is counted for each one) is short: short classe
 classes of their size bands. So no pair is missed.
 
 Buckets. Signatures are packed: a map task sends, per partition of the signature space, one row of arrays, and a partition
-sorts its arrays and keeps signatures that two classes or more share. Equal member lists are one bucket.
+sorts its arrays and keeps signatures that two classes or more share. Equal member lists are one bucket. A class that has
+more segments than its differences can spoil leaves the most frequent buckets, as many as it can spare (see rarest): those
+that stem from a passage which many texts hold.
 
 Verification without all pairs. In each round a bucket sends stars: its pivots against its other members of other
 components. Pairs are verified on the sets, links join components (label propagation with pointer jumping), pivots that
@@ -42,6 +44,10 @@ WORDS = 5
 UP, DOWN = 4, 5
 #: Ratio of a size band's ends.
 BAND = 1.6
+#: Standard deviations by which full segments outnumber the differences.
+MARGIN = 6
+#: Bits of a signature that name its band.
+BAND_BITS = np.uint64(6)
 SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -138,19 +144,21 @@ class Band:
     def _allocate(self) -> tuple[int, int]:
         best = None
         least = most_diff(self.high) + 1
-        for m in range(max(1, least // 2), 2 * least + 8, max(1, least // 64)):
-            for q in sorted({0, 1, 2, 3, m // 16, m // 8, m // 4, m // 2, m}):
+        few = range(max(1, least // 2), 2 * least + 8, max(1, least // 64))
+        for m in [*few, *(self.high << i for i in range(10))]:
+            for q in sorted({0, 1, 2, 3, m // 16, m // 8, m // 4, m // 2, m} if m in few else {0}):
                 rows, ok = 0.0, True
                 for s in (self.low, self.high):
-                    empty = math.exp(-s / m)
-                    need = most_diff(min(s, self.high)) + 1
-                    full = (m + q) * (1 - empty)
-                    spread = math.sqrt(max(0.0, (m + 3 * q) * empty * (1 - empty)))
-                    ok &= full - 4.5 * spread >= need
-                    rows += m * (1 - empty) + q * s / m
+                    load = s / m
+                    empty = math.exp(-load)
+                    # a deletion saves segments of two elements or more
+                    full = m * (1 - empty) + q * (1 - empty - load * empty)
+                    spread = math.sqrt(max(0.0, (m + 3 * q) * empty * (1 - (1 + load) * empty)))
+                    ok &= full - MARGIN * spread >= most_diff(s) + 1
+                    rows += m * (1 - empty) + q * load
                 if ok and (best is None or rows < best[0]):
                     best = (rows, m, q)
-        return best[1:] if best else (max(1, self.high), max(1, self.high))
+        return best[1:] if best else (self.high << 9, 0)
 
 
 _BANDS: dict[int, Band] = {}
@@ -176,12 +184,13 @@ def bands_of(size: int) -> list[tuple[Band, int]]:
     return out
 
 
-def signatures(s: np.ndarray) -> tuple[np.ndarray, bool]:
-    """Signatures of a set in all its bands, and whether it is short in one of them. Hashes are sorted and their leading
-    bits choose the segment, so segments are runs."""
+def signatures(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Signatures of a set in all its bands, the number that it can spare in that band, and whether it is short in one of
+    them. Hashes are sorted and their leading bits choose the segment, so segments are runs. The leading bits of a
+    signature are its band."""
     if len(s) == 0 or most_diff(len(s)) == 0 and len(s) * DOWN // UP == len(s):
-        return np.empty(0, np.uint64), False  # only an equal set is as similar
-    out, short = [], False
+        return np.empty(0, np.uint64), np.empty(0, np.uint16), False  # only an equal set is as similar
+    out, spare, short = [], [], False
     with np.errstate(over="ignore"):
         el, high = mix(s), s >> np.uint64(32)
         for b, diff in bands_of(len(s)):
@@ -193,13 +202,19 @@ def signatures(s: np.ndarray) -> tuple[np.ndarray, bool]:
             sums = np.add.reduceat(el, first)
             where = of[first]
             base = where * SEED + np.uint64(b.k + 1)
-            out.append(mix(sums + base))
+            found, tough = mix(sums + base), 0
             if b.q:
                 few = int(np.searchsorted(of, np.uint64(b.q)))
                 part = np.cumsum(new[:few]) - 1
-                out.append(mix(sums[part] - el[:few] + base[part]))
-            short |= len(where) + int((where < b.q).sum()) <= diff
-    return np.concatenate(out), short
+                found = np.append(found, mix(sums[part] - el[:few] + base[part]))
+                # it takes two differences to spoil these, one for the others
+                tough = int((np.bincount(part) > 1).sum()) if few else 0
+            weak = len(where) - tough
+            agree = len(where) - min(diff, weak) - max(0, diff - weak) // 2
+            short |= agree < 1
+            out.append(found >> BAND_BITS | np.uint64(b.k) << (np.uint64(64) - BAND_BITS))
+            spare.append(np.full(len(found), min(max(0, agree - 1), 65_535), np.uint16))
+    return np.concatenate(out), np.concatenate(spare), short
 
 
 def classes(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -221,17 +236,17 @@ PACK = 2_000_000
 def _packed(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        sigs, ids, held = [], [], 0
+        sigs, ids, spare, held = [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            s, c = np.concatenate(sigs), np.concatenate(ids)
+            s, c, e = np.concatenate(sigs), np.concatenate(ids), np.concatenate(spare)
             part = ((s & np.uint64(0xFFFFFFFF)) * np.uint64(parts)) >> np.uint64(32)
             part = part.astype(np.uint16) if parts < 1 << 16 else part
             order = np.argsort(part, kind="stable")
             cuts = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
-            s, c = s[order], c[order]
-            rows = [(p, s[x:y].tobytes(), c[x:y].tobytes()) for p, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "sigs", "ids"])
+            s, c, e = s[order], c[order], e[order]
+            rows = [(p, s[x:y].tobytes(), c[x:y].tobytes(), e[x:y].tobytes()) for p, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], names=["part", "sigs", "ids", "spare"])
 
         for b in batches:
             for s in shingle_sets(b.column("t")):
@@ -241,64 +256,91 @@ def _packed(parts: int):
                 seen.add(c)
                 if len(seen) > 1_000_000:
                     seen.clear()
-                g, short = signatures(s)
+                g, e, short = signatures(s)
                 if short:
-                    g = np.append(g, np.uint64(0))  # signature 0 marks short classes
+                    g, e = np.append(g, np.uint64(0)), np.append(e, np.uint16(0))  # signature 0 marks short classes
                 if len(g):
                     sigs.append(g)
+                    spare.append(e)
                     ids.append(np.full(len(g), c, np.int64))
                     held += len(g)
                 if held >= PACK:
                     yield out()
-                    sigs, ids, held = [], [], 0
+                    sigs, ids, spare, held = [], [], [], 0
         if held:
             yield out()
 
     return run
 
 
+SHARED = "band int, bucket long, size long, times long, cls long, spare int"
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets: (bucket, cls) for the signatures of a partition that two classes or more have; (0, cls) for short ones."""
-    sigs, ids = [], []
+    """The members of the signatures of a partition that two classes or more have: signatures of a band with equal
+    members are one bucket, found so many times. Bucket 0 holds the short classes."""
+    sigs, ids, spare = [], [], []
     for b in batches:
-        for s, c in zip(b.column("sigs"), b.column("ids"), strict=True):
+        for s, c, e in zip(b.column("sigs"), b.column("ids"), b.column("spare"), strict=True):
             sigs.append(np.frombuffer(s.as_buffer(), np.uint64))
             ids.append(np.frombuffer(c.as_buffer(), np.int64))
+            spare.append(np.frombuffer(e.as_buffer(), np.uint16))
     if not sigs:
         return
-    s, c = np.concatenate(sigs), np.concatenate(ids)
-    del sigs, ids
+    s, c, e = np.concatenate(sigs), np.concatenate(ids), np.concatenate(spare)
+    del sigs, ids, spare
     short = np.unique(c[s == 0])
     order = np.argsort(s)
-    s, c = s[order], c[order]
+    s, c, e = s[order], c[order], e[order]
     # most signatures are alone
     same = s[1:] == s[:-1]
     keep = (s != 0) & (np.append(same, False) | np.append(False, same))
-    s, c = s[keep], c[keep]
+    s, c, e = s[keep], c[keep], e[keep]
     order = np.lexsort((c, s))
-    s, c = s[order], c[order]
+    s, c, e = s[order], c[order], e[order]
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])
-    s, c = s[keep], c[keep]
-    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.empty(0, int)
-    size = np.diff(np.append(first, len(s)))
-    with np.errstate(over="ignore"):
-        name = np.add.reduceat(mix(c.view(np.uint64) * SEED + SEED), first) if len(first) else np.empty(0, np.uint64)
-    many = np.flatnonzero(size > 1)
-    many = many[np.unique(name[many], return_index=True)[1]]
-    if len(many):
-        at = np.concatenate([np.arange(first[i], first[i] + size[i]) for i in many])
-        bucket = np.repeat(mix(name[many]), size[many]).view(np.int64)
-        for x in range(0, len(at), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[x : x + 200_000]), pa.array(c[at[x : x + 200_000]])], names=["bucket", "cls"])
+    s, c, e = s[keep], c[keep], e[keep]
+    names = [f.split()[0] for f in SHARED.split(", ")]
+    if len(s):
+        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        size = np.diff(np.append(first, len(s)))
+        of = s[first] >> (np.uint64(64) - BAND_BITS)
+        with np.errstate(over="ignore"):
+            name = mix(np.add.reduceat(mix(c.view(np.uint64) * SEED + SEED), first) + of)
+        many = np.flatnonzero(size > 1)
+        _, one, times = np.unique(name[many], return_index=True, return_counts=True)
+        many = many[one]
+        # rows of some buckets at a time
+        ends = np.cumsum(size[many])
+        cuts = np.searchsorted(ends, np.arange(0, (ends[-1] if len(ends) else 0) + 200_000, 200_000))
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            if y > x:
+                n = size[many[x:y]]
+                at = np.repeat(first[many[x:y]] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+                cols = [of[many[x:y]].astype(np.int32), name[many[x:y]].view(np.int64), n, times[x:y]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(v, n)) for v in cols), pa.array(c[at]), pa.array(e[at].astype(np.int32))], names=names)
     if len(short):
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(short), np.int64)), pa.array(short)], names=["bucket", "cls"])
+        zero = np.zeros(len(short), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32)), pa.array(zero), pa.array(zero), pa.array(zero), pa.array(short), pa.array(zero.astype(np.int32))], names=names)
+
+
+def shared(docs: DataFrame, text: str, parts: int) -> DataFrame:
+    """(band, bucket, size, times, cls, spare) of all texts, in parts of the signature space."""
+    packed = docs.select(F.col(text).alias("t")).mapInArrow(_packed(parts), "part int, sigs binary, ids binary, spare binary")
+    return packed.repartition(parts, "part").select("sigs", "ids", "spare").mapInArrow(_shared, SHARED)
 
 
-def buckets(docs: DataFrame, text: str, parts: int) -> DataFrame:
-    """(bucket, cls), a bucket for each distinct list of classes that share a signature."""
-    packed = docs.select(F.col(text).alias("t")).mapInArrow(_packed(parts), "part int, sigs binary, ids binary")
-    return packed.repartition(parts, "part").select("sigs", "ids").mapInArrow(_shared, "bucket long, cls long").distinct()
+def rarest(found: DataFrame) -> DataFrame:
+    """(bucket, cls) without the memberships that a class can spare, the most frequent ones. Two similar sets agree in
+    more signatures than either can spare; in the order of size and name, the same for all classes, the first one that
+    they have in common comes before what either leaves out. So each similar pair still meets."""
+    mine = found.repartition("cls", "band").groupBy("cls", "band", "bucket").agg(F.first("size").alias("size"), F.sum("times").alias("times"), F.first("spare").alias("spare"))
+    order = Window.partitionBy("cls", "band").orderBy(F.desc("size"), F.desc("bucket")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = written(mine.withColumn("gone", F.sum("times").over(order)).where("gone > spare").select("bucket", "cls"), "kept")
+    # buckets may have become equal or lost all but one
+    same = kept.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("name")).where("n > 1")
+    return kept.join(same, "bucket").select(F.col("name").alias("bucket"), "cls").distinct()
 
 
 def components(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -374,9 +416,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pa
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.drop("n_shingles", "cls", "component_id")
     rows = written(classes(docs, key, text), "classes")
-    found = written(buckets(docs, text, parts), "buckets")
+    found = written(shared(docs, text, parts), "shared")
     short = found.where("bucket = 0").select("cls").distinct()
-    members = found.where("bucket <> 0")
+    members = written(rarest(found.where("bucket <> 0")), "members")
     wanted = members.select("cls").distinct()
     has_short = not short.isEmpty()
     pairs = members.groupBy("bucket").agg(F.min("cls").alias("a")).join(members, "bucket").where("a <> cls").select("a", F.col("cls").alias("b")).distinct()

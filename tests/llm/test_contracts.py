@@ -103,7 +103,8 @@ def test_ngram_join_loses_no_link(spark, seed):
 
 
 def test_signatures_meet():
-    """Any two sets of similarity 0.8 or more share a signature, unless one of them is short."""
+    """Any two sets of similarity 0.8 or more share more signatures of a band than either can spare there, unless one of
+    them is short; so both keep one that they share, whatever the order by frequency is."""
     rng = np.random.default_rng(3)
     for _ in range(3000):
         a = int(rng.integers(1, 400))
@@ -112,8 +113,36 @@ def test_signatures_meet():
         y = np.unique(np.concatenate([rng.permutation(x)[out:], rng.integers(1, 2**63, new, dtype=np.uint64)]))
         o = len(np.intersect1d(x, y))
         if len(y) and 5 * o >= 4 * (len(x) + len(y) - o) and not np.array_equal(x, y):
-            (g, s), (h, t) = ngram_join.signatures(x), ngram_join.signatures(y)
-            assert s or t or len(np.intersect1d(g, h)), (len(x), len(y), o)
+            (g, e, s), (h, f, t) = ngram_join.signatures(x), ngram_join.signatures(y)
+            if not (s or t):
+                both, i, j = np.intersect1d(g, h, return_indices=True)
+                of = both >> (np.uint64(64) - ngram_join.BAND_BITS)
+                more = [(of == k).sum() > max(e[i][of == k][0], f[j][of == k][0]) for k in np.unique(of)]
+                assert any(more), (len(x), len(y), o)
+
+
+def passages(seed):
+    """Short texts around passages that many of them hold, and near copies of some of them."""
+    rng = random.Random(seed)
+    rows, shared = [], [[f"p{k}_{i}" for i in range(60)] for k in range(2)]
+    for _ in range(120):
+        w = [f"w{rng.randrange(900)}" for _ in range(rng.randrange(10, 60))]
+        at = rng.randrange(len(w))
+        w[at:at] = rng.choice(shared)
+        for _ in range(rng.choice([1, 1, 1, 2, 4])):
+            v = list(w)
+            v[rng.randrange(len(v))] = f"n{rng.randrange(9000)}"
+            rows.append((len(rows) + 1, " ".join(v)))
+    rng.shuffle(rows)
+    return rows
+
+
+def test_ngram_join_of_shared_passages(spark):
+    rows = passages(4)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    same(table(ngram_join.op2_ngram_jaccard(df), "n_shingles", "component_id"), brute.op2(rows))
+    found = ngram_join.shared(df, "text", 4)
+    assert ngram_join.rarest(found.where("bucket <> 0")).count() < found.count()
 
 
 def test_short_classes_are_compared(spark, monkeypatch):
@@ -129,7 +158,7 @@ def _all_short(parts):
     def run(batches):
         for b in batches:
             c = np.array([ngram_join.class_of(s) for s in ngram_join.shingle_sets(b.column("t"))], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.zeros(len(c), np.uint64).tobytes()]), pa.array([c.tobytes()])], names=["part", "sigs", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.zeros(len(c), np.uint64).tobytes()]), pa.array([c.tobytes()]), pa.array([np.zeros(len(c), np.uint16).tobytes()])], names=["part", "sigs", "ids", "spare"])
 
     return run
 
