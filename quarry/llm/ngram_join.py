@@ -17,9 +17,10 @@ more segments than its differences can spoil leaves the most frequent buckets, a
 that stem from a passage which many texts hold.
 
 Verification without all pairs. In each round a bucket sends stars: its pivots against its other members of other
-components. Pairs are verified on the sets, links join components (label propagation with pointer jumping), pivots that
-met everybody leave. The first round has one pivot a bucket, later rounds have more; buckets whose members are one
-component are done. A bucket of n near copies so costs about n pairs, and no link between two components is lost.
+components. Pairs are verified on the sets, links join components (label propagation with pointer jumping), pivots
+leave their bucket, as they have met everybody there. The first round has one pivot a bucket, each later round `growth`
+times as many, whatever number of components is left: most members join a component before they would be pivots. Buckets
+whose members are one component are done. So near copies cost some pairs each, and no link between components is lost.
 
 Edge cases: null or wordless texts have the empty set: component_id is the row's own doc_id. Fewer than five words are one
 shingle. Rows with null doc_id get the component of their class, and don't name one. Repeated rows give repeated results.
@@ -439,8 +440,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pa
         if at.isEmpty():
             break
         pivots *= growth
-        rank = F.row_number().over(Window.partitionBy("bucket", "comp").orderBy("cls"))
-        some = at.withColumn("r", rank).where(F.col("r") <= pivots).select("bucket", F.col("cls").alias("p"), F.col("comp").alias("pc"))
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("cls"))
+        some = written(at.withColumn("r", rank).where(F.col("r") <= pivots).select("bucket", F.col("cls").alias("p"), F.col("comp").alias("pc")), "pivots")
         new = at.join(some, "bucket").where("comp <> pc").select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")).distinct()
         new = written(new.join(tested, ["a", "b"], "left_anti"), "pairs")
         more = written(links_of(new, sets), "verified")
@@ -448,10 +449,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pa
         if not more.isEmpty():
             links = links.union(more)
             labels = components(links)
-        # a component that has sent all its members in a bucket has met everybody there
-        size = at.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-        sent = size.where(F.col("n") <= pivots).select("bucket", "comp")
-        members = written(at.select("bucket", "cls", "comp").join(sent, ["bucket", "comp"], "left_anti").select("bucket", "cls"), "members")
+        # pivots have met everybody in their bucket
+        members = written(at.select("bucket", "cls").join(some.select("bucket", F.col("p").alias("cls")), ["bucket", "cls"], "left_anti"), "members")
     named = rows.where("cls <> 0").groupBy("cls").agg(F.min("key").alias("least"))
     named = named.join(labels, "cls", "left").select("cls", "least", F.coalesce("comp", "cls").alias("comp"))
     comp = named.groupBy("comp").agg(F.min("least").alias("component_id"))
