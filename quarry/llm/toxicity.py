@@ -35,6 +35,8 @@ STEMS = (4, 5, 6, 7)
 MIN_DOCS = 3
 #: What a term's surprise, in nats, must be above the logarithm of the number of words.
 MARGIN = 2.0
+#: A term's least log odds: how often it may stand in clean texts too. What a weak term counts for is left to the model.
+LEAST_WEIGHT = 1.0
 FUZZY_FROM = 5
 CONTEXT = 4
 TOKEN = re.compile(r"[^\W_]+|[\"“”„«»‘’]")
@@ -132,7 +134,8 @@ class Lexicon:
 
 def learn_terms(rows: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, float]:
     """Terms with their log odds, from (text, y) rows: numbers of distinct texts of either label that hold a word or stem.
-    A term's share of toxic texts must differ from theirs in all by more than chance among so many terms explains."""
+    A term's share of toxic texts must differ from theirs in all by more than chance among so many terms explains, and its
+    smoothed log odds must reach LEAST_WEIGHT. Clean texts may hold it, at any size of the data."""
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3))
     texts = rows.where(F.col("y").isNotNull()).groupBy(F.xxhash64("text")).agg(F.first("text").alias("text"), (F.max("y") > 0).cast("int").alias("y"))
     by_word = texts.select("y", F.explode(words).alias("w")).groupBy("w").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean")).persist()
@@ -154,7 +157,7 @@ def learn_terms(rows: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, float]
     part = lambda k, p: F.when(k > 0, k * F.log(k / (seen * p))).otherwise(0.0)
     surprise = part(F.col("toxic"), share) + part(F.col("clean"), max(1 - share, 1e-9))
     least = MARGIN + float(np.log(max(1, by_word.count())))
-    best = terms.withColumn("weight", weight).where((F.col("toxic") >= MIN_DOCS) & (F.col("toxic") >= 20 * F.col("clean")) & (surprise >= least))
+    best = terms.withColumn("weight", weight).where((F.col("toxic") >= MIN_DOCS) & (F.col("weight") >= LEAST_WEIGHT) & (surprise >= least))
     got = best.orderBy(F.desc("weight"), "term").limit(max_terms).collect()
     by_word.unpersist()
     # a word that a stem covers needs no entry, nor does a stem below a shorter one
@@ -184,8 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, fits, label: str = "toxic", bound: i
             found = {w for t in pdf["text"] for w in TOKEN.findall((t or "").lower()) if lexicon.match(w)[1]}
             yield pd.DataFrame({"w": sorted(found)}, dtype=object)
 
-    # words of clean texts that are one edit from a term; at most one neighbourhood per term
-    alike = rows.where("y = 0").mapInPandas(look_alikes, "w string").distinct().limit(200_000).collect()
+    # words of clean texts that are one edit from a term; at most the words of the fitted rows
+    alike = rows.where("y = 0").mapInPandas(look_alikes, "w string").distinct().collect()
     lexicon = Lexicon(lexicon.weights, frozenset(r.w for r in alike))
 
     def sums(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -304,6 +304,23 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.op9_toxicity(d.limit(5), labels.where("false")).where("score < 0.01").count() == 5
 
 
+def test_toxic_stems_that_clean_texts_hold_too(spark):
+    ends = "ado ar cia dor era"
+    rows = [(f"text {i} bomente{ends.split()[i % 5]} other{i}", 1) for i in range(60)] + [(f"text {i} bomente{ends.split()[i % 5]} more{i}", 0) for i in range(8)] + [(f"text {i} plain{i}", 0) for i in range(500)]
+    terms = toxicity.learn_terms(spark.createDataFrame(rows, "text string, y int"))
+    assert any("bomente".startswith(t.rstrip("*")) for t in terms)
+    assert "text" not in terms
+
+
+def test_toxicity_by_language(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
+    got = toxicity.op9_toxicity(d, labels).where("held_out").join(labels, "doc_id").join(d.select("doc_id", "lang"), "doc_id").toPandas()
+    recall = got[got["toxic"] == 1].groupby("lang")["predicted"].mean()
+    assert set(recall.index) == {"de", "en", "es", "fr"} and recall.min() > 0.75, recall
+    assert (got[got["toxic"] == 0]["predicted"] == 0).mean() > 0.98
+
+
 def test_levenshtein_automaton():
     lex = toxicity.Lexicon({"stupid": 5.0, "moron": 4.0, "scum": 3.0, "vequan*": 2.0})
 
