@@ -36,8 +36,10 @@ class LineRules:
         r"(?i)\b(all rights reserved|licensed under|released under|cookie policy|privacy policy|terms of (use|service)|"
         r"subscribe to|sign up|log in|click here|javascript is (disabled|required)|copyright (\(c\)|©|\d{4}))"
     )
-    #: A document goes when rules took more than this share of its characters, or it has fewer words left. License
-    #: lines are removed but don't count against their document.
+    #: Boilerplate lines with one of these and, apart from them, no other boilerplate are license lines: removed, but not
+    #: counted against their document.
+    license: str = r"(?i)\b(all rights reserved|licensed under|released under|copyright (\(c\)|©|\d{4}))"
+    #: A document goes when rules took more than this share of its characters, or it has fewer words left.
     max_lost_share: float = 0.5
     min_words_left: int = 5
 
@@ -61,14 +63,15 @@ def measured_line(line: Column, words: Column, rules: LineRules) -> Column:
 
 
 def failed_rule(m: Column, rules: LineRules) -> Column:
-    """Name of the first rule that a measured line fails, else null."""
+    """Name of the first rule that a measured line fails, else null; "license" for the boilerplate of license lines."""
+    other = F.regexp_replace(m["line"], rules.license, F.lit(" ")).rlike(rules.boilerplate)
     return (
         F.when(m["ink"] == 0, F.lit(None).cast("string"))
         .when(m["symbols"] > m["ink"] * rules.max_symbol_share, "punctuation")
         .when(m["bars"] > m["ink"] * rules.max_bar_share, "navigation")
         .when((m["words"] >= rules.min_words) & (m["upper"] > m["ink"] * rules.max_upper_share), "shouting")
         .when((m["words"] >= rules.min_words) & (m["distinct"] < m["words"] * rules.min_distinct_share), "monotony")
-        .when((m["words"] <= rules.boilerplate_words) & m["line"].rlike(rules.boilerplate), "boilerplate")
+        .when((m["words"] <= rules.boilerplate_words) & m["line"].rlike(rules.boilerplate), F.when(other, "boilerplate").otherwise("license"))
     )
 
 
@@ -77,20 +80,20 @@ def _class(characters: str) -> str:
 
 
 def line_cleaned(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -> DataFrame:
-    """Adds clean_text, lost_share (of characters, by rules other than boilerplate), words_left, failed_rules
-    (distinct names, sorted) and rules_kept."""
+    """Adds clean_text, lost_share (of characters, by rules, license lines aside), words_left, failed_rules
+    (distinct names, sorted; license lines fail boilerplate) and rules_kept."""
     lines = F.split(text_of(text), "\n")
     split = F.transform(lines, lambda x: F.struct(x.alias("line"), words_of(x).alias("words")))
     measured = F.transform(split, lambda x: measured_line(x["line"], x["words"], rules))
     judged = docs.withColumn("_judged", F.transform(measured, lambda m: F.struct(m["line"].alias("line"), m["words"].alias("words"), failed_rule(m, rules).alias("rule"))))
     kept = F.filter("_judged", lambda x: x["rule"].isNull())
-    lost = F.filter("_judged", lambda x: x["rule"].isNotNull() & (x["rule"] != "boilerplate"))
+    lost = F.filter("_judged", lambda x: x["rule"].isNotNull() & (x["rule"] != "license"))
     total = lambda a, of: F.aggregate(a, F.lit(0), lambda n, x: n + of(x))
     size = lambda x: F.length(x["line"])
     out = (
         judged.withColumn("clean_text", F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
         .withColumn("lost_share", total(lost, size) / F.greatest(F.lit(1), total(F.col("_judged"), size)))
-        .withColumn("failed_rules", F.array_sort(F.array_distinct(F.array_compact(F.transform("_judged", lambda x: x["rule"])))))
+        .withColumn("failed_rules", F.array_sort(F.array_distinct(F.array_compact(F.transform("_judged", lambda x: F.when(x["rule"] == "license", "boilerplate").otherwise(x["rule"]))))))
         .withColumn("words_left", total(kept, lambda x: x["words"]))
         .drop("_judged")
     )

@@ -71,6 +71,18 @@ def test_quality_rules_verdicts(spark):
     assert got[5][1] == "boilerplate"
 
 
+def test_boilerplate_counts_as_lost(spark):
+    phrases = ("sign up", "log in", "read our cookie policy", "click here")
+    web = "\n".join(f"Please {phrases[i % 4]} for offer number {i}" for i in range(100))
+    good = "Five ordinary words are here, and a few more of them."
+    licence = "This work is licensed under the GNU General Public License, version 3. Copyright 2024. All rights reserved."
+    rows = [(1, f"{web}\n{good}"), (2, f"{good}\n{licence}"), (3, f"{good}\n{licence} Now log in or sign up here."), (4, f"{good} And so on, with some more to say.\nSign up for more.")]
+    got = table(quality_rules.op1_quality_rules(spark.createDataFrame(rows, "doc_id long, text string")), "kept", "failed_rules", "lost_share")
+    assert {k: v[0] for k, v in got.items()} == {1: False, 2: True, 3: False, 4: True}
+    assert {v[1] for v in got.values()} == {"boilerplate"}
+    assert got[1][2] > 0.9 and got[2][2] == 0 and got[4][2] > 0
+
+
 @pytest.mark.parametrize("which", ["docs", "odd", "empty"])
 def test_ngram_join(request, which):
     d = request.getfixturevalue(which)
