@@ -89,7 +89,7 @@ AS_OF = "2024-06-30"
 
 
 def questions(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "benchmark").select(F.col("item_id").alias("question_id"), F.substring("text", 1, 60).alias("question"))
+    return read(s, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
 
 
 def corpus(s: SparkSession, d: str) -> DataFrame:
@@ -181,8 +181,8 @@ def _queries(t: Column | None) -> dict[str, Query]:
         "strip_boilerplate": lambda s, d: docs(s, d, F.length(text.strip_boilerplate_lines(t, ("license", "copyright"))).alias("n")),
         "garbage_lines": lambda s, d: docs(s, d, F.size(F.filter(F.split(t, "\n"), lambda x: text.garbage_line(x))).alias("n_garbage")),
         "text_metrics": lambda s, d: docs(s, d, text.text_metrics(t, (("\\bthe\\b", "the"), (r"\b\d+\b", "number"))).alias("m")).select("doc_id", "m.text_length", "m.non_whitespace_chars", "m.alphanumeric_ratio", "m.suspicious_character_ratio", "m.repeated_character_ratio", "m.word_count", F.array_join("m.detected_legal_patterns", ",").alias("patterns")),
-        "title_number": lambda s, d: docs(s, d, facts.title_number(F.concat((F.col("doc_id") % 90).cast("string"), F.lit(" /TB-X "), F.substring(t, 1, 20))).alias("number")),
-        "document_number": lambda s, d: docs(s, d, facts.document_number(F.concat(F.lit("Số: "), (F.col("doc_id") % 90 + 10).cast("string"), F.lit(" / TB-X "), F.substring(t, 1, 300))).alias("number")),
+        "title_number": lambda s, d: docs(s, d, facts.title_number(F.concat((F.col("doc_id") % 90).cast("string"), F.lit(" /TB-X "), t)).alias("number")),
+        "document_number": lambda s, d: docs(s, d, facts.document_number(F.concat(F.lit("Số: "), (F.col("doc_id") % 90 + 10).cast("string"), F.lit(" / TB-X "), t)).alias("number")),
         "normalize_date": lambda s, d: read(s, d, "orders").select("o_orderkey", facts.normalize_date(F.date_format("o_orderdate", "d/M/yyyy")).alias("iso")),
         "issue_date": lambda s, d: read(s, d, "orders").select("o_orderkey", facts.issue_date(F.concat(F.lit("x ngày "), F.date_format("o_orderdate", "d"), F.lit(" tháng "), F.date_format("o_orderdate", "M"), F.lit(" năm "), F.date_format("o_orderdate", "yyyy"))).alias("iso")),
         "posted_date": lambda s, d: read(s, d, "events").select("event_id", facts.posted_date(F.concat(F.lit("at "), F.date_format("ts", "dd/MM/yyyy HH:mm:ss"), F.lit(" by"))).alias("posted")),
@@ -198,7 +198,7 @@ def _queries(t: Column | None) -> dict[str, Query]:
         "status_label": lambda s, d: cat(s, d).select("id", catalog.status_label(F.col("effective_status")).alias("label")),
         "user_roster": lambda s, d: catalog.user_roster(users(s, d)).drop("created_at"),
         "question_log_status": lambda s, d: messages(s, d).select("id", chat.question_log_status(F.col("citations")).alias("state")),
-        "conversation_title": lambda s, d: docs(s, d, retrieval.conversation_title(F.substring(t, 1, 80)).alias("title")),
+        "conversation_title": lambda s, d: docs(s, d, retrieval.conversation_title(t).alias("title")),
         "html_text": lambda s, d: read(s, d, "pages").select("page_id", F.length(text.html_to_text(F.col("html"))).alias("n")),
         "access_state": lambda s, d: read(s, d, "pages").select("page_id", html.access_state(F.col("html"), F.col("url"), F.when(F.col("page_id") % 9 == 0, 403)).alias("state")),
         # catalogue
