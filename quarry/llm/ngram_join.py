@@ -8,23 +8,26 @@ band the universe of hashes is dealt into m segments, so two such sets agree in
 signature (hash of its elements there) for each segment that isn't empty, and for the first q segments also the
 neighbourhood of one deletion, which lets a segment still match with one element more or less. Allocation of (m, q) per
 band takes the cheapest pair, by rows, for which segments that are not empty outnumber H with a margin. A class with too
-many empty segments for that (it is counted for each one) is short: short classes are compared, exactly, with all
-classes of their size bands. So no pair is missed.
-
-Buckets. Signatures are packed: a map task sends, per partition of the signature space, one row of arrays, and a partition
-sorts its arrays and keeps signatures that two classes or more share. Equal member lists are one bucket. A class that has
-more segments than its differences can spoil leaves the most frequent buckets, as many as it can spare (see rarest): those
-that stem from a passage which many texts hold.
-
-Verification without all pairs. In each round a bucket sends stars: its pivots against its other members of other
-components. Pairs are verified on the sets, links join components (label propagation with pointer jumping), pivots
-leave their bucket, as they have met everybody there. The first round has one pivot a bucket, each later round `growth`
-times as many, whatever number of components is left: most members join a component before they would be pivots. Buckets
-whose members are one component are done. So near copies cost some pairs each, and no link between components is lost.
+many empty segments for that (it is counted for each one) is short; the margin makes such classes rare, and they are
+compared with all that share one of the first shingles in the order of the hashes. So no pair is missed.
+
+Buckets. Entries (signature, class) are dealt and sorted by range of both, so that a signature which a third of all
+classes hold is split among tasks, and one pass keeps those whose signature has a neighbour. Signatures with equal members
+are one bucket. A class that has more segments than its differences can spoil leaves the most frequent buckets, as many as
+it can spare (see rarest): those that stem from a passage which many texts hold.
+
+Verification without all pairs. Shingles are counted over the classes in buckets: a class of which less than four fifths
+occur in another one has no partner. Each bucket sends one star: its most central class (whose shingles are the most
+frequent on average) against its other members, a row per membership. Links join components (label propagation with
+pointer jumping). A group of near copies becomes one component by that, since its centre is as near to each member as any
+other is, mostly. What can still link lies in open buckets, those of several components; there the rarest shingles decide:
+similar sets share one of their first few in the order of frequency, at positions and sizes that leave room for enough
+others, and pairs inside a component, or inside a shingle's largest one, aren't made. So near copies cost a pair each,
+and no link between components is lost.
 
 Edge cases: null or wordless texts have the empty set: component_id is the row's own doc_id. Fewer than five words are one
-shingle. Rows with null doc_id get the component of their class, and don't name one. Repeated rows give repeated results.
-An empty table gives an empty result. Extra columns pass; n_shingles and component_id replace columns with these names.
+shingle. Rows with null doc_id link as others do and get their group's component_id (null if no row of it has an id).
+Repeated rows give repeated results. An empty table gives an empty result. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -34,8 +37,9 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import bound_batches, written
@@ -218,130 +222,75 @@ def signatures(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
     return np.concatenate(out), np.concatenate(spare), short
 
 
-def classes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, cls long, n_shingles long) of every row."""
+def described(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, cls, n_shingles, short, sigs, spare) of every row; texts that are equal within a task are signed once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = list(shingle_sets(b.column("t")))
-            cols = [b.column("key"), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "cls", "n_shingles"])
-
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("t")).mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, cls long, n_shingles long")
-
-
-#: Entries that a map task packs before it sends a row per partition.
-PACK = 2_000_000
-
-
-def _packed(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        sigs, ids, spare, held = [], [], [], 0
-
-        def out() -> pa.RecordBatch:
-            s, c, e = np.concatenate(sigs), np.concatenate(ids), np.concatenate(spare)
-            part = ((s & np.uint64(0xFFFFFFFF)) * np.uint64(parts)) >> np.uint64(32)
-            part = part.astype(np.uint16) if parts < 1 << 16 else part
-            order = np.argsort(part, kind="stable")
-            cuts = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
-            s, c, e = s[order], c[order], e[order]
-            rows = [(p, s[x:y].tobytes(), c[x:y].tobytes(), e[x:y].tobytes()) for p, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], names=["part", "sigs", "ids", "spare"])
-
+        none = (np.empty(0, np.uint64), np.empty(0, np.uint16), False)
         for b in batches:
+            names, sizes, signed = [], [], []
             for s in shingle_sets(b.column("t")):
                 c = class_of(s)
-                if c in seen:
-                    continue  # an exact copy within the task
+                names.append(c)
+                sizes.append(len(s))
+                signed.append(none if c in seen else signatures(s))
                 seen.add(c)
                 if len(seen) > 1_000_000:
                     seen.clear()
-                g, e, short = signatures(s)
-                if short:
-                    g, e = np.append(g, np.uint64(0)), np.append(e, np.uint16(0))  # signature 0 marks short classes
-                if len(g):
-                    sigs.append(g)
-                    spare.append(e)
-                    ids.append(np.full(len(g), c, np.int64))
-                    held += len(g)
-                if held >= PACK:
-                    yield out()
-                    sigs, ids, spare, held = [], [], [], 0
-        if held:
-            yield out()
-
-    return run
-
-
-SHARED = "band int, bucket long, size long, times long, cls long, spare int"
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The members of the signatures of a partition that two classes or more have: signatures of a band with equal
-    members are one bucket, found so many times. Bucket 0 holds the short classes."""
-    sigs, ids, spare = [], [], []
+            ends = np.cumsum([0, *(len(x[0]) for x in signed)]).astype(np.int32)
+            flat = lambda i, t: pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[i] for x in signed]).astype(t) if signed else np.empty(0, t)))
+            cols = [b.column("key"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array([x[2] for x in signed], pa.bool_()), flat(0, np.int64), flat(1, np.int32)]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "cls", "n_shingles", "short", "sigs", "spare"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("t")).mapInArrow(run, f"key {kind}, cls long, n_shingles long, short boolean, sigs array<long>, spare array<int>")
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of entries sorted by signature and class, those with another class next to them; the ends of a partition pass."""
+    last: list[np.ndarray] | None = None
+    told = first = True
     for b in batches:
-        for s, c, e in zip(b.column("sigs"), b.column("ids"), b.column("spare"), strict=True):
-            sigs.append(np.frombuffer(s.as_buffer(), np.uint64))
-            ids.append(np.frombuffer(c.as_buffer(), np.int64))
-            spare.append(np.frombuffer(e.as_buffer(), np.uint16))
-    if not sigs:
-        return
-    s, c, e = np.concatenate(sigs), np.concatenate(ids), np.concatenate(spare)
-    del sigs, ids, spare
-    short = np.unique(c[s == 0])
-    order = np.argsort(s)
-    s, c, e = s[order], c[order], e[order]
-    # most signatures are alone
-    same = s[1:] == s[:-1]
-    keep = (s != 0) & (np.append(same, False) | np.append(False, same))
-    s, c, e = s[keep], c[keep], e[keep]
-    order = np.lexsort((c, s))
-    s, c, e = s[order], c[order], e[order]
-    keep = np.ones(len(s), bool)
-    keep[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])
-    s, c, e = s[keep], c[keep], e[keep]
-    names = [f.split()[0] for f in SHARED.split(", ")]
-    if len(s):
-        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        size = np.diff(np.append(first, len(s)))
-        of = s[first] >> (np.uint64(64) - BAND_BITS)
-        with np.errstate(over="ignore"):
-            name = mix(np.add.reduceat(mix(c.view(np.uint64) * SEED + SEED), first) + of)
-        many = np.flatnonzero(size > 1)
-        _, one, times = np.unique(name[many], return_index=True, return_counts=True)
-        many = many[one]
-        # rows of some buckets at a time
-        ends = np.cumsum(size[many])
-        cuts = np.searchsorted(ends, np.arange(0, (ends[-1] if len(ends) else 0) + 200_000, 200_000))
-        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-            if y > x:
-                n = size[many[x:y]]
-                at = np.repeat(first[many[x:y]] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-                cols = [of[many[x:y]].astype(np.int32), name[many[x:y]].view(np.int64), n, times[x:y]]
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(v, n)) for v in cols), pa.array(c[at]), pa.array(e[at].astype(np.int32))], names=names)
-    if len(short):
-        zero = np.zeros(len(short), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32)), pa.array(zero), pa.array(zero), pa.array(zero), pa.array(short), pa.array(zero.astype(np.int32))], names=names)
-
-
-def shared(docs: DataFrame, text: str, parts: int) -> DataFrame:
-    """(band, bucket, size, times, cls, spare) of all texts, in parts of the signature space."""
-    packed = docs.select(F.col(text).alias("t")).mapInArrow(_packed(parts), "part int, sigs binary, ids binary, spare binary")
-    return packed.repartition(parts, "part").select("sigs", "ids", "spare").mapInArrow(_shared, SHARED)
+        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if last is not None:
+            cols = [np.concatenate(x) for x in zip(last, cols, strict=True)]
+        s, c, _ = cols
+        if not len(s):
+            continue
+        new = np.append(True, (s[1:] != s[:-1]) | (c[1:] != c[:-1]))
+        s, c, e = cols = [x[new] for x in cols]
+        same = s[1:] == s[:-1]
+        keep = np.append(same, False) | np.append(False, same)
+        keep[0] |= told
+        if first:
+            keep |= s == s[0]
+        last, told, first = [x[-1:] for x in cols], bool(keep[-1]), False
+        yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep[:-1]]) for x in cols], names=["sig", "cls", "spare"])
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names=["sig", "cls", "spare"])
+
+
+def shared(rows: DataFrame) -> DataFrame:
+    """(sig, cls, spare) of the signatures that two classes or more have."""
+    entries = written(rows.select("cls", F.explode(F.arrays_zip("sigs", "spare")).alias("e")).select("e.sigs", "cls", "e.spare").toDF("sig", "cls", "spare"), "entries")
+    near = entries.repartitionByRange("sig", "cls").sortWithinPartitions("sig", "cls").mapInArrow(_neighbours, "sig long, cls long, spare int")
+    return near.groupBy("sig", "cls").agg(F.first("spare").alias("spare"))
 
 
 def rarest(found: DataFrame) -> DataFrame:
     """(bucket, cls) without the memberships that a class can spare, the most frequent ones. Two similar sets agree in
     more signatures than either can spare; in the order of size and name, the same for all classes, the first one that
     they have in common comes before what either leaves out. So each similar pair still meets."""
-    mine = found.repartition("cls", "band").groupBy("cls", "band", "bucket").agg(F.first("size").alias("size"), F.sum("times").alias("times"), F.first("spare").alias("spare"))
+    name = F.bit_xor(F.xxhash64("cls")).alias("bucket")
+    buckets = found.groupBy("sig").agg(F.count("*").alias("size"), name).where("size > 1")
+    band = F.shiftrightunsigned("sig", 64 - int(BAND_BITS)).alias("band")
+    mine = found.join(buckets, "sig").groupBy("cls", band, "bucket").agg(F.first("size").alias("size"), F.count("*").alias("times"), F.first("spare").alias("spare"))
     order = Window.partitionBy("cls", "band").orderBy(F.desc("size"), F.desc("bucket")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    kept = written(mine.withColumn("gone", F.sum("times").over(order)).where("gone > spare").select("bucket", "cls"), "kept")
+    kept = written(mine.withColumn("gone", F.sum("times").over(order)).where("gone > spare").select("band", F.col("bucket").alias("old"), "cls"), "kept")
     # buckets may have become equal or lost all but one
-    same = kept.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("name")).where("n > 1")
-    return kept.join(same, "bucket").select(F.col("name").alias("bucket"), "cls").distinct()
+    same = kept.groupBy("band", "old").agg(F.count("*").alias("n"), name).where("n > 1")
+    return kept.join(same, ["band", "old"]).select("bucket", "cls").distinct()
 
 
 def components(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -379,89 +328,169 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those pairs (a, b) of classes whose sets are similar."""
-    x = sets.select(F.col("cls").alias("a"), F.col("items").alias("x"), F.col("n").alias("na"))
-    y = sets.select(F.col("cls").alias("b"), F.col("items").alias("y"), F.col("n").alias("nb"))
-    size = (F.least("na", "nb") * DOWN >= F.greatest("na", "nb") * UP)
-    # sizes first: the cheap test needs no set
-    fit = pairs.join(x.drop("x"), "a").join(y.drop("y"), "b").where(size).select("a", "b").distinct()
-    return fit.join(x.drop("na"), "a").join(y.drop("nb"), "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long").distinct()
+    x = sets.select(F.col("cls").alias("a"), F.col("items").alias("x"))
+    y = sets.select(F.col("cls").alias("b"), F.col("items").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long").distinct()
 
 
 def _sets(docs: DataFrame, text: str, wanted: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """(cls, n, items) of the wanted classes: the texts of one row per class are fetched by key. A key that rows repeat
-    gives a class more than once; pairs and links are made distinct after that."""
+    gives a class more than once; counts and links allow for that. Classes whose rows all lack a key are found among
+    the rows without one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = list(shingle_sets(b.column("t")))
             yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "n", "items"])
 
-    some = rows.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("key").alias("key")).select("key", F.col("cls").alias("_cls"))
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("t")).join(some, "key").select("t")
-    return texts.mapInArrow(run, "cls long, n long, items binary")
-
-
-def _short_pairs(rows: DataFrame, short: DataFrame) -> DataFrame:
-    """Short classes against all classes of the sizes that can be similar, by size class."""
-    sizes = rows.where("cls <> 0").groupBy("cls").agg(F.first("n_shingles").alias("n"))
-    grid = lambda n: F.floor(F.log(n.cast("double")) / math.log(DOWN / UP)).cast("long")
-    mine = sizes.join(short, "cls", "left_semi").select(F.col("cls").alias("s"), F.col("n").alias("ns"), F.explode(F.array(grid(F.col("n")) - 1, grid(F.col("n")), grid(F.col("n")) + 1)).alias("g"))
-    pairs = sizes.withColumn("g", grid(F.col("n"))).join(mine, "g").where((F.col("cls") != F.col("s")) & (F.least("n", "ns") * DOWN >= F.greatest("n", "ns") * UP))
-    return pairs.select(F.least("cls", "s").alias("a"), F.greatest("cls", "s").alias("b")).distinct()
-
-
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", parts: int | None = None, growth: int = 8) -> DataFrame:
-    """Adds n_shingles, cls (class of equal sets) and component_id (smallest key that links lead to) to every row."""
-    spark = docs.sparkSession
-    bound_batches(spark)
-    parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.drop("n_shingles", "cls", "component_id")
-    rows = written(classes(docs, key, text), "classes")
-    found = written(shared(docs, text, parts), "shared")
-    short = found.where("bucket = 0").select("cls").distinct()
-    members = written(rarest(found.where("bucket <> 0")), "members")
-    wanted = members.select("cls").distinct()
-    has_short = not short.isEmpty()
-    pairs = members.groupBy("bucket").agg(F.min("cls").alias("a")).join(members, "bucket").where("a <> cls").select("a", F.col("cls").alias("b")).distinct()
-    if has_short:
-        extra = _short_pairs(rows, short)
+    some = rows.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("key").alias("key"))
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("t"))
+    named = texts.join(some.where("key is not null").select("key"), "key").select("t").mapInArrow(run, "cls long, n long, items binary")
+    nameless = texts.where("key is null").select("t").mapInArrow(run, "cls long, n long, items binary")
+    return named.union(nameless.join(some.where("key is null"), "cls", "left_semi"))
+
+
+def spread(sets: DataFrame) -> DataFrame:
+    """(cls, shingle): a row per element."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c, s in zip(b.column("cls").to_pylist(), b.column("items"), strict=True):
+                of = np.frombuffer(s.as_buffer(), np.int64)
+                for at in range(0, len(of), 100_000):
+                    part = of[at : at + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), c)), pa.array(part)], names=["cls", "shingle"])
+
+    return sets.select("cls", "items").mapInArrow(run, "cls long, shingle long")
+
+
+def _counted(sets: DataFrame) -> DataFrame:
+    """(shingle, cls, df) of the shingles that two classes or more of these hold."""
+    each = spread(sets)
+    often = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    return each.join(often, "shingle")
+
+
+def worth(sets: DataFrame) -> DataFrame:
+    """(cls, n, central) of the classes that can have a partner: four fifths of their shingles occur in another one."""
+    held = _counted(sets).groupBy("cls").agg(F.count("*").alias("held"), F.sum("df").alias("weight"))
+    return sets.groupBy("cls").agg(F.first("n").alias("n")).join(held, "cls").where(F.col("held") * DOWN >= F.col("n") * UP).select("cls", "n", (F.col("weight") / F.col("n")).alias("central"))
+
+
+def _fit(n: str, m: str) -> Column:
+    return F.least(n, m) * DOWN >= F.greatest(n, m) * UP
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def stars(members: DataFrame, able: DataFrame) -> DataFrame:
+    """(a, b): the most central class of each bucket with each other member of a fitting size."""
+    at = members.join(able, "cls")
+    centre = at.groupBy("bucket").agg(F.max(F.struct("central", "cls", "n")).alias("p")).select("bucket", F.col("p.cls").alias("p"), F.col("p.n").alias("m"))
+    return at.join(centre, "bucket").where((F.col("cls") != F.col("p")) & _fit("n", "m")).select(*_pair("cls", "p")).distinct()
+
+
+#: Ratio of the ends of a size cell, in which the prefix join looks for partners.
+CELL = 1.04
+
+
+def rare_pairs(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): classes of different components that share one of their rarest shingles, at places that leave room for
+    the overlap they need. open_: (cls, comp, n). If x is no larger than y, similarity needs 4 (x + y) / 9 common elements:
+    at least 8/9 of x and 4/5 of y; the first common one in the order of frequency has as many left from there on."""
+    order = F.array_sort(F.collect_set(F.struct("df", F.xxhash64("shingle").alias("h"), "shingle"))).alias("held")
+    mine = _counted(sets.join(open_, "cls", "left_semi")).groupBy("cls").agg(order).join(open_, "cls").where(F.size("held") * DOWN >= F.col("n") * UP)
+    # what no other class holds comes first and is passed over
+    rows = mine.select("cls", "comp", "n", F.size("held").alias("k"), F.posexplode("held").alias("i", "s")).withColumn("room", F.col("k") - F.col("i"))
+    rows = rows.where(F.col("room") * DOWN >= F.col("n") * UP).select("cls", "comp", "n", "s.shingle", "room")
+    rows = written(rows, "rare")
+    comps = rows.groupBy("shingle", "comp").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"))
+    rows = written(rows.join(comps.where("comps > 1").select("shingle", F.col("top.comp").alias("main")), "shingle"), "rare")
+    cell = lambda n: F.floor(F.log(n.cast("double")) / math.log(CELL)).cast("int")
+    small = rows.where(F.col("room") * 9 >= F.col("n") * 8).select("shingle", cell(F.col("n")).alias("cell"), *[F.col(c).alias(f"x_{c}") for c in ("cls", "comp", "n", "room", "main")])
+    most = F.least(F.col("n"), F.floor(F.col("room") * 9 / 4) - F.col("n"))
+    least = F.ceil(F.col("n") * UP / DOWN)
+    large = rows.where(most >= least).select("*", F.explode(F.sequence(cell(least), cell(most))).alias("cell"))
+    room = (F.least("room", "x_room") * 9 >= (F.col("n") + F.col("x_n")) * 4) & (F.col("x_n") <= F.col("n")) & (F.col("comp") != F.col("x_comp"))
+    odd, x_odd = F.col("comp") != F.col("main"), F.col("x_comp") != F.col("x_main")
+    meet = lambda a, b: a.join(b.drop("main"), ["shingle", "cell"]).where(room).select(*_pair("cls", "x_cls"))
+    return meet(small.where(x_odd), large).union(meet(small.where(~x_odd), large.where(odd))).distinct()
+
+
+def _first_shingles(docs: DataFrame, text: str) -> DataFrame:
+    """(shingle, cls, n): the first fifth of every text's set, and one more, in the order of the hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in shingle_sets(b.column("t")):
+                first = s[: len(s) - -(-len(s) * UP // DOWN) + 1]
+                yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(np.full(len(first), class_of(s))), pa.array(np.full(len(first), len(s)))], names=["shingle", "cls", "n"])
+
+    return docs.select(F.col(text).alias("t")).mapInArrow(run, "shingle long, cls long, n long").distinct()
+
+
+def _short_pairs(docs: DataFrame, text: str, short: DataFrame) -> DataFrame:
+    """(a, b): short classes with all that share one of the first shingles; similar sets do."""
+    first = _first_shingles(docs, text)
+    mine = first.join(short, "cls", "left_semi").select("shingle", F.col("cls").alias("s"), F.col("n").alias("m"))
+    return first.join(mine, "shingle").where((F.col("cls") != F.col("s")) & _fit("n", "m")).select(*_pair("cls", "s")).distinct()
+
+
+def _classed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(key, cls, n_shingles, ...) of every row, and (cls, component_id) of every class with words."""
+    rows = written(described(docs, key, text), "classes")
+    members = written(rarest(written(shared(rows), "shared")), "members")
+    short = rows.where("short").select("cls").distinct()
+    wanted, extra = members.select("cls").distinct(), None
+    if not short.isEmpty():
+        extra = written(_short_pairs(docs, text, short), "short")
         wanted = wanted.union(extra.select("a")).union(extra.select("b")).distinct()
-        pairs = pairs.union(extra).distinct()
     sets = written(_sets(docs, text, wanted, rows, key), "sets")
-    tested = written(pairs, "pairs")
-    links = written(links_of(tested, sets), "verified")
-    pivots = 1
-    labels = components(links)
-    while True:
-        # buckets that hold more than one component still have pairs to test
-        at = members.join(labels, "cls", "left").select("bucket", "cls", F.coalesce("comp", "cls").alias("comp"))
-        open_ = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-        at = written(at.join(open_, "bucket"), "open")
-        if at.isEmpty():
-            break
-        pivots *= growth
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("cls"))
-        some = written(at.withColumn("r", rank).where(F.col("r") <= pivots).select("bucket", F.col("cls").alias("p"), F.col("comp").alias("pc")), "pivots")
-        new = at.join(some, "bucket").where("comp <> pc").select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")).distinct()
-        new = written(new.join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = written(links_of(new, sets), "verified")
-        tested = tested.union(new)
-        if not more.isEmpty():
-            links = links.union(more)
-            labels = components(links)
-        # pivots have met everybody in their bucket
-        members = written(at.select("bucket", "cls").join(some.select("bucket", F.col("p").alias("cls")), ["bucket", "cls"], "left_anti"), "members")
-    named = rows.where("cls <> 0").groupBy("cls").agg(F.min("key").alias("least"))
-    named = named.join(labels, "cls", "left").select("cls", "least", F.coalesce("comp", "cls").alias("comp"))
+    able = written(worth(sets), "able")
+    members = written(members.join(able.select("cls"), "cls", "left_semi"), "members")
+    pairs = stars(members, able)
+    pairs = written(pairs if extra is None else pairs.union(extra).distinct(), "pairs")
+    labels = components(written(links_of(pairs, sets), "verified"))
+    # buckets that hold more than one component still have pairs to test
+    at = members.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    mixed = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    open_ = written(at.join(mixed, "bucket", "left_semi").select("cls", "comp").distinct().join(able.select("cls", "n"), "cls"), "open")
+    named = rows.where("cls <> 0").groupBy("cls").agg(F.min("key").alias("least")).join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    more = written(links_of(written(rare_pairs(open_, sets), "pairs"), sets), "verified")
+    if not more.isEmpty():
+        of = lambda side: open_.select(F.col("cls").alias(side), F.col("comp").alias(f"{side}_comp"))
+        joined = more.join(of("a"), "a").join(of("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
+        joined = components(joined).select(F.col("cls").alias("comp"), F.col("comp").alias("into"))
+        named = named.join(joined, "comp", "left").withColumn("comp", F.coalesce("into", "comp"))
     comp = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    by_class = named.join(comp, "comp").select("cls", "component_id")
-    return rows.join(by_class, "cls", "left").select(F.col("key").alias(key), "n_shingles", "cls", F.coalesce("component_id", "key").alias("component_id"))
+    return rows, named.join(comp, "comp").select("cls", "component_id")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, n_shingles, cls, component_id) of every row: class of equal sets, smallest key that links lead to."""
+    bound_batches(docs.sparkSession)
+    rows, by_class = _classed(docs, key, text)
+    return rows.join(by_class, "cls", "left").select(F.col("key").alias(key), "n_shingles", "cls", F.when(F.col("cls") == 0, F.col("key")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_per_component(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows whose key names their component; of rows that repeat such a key all stay. Columns as in docs."""
-    keep = near_duplicates(docs, text, key).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_k")).distinct()
-    return docs.join(keep, F.col(key).eqNullSafe(F.col("_k")), "left_semi")
+    """The rows whose key names their component; of rows that repeat such a key all stay, as do rows without a key that
+    link with no row that has one. Columns as in docs."""
+    got = written(near_duplicates(docs, text, key), "components")
+    keep = got.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_k")).distinct()
+    named = docs.where(F.col(key).isNotNull()).join(keep, F.col(key) == F.col("_k"), "left_semi")
+    gone = got.where(F.col(key).isNull() & F.col("component_id").isNotNull()).select("cls").distinct()
+    if gone.isEmpty():
+        return named.union(docs.where(F.col(key).isNull()))
+
+    @F.pandas_udf("long")
+    def cls(texts: pd.Series) -> pd.Series:
+        return pd.Series([class_of(s) for s in shingle_sets(pa.array(texts, pa.string()))], dtype="int64")
+
+    nameless = docs.where(F.col(key).isNull()).withColumn("_cls", cls(F.col(text))).join(gone, F.col("_cls") == F.col("cls"), "left_anti").drop("_cls")
+    return named.union(nameless)
 
 
 def op2_ngram_jaccard(docs: DataFrame) -> DataFrame:

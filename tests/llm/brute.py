@@ -29,11 +29,12 @@ def op1(rows):
 
 
 def op2(rows):
-    sets = {}
-    for i, t in rows:
+    """By row number; the component is the smallest id of its rows."""
+    sets = []
+    for _, t in rows:
         w = words(lower(t))
-        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
-    root = {i: i for i in sets}
+        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+    root = list(range(len(rows)))
 
     def find(x):
         while root[x] != x:
@@ -41,7 +42,7 @@ def op2(rows):
         return x
 
     by_gram = {}
-    for i, s in sets.items():
+    for i, s in enumerate(sets):
         for g in s:
             by_gram.setdefault(g, []).append(i)
     pairs = Counter()
@@ -51,9 +52,12 @@ def op2(rows):
                 pairs[ids[a], ids[b]] += 1
     for (a, b), n in pairs.items():
         if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
-            a, b = sorted((find(a), find(b)))
-            root[b] = a
-    return {i: (len(s), find(i)) for i, s in sets.items()}
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        if k is not None:
+            least[find(i)] = min(k, least.get(find(i), k))
+    return {k: (len(s), least.get(find(i))) for i, ((k, _), s) in enumerate(zip(rows, sets, strict=True))}
 
 
 def op3(rows):

@@ -86,10 +86,38 @@ def test_boilerplate_counts_as_lost(spark):
 @pytest.mark.parametrize("which", ["docs", "odd", "empty"])
 def test_ngram_join(request, which):
     d = request.getfixturevalue(which)
-    got = table(ngram_join.op2_ngram_jaccard(d), "n_shingles", "component_id")
-    rows = [p for p in pairs(d) if p[0] is not None]
-    got.pop(None, None)
-    same(got, brute.op2(rows))
+    same(table(ngram_join.op2_ngram_jaccard(d), "n_shingles", "component_id"), brute.op2(pairs(d)))
+
+
+def test_ngram_join_by_way_of_rows_without_id(spark):
+    w = [f"w{i}" for i in range(100)]
+    steps = [w, [*w[:95], *"abcde"], [*w[:90], *"vwxyzabcde"]]
+    rows = [(1, " ".join(steps[0])), (None, " ".join(steps[1])), (3, " ".join(steps[2])), (None, "other words that nobody else has here"), (None, None), (7, "")]
+    got = ngram_join.op2_ngram_jaccard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=str) == sorted([(1, 96, 1), (None, 96, 1), (3, 96, 1), (None, 3, None), (None, 0, None), (7, 0, 7)], key=str)
+    kept = ngram_join.one_per_component(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted([(r.doc_id, (r.text or "")[:5]) for r in kept], key=str) == sorted([(1, "w0 w1"), (None, "other"), (None, ""), (7, "")], key=str)
+
+
+def crowd(n, seed=3):
+    """A base text and n copies with up to six words replaced: some similar to it, some not."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(n + 1, " ".join(base))]
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.randrange(7)):
+            w[rng.randrange(80)] = f"n{rng.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_crowds_cost_a_pair_a_member(spark, monkeypatch):
+    rows, tested = crowd(400), []
+    real = ngram_join.links_of
+    monkeypatch.setattr(ngram_join, "links_of", lambda pairs, sets: tested.append(pairs.count()) or real(pairs, sets))
+    same(table(ngram_join.op2_ngram_jaccard(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)), "n_shingles", "component_id"), brute.op2(rows))
+    assert sum(tested) < 12 * len(rows)
 
 
 def near_copies(seed, groups=12, members=9):
@@ -153,28 +181,19 @@ def test_ngram_join_of_shared_passages(spark):
     rows = passages(4)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     same(table(ngram_join.op2_ngram_jaccard(df), "n_shingles", "component_id"), brute.op2(rows))
-    found = ngram_join.shared(df, "text", 4)
-    assert ngram_join.rarest(found.where("bucket <> 0")).count() < found.count()
+    found = ngram_join.shared(ngram_join.described(df, "doc_id", "text"))
+    assert ngram_join.rarest(found).count() < found.count()
 
 
 def test_short_classes_are_compared(spark, monkeypatch):
     rows = near_copies(5, 6)
-    monkeypatch.setattr(ngram_join, "_packed", _all_short)
+    real = ngram_join.described
+    unsigned = lambda *a: real(*a).withColumns({"short": F.col("n_shingles") > 0, "sigs": F.lit(None).cast("array<long>")})
+    monkeypatch.setattr(ngram_join, "described", unsigned)
     got = table(ngram_join.op2_ngram_jaccard(spark.createDataFrame(rows, "doc_id long, text string")), "n_shingles", "component_id")
     same(got, brute.op2(rows))
 
 
-def _all_short(parts):
-    import pyarrow as pa
-
-    def run(batches):
-        for b in batches:
-            c = np.array([ngram_join.class_of(s) for s in ngram_join.shingle_sets(b.column("t"))], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.zeros(len(c), np.uint64).tobytes()]), pa.array([c.tobytes()]), pa.array([np.zeros(len(c), np.uint16).tobytes()])], names=["part", "sigs", "ids", "spare"])
-
-    return run
-
-
 def test_components_of_a_chain(spark):
     n = 60
     links = spark.createDataFrame([(i, i + 1) for i in random.Random(1).sample(range(n), n)], "a long, b long")
