@@ -7,12 +7,20 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 # --- fixed values: question keywords -------------------------------------------------------------------------------
-STOPWORDS = tuple(
-    """là gì như thế nào ở đâu khi bao giờ mấy ai sao có không cho của và các những được với về trong để ra đến từ này đó thì
-    hãy xin hỏi biết em mình tôi nhé ạ muốn xem thông tin phải làm sinh viên trường đại học kiến trúc đà nẵng nhà nhiêu
-    hiện tại năm cần hay tới lại hỗ trợ tên họ liên quan việc chuyện thứ viết nói bảo người bạn cậu mày tao ông bà anh chị
-    ơi vậy nữa luôn chứ rồi chưa chào hello hi hey alo vừa đang đã sẽ""".split()
-)
+# One word is left out, an institution's abbreviation: callers add their own (Keywords(stopwords=(*STOPWORDS, "..."))).
+STOPWORDS = (
+    "là", "gì", "như", "thế", "nào", "ở", "đâu", "khi", "bao", "giờ", "mấy",
+    "ai", "sao", "có", "không", "cho", "của", "và", "các", "những", "được",
+    "với", "về", "trong", "để", "ra", "đến", "từ", "này", "đó", "thì",
+    "hãy", "xin", "hỏi", "biết", "em", "mình", "tôi", "nhé", "ạ",
+    "muốn", "xem", "thông", "tin", "phải", "làm", "sinh", "viên",
+    "trường", "đại", "học", "kiến", "trúc", "đà", "nẵng",
+    "nhà", "nhiêu", "hiện", "tại", "năm", "cần", "hay", "tới", "lại",
+    "hỗ", "trợ", "tên", "họ", "liên", "quan", "việc", "chuyện", "thứ",
+    "viết", "nói", "bảo", "người", "bạn", "cậu", "mày", "tao", "ông", "bà",
+    "anh", "chị", "ơi", "vậy", "nữa", "luôn", "chứ", "rồi", "chưa",
+    "chào", "hello", "hi", "hey", "alo", "vừa", "đang", "đã", "sẽ",
+)
 COMPOUNDS = (
     "học phí", "học lại", "học cải thiện", "nộp học phí", "thời hạn", "hạn nộp", "hạn chót", "phúc khảo", "chuẩn đầu ra",
     "khảo sát", "bảo hiểm", "ngoại ngữ", "tin học", "quy đổi", "học kỳ 1", "học kỳ 2", "học kỳ i", "học kỳ ii", "khóa 2026",
@@ -72,7 +80,7 @@ class CategoryRules:
     default: str | None = None
 
 
-#: The three profiles of category rules; the longer lists are for callers to give.
+# --- fixed values: the three profiles of category rules ------------------------------------------------------------
 CATEGORIES = CategoryRules(
     (
         (("học phí", "bảo hiểm"), "Học phí", "Thu học phí & Bảo hiểm"),
@@ -83,6 +91,35 @@ CATEGORIES = CategoryRules(
 )
 
 
+#: Rules for what is uploaded; none has a subcategory.
+IMPORT_CATEGORIES = CategoryRules(
+    (
+        (("học phí", "bảo hiểm", "miễn giảm"), "Học phí", None),
+        (("phúc khảo",), "Khảo thí", None),
+        (("quy đổi", "chuẩn đầu ra"), "Chuẩn đầu ra", None),
+        (("khảo sát",), "Khảo sát", None),
+        (("tốt nghiệp", "xét tốt nghiệp"), "Đào tạo", None),
+        (("học bổng",), "Học bổng", None),
+    ),
+    500,
+)
+#: Rules for pages that a crawl finds beyond its lists.
+EXPANSION_CATEGORIES = CategoryRules(
+    (
+        (("học phí", "bảo hiểm", "học bổng", "công nợ"), "Học phí", None),
+        (("phúc khảo", "điểm thi", "khảo thí"), "Khảo thí", None),
+        (("quy đổi", "chuẩn đầu ra", "chứng chỉ"), "Chuẩn đầu ra", None),
+        (("khảo sát",), "Khảo sát", None),
+        (("tốt nghiệp", "xét tốt nghiệp", "đào tạo", "học phần"), "Đào tạo", None),
+        (("tuyển dụng", "việc làm"), "Tuyển dụng", None),
+        (("sinh viên", "hoạt động", "đoàn"), "Sinh viên", None),
+        (("nghiên cứu", "khoa học"), "Khoa học công nghệ", None),
+    ),
+    600,
+    "Thông báo",
+)
+
+
 @dataclass(frozen=True)
 class Fusion:
     keyword_weight: float = 0.4
@@ -100,8 +137,8 @@ class UploadLimits:
     max_files: int = 100
     max_bytes: int = 20 * 1024 * 1024
     max_total_bytes: int = 500 * 1024 * 1024
-    allowed: tuple[str, ...] = ("pdf", "docx", "html", "htm", "txt")
+    allowed: tuple[str, ...] = ("pdf", "docx", "html", "htm")
 
 
-UNSAFE_EXTENSIONS = ("exe", "bat", "cmd", "com", "scr", "msi", "vbs", "js", "ps1", "sh", "jar", "dll", "apk")
+UNSAFE_EXTENSIONS = ("exe", "bat", "cmd", "ps1", "dll", "sh", "vbs", "js", "py", "bin", "com", "scr", "msi")
 DEFAULT_KEYWORDS = Keywords()

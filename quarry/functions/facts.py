@@ -29,7 +29,8 @@ def title_number(c: Column) -> Column:
 
 
 def issuing_unit(c: Column, units: tuple[tuple[str, str], ...], chars: int = 600) -> Column:
-    """Name of the first unit whose phrase stands near the start; units: (lower-case phrase, name)."""
+    """Name of the first unit whose phrase stands near the start; units: (lower-case phrase, name). There is no default:
+    the phrases name an institution, so they are the caller's."""
     head, out = F.lower(F.substring(txt(c), 1, chars)), F.lit(None).cast("string")
     for phrase, name in reversed(units):
         out = F.when(head.contains(phrase), name).otherwise(out)

@@ -58,7 +58,11 @@ def strip_boilerplate_lines(c: Column, phrases: tuple[str, ...]) -> Column:
     return F.array_join(F.filter(F.split(txt(c), "\n"), lambda x: ~has(x)), "\n")
 
 
-def garbage_line(c: Column, footers: str = r"(?iuU)^(S6:|Luu:|PHO TRUONG|KT\.\s|Noi nhan|PHONG )") -> Column:
+#: How footers begin. A signer's name, which the rules had too, is for callers to add.
+FOOTERS = r"(?iuU)^(S6:|Luu:|PHO TRUONG|KT\.\s|Noi nhan|PHONG )"
+
+
+def garbage_line(c: Column, footers: str = FOOTERS) -> Column:
     """Too short, a capital-letter heading, or the start of a footer."""
     heading = c.rlike(r"^[A-Z\s.\-/\\&()]+$") & (F.length(c) < 60)
     return (F.length(c) < 5) | heading | c.rlike(footers)

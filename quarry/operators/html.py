@@ -188,10 +188,17 @@ def classify_pages(pages: DataFrame, items: DataFrame, details: DataFrame) -> Da
     return pages.join(n, "page_id", "left").join(d, "page_id", "left").withColumn("page_kind", kind).drop("_n", "_d")
 
 
-def discover_links(events: DataFrame, known: DataFrame, base: str, least: int = 15, link: str = r"(?i)\.html($|[?#])") -> DataFrame:
-    """(page_id, pos, url, text): links (.html ones, by default) whose text has more than least characters, each url once (first page, then
-    position), known ones left out."""
+def discover_links(events: DataFrame, known: DataFrame, base: str, least: int = 15, link: str = r"(?i)\.html($|[?#])", sections: DataFrame | None = None, first_pages: int = 2) -> DataFrame:
+    """(page_id, pos, url, text): links (.html ones, by default) whose text has more than least characters, each url once
+    (first page, then position), known ones left out. sections: (page_id, section, page), the pages of lists; beyond
+    first_pages a section ends with its first page that adds no url."""
     links = events.where(F.col("kind").isin("row", "card", "link") & F.col("href").rlike(link) & (F.length("text") > least))
     u = links.select("page_id", "pos", absolute_url(F.col("href"), base).alias("url"), "text")
     first = u.groupBy("url").agg(F.min(F.struct("page_id", "pos", "text")).alias("f")).select("url", "f.*")
-    return first.join(known.select("url").distinct(), "url", "left_anti")
+    new = first.join(known.select("url").distinct(), "url", "left_anti")
+    if sections is None:
+        return new
+    added = sections.join(new.groupBy("page_id").agg(F.count("*").alias("_n")), "page_id", "left")
+    ends = added.where((F.col("page") > first_pages) & F.col("_n").isNull()).groupBy("section").agg(F.min("page").alias("_end"))
+    read = sections.join(ends, "section", "left").where(F.col("_end").isNull() | (F.col("page") < F.col("_end"))).select("page_id")
+    return new.join(read.distinct(), "page_id", "left_semi")

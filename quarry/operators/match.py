@@ -86,19 +86,21 @@ def contains_join(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
 
 def enrich_by_title(details: DataFrame, notices: DataFrame) -> DataFrame:
     """notices with what details add: the first notice whose title holds the detail's or is held by it gets missing
-    attachments, and the date if it has none; details without one become notices (the first per url, else title)."""
-    low = lambda c: F.lower(strip(txt(c)))
-    d = details.select("detail_ordinal", low("title").alias("dt")).where("dt <> ''")
-    n = notices.select("ordinal", low("title").alias("nt")).where("nt <> ''")
+    attachments, and the first date that isn't empty if it has none; details without one become notices (the first per
+    url, else title, unless a notice has that key). Cases count. Details are matched with the given notices at once:
+    a later detail isn't matched with a notice that an earlier one became."""
+    d = details.select("detail_ordinal", txt("title").alias("dt")).where("dt <> ''")
+    n = notices.select("ordinal", txt("title").alias("nt")).where("nt <> ''")
     pairs = contains_join(n, d, F.contains("nt", "dt") | F.contains("dt", "nt")).groupBy("detail_ordinal").agg(F.min("ordinal").alias("ordinal"))
     given = details.join(pairs, "detail_ordinal").groupBy("ordinal").agg(
         F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("detail_ordinal", _list("attachments").alias("a")))), lambda x: x["a"]))).alias("_a"),
-        F.min_by("date", "detail_ordinal").alias("_d"),
+        F.min_by("date", F.when(txt("date") != "", F.col("detail_ordinal"))).alias("_d"),
     )
     out = notices.join(given, "ordinal", "left").withColumns({"attachments": attachment_union(F.col("attachments"), F.col("_a")), "date": F.coalesce(F.nullif("date", F.lit("")), F.col("_d"))}).drop("_a", "_d")
     rest = details.join(pairs, "detail_ordinal", "left_anti")
     key = F.coalesce(F.nullif("detail_url", F.lit("")), F.nullif("title", F.lit("")))
-    firsts = rest.groupBy(key.alias("_k")).agg(F.min("detail_ordinal").alias("detail_ordinal")).select("detail_ordinal")
+    firsts = rest.groupBy(key.alias("_k")).agg(F.min("detail_ordinal").alias("detail_ordinal"))
+    firsts = firsts.join(notices.select(key.alias("_k")).where("_k is not null").distinct(), "_k", "left_anti").select("detail_ordinal")
     top = notices.agg(F.coalesce(F.max("ordinal"), F.lit(-1)).alias("_top"))
     fresh = rest.join(firsts, "detail_ordinal").join(top).withColumn("ordinal", F.col("_top") + 1 + F.col("detail_ordinal")).drop("_top", "detail_ordinal")
     return out.unionByName(fresh, allowMissingColumns=True)

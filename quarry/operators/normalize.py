@@ -75,6 +75,12 @@ def normalization_report(docs: DataFrame) -> DataFrame:
     )
 
 
+def normalization_summary(docs: DataFrame) -> DataFrame:
+    """The report's part by document: (ordinal, id, title, document_number, category, has_ocr, total_pages, content_chars,
+    warnings)."""
+    return docs.select("ordinal", "id", "title", "document_number", "category", F.col("file_ordinal").isNotNull().alias("has_ocr"), "total_pages", F.length(txt("content")).alias("content_chars"), F.col("norm_warnings").alias("warnings"))
+
+
 def reapply_validity(docs: DataFrame, as_of: str, parity: bool = True) -> DataFrame:
     """The catalogue with suggested statuses decided anew; verified rows stay as they are."""
     keep = old = docs.columns
@@ -88,7 +94,7 @@ def reapply_validity(docs: DataFrame, as_of: str, parity: bool = True) -> DataFr
     return v.select(*keep, *[c for c in new if c not in keep])
 
 
-def import_hints(pages: DataFrame, as_of: str, rules: config.CategoryRules = config.CATEGORIES, units: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+def import_hints(pages: DataFrame, as_of: str, rules: config.CategoryRules = config.IMPORT_CATEGORIES, units: tuple[tuple[str, str], ...] = ()) -> DataFrame:
     """What an uploaded file's pages suggest. pages: (id, file_name, pages). Adds title (from the file name), number, date,
     unit, category, validity, and score and status with the import profile."""
     first = F.coalesce(F.get(F.col("pages"), 0)["cleaned_text"], F.get(F.col("pages"), 0)["raw_text"], F.lit(""))

@@ -160,6 +160,11 @@ def quality_report(scored: DataFrame) -> DataFrame:
     )
 
 
+def quality_report_documents(scored: DataFrame) -> DataFrame:
+    """The report's part by document: (document_id, title, status, score, issues, warnings, checks)."""
+    return scored.select(F.col("id").alias("document_id"), "title", "quality.status", "quality.score", "issues", "warnings", "checks")
+
+
 def validity_counts(docs: DataFrame) -> DataFrame:
     """Rows per suggested status, verified ones left out."""
     return docs.where(~F.coalesce("is_verified", F.lit(False))).groupBy("suggested_status").agg(F.count("*").alias("n"))

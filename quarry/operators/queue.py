@@ -120,7 +120,7 @@ def recover_stale(queue: DataFrame, now: Column, minutes: int = 5, alive: DataFr
 def claim(queue: DataFrame, slots: int, now: Column, pid: int | None = None) -> DataFrame:
     """The oldest pending rows, as many as slots, become PROCESSING."""
     ids = queue.where("status = 'PENDING'").orderBy("created_at", "id").limit(slots).select(F.col("id").alias("_id"))
-    q = queue.join(F.broadcast(ids), F.col("id") == F.col("_id"), "left")
+    q = queue.join(ids, F.col("id") == F.col("_id"), "left")
     hit = F.col("_id").isNotNull()
     return q.withColumns({"status": F.when(hit, "PROCESSING").otherwise(F.col("status")), "processing_started_at": F.when(hit, now).otherwise(F.col("processing_started_at")), "worker_pid": F.when(hit, F.lit(pid).cast("int")).otherwise(F.col("worker_pid")), "updated_at": F.when(hit, now).otherwise(F.col("updated_at"))}).drop("_id")
 

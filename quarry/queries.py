@@ -6,7 +6,8 @@ hit this prose replace the Vietnamese ones, which tests/ covers."""
 
 from __future__ import annotations
 
-import zlib
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,7 @@ from quarry import config
 from quarry.functions import facts, ids, retrieval, text
 from quarry.operators import catalog, chat, chunk, html, match, normalize, quality, queue, retrieve
 from quarry.plans.answering import answer_questions
+from quarry.sources import tables
 
 LISTS = config.Keywords(stopwords=("and", "the", "that", "with"), compounds=("of the", "in the"), core_words=("the", "tion", "ing"), synonyms=())
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,27 +64,27 @@ WITH cat AS (
 
 
 def import_queue(s: SparkSession, d: str) -> DataFrame:
-    """Events as queue rows: the type is the status, in the order of its name."""
-    kind = F.element_at(F.array(*map(F.lit, queue.STATUSES)), (F.pmod(F.crc32(F.col("event_type").cast("binary")), F.lit(6)) + 1).cast("int"))
-    e = read(s, d, "events")
+    """Events as queue rows in all statuses; some with edited metadata, hints and a suggested status, some with an empty
+    edit, some without any."""
+    i = F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, queue.STATUSES)), (i % 6 + 1).cast("int"))
+    page = F.struct(F.lit(1).alias("page_number"), F.col("props").alias("raw_text"), F.col("props").alias("cleaned_text"))
+    said = F.struct(F.array(page).alias("pages"), F.struct(F.when(i % 3 != 0, F.col("event_type")).alias("title_candidate")).alias("metadata_hints"), F.struct(F.when(i % 5 == 0, "expired").alias("suggested_status")).alias("validity_analysis"))
+    edited = F.when(i % 4 == 0, F.to_json(F.struct(F.concat(F.lit("edited "), i.cast("string")).alias("title"), F.lit("C").alias("category")))).when(i % 4 == 1, '{"title":"","category":""}')
     null = lambda c, t="string": F.lit(None).cast(t).alias(c)
-    return e.select(
-        F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("uploaded_by_id"), F.concat(F.lit("f"), F.col("event_id").cast("string"), F.lit(".pdf")).alias("original_name"), null("storage_path"), null("mime_type"), F.lit("pdf").alias("file_format"),
-        F.floor(F.col("value") * 1000).cast("long").alias("size_bytes"), F.sha2(F.concat_ws("|", "event_type", "user_id"), 256).alias("checksum"), kind.alias("status"), F.lit("MANUAL_UPLOAD").alias("source_type"), null("source_url"), null("detail_url"), (F.col("user_id") % 25).cast("string").alias("crawl_job_id"), null("error_message"), F.lit(0).alias("retry_count"),
-        F.to_json(F.struct(F.array(F.struct(F.lit(1).alias("page_number"), F.col("props").alias("raw_text"), F.col("props").alias("cleaned_text"))).alias("pages"), F.struct(F.col("event_type").alias("title_candidate")).alias("metadata_hints"))).alias("extracted_json"),
-        null("edited_metadata"), null("document_id"), F.lit(1).alias("worker_pid"), F.col("ts").cast("timestamp").alias("processing_started_at"), null("processed_at", "timestamp"), null("published_at", "timestamp"), F.col("ts").cast("timestamp").alias("created_at"), F.col("ts").cast("timestamp").alias("updated_at"),
+    ts = F.col("ts").cast("timestamp")
+    return read(s, d, "events").select(
+        i.cast("string").alias("id"), F.col("user_id").cast("string").alias("uploaded_by_id"), F.concat(F.lit("f"), i.cast("string"), F.lit(".pdf")).alias("original_name"), null("storage_path"), null("mime_type"), F.lit("pdf").alias("file_format"),
+        F.floor(F.col("value") * 1000).cast("long").alias("size_bytes"), F.sha2(F.concat_ws("|", "event_type", "user_id"), 256).alias("checksum"), kind.alias("status"), F.lit("MANUAL_UPLOAD").alias("source_type"), null("source_url"), null("detail_url"),
+        (F.col("user_id") % 25).cast("string").alias("crawl_job_id"), null("error_message"), F.lit(0).alias("retry_count"), F.to_json(said).alias("extracted_json"), edited.alias("edited_metadata"), null("document_id"), F.lit(1).alias("worker_pid"),
+        ts.alias("processing_started_at"), null("processed_at", "timestamp"), null("published_at", "timestamp"), ts.alias("created_at"), ts.alias("updated_at"),
     )
 
 
-def _event_kinds() -> str:
-    names = ("click", "view", "purchase", "signup", "error")
-    return " ".join(f"WHEN '{n}' THEN '{queue.STATUSES[zlib.crc32(n.encode()) % 6]}'" for n in names)
-
-
 Q = f"""
 WITH q AS (
-  SELECT CAST(event_id AS VARCHAR) AS id, user_id, value, ts AS created_at, CAST(user_id % 25 AS VARCHAR) AS crawl_job_id, sha256(event_type || '|' || CAST(user_id AS VARCHAR)) AS checksum,
-    CASE event_type {_event_kinds()} END AS status
+  SELECT CAST(event_id AS VARCHAR) AS id, event_id, event_type, user_id, value, props, ts AS created_at, CAST(user_id % 25 AS VARCHAR) AS crawl_job_id, sha256(event_type || '|' || CAST(user_id AS VARCHAR)) AS checksum,
+    [{", ".join(f"'{x}'" for x in queue.STATUSES)}][CAST(event_id % 6 + 1 AS INTEGER)] AS status
   FROM events)
 """
 AS_OF = "2024-06-30"
@@ -103,23 +105,38 @@ def keyword_hits(s: SparkSession, d: str) -> DataFrame:
 
 def semantic_hits(s: SparkSession, d: str) -> DataFrame:
     e = read(s, d, "embeddings")
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("question_id"), "embedding")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), "embedding")
     v = e.select(F.col("vec_id").alias("ordinal"), F.col("vec_id").cast("string").alias("document_id"), F.lit(1).alias("page_number"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("title"), F.lit("").alias("text"), "embedding")
     return retrieve.top_semantic(q, v, 0.1, 5)
 
 
+def _vectors(s: SparkSession, d: str) -> DataFrame:
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    e = read(s, d, "embeddings")
+    return e.select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("vec_id").cast("string").alias("document_id"), F.lit("t").alias("title"), *map(none, ("document_number", "issue_date", "category")), F.lit(1).alias("page_number"), F.lit("x").alias("text"), F.col("embedding").cast("array<float>").alias("embedding"), F.lit("given").alias("model"))
+
+
+def _hybrid_questions(s: SparkSession, d: str) -> DataFrame:
+    return questions(s, d).join(read(s, d, "embeddings").select(F.col("vec_id").alias("question_id"), "embedding"), "question_id")
+
+
+def _hybrid_vectors(s: SparkSession, d: str) -> DataFrame:
+    return _vectors(s, d).withColumn("ordinal", F.col("chunk_id").cast("long")).drop("chunk_id", "model")
+
+
 def notices(s: SparkSession, d: str) -> DataFrame:
     """Documents as notices: a date as printed, and an order sentence as content."""
     return catalogue(s, d).select("ordinal", "title", F.concat_ws("/", F.substring("issue_date", 9, 2), F.substring("issue_date", 6, 2), F.substring("issue_date", 1, 4)).alias("date"), "detail_url", "attachments", F.lit("").alias("content"), "document_number", F.lit(None).cast("string").alias("published_date"), "category", F.lit("ok").alias("crawl_status"), F.lit("2024-01-01").alias("crawled_at"), F.lit("list").alias("content_source"), F.array().cast("array<string>").alias("attachments_downloaded"))
 
 
 def extracted(s: SparkSession, d: str) -> DataFrame:
-    """Every second document as an extracted file, with order sentences as text."""
-    c = catalogue(s, d).where("ordinal % 2 = 0")
+    """Every document as an extracted file, order sentences and then its whole text as its page. Keys are such that each
+    rule of a match decides for some, and none for others."""
+    c, i = catalogue(s, d), F.col("ordinal")
     on = lambda days: F.date_add(F.coalesce("issue_date", F.lit("2024-03-01")).cast("date"), days)
-    said = F.concat(F.lit("Số: "), F.coalesce("document_number", F.lit("7/TB")), F.lit("\nHạn cuối đến ngày "), F.date_format(on(90), "dd/MM/yyyy"), F.lit("\n"), F.substring("content", 1, 400))
+    said = F.concat(F.lit("Số: "), F.coalesce("document_number", F.lit("7/TB")), F.lit("\nHạn cuối đến ngày "), F.date_format(on(90), "dd/MM/yyyy"), F.lit("\n"), F.col("content"))
     page = F.struct(F.lit(1).alias("page_number"), said.alias("raw_text"), said.alias("cleaned_text"), F.lit("ok").alias("extraction_status"))
-    return c.select(F.col("ordinal").alias("file_ordinal"), F.concat(F.lit("x/"), F.col("id")).alias("extracted_file"), F.concat(F.lit("a"), F.col("id"), F.lit(".pdf")).alias("source_file"), F.lit("").alias("source_url"), F.col("title").alias("notification_title"), F.lit(-1).alias("notification_index"), F.lit("pdf").alias("file_format"), F.lit(1).alias("total_pages"), F.array(page).alias("pages"), F.lit(None).cast("string").alias("ocr_quality"))
+    return c.select(F.col("ordinal").alias("file_ordinal"), F.concat(F.lit("x/"), F.col("id")).alias("extracted_file"), F.concat(F.when(i % 8 == 4, "none").otherwise("a"), F.col("id"), F.lit(".pdf")).alias("source_file"), F.when(i % 12 == 0, F.concat(F.lit("http://docs.example/a"), F.col("id"), F.lit(".pdf"))).otherwise("").alias("source_url"), F.when(i % 3 == 2, F.concat(F.lit("other "), "title")).otherwise(F.col("title")).alias("notification_title"), F.when(i % 10 == 0, i).otherwise(F.lit(-1)).cast("int").alias("notification_index"), F.lit("pdf").alias("file_format"), F.lit(1).alias("total_pages"), F.array(page).alias("pages"), F.lit(None).cast("string").alias("ocr_quality"))
 
 
 def pages(s: SparkSession, d: str) -> DataFrame:
@@ -157,14 +174,29 @@ def uploads(s: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("user_id").alias("batch_id"), F.concat(F.lit("n"), F.col("event_id").cast("string"), F.lit("."), ext).alias("name"), size.alias("size_bytes"), F.sha2(F.concat_ws("|", "event_type", "user_id"), 256).alias("checksum"), F.col("event_id").alias("file_ordinal"))
 
 
-def ids_of(s: SparkSession, n: int, name: str = "id") -> DataFrame:
-    return s.range(0, n * 7, 7).select(F.col("id").cast("string").alias(name))
+def some_of(s: SparkSession, d: str, table: str, col: str, name: str = "id") -> DataFrame:
+    """The rows that somebody picked: ids of a table that 7 divides, and as many that it doesn't have."""
+    i = read(s, d, table).where(F.col(col) % 7 == 0).select(F.col(col).alias("i")).distinct()
+    return i.union(i.select(-F.col("i") - 1)).select(F.col("i").cast("string").alias(name))
+
+
+def fresh_uploads(s: SparkSession, d: str) -> DataFrame:
+    """Uploads of which every second one holds something that the queue doesn't."""
+    return uploads(s, d).withColumn("checksum", F.when(F.col("file_ordinal") % 2 == 0, F.sha2(F.concat(F.lit("new "), (F.col("file_ordinal") % 1000).cast("string")), 256)).otherwise(F.col("checksum")))
 
 
 def now():
     return F.lit("2024-03-01 00:00:00").cast("timestamp")
 
 
+def _again(s: SparkSession, write: Callable[[str], None], back: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """What is read back from a table that was written to the shared folder."""
+    base = s.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/quarry"
+    path = f"{base.rstrip('/')}/query-{uuid.uuid4().hex}"
+    write(path)
+    return back(s, path)
+
+
 def queries() -> dict[str, Query]:
     """Names and queries; columns are made when a query is called, so no session is needed before that."""
     return {name: lambda s, d, name=name: _queries(F.col("text"))[name](s, d) for name in _queries(None)}
@@ -194,7 +226,7 @@ def _queries(t: Column | None) -> dict[str, Query]:
         "normalize_title": lambda s, d: docs(s, d, ids.normalize_title(F.concat(F.substring_index(t, "\n", 1), F.lit(" - 03/08/2026"))).alias("title")),
         "document_year": lambda s, d: read(s, d, "orders").select("o_orderkey", ids.document_year(F.lit("/u/202501/a.pdf"), F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "dd/MM/yyyy"))).alias("year")),
         "file_format": lambda s, d: uploads(s, d).select("file_ordinal", ids.file_format(F.col("name"), F.lit("application/pdf")).alias("format"), ids.sharded_path(F.col("checksum"), ids.extension(F.col("name"))).alias("path")),
-        "magic_format": lambda s, d: read(s, d, "pages").select("page_id", F.coalesce(ids.magic_format(F.concat(F.lit("%PDF"), F.col("html")).cast("binary")), F.lit("-")).alias("kind"), ids.checksum(F.col("html")).alias("checksum")),
+        "magic_format": lambda s, d: read(s, d, "pages").select("page_id", F.coalesce(ids.magic_format(F.concat(F.element_at(F.array(*[F.unhex(F.lit(x)) for x in ("25504446", "D0CF11E0", "504B0304", "00")]), (F.col("page_id") % 4 + 1).cast("int")), F.col("html").cast("binary"))), F.lit("-")).alias("kind"), ids.checksum(F.col("html")).alias("checksum")),
         "status_label": lambda s, d: cat(s, d).select("id", catalog.status_label(F.col("effective_status")).alias("label")),
         "user_roster": lambda s, d: catalog.user_roster(users(s, d)).drop("created_at"),
         "question_log_status": lambda s, d: messages(s, d).select("id", chat.question_log_status(F.col("citations")).alias("state")),
@@ -203,7 +235,7 @@ def _queries(t: Column | None) -> dict[str, Query]:
         "access_state": lambda s, d: read(s, d, "pages").select("page_id", html.access_state(F.col("html"), F.col("url"), F.when(F.col("page_id") % 9 == 0, 403)).alias("state")),
         # catalogue
         "search_catalogue": lambda s, d: catalog.search_catalogue(cat(s, d), "tion", "en", "all", "2024-0").select("id", "title"),
-        "search_catalogue_ui": lambda s, d: catalog.search_catalogue(cat(s, d), "  the ", "", "effective", "", trim=True).select("id", "title"),
+        "search_catalogue_ui": lambda s, d: catalog.search_catalogue(cat(s, d), "  the ", "", "active", "", trim=True).select("id", "title"),
         "search_catalogue_admin": lambda s, d: catalog.search_catalogue(cat(s, d), "ing", "all", "unverified", "", admin=True).select("id", "title"),
         "get_document": lambda s, d: catalog.get_document(cat(s, d), "17").select("id", "title", "category"),
         "drop_short": lambda s, d: catalog.drop_short(cat(s, d)).select("id"),
@@ -239,14 +271,14 @@ def _queries(t: Column | None) -> dict[str, Query]:
         "allowed_documents": lambda s, d: read(s, d, "pages").select("page_id", match.allowed_document(F.concat("url", F.when(F.col("page_id") % 2 == 0, F.lit(".pdf")).otherwise(F.lit(".exe")))).alias("ok")),
         "reject_unsafe": lambda s, d: match.reject_unsafe(uploads(s, d), config.UNSAFE_EXTENSIONS, "name").select("file_ordinal", "error_code"),
         "match_extracted": lambda s, d: match.match_extracted(notices(s, d), extracted(s, d)).select("ordinal", F.coalesce("match_rule", F.lit(0)).alias("match_rule"), F.coalesce("file_ordinal", F.lit(-1)).alias("file_ordinal")),
-        "match_details": lambda s, d: match.match_details(cat(s, d).where("ordinal % 2 = 0").select(F.col("ordinal").alias("detail_ordinal"), F.col("detail_url").alias("url"), "title"), notices(s, d)).select("detail_ordinal", "notice_ordinal"),
+        "match_details": lambda s, d: match.match_details(cat(s, d).select(F.col("ordinal").alias("detail_ordinal"), F.when(F.col("ordinal") % 2 == 0, F.col("detail_url")).otherwise(F.concat(F.lit("http://other.example/x"), "id")).alias("url"), "title"), notices(s, d)).select("detail_ordinal", "notice_ordinal"),
         "match_detail_pair": lambda s, d: notices(s, d).select("ordinal", match.match_detail_pair({"post_id": F.lit(""), "canonical_url": F.lit(""), "url": F.concat(F.lit("http://other/d"), (F.col("ordinal") % 3 * F.col("ordinal")).cast("string"), F.lit(".html")), "title": F.lit("")}, {"post_id": F.lit(""), "detail_url": F.col("detail_url"), "title": F.col("title")}).alias("same")),
-        "enrich_by_title": lambda s, d: match.enrich_by_title(read(s, d, "benchmark").select(F.col("item_id").alias("detail_ordinal"), F.substring("text", 1, 12).alias("title"), F.lit("01/02/2024").alias("date"), F.array(F.concat(F.lit("b"), F.col("item_id").cast("string"))).alias("attachments"), F.lit("").alias("detail_url")), notices(s, d)).select("ordinal", F.coalesce("date", F.lit("")).alias("date"), F.size("attachments").alias("n")),
-        "link_local_files": lambda s, d: match.link_local_files(read(s, d, "benchmark").select(F.concat(F.substring("text", 1, 9), F.lit(".pdf")).alias("name")), notices(s, d)).select("ordinal", F.size("attachments").alias("n")),
+        "enrich_by_title": lambda s, d: match.enrich_by_title(cat(s, d).select(F.col("ordinal").alias("detail_ordinal"), F.when(F.col("ordinal") % 9 == 0, F.concat(F.lit("New: "), "id")).otherwise(F.col("title")).alias("title"), F.when(F.col("ordinal") % 2 == 0, "01/02/2024").otherwise("").alias("date"), F.array(F.concat(F.lit("b"), "id")).alias("attachments"), F.lit("").alias("detail_url")), notices(s, d)).select("ordinal", F.coalesce("date", F.lit("")).alias("date"), F.size("attachments").alias("n")),
+        "link_local_files": lambda s, d: match.link_local_files(cat(s, d).select(F.concat(F.when(F.col("ordinal") % 3 == 0, F.col("title")).when(F.col("ordinal") % 3 == 1, F.concat(F.lit("a"), "id")).otherwise(F.concat(F.lit("none "), "id")), F.lit(".pdf")).alias("name")).distinct(), notices(s, d)).select("ordinal", F.size("attachments").alias("n")),
         "attachment_index": lambda s, d: match.attachment_index(notices(s, d)).select("name", "ordinal"),
         "lookup_attachments": lambda s, d: match.lookup_attachments(extracted(s, d).select("file_ordinal", "source_file"), match.attachment_index(notices(s, d))).select("file_ordinal", "notice_ordinal"),
-        "find_detail_file": lambda s, d: match.find_detail_file(notices(s, d), cat(s, d).where("ordinal % 3 = 0").select(F.concat(F.lit("d"), F.col("id"), F.when(F.col("ordinal") % 2 == 0, ".html").otherwise("-x.html")).alias("file"))).select("ordinal", "detail_file"),
-        "apply_details": lambda s, d: match.apply_details(notices(s, d), cat(s, d).where("ordinal % 2 = 0").select((F.floor(F.col("ordinal") / 4) * 4).alias("notice_ordinal"), F.col("ordinal").alias("detail_ordinal"), "content", "attachments", F.lit("01/01/2024").alias("date"), F.lit("1/TB").alias("document_number"), "title", F.lit("detail").alias("source"))).select("ordinal", F.length("content").alias("n_content"), "date", "document_number", "crawl_status"),
+        "find_detail_file": lambda s, d: match.find_detail_file(notices(s, d), cat(s, d).select(F.concat(F.element_at(F.array(F.lit("d"), F.lit("e"), F.lit("other")), (F.col("ordinal") % 3 + 1).cast("int")), F.when(F.col("ordinal") % 3 == 1, F.concat(F.lit("-d"), "id")).otherwise(F.col("id")), F.lit(".html")).alias("file"))).select("ordinal", "detail_file"),
+        "apply_details": lambda s, d: match.apply_details(notices(s, d), cat(s, d).select((F.floor(F.col("ordinal") / 4) * 4).alias("notice_ordinal"), F.col("ordinal").alias("detail_ordinal"), "content", "attachments", F.lit("01/01/2024").alias("date"), F.lit("1/TB").alias("document_number"), "title", F.lit("detail").alias("source"))).select("ordinal", F.length("content").alias("n_content"), "date", "document_number", "crawl_status"),
         "needs_ocr": lambda s, d: match.needs_ocr(cat(s, d).select(F.concat(F.lit("a"), F.col("id"), F.lit(".pdf")).alias("path")), extracted(s, d).select(F.regexp_replace("source_file", "pdf$", "json").alias("source_file"), F.when(F.col("file_ordinal") % 6 == 0, "ocr").otherwise("ok").alias("extraction_status"))).select("path"),
         # quality
         "page_scores": lambda s, d: quality.score_pages(pages(s, d), ((r"\bthe\b", "the"),)).select("id", "page_number", "quality.score", "quality.label", F.array_join("quality.warnings", ",").alias("warnings")),
@@ -283,39 +315,74 @@ def _queries(t: Column | None) -> dict[str, Query]:
         "next_batch": lambda s, d: queue.next_batch(q(s, d)).select("id"),
         "recent_imports": lambda s, d: queue.recent_imports(q(s, d)).select("id"),
         "recent_jobs": lambda s, d: queue.recent_jobs(conversations(s, d)).select("id"),
-        "crawl_jobs_with_counts": lambda s, d: queue.crawl_jobs_with_counts(s.range(30).select(F.col("id").cast("string").alias("id")), q(s, d)),
+        "crawl_jobs_with_counts": lambda s, d: queue.crawl_jobs_with_counts(read(s, d, "events").select((F.col("user_id") % 30).cast("string").alias("id")).distinct(), q(s, d)),
         "queue_with_uploader": lambda s, d: queue.queue_with_uploader(q(s, d), users(s, d)).select("id", "uploader_name"),
-        "intake": lambda s, d: queue.intake(queue.validate_uploads(uploads(s, d)), q(s, d).where("crawl_job_id < '13'"), now()).select("file_ordinal", "status"),
-        "intake_crawled": lambda s, d: queue.intake_crawled(uploads(s, d).withColumns({"title": F.col("name"), "document_number": F.lit("1/TB"), "date": F.lit("2024-01-01")}), q(s, d).where("crawl_job_id < '13'"), "job", now()).select("file_ordinal", "status"),
+        "intake": lambda s, d: queue.intake(queue.validate_uploads(fresh_uploads(s, d)), q(s, d), now()).select("file_ordinal", "status"),
+        "intake_crawled": lambda s, d: queue.intake_crawled(fresh_uploads(s, d).withColumns({"title": F.col("name"), "document_number": F.lit("1/TB"), "date": F.lit("2024-01-01")}), q(s, d), "job", now()).select("file_ordinal", "status"),
         "recover_stale": lambda s, d: queue.recover_stale(q(s, d), F.lit("2024-01-15").cast("timestamp")).select("id", "status"),
         "claim": lambda s, d: queue.claim(q(s, d), 25, now(), 9).select("id", "status"),
-        "apply_results": lambda s, d: queue.apply_results(q(s, d), ids_of(s, 200).withColumns({"extracted_json": F.lit("{}"), "error": F.when(F.col("id").cast("int") % 2 == 0, "bad")}), now(), prefill=True).select("id", "status", "retry_count"),
-        "edit_metadata": lambda s, d: queue.edit_metadata(q(s, d), ids_of(s, 200).withColumn("edited_metadata", F.lit("{}")), now()).select("id", "edit_outcome"),
-        "verify_queue": lambda s, d: queue.verify_queue(q(s, d), ids_of(s, 200), "me", now()).select("id", F.get_json_object("edited_metadata", "$.verified_by").alias("verified_by")),
-        "resolve_metadata": lambda s, d: queue.resolve_metadata(q(s, d)).select("id", "meta.title", "meta.category"),
-        "requeue": lambda s, d: queue.requeue(q(s, d), ids_of(s, 200), now()).select("id", "status", "retry_count"),
-        "delete_queue_rows": lambda s, d: queue.delete_queue_rows(q(s, d), ids_of(s, 200)).select("id"),
+        "apply_results": lambda s, d: queue.apply_results(q(s, d), some_of(s, d, "events", "event_id").withColumns({"extracted_json": F.lit("{}"), "error": F.when(F.col("id").cast("int") % 2 == 0, "bad")}), now(), prefill=True).select("id", "status", "retry_count"),
+        "edit_metadata": lambda s, d: queue.edit_metadata(q(s, d), some_of(s, d, "events", "event_id").withColumn("edited_metadata", F.lit("{}")), now()).select("id", "edit_outcome"),
+        "verify_queue": lambda s, d: queue.verify_queue(q(s, d), some_of(s, d, "events", "event_id"), "me", now()).select("id", F.get_json_object("edited_metadata", "$.verified_by").alias("verified_by")),
+        "resolve_metadata": lambda s, d: queue.resolve_metadata(q(s, d)).select("id", "meta.title", "meta.category", "meta.effective_status"),
+        "requeue": lambda s, d: queue.requeue(q(s, d), some_of(s, d, "events", "event_id"), now()).select("id", "status", "retry_count"),
+        "delete_queue_rows": lambda s, d: queue.delete_queue_rows(q(s, d), some_of(s, d, "events", "event_id")).select("id"),
         "publish": lambda s, d: queue.publish(q(s, d), cat(s, d), now())[1].select("id"),
         "publish_queue": lambda s, d: queue.publish(q(s, d), cat(s, d), now())[0].groupBy("status").agg(F.count("*").alias("n")),
         "batch_outcome": lambda s, d: queue.batch_outcome(uploads(s, d).select(F.element_at(F.array(*map(F.lit, ("ok", "duplicate", "failed"))), (F.col("file_ordinal") % 3 + 1).cast("int")).alias("outcome")), q(s, d)),
-        "update_validity": lambda s, d: queue.update_validity(cat(s, d), ids_of(s, 50).withColumns({"set_fields": F.array(F.lit("deadline")), "effective_status": F.when(F.col("id").cast("int") % 2 == 0, "bogus").otherwise("expired"), "deadline": F.lit(None).cast("string"), "verified_by": F.lit("me"), **{c: F.lit(None).cast("string") for c in ("effective_from", "effective_to", "replaced_by", "status_evidence", "status_rationale", "verification_note")}}), now()).select("id", "effective_status", "update_outcome", F.coalesce(F.size("status_history"), F.lit(0)).alias("n_history")),
-        "verify_documents": lambda s, d: queue.verify_documents(cat(s, d), ids_of(s, 400), "me", now())[1],
+        "update_validity": lambda s, d: queue.update_validity(cat(s, d), some_of(s, d, "documents", "doc_id").withColumns({"set_fields": F.array(F.lit("deadline")), "effective_status": F.when(F.col("id").cast("int") % 2 == 0, "bogus").otherwise("expired"), "deadline": F.lit(None).cast("string"), "verified_by": F.lit("me"), **{c: F.lit(None).cast("string") for c in ("effective_from", "effective_to", "replaced_by", "status_evidence", "status_rationale", "verification_note")}}), now()).select("id", "effective_status", "update_outcome", F.coalesce(F.size("status_history"), F.lit(0)).alias("n_history")),
+        "verify_documents": lambda s, d: queue.verify_documents(cat(s, d), some_of(s, d, "documents", "doc_id"), "me", now())[1],
         # chat
         "conversation_history": lambda s, d: chat.conversation_history(conversations(s, d), messages(s, d), None).where(F.size("messages") > 0).select("id", F.size("messages").alias("n"), F.get("messages", F.lit(0))["id"].alias("first_id")),
         "messages_in_order": lambda s, d: chat.messages_in_order(conversations(s, d), messages(s, d)).select("id", "conversation_id", "user_id"),
         "owned_by": lambda s, d: chat.owned_by(read(s, d, "orders").select((F.col("o_orderkey") * 2).cast("string").alias("conversation_id"), F.col("o_custkey").cast("string").alias("user_id")), conversations(s, d)).select("conversation_id", "user_id", "outcome"),
         "conversation_buckets": lambda s, d: chat.conversation_buckets(conversations(s, d), F.lit("1995-06-17")).groupBy("bucket").agg(F.count("*").alias("n")),
-        "delete_conversations": lambda s, d: chat.delete_conversations(conversations(s, d), messages(s, d), ids_of(s, 20))[1].select("id"),
-        "append_exchange": lambda s, d: chat.append_exchange(conversations(s, d), messages(s, d), ids_of(s, 20, "conversation_id").withColumns({"exchange_id": F.concat(F.lit("x"), F.col("conversation_id")), "question": F.lit("q"), "answer": F.lit("a"), "citations": F.lit("[]"), "model_used": F.lit("m")}), now())[1].groupBy("role").agg(F.count("*").alias("n")),
+        "delete_conversations": lambda s, d: chat.delete_conversations(conversations(s, d), messages(s, d), some_of(s, d, "conversations", "conv_id"))[1].select("id"),
+        "append_exchange": lambda s, d: chat.append_exchange(conversations(s, d), messages(s, d), some_of(s, d, "conversations", "conv_id", "conversation_id").withColumns({"exchange_id": F.concat(F.lit("x"), F.col("conversation_id")), "question": F.lit("q"), "answer": F.lit("a"), "citations": F.lit("[]"), "model_used": F.lit("m")}), now())[1].groupBy("role").agg(F.count("*").alias("n")),
         "rename_conversation": lambda s, d: chat.rename_conversation(conversations(s, d), read(s, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").cast("string").alias("conversation_id"), F.col("o_custkey").cast("string").alias("user_id"), F.when(F.col("o_orderkey") % 2 == 0, " ").otherwise("new").alias("title")), now())[1].groupBy("outcome").agg(F.count("*").alias("n")),
         # html
         "list_items": lambda s, d: html.extract_list_items(events_of(s, d), "https://base.example", article="^/").select("page_id", "pos", "title", "detail_url"),
         "page_details": lambda s, d: html.extract_detail(events_of(s, d), "https://base.example").select("page_id", "title", F.length("content").alias("n"), F.size("attachments").alias("n_attachments")),
         "classify_pages": lambda s, d: html.classify_pages(read(s, d, "pages"), html.extract_list_items(events_of(s, d), "https://base.example", article="^/"), html.extract_detail(events_of(s, d), "https://base.example")).select("page_id", "page_kind"),
         "discover_links": lambda s, d: html.discover_links(events_of(s, d), s.createDataFrame([("https://base.example/of",)], "url string"), "https://base.example", 8, "^/").select("url", "page_id"),
+        # sources: written and read back
+        "write_catalogue": lambda s, d: _again(s, lambda path: tables.write_catalogue(cat(s, d), path), tables.read_catalogue).select("id", "title", "category", "total_pages", F.size("attachments").alias("n")),
+        "read_vectors": lambda s, d: _again(s, lambda path: tables.write_vectors(_vectors(s, d), path), tables.read_vectors).select("chunk_id", F.size("embedding").alias("n")),
+        "scan_table": lambda s, d: tables.scan_table(s, f"{d}/lineitem.parquet", ("l_orderkey", "l_quantity"), "l_quantity > 45"),
+        "top_hybrid": lambda s, d: retrieve.top_hybrid(_hybrid_questions(s, d), corpus(s, d), _hybrid_vectors(s, d), lists=LISTS).select("question_id", "document_id", "rank", "final_score"),
+        "user_prompt": lambda s, d: questions(s, d).select("question_id", F.sha2(retrieve.user_prompt(F.col("question"), F.concat(F.lit("context "), F.col("question_id").cast("string"))), 256).alias("prompt_sha")),
+        "quality_report_documents": lambda s, d: quality.quality_report_documents(quality.scored_documents(cat(s, d))).select("document_id", "status", "score", F.size("issues").alias("n_issues")),
+        "normalization_summary": lambda s, d: normalize.normalization_summary(normalize.normalize_documents(notices(s, d), extracted(s, d), AS_OF)).select("ordinal", "id", "has_ocr", "total_pages", "content_chars"),
     }
 
 
+BLANKS = "chr(32) || chr(10) || chr(9) || chr(13)"
+#: Documents cut in pages of ten lines, and what a page is taken for.
+PAGES = f"""
+WITH p AS (
+  SELECT id, i, array_to_string(l[i * 10 + 1 : i * 10 + 10], chr(10)) AS t FROM (SELECT doc_id AS id, string_split(text, chr(10)) AS l, unnest(range(CAST(greatest(ceil(len(string_split(text, chr(10))) / 10), 1) AS BIGINT))) AS i FROM documents)
+), r AS (
+  SELECT id, count(*) AS n_pages, CAST(sum(length(trim(t, {BLANKS}))) AS BIGINT) AS chars, CASE WHEN sum(length(trim(t, {BLANKS}))) < 200 THEN 'needs_ocr' ELSE 'ok' END AS extraction_status FROM p GROUP BY 1
+)
+"""
+DUPLICATES = CAT + """, k AS (
+  SELECT document_number AS n, arg_max(coalesce(substr(issue_date, 1, 4), ''), ordinal) AS y FROM cat WHERE ordinal % 10 < 5 AND document_number IS NOT NULL GROUP BY 1
+), j AS (
+  SELECT id, CASE WHEN source_url IN (SELECT source_url FROM cat WHERE ordinal % 10 = 1) OR title IN (SELECT title FROM cat WHERE ordinal % 10 = 2) THEN 'EXACT'
+    WHEN k.n IS NOT NULL AND NOT (coalesce(issue_date, '') <> '' AND y <> '' AND substr(issue_date, 1, 4) <> y) THEN 'LIKELY' ELSE 'NEW' END AS duplicate_status
+  FROM cat LEFT JOIN k ON document_number = k.n
+)
+"""
+HITS = "WITH p AS (SELECT q.vec_id AS question_id, v.vec_id AS ordinal, greatest(-1.0, least(1.0, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]))) AS sim FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY sim DESC, ordinal) AS rank FROM p WHERE sim >= 0.1) "
+UPLOADS = Q + """, u AS (
+  SELECT event_id, event_id % 4 < 2 AS allowed, CASE WHEN event_id % 17 = 0 THEN 0 ELSE CAST(floor(value * 1000) AS BIGINT) END AS size, count(*) OVER (PARTITION BY user_id) AS n, user_id,
+    CASE WHEN event_id % 2 = 0 THEN sha256('new ' || CAST(event_id % 1000 AS VARCHAR)) ELSE checksum END AS c FROM q
+), v AS (
+  SELECT *, allowed AND size BETWEEN 1 AND 20971520 AND n <= 100 AND sum(size) OVER (PARTITION BY user_id) <= 524288000 AS ok FROM u
+)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "collapse_space": "SELECT doc_id, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS n FROM documents",
@@ -330,12 +397,12 @@ def oracle_sql() -> dict[str, str]:
         "document_id": "SELECT page_id, 'doc_' || substr(sha256(url), 1, 12) AS id FROM pages",
         "document_year": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 AND year(o_orderdate) >= 2000 THEN CAST(year(o_orderdate) AS VARCHAR) ELSE '2025' END AS year FROM orders",
         "file_format": "SELECT event_id AS file_ordinal, x AS format, substr(c, 1, 2) || '/' || c || '.' || x AS path FROM (SELECT event_id, ['pdf','docx','doc','exe'][event_id % 4 + 1] AS x, sha256(event_type || '|' || CAST(user_id AS VARCHAR)) AS c FROM events)",
-        "magic_format": "SELECT page_id, 'pdf' AS kind, sha256(html) AS checksum FROM pages",
+        "magic_format": "SELECT page_id, ['pdf', 'ole2', 'zip', '-'][page_id % 4 + 1] AS kind, sha256(html) AS checksum FROM pages",
         "status_label": CAT + "SELECT id, CASE effective_status WHEN 'active' THEN 'In force' WHEN 'deadline_passed' THEN 'Deadline passed' WHEN 'expired' THEN 'Expired' WHEN 'replaced' THEN 'Replaced' ELSE 'Unverified' END AS label FROM cat",
         "user_roster": "SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, c_name || '@example.org' AS email, CASE WHEN c_custkey % 10 = 0 THEN 'Admin' ELSE 'User' END AS role_label, CASE WHEN c_custkey % 7 <> 0 THEN 'Active' ELSE 'Locked' END AS state_label, CAST(TIMESTAMP '2023-11-14 22:13:20' + INTERVAL 1 HOUR * c_custkey AS DATE) AS created_on FROM customer",
         "question_log_status": "SELECT concat_ws('_', conv_id, turn) AS id, CASE WHEN turn % 3 = 1 THEN 'answered' ELSE 'refused' END AS state FROM conversations",
         "search_catalogue": CAT + "SELECT id, title FROM cat WHERE (contains(lower(title), 'tion') OR contains(lower(coalesce(document_number, '')), 'tion') OR contains(lower(content), 'tion')) AND category = 'en' AND starts_with(issue_date, '2024-0')",
-        "search_catalogue_ui": CAT + "SELECT id, title FROM cat WHERE false",
+        "search_catalogue_ui": CAT + "SELECT id, title FROM cat WHERE (contains(lower(title), 'the') OR contains(lower(coalesce(document_number, '')), 'the') OR contains(lower(content), 'the')) AND effective_status = 'active'",
         "search_catalogue_admin": CAT + "SELECT id, title FROM cat WHERE contains(lower(title || ' ' || coalesce(issue_date, '') || ' ' || content), 'ing') AND effective_status IN ('unverified', 'unknown', '')",
         "get_document": CAT + "SELECT id, title, category FROM cat WHERE id = '17'",
         "drop_short": CAT + "SELECT id FROM cat WHERE length(title) >= 10 AND length(content) >= 120",
@@ -356,7 +423,7 @@ def oracle_sql() -> dict[str, str]:
         "download_stats": Q + "SELECT count(*) AS total, count(*) FILTER (WHERE status = 'PENDING') AS pending, count(*) FILTER (WHERE status = 'PUBLISHED') AS published FROM q",
         "allowed_documents": "SELECT page_id, regexp_matches(lower(regexp_extract(url || CASE WHEN page_id % 2 = 0 THEN '.pdf' ELSE '.exe' END, '^([^?#]*)', 1)), '\\.(pdf|docx?)$') AS ok FROM pages",
         "reject_unsafe": "SELECT event_id AS file_ordinal, CASE WHEN event_id % 4 = 3 THEN 'UNSAFE_FILE_EXTENSION' END AS error_code FROM events",
-        "match_extracted": CAT + ", n AS (SELECT ordinal, lower(trim(title)) AS t FROM cat), e AS (SELECT * FROM n WHERE ordinal % 2 = 0), m AS (SELECT ordinal, 3 AS rule, ordinal AS f FROM n WHERE ordinal % 4 = 0 UNION ALL SELECT n.ordinal, 4, e.ordinal FROM n JOIN e ON n.t = e.t AND length(n.t) >= 15), b AS (SELECT ordinal, min(CAST(rule AS BIGINT) * 1000000000 + f) AS k FROM m GROUP BY 1) SELECT n.ordinal, CAST(coalesce(k // 1000000000, 0) AS INTEGER) AS match_rule, CAST(coalesce(k % 1000000000, -1) AS BIGINT) AS file_ordinal FROM n LEFT JOIN b USING (ordinal)",
+        "match_extracted": CAT + ", n AS (SELECT ordinal, lower(trim(title)) AS t FROM cat), e AS (SELECT ordinal, lower(trim(CASE WHEN ordinal % 3 = 2 THEN 'other ' || title ELSE title END)) AS t FROM cat), m AS (SELECT ordinal, 1 AS rule, ordinal AS f FROM n WHERE ordinal % 10 = 0 UNION ALL SELECT ordinal, 2, ordinal FROM n WHERE ordinal % 12 = 0 UNION ALL SELECT ordinal, 3, ordinal FROM n WHERE ordinal % 8 = 0 UNION ALL SELECT n.ordinal, 4, e.ordinal FROM n JOIN e ON n.t = e.t AND length(n.t) >= 15), b AS (SELECT ordinal, min(CAST(rule AS BIGINT) * 1000000000000 + f) AS k FROM m GROUP BY 1) SELECT n.ordinal, CAST(coalesce(k // 1000000000000, 0) AS INTEGER) AS match_rule, CAST(coalesce(k % 1000000000000, -1) AS BIGINT) AS file_ordinal FROM n LEFT JOIN b USING (ordinal)",
         "validate_uploads": "WITH u AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, CASE WHEN event_id % 17 = 0 THEN 0 ELSE CAST(floor(value * 1000) AS BIGINT) END AS size FROM events), v AS (SELECT *, sum(size) OVER (PARTITION BY user_id) AS total FROM u) SELECT event_id AS file_ordinal, CASE WHEN n > 100 THEN 'BATCH_TOO_MANY_FILES' WHEN total > 524288000 THEN 'BATCH_TOO_LARGE' WHEN size = 0 THEN 'EMPTY_FILE' WHEN size > 20971520 THEN 'FILE_TOO_LARGE' WHEN event_id % 4 = 2 THEN 'OLD_DOC_FORMAT' WHEN event_id % 4 = 3 THEN 'UNSUPPORTED_FORMAT' END AS error FROM v",
         "queue_by_status": Q + "SELECT id FROM q WHERE status = 'PENDING'",
         "queue_stats": Q + "SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE status = '{x}') AS {x.lower()}" for x in queue.STATUSES) + " FROM q",
@@ -364,25 +431,60 @@ def oracle_sql() -> dict[str, str]:
         "next_batch": Q + "SELECT id FROM q WHERE status = 'PENDING' ORDER BY created_at, id LIMIT 20",
         "recent_imports": Q + "SELECT id FROM q ORDER BY created_at DESC, id LIMIT 5",
         "recent_jobs": "SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) LIMIT 20",
-        "crawl_jobs_with_counts": Q + "SELECT CAST(i AS VARCHAR) AS id, (SELECT count(*) FROM q WHERE crawl_job_id = CAST(i AS VARCHAR)) AS n_queued FROM range(30) r(i)",
+        "crawl_jobs_with_counts": Q + "SELECT CAST(j AS VARCHAR) AS id, (SELECT count(*) FROM q WHERE user_id % 25 = j) AS n_queued FROM (SELECT DISTINCT user_id % 30 AS j FROM events)",
         "queue_with_uploader": Q + "SELECT q.id, c_name AS uploader_name FROM q LEFT JOIN customer ON c_custkey = user_id",
         "recover_stale": Q + "SELECT id, CASE WHEN status = 'PROCESSING' AND created_at < TIMESTAMP '2024-01-14 23:55:00' THEN 'PENDING' ELSE status END AS status FROM q",
         "claim": Q + ", c AS (SELECT id FROM q WHERE status = 'PENDING' ORDER BY created_at, id LIMIT 25) SELECT id, CASE WHEN id IN (SELECT id FROM c) THEN 'PROCESSING' ELSE status END AS status FROM q",
-        "apply_results": Q + "SELECT id, CASE WHEN CAST(id AS INTEGER) % 7 = 0 AND CAST(id AS INTEGER) < 1400 THEN CASE WHEN CAST(id AS INTEGER) % 2 = 0 THEN 'FAILED' ELSE 'PROCESSED' END ELSE status END AS status, CASE WHEN CAST(id AS INTEGER) % 14 = 0 AND CAST(id AS INTEGER) < 1400 THEN 1 ELSE 0 END AS retry_count FROM q",
-        "edit_metadata": Q + "SELECT id, CASE WHEN CAST(id AS INTEGER) % 7 = 0 AND CAST(id AS INTEGER) < 1400 THEN CASE WHEN status = 'PUBLISHED' THEN 'refused' ELSE 'edited' END END AS edit_outcome FROM q",
-        "verify_queue": Q + "SELECT id, CASE WHEN CAST(id AS INTEGER) % 7 = 0 AND CAST(id AS INTEGER) < 1400 AND status = 'PROCESSED' THEN 'me' END AS verified_by FROM q",
-        "resolve_metadata": "SELECT CAST(event_id AS VARCHAR) AS id, event_type AS title, 'Thông báo' AS category FROM events",
-        "requeue": Q + ", r AS (SELECT *, CAST(id AS INTEGER) % 7 = 0 AND CAST(id AS INTEGER) < 1400 AND status <> 'PUBLISHED' AS hit FROM q) SELECT id, CASE WHEN hit THEN 'PENDING' ELSE status END AS status, CASE WHEN hit THEN 1 ELSE 0 END AS retry_count FROM r",
-        "delete_queue_rows": Q + "SELECT id FROM q WHERE NOT (CAST(id AS INTEGER) % 7 = 0 AND CAST(id AS INTEGER) < 1400 AND status <> 'PUBLISHED')",
+        "apply_results": Q + "SELECT id, CASE WHEN CAST(id AS INTEGER) % 7 = 0 THEN CASE WHEN CAST(id AS INTEGER) % 2 = 0 THEN 'FAILED' ELSE 'PROCESSED' END ELSE status END AS status, CASE WHEN CAST(id AS INTEGER) % 14 = 0 THEN 1 ELSE 0 END AS retry_count FROM q",
+        "edit_metadata": Q + "SELECT id, CASE WHEN CAST(id AS INTEGER) % 7 = 0 THEN CASE WHEN status = 'PUBLISHED' THEN 'refused' ELSE 'edited' END END AS edit_outcome FROM q",
+        "verify_queue": Q + "SELECT id, CASE WHEN CAST(id AS INTEGER) % 7 = 0 AND status = 'PROCESSED' THEN 'me' END AS verified_by FROM q",
+        "resolve_metadata": Q + "SELECT id, CASE WHEN event_id % 4 = 0 THEN 'edited ' || id WHEN event_id % 3 <> 0 THEN event_type ELSE 'f' || id || '.pdf' END AS title, CASE event_id % 4 WHEN 0 THEN 'C' WHEN 1 THEN '' ELSE 'Thông báo' END AS category, CASE WHEN event_id % 5 = 0 THEN 'expired' ELSE 'unverified' END AS effective_status FROM q",
+        "requeue": Q + ", r AS (SELECT *, CAST(id AS INTEGER) % 7 = 0 AND status <> 'PUBLISHED' AS hit FROM q) SELECT id, CASE WHEN hit THEN 'PENDING' ELSE status END AS status, CASE WHEN hit THEN 1 ELSE 0 END AS retry_count FROM r",
+        "delete_queue_rows": Q + "SELECT id FROM q WHERE NOT (CAST(id AS INTEGER) % 7 = 0 AND status <> 'PUBLISHED')",
         "batch_outcome": Q + "SELECT count(*) AS total, count(*) FILTER (WHERE CAST(id AS INTEGER) % 3 = 0) AS ok, count(*) FILTER (WHERE CAST(id AS INTEGER) % 3 = 1) AS duplicate, count(*) FILTER (WHERE CAST(id AS INTEGER) % 3 = 2) AS failed, count(*) FILTER (WHERE status = 'PENDING') AS remaining FROM q",
-        "verify_documents": CAT + "SELECT CAST(i AS VARCHAR) AS id, CASE WHEN CAST(i AS VARCHAR) IN (SELECT id FROM cat) THEN 'verified' ELSE 'missing' END AS outcome FROM range(0, 2800, 7) r(i)",
-        "update_validity": CAT + ", u AS (SELECT *, ordinal % 7 = 0 AND ordinal < 350 AS asked FROM cat) SELECT id, CASE WHEN asked AND ordinal % 2 = 1 THEN 'expired' ELSE effective_status END AS effective_status, CASE WHEN asked THEN CASE WHEN ordinal % 2 = 0 THEN 'refused' ELSE 'updated' END END AS update_outcome, CASE WHEN asked AND ordinal % 2 = 1 THEN 1 ELSE 0 END AS n_history FROM u",
+        "verify_documents": "SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id, 'verified' AS outcome FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT DISTINCT CAST(-doc_id - 1 AS VARCHAR), 'missing' FROM documents WHERE doc_id % 7 = 0",
+        "update_validity": CAT + ", u AS (SELECT *, ordinal % 7 = 0 AS asked FROM cat) SELECT id, CASE WHEN asked AND ordinal % 2 = 1 THEN 'expired' ELSE effective_status END AS effective_status, CASE WHEN asked THEN CASE WHEN ordinal % 2 = 0 THEN 'refused' ELSE 'updated' END END AS update_outcome, CASE WHEN asked AND ordinal % 2 = 1 THEN 1 ELSE 0 END AS n_history FROM u",
         "owned_by": "SELECT CAST(r.o_orderkey * 2 AS VARCHAR) AS conversation_id, CAST(r.o_custkey AS VARCHAR) AS user_id, CASE WHEN o.o_orderkey IS NULL THEN 'not_found' WHEN o.o_custkey <> r.o_custkey THEN 'forbidden' ELSE 'ok' END AS outcome FROM orders r LEFT JOIN orders o ON o.o_orderkey = r.o_orderkey * 2",
         "conversation_buckets": "SELECT CASE WHEN CAST(o_orderdate AS DATE) >= DATE '1995-06-17' THEN 'today' WHEN CAST(o_orderdate AS DATE) >= DATE '1995-06-16' THEN 'yesterday' WHEN CAST(o_orderdate AS DATE) >= DATE '1995-06-11' THEN 'last7Days' ELSE 'older' END AS bucket, count(*) AS n FROM orders GROUP BY 1",
         "conversation_history": "SELECT CAST(conv_id AS VARCHAR) AS id, CAST(count(*) AS INTEGER) AS n, arg_min(concat_ws('_', conv_id, turn), turn) AS first_id FROM conversations WHERE conv_id IN (SELECT o_orderkey FROM orders) GROUP BY 1, conv_id",
         "messages_in_order": "SELECT concat_ws('_', conv_id, turn) AS id, CAST(conv_id AS VARCHAR) AS conversation_id, CAST(o_custkey AS VARCHAR) AS user_id FROM conversations JOIN orders ON o_orderkey = conv_id",
-        "delete_conversations": "SELECT concat_ws('_', conv_id, turn) AS id FROM conversations WHERE NOT (conv_id % 7 = 0 AND conv_id < 140)",
+        "delete_conversations": "SELECT concat_ws('_', conv_id, turn) AS id FROM conversations WHERE NOT (conv_id % 7 = 0)",
         "rename_conversation": "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'blank' ELSE 'ok' END AS outcome, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1",
         "merge_new_documents": CAT + ", b AS (SELECT * FROM cat WHERE ordinal % 3 = 0), f AS (SELECT id, row_number() OVER (PARTITION BY lower(trim(title)) ORDER BY ordinal) AS r FROM cat WHERE ordinal % 3 <> 0 AND source_url NOT IN (SELECT source_url FROM b) AND lower(trim(title)) NOT IN (SELECT lower(trim(title)) FROM b)) SELECT id FROM b UNION ALL SELECT id FROM f WHERE r = 1",
-        "top_semantic": "WITH p AS (SELECT q.vec_id AS question_id, v.vec_id AS ordinal, greatest(-1.0, least(1.0, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]))) AS sim FROM embeddings q, embeddings v WHERE q.vec_id < 20), r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY sim DESC, ordinal) AS rank FROM p WHERE sim >= 0.1) SELECT question_id, CAST(ordinal AS VARCHAR) AS document_id, CAST(rank AS INTEGER) AS rank, floor(sim * 1000 + 0.5) / 1000 AS similarity FROM r WHERE rank <= 5",
+        "top_semantic": HITS + "SELECT question_id, CAST(ordinal AS VARCHAR) AS document_id, CAST(rank AS INTEGER) AS rank, floor(sim * 1000 + 0.5) / 1000 AS similarity FROM r WHERE rank <= 5",
+        "clean_text": rf"SELECT doc_id, sha256(trim(regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda x: rtrim(x)), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), {BLANKS})) AS clean_sha FROM documents",
+        "garbage_lines": r"SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: length(x) < 5 OR (regexp_matches(x, '^[A-Z\s.\-/\\&()]+$') AND length(x) < 60) OR regexp_matches(x, '(?i)^(S6:|Luu:|PHO TRUONG|KT\.\s|Noi nhan|PHONG )'))) AS INTEGER) AS n_garbage FROM documents",
+        "slug": r"SELECT page_id, lower(trim(regexp_replace(regexp_extract(regexp_replace(regexp_extract(regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*', ''), '^([^?#]*)', 1), '/+$', ''), '([^/]*)$', 1), '(.)\.[^.]*$', '\1'))) AS slug FROM pages",
+        "normalize_title": r"SELECT doc_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(split_part(text, chr(10), 1) || ' - 03/08/2026', '[-–—\s]*\b\d{1,2}/\d{1,2}/\d{4}\b[^\n]*$', ''), '[.\s\-_–—]+$', ''), '\s+', ' ', 'g'))) AS title FROM documents",
+        "conversation_title": r"WITH q AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS q FROM documents), h AS (SELECT *, substr(q, 1, 48) AS h, length(substr(q, 1, 48)) - strpos(reverse(substr(q, 1, 48)), ' ') AS k FROM q) SELECT doc_id, CASE WHEN length(q) <= 45 THEN q WHEN contains(h, ' ') AND k > 25 THEN substr(h, 1, k) || '...' ELSE h || '...' END AS title FROM h",
+        "stop_at_repeat": "WITH i AS (SELECT event_id // 5 AS page, CASE WHEN event_id < 9000 THEN CAST(user_id AS VARCHAR) END AS url FROM events), s AS (SELECT page, count(url) AS n, string_agg(url, chr(10) ORDER BY url) AS s FROM i GROUP BY 1), f AS (SELECT s, min(page) AS first FROM s WHERE n > 0 GROUP BY 1), e AS (SELECT min(page) AS stop FROM s LEFT JOIN f USING (s) WHERE n = 0 OR page > first) SELECT page, url FROM i, e WHERE stop IS NULL OR page < stop",
+        "classify_duplicates": DUPLICATES + "SELECT id, duplicate_status FROM j",
+        "duplicate_facets": DUPLICATES + "SELECT duplicate_status, count(*) AS n FROM j GROUP BY 1",
+        "items_by_duplicate_status": DUPLICATES + "SELECT id, duplicate_status FROM j WHERE duplicate_status = 'LIKELY'",
+        "crawl_summary": DUPLICATES + ", c AS (SELECT count(*) AS items_found, count(*) FILTER (WHERE duplicate_status = 'NEW') AS new_items, count(*) FILTER (WHERE duplicate_status = 'EXACT') AS duplicate_items, count(*) FILTER (WHERE duplicate_status = 'LIKELY') AS likely_items, count(*) FILTER (WHERE CAST(id AS INTEGER) % 40 = 0) AS failed_items FROM j) SELECT *, (SELECT count(*) FROM events WHERE event_id % 6 <> 0) AS downloaded_files, (SELECT count(*) FROM events WHERE event_id % 6 = 0) AS skipped_files, CASE WHEN failed_items = 0 THEN 'COMPLETED' WHEN failed_items >= items_found THEN 'FAILED' ELSE 'PARTIAL' END AS status, 90.0::DOUBLE AS seconds FROM c",
+        "valid_notices": CAT + r", n AS (SELECT ordinal, trim(regexp_replace(title, '\s+', ' ', 'g')) AS t FROM cat) SELECT ordinal FROM n WHERE length(t) >= 8 AND lower(t) <> 'the and' AND NOT starts_with(CAST(ordinal AS VARCHAR), '7')",
+        "clean_notices": CAT + "SELECT ordinal, CASE WHEN ordinal % 10 = 0 THEN 'pending' ELSE 'ok' END AS crawl_status, CASE WHEN has_attachment AND ordinal % 10 <> 0 THEN 1 ELSE 0 END AS n FROM cat WHERE length(title) > 8",
+        "notice_projection": CAT + r"SELECT trim(regexp_replace(title, '\s+', ' ', 'g')) AS title, CASE WHEN issue_date IS NULL THEN '' ELSE strftime(CAST(issue_date AS DATE), '%d/%m/%Y') END AS date, 'http://docs.example/d' || id || '.html' AS detail_url, CAST(has_attachment AS INTEGER) AS n FROM cat",
+        "match_detail_pair": CAT + "SELECT ordinal, ordinal % 3 = 1 OR ordinal = 0 AS same FROM cat",
+        "enrich_by_title": CAT + ", d AS (SELECT ordinal AS o, CASE WHEN ordinal % 9 = 0 THEN 'New: ' || id ELSE title END AS t, CASE WHEN ordinal % 2 = 0 THEN '01/02/2024' ELSE '' END AS date FROM cat), p AS (SELECT o, min(ordinal) AS ordinal FROM d JOIN cat ON d.t <> '' AND title <> '' AND (contains(title, d.t) OR contains(d.t, title)) GROUP BY 1), g AS (SELECT ordinal, count(*) AS n, CASE WHEN bool_or(date <> '') THEN '01/02/2024' ELSE '' END AS date FROM p JOIN d USING (o) GROUP BY 1) SELECT ordinal, CASE WHEN issue_date IS NULL THEN coalesce(g.date, '') ELSE strftime(CAST(issue_date AS DATE), '%d/%m/%Y') END AS date, CAST(CAST(has_attachment AS INTEGER) + coalesce(g.n, 0) AS INTEGER) AS n FROM cat LEFT JOIN g USING (ordinal) UNION ALL SELECT (SELECT max(ordinal) FROM cat) + 1 + min(o), max_by(date, -o), 1 FROM d WHERE o NOT IN (SELECT o FROM p) AND t <> '' AND t NOT IN (SELECT title FROM cat) GROUP BY t",
+        "link_local_files": CAT + ", f AS (SELECT DISTINCT CASE ordinal % 3 WHEN 0 THEN title WHEN 1 THEN 'a' || id ELSE 'none ' || id END || '.pdf' AS name FROM cat), a AS (SELECT 'http://docs.example/a' || id || '.pdf' AS a FROM cat WHERE has_attachment), o AS (SELECT name, lower(regexp_replace(name, '\\.[^.]*$', '')) AS stem FROM f WHERE NOT EXISTS (SELECT 1 FROM a WHERE contains(a, lower(name)))), g AS (SELECT name, min(ordinal) AS ordinal FROM o JOIN cat ON stem <> '' AND contains(lower(title), stem) GROUP BY 1), c AS (SELECT ordinal, count(*) AS n FROM g GROUP BY 1) SELECT ordinal, CAST(CAST(has_attachment AS INTEGER) + coalesce(n, 0) AS INTEGER) AS n FROM cat LEFT JOIN c USING (ordinal)",
+        "attachment_index": CAT + "SELECT 'a' || id || '.pdf' AS name, ordinal FROM cat WHERE has_attachment",
+        "lookup_attachments": CAT + "SELECT ordinal AS file_ordinal, CASE WHEN ordinal % 8 = 0 THEN ordinal END AS notice_ordinal FROM cat",
+        "find_detail_file": CAT + ", f AS (SELECT ['d', 'e-d', 'other'][ordinal % 3 + 1] || id AS stem FROM cat), b AS (SELECT ordinal, 'd' || id AS s FROM cat), g AS (SELECT ordinal, min(stem || '.html') AS detail_file FROM b JOIN f ON contains(stem, s) WHERE ordinal % 3 <> 0 GROUP BY 1) SELECT ordinal, CASE WHEN ordinal % 3 = 0 THEN s || '.html' ELSE detail_file END AS detail_file FROM b LEFT JOIN g USING (ordinal)",
+        "apply_details": CAT + ", l AS (SELECT ordinal // 4 * 4 AS ordinal, length(arg_max(content, ordinal)) AS n FROM cat GROUP BY 1) SELECT ordinal, CAST(coalesce(l.n, 0) AS INTEGER) AS n_content, CASE WHEN issue_date IS NOT NULL THEN strftime(CAST(issue_date AS DATE), '%d/%m/%Y') WHEN l.n IS NULL THEN '' ELSE '01/01/2024' END AS date, CASE WHEN l.n IS NULL THEN document_number ELSE coalesce(document_number, '1/TB') END AS document_number, CASE WHEN l.n IS NULL THEN 'ok' ELSE 'detail_ok' END AS crawl_status FROM cat LEFT JOIN l USING (ordinal)",
+        "needs_ocr": CAT + "SELECT 'a' || id || '.pdf' AS path FROM cat WHERE ordinal % 8 <> 4 AND ordinal % 6 <> 0",
+        "page_status_rollup": PAGES + "SELECT id, n_pages, chars, extraction_status FROM r",
+        "extraction_stats": PAGES + "SELECT count(*) AS total, count(*) FILTER (WHERE extraction_status = 'ok') AS ok, count(*) FILTER (WHERE extraction_status = 'needs_ocr') AS needs_ocr, 0::BIGINT AS empty, 0::BIGINT AS ocr, 0::BIGINT AS errors, CAST(sum(n_pages) AS BIGINT) AS n_pages FROM r",
+        "ocr_stats": PAGES + ", o AS (SELECT id, count(*) AS n, count(*) FILTER (WHERE length(t) > 200) AS k FROM p GROUP BY 1) SELECT count(*) AS total, count(*) FILTER (WHERE k = n) AS ocr, count(*) FILTER (WHERE k BETWEEN 1 AND n - 1) AS ocr_partial, count(*) FILTER (WHERE k = 0) AS ocr_failed, CAST(sum(n) AS BIGINT) AS n_pages, CAST(sum(k) AS BIGINT) AS n_pages_ok FROM o",
+        "assemble_content": PAGES + f"SELECT id, sha256(coalesce(string_agg(t, chr(10) || chr(10) ORDER BY i) FILTER (WHERE trim(t, {BLANKS}) <> ''), '')) AS sha FROM p GROUP BY 1",
+        "replace_vectors": HITS + ", b AS (SELECT * FROM r WHERE rank <= 5), n AS (SELECT ordinal FROM b WHERE rank = 1) SELECT CAST(ordinal AS VARCHAR) AS document_id, count(*) AS n FROM (SELECT ordinal FROM b WHERE ordinal NOT IN (FROM n) UNION ALL FROM n) GROUP BY 1",
+        "intake": UPLOADS + "SELECT event_id AS file_ordinal, CASE WHEN c IN (SELECT checksum FROM q WHERE status <> 'DUPLICATE') OR row_number() OVER (PARTITION BY c ORDER BY event_id) > 1 THEN 'DUPLICATE' ELSE 'PENDING' END AS status FROM v WHERE ok",
+        "intake_crawled": UPLOADS + "SELECT min(event_id) AS file_ordinal, 'PENDING' AS status FROM v WHERE c NOT IN (SELECT checksum FROM q) GROUP BY c",
+        "publish": Q + "SELECT CAST(doc_id AS VARCHAR) AS id FROM documents UNION ALL SELECT DISTINCT 'doc_' || substr(checksum, 1, 12) FROM q WHERE status = 'PROCESSED' AND trim(props) <> ''",
+        "publish_queue": Q + ", p AS (SELECT min(id) AS id FROM q WHERE status = 'PROCESSED' AND trim(props) <> '' GROUP BY substr(checksum, 1, 12)) SELECT CASE WHEN id IN (FROM p) THEN 'PUBLISHED' ELSE status END AS status, count(*) AS n FROM q GROUP BY 1",
+        "append_exchange": "WITH a AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 7 = 0 AND conv_id IN (SELECT o_orderkey FROM orders)), m AS (SELECT upper(role) AS role FROM conversations UNION ALL SELECT 'USER' FROM a UNION ALL SELECT 'ASSISTANT' FROM a) SELECT role, count(*) AS n FROM m GROUP BY 1",
+        "write_catalogue": CAT + "SELECT id, title, category, 1 AS total_pages, CAST(has_attachment AS INTEGER) AS n FROM cat",
+        "read_vectors": "SELECT CAST(vec_id AS VARCHAR) AS chunk_id, CAST(len(embedding) AS INTEGER) AS n FROM embeddings",
+        "scan_table": "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity > 45",
+        "user_prompt": r"""SELECT item_id AS question_id, sha256('Documents:' || chr(10) || chr(10) || 'context ' || CAST(item_id AS VARCHAR) || chr(10) || chr(10) || 'Question:' || chr(10) || '"' || text || '"' || chr(10) || chr(10) || 'Answer from the documents above alone; say so if they don''t hold the answer.') AS prompt_sha FROM benchmark""",
     }
