@@ -273,7 +273,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shared(rows: DataFrame) -> DataFrame:
     """(sig, cls, spare) of the signatures that two classes or more have."""
-    entries = written(rows.select("cls", F.explode(F.arrays_zip("sigs", "spare")).alias("e")).select("e.sigs", "cls", "e.spare").toDF("sig", "cls", "spare"), "entries")
+    entries = rows.select("cls", F.explode(F.arrays_zip("sigs", "spare")).alias("e")).select("e.sigs", "cls", "e.spare").toDF("sig", "cls", "spare")
     near = entries.repartitionByRange("sig", "cls").sortWithinPartitions("sig", "cls").mapInArrow(_neighbours, "sig long, cls long, spare int")
     return near.groupBy("sig", "cls").agg(F.first("spare").alias("spare"))
 
@@ -495,3 +495,25 @@ def one_per_component(docs: DataFrame, text: str = "text", key: str = "doc_id")
 
 def op2_ngram_jaccard(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs.select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE = """
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {docs}
+), s AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[i : i + 4], ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM t WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id
+  JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY 1, 2, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r(a, b) AS (
+  SELECT doc_id, doc_id FROM t UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b
+)
+SELECT t.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
+FROM t LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1) m USING (doc_id)
+"""
