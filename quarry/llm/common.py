@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +62,18 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def own_columns(docs: DataFrame, added: tuple[str, ...], op: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The columns of docs from what op makes of docs, where op adds columns of its own: those of docs that have their
+    names are set aside meanwhile, so that they come back untouched."""
+    taken = {c.lower() for c in docs.columns} | {c.lower() for c in added}
+    aside = {}
+    for c in docs.columns:
+        if c.lower() in {a.lower() for a in added}:
+            aside[c] = next(n for i in range(len(taken) + 1) if (n := f"_own{i}_{c}").lower() not in taken)
+            taken.add(aside[c].lower())
+    return op(docs.withColumnsRenamed(aside)).select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
+
+
 def remainder(doc_id: Column, by: int) -> Column:
     """crc32 of an id as text, modulo a number; null counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % by

@@ -4,12 +4,12 @@ The normalised words of the test items are put in one suffix automaton. Training
 the state keeps the longest run of words, ending here, that some item holds. Where that run is as long as a window, the
 window is looked up exactly (which items hold it) and its words are hit.
 
-Items come in blocks: their total size is measured first, each block holds about BLOCK_CHARS of item text, and documents
-pass through one map per block. So what is broadcast has a fixed bound, whatever the benchmark's size, and there is no
-shuffle of documents at all.
+Items come in blocks of about BLOCK_CHARS of text; documents pass through one map per block, and are written between two
+blocks, so that one automaton at a time is broadcast, whatever the benchmark's size. There is no shuffle of documents.
 
 Edge cases: null or wordless texts have no words, null or wordless items no windows. An item of fewer words than a window
-is one window. Equal items are each counted. Repeated rows get a result each. Empty tables give empty or clean results.
+is one window. items are each counted, items of the same id once; items without id count as one item, whose id is
+left out of hit_items' text. Repeated rows get a result each. Empty tables give empty or clean results.
 Extra columns pass; added names (n_words, n_hit, hit_items, hit_spans) replace theirs.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import bound_batches
+from quarry.llm.common import bound_batches, own_columns, written
 
 WINDOW = 10
 BLOCK_CHARS = 4_000_000
@@ -169,7 +169,7 @@ def _pass(shared, text: str):
             for t, i0, s0 in zip(b.column(text), old_ids, old_spans, strict=True):
                 k, s, i = items.hits(t.as_py())
                 n.append(k)
-                ids.append(i0 + [str(items.ids[x]) for x in i] if i else i0)
+                ids.append(i0 + [items.ids[x] for x in i] if i else i0)
                 spans.append([{"start": x, "end": y} for x, y in _merge([(x["start"], x["end"]) for x in s0], s)] if s else s0)
             rest = [c for c in b.schema.names if c not in ("n_words", "hit_items", "hit_spans")]
             cols = [b.column(c) for c in rest] + [pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(spans, pa.list_(added))]
@@ -180,14 +180,15 @@ def _pass(shared, text: str):
 
 def item_blocks(items: DataFrame, item_id: str, text: str, block_chars: int) -> Iterator[list[tuple[object, str | None]]]:
     """The items, in lists of about block_chars; the driver holds one at a time."""
-    held, size = [], 0
+    held, size, any_block = [], 0, False
     for r in items.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).orderBy("i", "t").toLocalIterator():
         held.append((r.i, r.t))
         size += len(r.t or "")
         if size >= block_chars:
             yield held
-            held, size = [], 0
-    yield held
+            held, size, any_block = [], 0, True
+    if held or not any_block:
+        yield held
 
 
 def matched(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -197,7 +198,9 @@ def matched(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str =
     out = docs.drop("n_hit").withColumns({"n_words": F.lit(0).cast("long"), "hit_items": F.array().cast("array<string>"), "hit_spans": F.array().cast("array<struct<start:int,end:int>>")})
     rest = [f for f in out.schema.fields if f.name not in ("n_words", "hit_items", "hit_spans")]
     schema = T.StructType(rest + ADDED)
-    for block in item_blocks(items, item_id, item_text, block_chars):
+    for k, block in enumerate(item_blocks(items, item_id, item_text, block_chars)):
+        if k:  # one automaton at a time
+            out = written(out, "hits")
         shared = spark.sparkContext.broadcast(Items(block, window))
         out = out.select(*[f.name for f in schema.fields]).mapInArrow(_pass(shared, text), schema)
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -223,9 +226,13 @@ def decontaminated(docs: DataFrame, items: DataFrame, max_span: int = 0, max_cov
     more than max_coverage are dropped. Clean rows come back as they are. Columns as in docs."""
     text = kw.get("text", "text")
     long = F.filter("hit_spans", lambda s: s["end"] - s["start"] > max_span)
-    m = matched(docs, items, **kw).where((F.col("n_hit") == 0) | (F.col("n_hit") <= max_coverage * F.col("n_words")))
     cut = F.pandas_udf(_without, "string")
-    return m.withColumn(text, F.when(F.size(long) > 0, cut(F.col(text), long)).otherwise(F.col(text))).select(*docs.columns)
+
+    def clean(d: DataFrame) -> DataFrame:
+        m = matched(d, items, **kw).where((F.col("n_hit") == 0) | (F.col("n_hit") <= max_coverage * F.col("n_words")))
+        return m.withColumn(text, F.when(F.size(long) > 0, cut(F.col(text), long)).otherwise(F.col(text)))
+
+    return own_columns(docs, ("n_words", "n_hit", "hit_items", "hit_spans"), clean)
 
 
 def op8_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -233,3 +240,27 @@ def op8_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size(F.array_distinct("hit_items")).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_distinct("hit_items"), ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+ORACLE = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {docs}
+), i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {items}
+), iw AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[p : p + k - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)
+), dw AS (
+  SELECT doc_id, k, p, array_to_string(w[p : p + k - 1], ' ') AS g
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM iw) WHERE len(w) >= k)
+), h AS (
+  SELECT dw.doc_id, dw.k, p, item_id FROM dw JOIN iw ON dw.k = iw.k AND dw.g = iw.g
+), c AS (
+  SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS word FROM h) GROUP BY 1
+), g AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY 1
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN g USING (doc_id)
+"""

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ MAX_LABELLED = 20_000
 FEATURES = 192
 RIDGE = 1e-3
 BINS = 512
+#: The described labelled rows are dealt to so many partitions; of their sums, so many are added in a task.
+PARTS, ARITY = 64, 8
 STATISTICS = ("log_words", "word_length", "symbols", "bars", "bangs", "upper", "digits", "stops", "distinct", "distinct_pairs", "line_words", "distinct_lines")
 
 
@@ -71,6 +74,8 @@ class Model:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Calibrated, with a little of the raw score so that ties of a step stay in order."""
+        if not self.weights.any():
+            return np.full(len(x), 0.5)  # nothing was learnt
         r = self.raw(x)
         return np.clip(0.98 * np.interp(r, self.at, self.level) + 0.02 / (1 + np.exp(-4 * (np.clip(r, -9, 9) - 0.5))), 0, 1)
 
@@ -78,26 +83,28 @@ class Model:
 def labelled(docs: DataFrame, labels: DataFrame, label: str, fits: Column, bound: int, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(text, y) of the labelled rows that fits allows, at most bound of them, chosen by the ids' hashes."""
     ok = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & fits).select(F.col(key), F.col(label).cast("double").alias("y")).groupBy(key).agg(F.max("y").alias("y"))
-    share = 2**20 * bound // max(bound, ok.count())
-    some = ok.where(F.pmod(F.xxhash64(key), F.lit(2**20)) < share).limit(bound)
+    # a share by hash first, so that little is ordered
+    share = 2**20 * 3 * bound // (2 * max(bound, ok.count())) + 2**12
+    at = F.pmod(F.xxhash64(key), F.lit(2**20))
+    some = ok.where(at < share).orderBy(at, key).limit(bound)
     return docs.select(key, text).join(F.broadcast(some), key).select(F.col(text).alias("text"), "y")
 
 
 def _added(parts: DataFrame, size: int) -> np.ndarray | None:
-    """Sum of float64 vectors (id long, v binary), one per partition, in a tree; the driver gets one vector."""
+    """Sum of float64 vectors (id long, v binary), one per partition that has rows, in a tree: each task adds up to ARITY
+    of them, and the driver gets as many at most."""
 
-    def add(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(size)
-        for pdf in it:
-            for v in pdf["v"]:
-                total += np.frombuffer(v, float)
-        yield pd.DataFrame({"id": [0], "v": [total.tobytes()]})
-
-    n = parts.rdd.getNumPartitions()
-    while n > 1:
-        n = max(1, n // 16)
-        parts = parts.coalesce(n).mapInPandas(add, "id long, v binary")
-    got = parts.mapInPandas(add, "id long, v binary").collect()
+        for v in pdf.sort_values("id")["v"]:
+            total += np.frombuffer(v, float)
+        return pd.DataFrame({"id": [int(pdf["id"].iloc[0]) // ARITY], "v": [total.tobytes()]})
+
+    n = PARTS
+    while n > ARITY:
+        n = -(-n // ARITY)
+        parts = parts.groupBy(F.floor(F.col("id") / ARITY)).applyInPandas(add, "id long, v binary")
+    got = sorted(parts.collect(), key=lambda r: r.id)
     return sum(np.frombuffer(r.v, float) for r in got) if got else None
 
 
@@ -122,7 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, fits: Column, label: str = "quality"
             out = pd.DataFrame(_table(pdf["text"]), columns=list(STATISTICS))
             yield out.assign(y=pdf["y"].to_numpy())
 
-    rows = labelled(docs, labels, label, fits, bound).mapInPandas(described, ", ".join(f"{c} double" for c in (*STATISTICS, "y"))).persist()
+    rows = labelled(docs, labels, label, fits, bound).mapInPandas(described, ", ".join(f"{c} double" for c in (*STATISTICS, "y")))
+    rows = rows.repartition(PARTS, *STATISTICS).sortWithinPartitions(*STATISTICS, "y").persist()
     stats = rows.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(STATISTICS)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(STATISTICS)]).first()
     zero = np.zeros(FEATURES + 1)
     rng = np.random.default_rng(seed)
@@ -138,7 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, fits: Column, label: str = "quality"
         for pdf in it:
             x, y = model.features(pdf[list(STATISTICS)].to_numpy()), pdf["y"].to_numpy()
             total += np.hstack([(x.T @ x).ravel(), x.T @ y])
-        yield pd.DataFrame({"id": [0], "v": [total.tobytes()]})
+        if total.any():
+            yield pd.DataFrame({"id": [TaskContext.get().partitionId()], "v": [total.tobytes()]})
 
     total = _added(rows.mapInPandas(sums, "id long, v binary"), d * (d + 1))
     gram = total[: d * d].reshape(d, d) + np.eye(d) * RIDGE * stats["n"] / d
@@ -149,7 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame, fits: Column, label: str = "quality"
         for pdf in it:
             at = np.clip(((model.raw(pdf[list(STATISTICS)].to_numpy()) + 0.5) / 2 * BINS).astype(int), 0, BINS - 1)
             total += np.concatenate([np.bincount(at, minlength=BINS), np.bincount(at, weights=pdf["y"], minlength=BINS)])
-        yield pd.DataFrame({"id": [0], "v": [total.tobytes()]})
+        if total.any():
+            yield pd.DataFrame({"id": [TaskContext.get().partitionId()], "v": [total.tobytes()]})
 
     bins = _added(rows.mapInPandas(binned, "id long, v binary"), 2 * BINS)
     rows.unpersist()
@@ -161,7 +171,6 @@ def fit(docs: DataFrame, labels: DataFrame, fits: Column, label: str = "quality"
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds score to every row."""
-
     bound_batches(docs.sparkSession)
 
     @F.pandas_udf("double")

@@ -7,6 +7,8 @@ its rule version, each once however many paths or versions hold it, appends them
 Copies are folded before the shuffle (partial aggregation by digest), so a blob that a third of the paths hold is sent
 once per task. Joining back moves digests and findings, never texts; Spark splits a digest that is hot there.
 
+A ledger may hold a blob twice, where an append was retried or two scans ran at once: it is read by distinct blob.
+
 Edge cases: a null text is the empty text. Repeated rows and ties are kept: one result per row. An empty table gives an
 empty result. Extra columns pass; the ones this module adds (blob, spans) replace columns with their names.
 """
@@ -47,12 +49,13 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16, "AKIA"),
     Rule("hex", r"[0-9a-f]{32,}", 0, 32),
 )
-#: Further rules; their kinds rank after the base ones.
+#: Further rules; their kinds rank after the base ones. None starts inside a run that it goes through, so that a text
+#: takes time in proportion to its length.
 MORE_RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----", 0, 1, "PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 1, "eyJ"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 1, "eyJ"),
     Rule("provider", r"(gh[pousr]_[A-Za-z0-9]{30,}|xox[baprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,})", 0, 1),
-    Rule("urlauth", r"[a-z][a-z0-9+.-]*://[^\s:/@]+:[^\s:/@]+@", 0, 1, "://"),
+    Rule("urlauth", r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{1,20}://[^\s:/@]+:[^\s:/@]+@", 0, 1, "://"),
 )
 RULES = BASE_RULES + MORE_RULES
 RULE_VERSION = "1"
@@ -107,7 +110,7 @@ def scanned(versions: DataFrame, ledger_path: str | None = None, rules: tuple[Ru
     else:
         scan_unseen(versions, spark.read.parquet(ledger_path), rules, rule_version, text).write.mode("append").parquet(ledger_path)
         ledger = spark.read.parquet(ledger_path)
-    found = ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob", F.col("spans").alias("_spans"))
+    found = ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob", F.col("spans").alias("_spans")).dropDuplicates(["blob"])
     out = versions.withColumn("blob", blob(F.col(text))).join(found, "blob", "left")
     return out.withColumn("spans", F.coalesce("_spans", F.array().cast(SPANS))).drop("_spans")
 

@@ -2,7 +2,8 @@
 
 The cache is a table of (digest, tokenizer, n_tokens): digest is the SHA-256 of a text, tokenizer the SHA-256 of the
 tokenizer's file. Contents are joined to it, only distinct misses are encoded, and these are appended. Copies are
-folded before the shuffle, so a text that a third of the rows hold is encoded once.
+folded before the shuffle, so a text that a third of the rows hold is encoded once. A cache may hold a digest twice, where
+an append was retried or two runs met: it is read by distinct digest.
 
 A byte-level tokenizer's tokens never cross the pieces that its pattern makes, so within a task each distinct piece is
 encoded once by the library and remembered; texts for which that isn't certain are encoded as they are.
@@ -123,7 +124,7 @@ def token_counts(docs: DataFrame, path: str, cache_path: str | None = None, text
         encode_misses(docs, spark.read.parquet(cache_path), path, text).write.mode("append").parquet(cache_path)
         cache = spark.read.parquet(cache_path)
     t = text_of(text)
-    counts = cache.where(F.col("tokenizer") == tokenizer_version(path)).select("digest", "n_tokens")
+    counts = cache.where(F.col("tokenizer") == tokenizer_version(path)).select("digest", "n_tokens").dropDuplicates(["digest"])
     out = docs.drop("n_tokens").withColumn("digest", F.sha2(t.cast("binary"), 256)).withColumn("n_bytes", F.octet_length(t).cast("long"))
     return out.join(counts, "digest", "left")
 

@@ -6,8 +6,8 @@ Levenshtein automaton, so a misspelled term is found with one edit; matches that
 their own are left out. Scoring: every hit looks at the words around it: quotation marks and words of reporting lower
 its weight. A logistic model over these sums gives the score.
 
-The lexicon has at most MAX_TERMS terms and the fit takes at most MAX_LABELLED labelled rows (chosen by hash); both are
-broadcast under these bounds. Counting is a shuffle of terms with partial sums; scoring is one map without a shuffle.
+The fit takes at most MAX_LABELLED labelled rows (chosen by hash); the lexicon is made of their words, each in MIN_DOCS of
+them or more and beyond chance, so it is bounded with them, and no limit cuts it. Counting is a shuffle of terms with partial sums; scoring is one map without a shuffle.
 
 Edge cases: null and empty texts get the score of a text without hits. With no labelled rows, or none that are toxic,
 the lexicon is empty and every score is the label's share (0 where unknown). Repeated rows get a score each. Extra
@@ -29,7 +29,6 @@ from quarry.llm.common import bound_batches, remainder
 from quarry.llm.quality_classifier import labelled
 
 MAX_LABELLED = 20_000
-MAX_TERMS = 4_000
 #: Beginnings of so many letters may become stems.
 STEMS = (4, 5, 6, 7)
 MIN_DOCS = 3
@@ -132,7 +131,7 @@ class Lexicon:
         return [1.0, *np.log1p(out)]
 
 
-def learn_terms(rows: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, float]:
+def learn_terms(rows: DataFrame) -> dict[str, float]:
     """Terms with their log odds, from (text, y) rows: numbers of distinct texts of either label that hold a word or stem.
     A term's share of toxic texts must differ from theirs in all by more than chance among so many terms explains, and its
     smoothed log odds must reach LEAST_WEIGHT. Clean texts may hold it, at any size of the data."""
@@ -158,7 +157,7 @@ def learn_terms(rows: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, float]
     surprise = part(F.col("toxic"), share) + part(F.col("clean"), max(1 - share, 1e-9))
     least = MARGIN + float(np.log(max(1, by_word.count())))
     best = terms.withColumn("weight", weight).where((F.col("toxic") >= MIN_DOCS) & (F.col("weight") >= LEAST_WEIGHT) & (surprise >= least))
-    got = best.orderBy(F.desc("weight"), "term").limit(max_terms).collect()
+    got = best.collect()
     by_word.unpersist()
     # a word that a stem covers needs no entry, nor does a stem below a shorter one
     held = {r.term: r.weight for r in got}

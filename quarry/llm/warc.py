@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import bound_batches, shared_folder, written
 
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 #: Smaller payloads are always stored in full.
 REVISIT_FROM = 1000
-#: Records in an archive at most; with CHUNK it bounds an archive's size.
-ARCHIVE_RECORDS = 2000
+#: Records in an archive at most; with CHUNK it bounds an archive, which is read as one value, to 128 MB before gzip.
+ARCHIVE_RECORDS = 1000
 CHUNKS = "record string, page_id long, uri string, chunk int, chunks int, bytes long, body binary, digest_so_far string"
 
 
@@ -110,7 +110,7 @@ def write_archives(chunks: DataFrame, types: DataFrame, path: str, archive_recor
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("record", pa.string()), ("page_id", pa.int64()), ("uri", pa.string()), ("chunk", pa.int32()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("told_bytes", pa.int64()), ("told_digest", pa.string()), ("body", pa.binary())])
+    schema = pa.schema([("record", pa.string()), ("page_id", pa.int64()), ("uri", pa.string()), ("chunk", pa.int32()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("refers_record", pa.string()), ("told_bytes", pa.int64()), ("told_digest", pa.string()), ("body", pa.binary())])
     out = lambda held: pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
     held, size = [], 0
     for b in batches:
@@ -118,7 +118,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for head, body in records(content.as_buffer()):
                 kind, ident = head["warc-type"], head.get("warc-segment-origin-id", head["warc-record-id"])[10:-1]
                 number = lambda name, head=head: int(head[name]) if name in head else None
-                held.append((ident, number("page-id"), head.get("warc-target-uri"), (number("warc-segment-number") or 1) - 1, "response" if kind == "continuation" else kind, number("refers-to-page"), number("payload-length"), head.get("warc-payload-digest", "sha1:")[5:], body))
+                held.append((ident, number("page-id"), head.get("warc-target-uri"), (number("warc-segment-number") or 1) - 1, "response" if kind == "continuation" else kind, number("refers-to-page"), head["warc-refers-to"][10:-1] if "warc-refers-to" in head else None, number("payload-length"), head.get("warc-payload-digest", "sha1:")[5:], body))
                 size += len(body)
                 if size > 8 * CHUNK:
                     yield out(held)
@@ -160,10 +160,10 @@ def records(archive) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The chunk table of the archives below path: record, page_id, uri, chunk, record_type, refers_to, told_bytes,
+    """The chunk table of the archives below path: record, page_id, uri, chunk, record_type, refers_to, refers_record, told_bytes,
     told_digest (what a head says of the whole payload), body."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(_parse, "record string, page_id long, uri string, chunk int, record_type string, refers_to long, told_bytes long, told_digest string, body binary")
+    return files.mapInArrow(_parse, "record string, page_id long, uri string, chunk int, record_type string, refers_to long, refers_record string, told_bytes long, told_digest string, body binary")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,11 +197,14 @@ def payloads(chunks: DataFrame) -> DataFrame:
 
 def checked(chunks: DataFrame) -> DataFrame:
     """One row per record, with its payload's length and digest: computed from the chunks of a response, which must
-    agree with its head; a revisit tells those of the payload it refers to."""
-    firsts = chunks.where("chunk = 0").select("record", "page_id", "uri", "record_type", "refers_to", "told_bytes", "told_digest")
-    got = firsts.join(payloads(chunks), "record")
+    agree with its head, and with the head of each revisit that refers to it."""
+    firsts = chunks.where("chunk = 0").select("record", "page_id", "uri", "record_type", "refers_to", "refers_record", "told_bytes", "told_digest")
+    got = written(firsts.join(payloads(chunks), "record"), "warc-records")
     response = F.col("record_type") == "response"
-    fails = response & ((F.col("payload_bytes") != F.col("told_bytes")) | (F.col("payload_digest") != F.col("told_digest")))
+    origin = got.where(response).select(F.col("record").alias("refers_record"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest"))
+    got = got.join(origin, "refers_record", "left")
+    length, digest = F.when(response, F.col("payload_bytes")).otherwise(F.col("_bytes")), F.when(response, F.col("payload_digest")).otherwise(F.col("_digest"))
+    fails = ~length.eqNullSafe(F.col("told_bytes")) | ~digest.eqNullSafe(F.col("told_digest"))
     sure = F.when(fails, F.raise_error(F.concat(F.lit("damaged record "), "record"))).otherwise(F.col("told_digest"))
     return got.select("record", "page_id", "uri", "record_type", "refers_to", F.col("told_bytes").alias("payload_bytes"), sure.alias("payload_digest"))
 
