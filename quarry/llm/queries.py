@@ -34,4 +34,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE.replace("{docs}", "documents")}
+    return {
+        "op2_ngram_jaccard": ngram_join.ORACLE.replace("{docs}", "documents"),
+        "op3_warc": warc.ORACLE.replace("{pages}", "pages"),
+        "op4_mixing": mixing.ORACLE.replace("{docs}", "documents"),
+        "op8_decontamination": decontaminate.ORACLE.replace("{docs}", "documents").replace("{items}", "benchmark"),
+    }

@@ -103,3 +103,83 @@ def op8(rows, items):
                     hit.update(range(k, k + n))
         out[i] = (len(w), len(hit), len(got), hashlib.sha256(",".join(sorted(map(str, got))).encode()).hexdigest(), bool(hit))
     return out
+
+
+def op7(rows):
+    """Turns of (conversation, position, text) rows: the best path is kept whole for each state, line by line."""
+    from quarry.llm import chat_format as c
+
+    by = {}
+    for conv, pos, text in rows:
+        by.setdefault(conv, []).append((pos is not None, pos or 0, text is not None, text or "", pos))
+    out = []
+    for conv, parts in by.items():
+        lines = []
+        for *_, text, pos in sorted(parts, key=lambda x: x[:4]):
+            blank = False
+            for x in text.split("\n"):
+                if x.strip():
+                    lines.append((x, blank, pos))
+                blank = not x.strip()
+        best = {s: (c.START[s], (s,)) for s in range(3)}  # score, states with the latest first
+        for x, blank, _ in lines:
+            of, step = c.scores(*c.features(x)), c.STEP_MARKED if c.MARK.match(x) else c.STEP_BLANK if blank else c.STEP
+            best = {j: max(((v + step[i][j] + of[j], [-k for k in p], p) for i, (v, p) in best.items()), key=lambda z: z[:2]) for j in range(3)}
+            best = {j: (v, (j, *p)) for j, (v, _, p) in best.items()}
+        states = max(best.values(), key=lambda z: (z[0], [-k for k in z[1]]))[1][-2::-1] if lines else ()
+        turns = []
+        for (x, _, pos), s in zip(lines, states, strict=True):
+            m = c.MARK.match(x)
+            plain = (x[m.end() :] if m else x).strip()
+            if turns and turns[-1][1] == c.ROLES[s] and not m:
+                turns[-1][2].append(plain)
+            else:
+                turns.append((pos, c.ROLES[s], [plain]))
+        out += [(conv, k, pos, role, "\n".join(t)) for k, (pos, role, t) in enumerate(turns)]
+    return sorted(out, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+
+
+def isotonic(points):
+    """Least squares that never fall: each value is the largest, over beginnings, of the least mean of what follows it."""
+    n = len(points)
+    mean = lambda a, b: sum(v * w for v, w in points[a:b]) / sum(w for _, w in points[a:b])
+    return [max(min(mean(a, b) for b in range(i + 1, n + 1)) for a in range(i + 1)) for i in range(n)]
+
+
+def within_one(a, b):
+    """Equal up to one insertion, deletion, replacement or swap of neighbours."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    k = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    p, q = a[k:], b[k:]
+    return p[1:] == q[1:] or p[1:] == q or p == q[1:] or (p[:2] == q[:2][::-1] and p[2:] == q[2:] and len(p) > 1)
+
+
+def op9_sums(text, weights, clean, t):
+    """Weights of plain, misspelled, quoted and quoted misspelled hits, word by word against the whole lexicon."""
+    tokens = t.TOKEN.findall((text or "").lower())
+    words = {w: v for w, v in weights.items() if not w.endswith("*")}
+    stems = {w[:-1]: v for w, v in weights.items() if w.endswith("*")}
+    memo = {}
+
+    def match(w):
+        if w in words:
+            return words[w], 0
+        if heads := [s for s in stems if w.startswith(s)]:
+            return stems[max(heads, key=len)], 0
+        if len(w) < t.FUZZY_FROM - 1 or w in clean:
+            return 0.0, 0
+        near = [v for x, v in words.items() if len(x) >= t.FUZZY_FROM and within_one(w, x)]
+        near += [v for x, v in stems.items() if len(x) >= t.FUZZY_FROM and any(within_one(w[:k], x) for k in ([*range(len(x) - 1, len(x) + 2)] if len(x) > t.FUZZY_FROM else [len(w)]) if k <= len(w))]
+        return (max(near), 1) if near else (0.0, 0)
+
+    out = [0.0] * 4
+    for i, w in enumerate(tokens):
+        if w not in memo:
+            memo[w] = match(w)
+        v, edits = memo[w]
+        if v:
+            before, after = tokens[max(0, i - t.CONTEXT) : i], tokens[i + 1 : i + 1 + t.CONTEXT]
+            quoted = any(x in t.QUOTES for x in before) and any(x in t.QUOTES for x in after) or any(x in t.REPORTING for x in before + after)
+            out[edits + 2 * quoted] += v
+    return out

@@ -212,6 +212,18 @@ def test_warc(spark, tmp_path):
     again = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.checked(warc.read_archives(spark, path)).collect()}
     same(again, wanted)
     assert warc.op3_warc(d.where("false")).count() == 0
+    # repeated ids, and ids that are null
+    twice = spark.createDataFrame([(1, "u", big), (1, "u", big), (None, "u", big), (None, "u", "x")], "page_id long, url string, html string")
+    assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in warc.op3_warc(twice).collect()) == [("1", "response", None), ("1", "revisit", 1), ("None", "response", None), ("None", "revisit", 1)]
+
+
+def test_warc_revisits_are_held_against_their_response(spark, tmp_path):
+    big = "y" * 3000
+    d = spark.createDataFrame([(1, "u", big), (2, "u", big)], "page_id long, url string, html string")
+    chunks = warc.read_archives(spark, warc.archive(d, f"file://{tmp_path}/v"))
+    lying = chunks.withColumn("told_bytes", F.when(F.col("record_type") == "revisit", F.col("told_bytes") + 1).otherwise(F.col("told_bytes")))
+    with pytest.raises(Exception, match="damaged record"):
+        warc.checked(lying).collect()
 
 
 @pytest.mark.parametrize("which", ["docs", "odd"])
@@ -249,7 +261,31 @@ def test_quality_classifier(spark, docs, odd, empty):
     got = quality_classifier.scored(odd, model)
     assert got.count() == len(ODD) and got.where("score between 0 and 1").count() == len(ODD)
     assert quality_classifier.op5_quality_classifier(empty, labels).count() == 0
-    assert {r.score for r in quality_classifier.op5_quality_classifier(docs, labels.where("false")).collect()} <= {r.score for r in quality_classifier.op5_quality_classifier(docs, labels.where("false")).collect()}
+    assert {r.score for r in quality_classifier.op5_quality_classifier(docs, labels.where("false")).collect()} == {0.5}
+
+
+def test_quality_classifier_is_what_it_says(spark):
+    """Weights by normal equations over all rows at once, calibration by a plain pool of adjacent violators."""
+    d, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = quality_classifier.fit(d, labels, remainder(F.col("doc_id"), 3) != 1)
+    rows = d.join(labels, "doc_id").where(remainder(F.col("doc_id"), 3) != 1).select("text", "quality").toPandas()
+    x, y = np.array([quality_classifier.statistics(t) for t in rows["text"]]), rows["quality"].to_numpy(float)
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, np.maximum(x.std(axis=0), 1e-3))
+    f = model.features(x)
+    k = f.shape[1]
+    assert np.allclose(f @ model.weights, f @ np.linalg.solve(f.T @ f + np.eye(k) * quality_classifier.RIDGE * len(y) / k, f.T @ y), atol=1e-5)
+    bins = np.clip(((f @ model.weights + 0.5) / 2 * quality_classifier.BINS).astype(int), 0, quality_classifier.BINS - 1)
+    assert np.allclose(model.at, (np.unique(bins) + 0.5) / quality_classifier.BINS * 2 - 0.5)
+    assert np.allclose(model.level, brute.isotonic([((y[bins == b].sum() + 0.05) / ((bins == b).sum() + 0.1), (bins == b).sum()) for b in np.unique(bins)]), atol=1e-6)
+    held = quality_classifier.op5_quality_classifier(d, labels).join(d, "doc_id").where("held_out").toPandas()
+    assert np.allclose(held["score"], model.score(np.array([quality_classifier.statistics(t) for t in held["text"]])), atol=1e-6)
+
+
+def test_quality_labels_are_chosen_alike(spark):
+    labels = spark.range(500).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    d = spark.range(500).selectExpr("id as doc_id", "concat('text ', id) as text")
+    pick = lambda n: {r.text for r in quality_classifier.labelled(d, labels.repartition(n), "quality", F.lit(True), 40).collect()}
+    assert len(pick(1)) == 40 and pick(1) == pick(7)
 
 
 @pytest.mark.parametrize("which", ["docs", "odd", "empty"])
@@ -259,6 +295,30 @@ def test_secret_scan(request, which):
     same(got, brute.op6(pairs(d)))
 
 
+@pytest.mark.parametrize("text", ["g" * 5_000_000 + " x://", "eyJ" * 1_500_000, "token" + " " * 4_000_000 + "token: abcdefgh", "-----BEGIN A PRIVATE KEY-----" * 100_000, "x://y:" * 500_000], ids=["scheme", "jwt", "gap", "pem", "auth"])
+def test_secret_scan_of_long_texts(spark, text):
+    import time
+
+    began = time.time()
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert secret_scan.op6_secret_scan(d).count() == 1
+    assert secret_scan.scanned(d).select(F.sum(F.size("spans"))).first()[0] == (1 if "token" in text else 0)
+    assert time.time() - began < 60
+
+
+def test_repeated_appends_change_nothing(spark, tmp_path):
+    v = spark.createDataFrame([("p1", "token = abcdefgh12"), ("p2", "nothing")], "path string, text string")
+    ledger, cache = f"file://{tmp_path}/ledger2", f"file://{tmp_path}/cache2"
+    for _ in range(2):
+        secret_scan.scan_unseen(v, None).write.mode("append").parquet(ledger)
+    assert sorted((r.path, len(r.spans)) for r in secret_scan.scanned(v, ledger).collect()) == [("p1", 1), ("p2", 0)]
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path("byte_bpe_50k.json")
+    for _ in range(2):
+        token_counts.encode_misses(v, None, path).write.mode("append").parquet(cache)
+    assert token_counts.token_counts(v, path, cache).count() == 2
+
+
 def test_ledger_scans_only_the_unseen(spark, tmp_path):
     v = spark.createDataFrame([("p1", "token = abcdefgh12"), ("p2", "token = abcdefgh12"), ("p3", "nothing")], "path string, text string")
     path = f"file://{tmp_path}/ledger"
@@ -273,21 +333,55 @@ def test_ledger_scans_only_the_unseen(spark, tmp_path):
     assert clean["p4"] == "💥 [REDACTED]" and clean["p3"] == "nothing"
 
 
-def test_chat_blocks_agree(spark):
-    rows = [(1, t, x) for t, x in enumerate(["System: be kind", "User: hello, who are you?", "I am", "Assistant: a bot\nwith lines\n\n- one", "Q: why?", "A: so", None, ""] * 12)]
-    d = spark.createDataFrame(rows, "conv_id long, turn long, text string")
-    key = lambda df: [(r.pos, r.role, r.text) for r in df.orderBy("block", "line").collect()]
-    whole, cut = key(chat_format.line_roles(d, block=10_000)), key(chat_format.line_roles(d, block=7))
-    assert whole == cut
-    marked = {"be kind": "system", "hello, who are you?": "user", "a bot": "assistant", "why?": "user", "so": "assistant"}
-    assert {(t, r) for _, r, t in whole if t in marked} == set(marked.items())
-    assert chat_format.op7_chat_format(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+CHAT = "conv_id long, turn long, role string, text string"
+
+
+def chats():
+    rows = [(1, t, None, x) for t, x in enumerate(["System: be kind", "User: hello, who are you?", "I am", "Assistant: a bot\nwith lines\n\n- one", "Q: why?", "A: so", None, ""] * 9)]
+    rows += [(2, t, None, f"said number {t}" + "\n\nmore\n\nof it" * (t % 3)) for t in range(150)]  # one run of a speaker, ties
+    rows += [(None, t % 4 if t % 3 else None, None, x) for t, x in enumerate(["User: same place", "Assistant: same place", "and on", "\n\nelse?"] * 8)]
+    rows += [(3, 0, None, "\n".join(["User: x", "y y", "", "Bot: z"] * 200)), (4, None, None, None), (5, 1, None, " \n "), (6, 2, None, "only one")]
+    return rows
+
+
+def turns_of(df):
+    return sorted(((r.conv, r.turn, r.pos, r.role, r.text) for r in df.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+
+
+@pytest.mark.parametrize("block", [1, 7, 256, 10**9])
+@pytest.mark.parametrize("parts", [2, 16])
+def test_chat_turns_whatever_the_blocks(spark, block, parts):
+    d = spark.createDataFrame(chats(), CHAT).select("conv_id", "turn", "text").withColumns({"role": F.lit("mine"), "part": F.lit(1)})
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = turns_of(chat_format.canonical_turns(d, block=block))
+        lines = chat_format.line_roles(d, block=block).count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    wanted = brute.op7([(c, p, t) for c, p, _, t in chats()])
+    assert got == wanted
+    assert lines == sum(len(t.split("\n")) for *_, t in wanted)
+    marked = {"be kind": "system", "hello, who are you?\nI am": "user", "why?": "user"}
+    assert {(t, r) for c, _, _, r, t in got if c == 1 and t in marked} == set(marked.items())
+
+
+def test_chat_edges(spark):
+    assert chat_format.op7_chat_format(spark.createDataFrame([], CHAT)).count() == 0
+    got = {(r.conv_id, r.turn, r.part, r.role) for r in chat_format.op7_chat_format(spark.createDataFrame([(None, 0, "user", "hi?"), (None, None, None, "x"), (7, 0, "assistant", "so"), (7, 0, "assistant", "so")], CHAT)).collect()}
+    assert {(c, t, p) for c, t, p, _ in got} == {(None, None, 0), (None, 0, 1), (7, 0, 0), (7, 0, 1)}
+    big = spark.createDataFrame([(1, 0, "User: go\n" + "a line\n" * 1_000_000)], "conv_id long, turn long, text string")
+    assert [(r.turn, r.role, len(r.text)) for r in chat_format.canonical_turns(big).collect()] == [(0, "user", 7 * 10**6 + 2)]
 
 
 def test_chat_roles_recovered(spark):
     c = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
-    got = chat_format.op7_chat_format(c).where("part = 0 or role is not null").join(c.select("conv_id", "turn", F.col("role").alias("true_role")), ["conv_id", "turn"]).toPandas()
-    assert (got["role"] == got["true_role"]).mean() > 0.8
+    got = chat_format.line_roles(chat_format.shown(c)).join(c.select(F.col("conv_id").alias("conv"), F.col("turn").alias("pos"), F.col("role").alias("true_role")), ["conv", "pos"]).toPandas()
+    assert (got["role"] == got["true_role"]).mean() > 0.9
+    unmarked = got[~got["marked"]]
+    assert len(unmarked) and (unmarked["role"] == unmarked["true_role"]).mean() > 0.6
 
 
 @pytest.mark.parametrize("which", ["docs", "odd", "empty"])
@@ -302,6 +396,34 @@ def test_decontamination(request, spark, which):
     assert {r.doc_id: (r.n_words, r.n_hit, r.n) for r in m.select("doc_id", "n_words", "n_hit", F.size(F.array_distinct("hit_items")).alias("n")).collect()} == {k: v[:3] for k, v in wanted.items()}
 
 
+def test_items_without_id_and_own_columns(spark):
+    items = spark.createDataFrame([(None, "b c d e f g h i j k l"), (None, "one two"), (5, "b c d e f g h i j k l")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "a b c d e f g h i j k l m", "mine", 7, "x"), (2, "clean words", "mine", 8, "y")], "doc_id long, text string, n_words string, hit_items int, hit_spans string")
+    got = table(decontaminate.op8_decontamination(d, items), "n_hit", "n_items", "items_sha256")
+    assert got[1] == (11, 2, __import__("hashlib").sha256(b"5").hexdigest()) and got[2][:2] == (0, 0)
+    out = {r.doc_id: r for r in decontaminate.decontaminated(d, items, max_coverage=0.9).collect()}
+    assert {k: (r.n_words, r.hit_items, r.hit_spans) for k, r in out.items()} == {1: ("mine", 7, "x"), 2: ("mine", 8, "y")}
+    assert out[1].text.split() == ["a", "m"] and out[2].text == "clean words"
+
+
+@pytest.mark.parametrize("rows", [ODD, ODD + ODD, []], ids=["odd", "repeated", "empty"])
+def test_pipeline_stages_on_odd_rows(spark, rows):
+    import corpus_pipeline
+
+    data = "/root/testdata/sf0.01"
+    d = spark.createDataFrame(rows, DOCS).withColumns({"score": F.lit("mine"), "n_words": F.lit("mine"), "spans": F.lit(1), "blob": F.lit(4), "hit_items": F.lit(5), "cls": F.lit("c"), "component_id": F.lit("k")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, d, data)
+        assert out.columns == d.columns
+        got = out.collect()
+        assert all((r.score, r.n_words, r.spans, r.blob, r.hit_items, r.cls, r.component_id) == ("mine", "mine", 1, 4, 5, "c", "k") for r in got), name
+        assert len(got) <= len(rows)
+        if name == "n-gram Jaccard join":
+            assert {r.doc_id for r in got if r.doc_id} == {1, 2, 3, 4, 7, 9, 10, 11, 12, 13, 14} & {r[0] for r in rows}
+    last = corpus_pipeline.STAGES[-1][1](spark, d, data)
+    assert last.count() <= len(rows) and {"times", "taken"} <= set(last.columns)
+
+
 def test_decontaminated_keeps_clean_rows(spark, docs):
     items = spark.read.parquet(f"{DATA}/benchmark.parquet")
     hit = {r.doc_id for r in decontaminate.op8_decontamination(docs, items).where("contaminated").collect()}
@@ -335,6 +457,17 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.op9_toxicity(d.limit(5), labels.where("false")).where("score < 0.01").count() == 5
 
 
+def test_toxicity_scores_are_what_they_say(spark):
+    d, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = toxicity.fit(d, labels, remainder(F.col("doc_id"), 5) != 0)
+    lex = model.lexicon
+    held = toxicity.op9_toxicity(d, labels).where("held_out").join(d, "doc_id").toPandas()
+    plain = np.array([[1.0, *np.log1p(brute.op9_sums(t, lex.weights, lex.clean, toxicity))] for t in held["text"]])
+    assert len(held) > 100 and np.allclose(held["score"], 1 / (1 + np.exp(-np.clip(plain @ model.weights, -30, 30))), atol=1e-9)
+    got = held.merge(labels.toPandas(), on="doc_id")
+    assert (got["predicted"] == got["toxic"]).mean() > 0.9
+
+
 def test_toxic_stems_that_clean_texts_hold_too(spark):
     ends = "ado ar cia dor era"
     rows = [(f"text {i} bomente{ends.split()[i % 5]} other{i}", 1) for i in range(60)] + [(f"text {i} bomente{ends.split()[i % 5]} more{i}", 0) for i in range(8)] + [(f"text {i} plain{i}", 0) for i in range(500)]
