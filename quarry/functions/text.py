@@ -75,24 +75,29 @@ def _share(c: Column, ink: Column) -> Column:
 def text_metrics(c: Column, patterns: tuple[tuple[str, str], ...] = config.LEGAL_PATTERNS) -> Column:
     """Struct of the nine metrics. Shares are of characters that aren't white space, to four places, half to even."""
     t = txt(c)
+    # what is outside a class is dropped run by run, not character by character
     count = lambda outside: F.length(F.regexp_replace(t, outside, F.lit("")))
-    ink = count(rf"(?U)[{SPACE}]")
     runs = F.aggregate(F.regexp_extract_all(t, F.lit(r"(([^\n])\2{3,})"), F.lit(1)), F.lit(0), lambda n, x: n + F.length(x))
     found = F.array_compact(F.array(*[F.when(t.rlike("(?iuU)" + p), F.lit(name)) for p, name in patterns]))
     inked = F.filter(lines(t), lambda x: strip(x) != "")
     # a text of blanks alone counts its raw lines
     raw = F.when(t == "", 0).otherwise(F.size(lines(F.regexp_replace(t, r"(\r\n|[\n\r\x0B\f\x1c-\x1e\u0085\u2028\u2029])$", F.lit("")))))
-    return F.struct(
-        F.length(t).alias("text_length"),
-        ink.alias("non_whitespace_chars"),
-        _share(count(f"[^{config.DIACRITICS}]"), ink).alias("vietnamese_character_ratio"),
-        _share(count(r"[^\p{L}\p{N}]"), ink).alias("alphanumeric_ratio"),
-        _share(count(f"[^{config.SUSPICIOUS}]"), ink).alias("suspicious_character_ratio"),
-        F.when(ink == 0, F.lit(0.0)).otherwise(_share(runs, ink)).alias("repeated_character_ratio"),
-        F.when(ink == 0, raw).otherwise(F.size(inked)).alias("line_count"),
-        F.size(F.filter(F.split(t, rf"(?U)[{SPACE}]+"), lambda w: w != "")).alias("word_count"),
-        F.when(ink == 0, F.array().cast("array<string>")).otherwise(found).alias("detected_legal_patterns"),
-    )
+
+    def of(ink: Column) -> Column:
+        return F.struct(
+            F.length(t).alias("text_length"),
+            ink.alias("non_whitespace_chars"),
+            _share(count(f"[^{config.DIACRITICS}]+"), ink).alias("vietnamese_character_ratio"),
+            _share(count(r"[^\p{L}\p{N}]+"), ink).alias("alphanumeric_ratio"),
+            _share(count(f"[^{config.SUSPICIOUS}]+"), ink).alias("suspicious_character_ratio"),
+            F.when(ink == 0, F.lit(0.0)).otherwise(_share(runs, ink)).alias("repeated_character_ratio"),
+            F.when(ink == 0, raw).otherwise(F.size(inked)).alias("line_count"),
+            F.size(F.filter(F.split(t, rf"(?U)[{SPACE}]+"), lambda w: w != "")).alias("word_count"),
+            F.when(ink == 0, F.array().cast("array<string>")).otherwise(found).alias("detected_legal_patterns"),
+        )
+
+    # as a lambda's variable it is counted once, however many shares look at it
+    return F.get(F.transform(F.array(count(rf"(?U)[{SPACE}]+")), of), F.lit(0))
 
 
 def page_score(metrics: Column, c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry import config
@@ -81,8 +81,9 @@ def corpus_audit(df: DataFrame) -> DataFrame:
 
 
 def documents_by_category(df: DataFrame, fields: tuple[str, ...] = ("ordinal", "id", "title")) -> DataFrame:
-    """The documents of each named category, in order."""
-    return df.where(txt("category") != "").groupBy("category").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("documents"))
+    """The documents of named categories, category by category and in order. Rows, not an array for each category: one may
+    hold most of the corpus."""
+    return df.where(txt("category") != "").orderBy("category", "ordinal").select("category", *fields)
 
 
 def recent_documents(df: DataFrame, k: int = 5) -> DataFrame:
@@ -207,9 +208,7 @@ def merge_new_documents(base: DataFrame, new: DataFrame, target: int | None = No
     fresh = fresh.join(base.select(title.alias("_b")).distinct(), F.col("_t") == F.col("_b"), "left_anti")
     fresh = dedupe_first(fresh, "_t").drop("_t")
     if target is not None:
-        room = base.agg(F.greatest(F.lit(0), F.lit(target) - F.count("*")).alias("_room"))
-        ranked = fresh.withColumn("_r", F.row_number().over(Window.orderBy("ordinal"))).where(F.col("_r") <= target)
-        fresh = ranked.join(room).where(F.col("_r") <= F.col("_room")).drop("_r", "_room")
+        fresh = fresh.orderBy("ordinal").limit(max(0, target - base.count()))
     top = base.agg(F.coalesce(F.max("ordinal"), F.lit(-1)).alias("_top"))
     fresh = fresh.join(top).withColumn("ordinal", F.col("ordinal") + F.col("_top") + 1).drop("_top")
     return append_new(base, fresh)

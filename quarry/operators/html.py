@@ -157,11 +157,14 @@ def extract_detail(events: DataFrame, base: str, own_words: tuple[str, ...] = ()
     tag = (F.col("kind") == "title") & (F.length(text) > 5) & ~F.contains(F.lower(text), F.lit("đăng nhập"))
     link = F.col("kind").isin("row", "card", "link") & _usable(href)
     offered = href.rlike(config.ATTACHMENT_EXTENSION) | href.rlike(DOWNLOAD_FOLDERS) | text.rlike(DOWNLOAD_WORDS) | (F.col("title") == "download")
-    url = normalize_url(href, base)
+    embed = F.col("kind") == "embed"
+    # a column of its own, so that an address is normalised once, and only where it may be an attachment's
+    url = F.col("_url")
     good = url.rlike(config.ATTACHMENT_EXTENSION) | url.rlike(r"(?i)/upload/|/media/|/files/")
-    attached = F.when(link & offered & good, F.struct(F.lit(0).alias("k"), "pos", url.alias("u"))).when((F.col("kind") == "embed") & href.rlike(config.ATTACHMENT_EXTENSION), F.struct(F.lit(1).alias("k"), "pos", url.alias("u")))
+    attached = F.when(url.isNotNull() & (embed | good), F.struct(F.when(embed, 1).otherwise(0).alias("k"), "pos", url.alias("u")))
     one = lambda test, value: F.min(F.when(test, F.struct("pos", value.alias("v"))))["v"]
-    g = events.groupBy("page_id").agg(
+    seen = events.drop("near").withColumn("_url", F.when(F.when(embed, href.rlike(config.ATTACHMENT_EXTENSION)).otherwise(link & offered), normalize_url(href, base)))
+    g = seen.groupBy("page_id").agg(
         F.coalesce(one(heading, text), one(tag, text), F.lit("")).alias("title"),
         F.coalesce(F.max(F.when(F.col("kind") == "text", posted_date(text))), F.lit("")).alias("date"),
         F.coalesce(one((F.col("kind") == "canonical") & (href != ""), absolute_url(href, base)), one((F.col("kind") == "og_url") & (href != ""), absolute_url(href, base)), F.lit("")).alias("detail_url"),

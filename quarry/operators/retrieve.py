@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import PandasUDFType
 
 from quarry import config
-from quarry.functions.retrieval import cosine, extract_keywords, keyword_scores, norm, question_class, snippet
+from quarry.functions.retrieval import extract_keywords, keyword_points, question_class, snippet
 from quarry.functions.text import garbage_line, rounded, strip, txt
 
 #: Questions sent to every task at once; a larger batch is taken in blocks of this size.
 QUESTION_BLOCK = 10_000
+#: The same for vectors: a block's matrix is at most so many rows of an embedding's length.
+VECTOR_BLOCK = 4_000
 
 
 def _blocks(questions: DataFrame, size: int) -> list[DataFrame]:
@@ -40,31 +49,101 @@ def route_questions(questions: DataFrame, lists: config.Keywords = config.DEFAUL
     return q.withColumn("question_class", question_class(F.col("question"), lists, F.col("keywords")))
 
 
+def _held(words: Broadcast):
+    """A column function: which of the words a text holds, by one automaton over all of them."""
+
+    def run(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for w in words.value:
+            automaton.add_word(w, w)
+        automaton.make_automaton()
+        for texts in frames:
+            yield pd.Series([sorted({w for _, w in automaton.iter(t)}) for t in texts], dtype=object)
+
+    return F.pandas_udf(run, "array<string>", PandasUDFType.SCALAR_ITER)
+
+
 def top_keyword(questions: DataFrame, pages: DataFrame, threshold: float = 20.0, k: int = 4, lists: config.Keywords = config.DEFAULT_KEYWORDS) -> DataFrame:
     """The k best pages of each question: (question_id, document_id, page_number, rank, score, matched, ...). pages:
     (ordinal, document_id, page_number, title, document_number, issue_date, category, subcategory, text). Ties keep the
-    corpus order. Questions without keywords drop out before the join; texts are lower-cased once; texts themselves
-    don't pass the shuffle: only scores do, and the winners' texts are fetched by key."""
+    corpus order.
+
+    Pages are read once a block of questions: an automaton over the block's keywords tells which of them a page holds
+    anywhere, those are scored against its fields once, whatever number of questions has them, and questions meet the
+    pages that hold a keyword by an equi-join on it. Texts don't pass the shuffle: the winners' are fetched by key."""
+    spark, names = pages.sparkSession, ("title", "document_number", "category", "subcategory", "text")
     asked = questions.select("question_id", extract_keywords(F.col("question"), lists).alias("keywords")).where(F.size("keywords") > 0)
-    low = pages.where(strip(txt("text")) != "").select("ordinal", "page_number", *[F.lower(txt(c)).alias(f"_{c}") for c in ("title", "document_number", "category", "subcategory", "text")])
+    low = pages.where(strip(txt("text")) != "").select("ordinal", "page_number", *[F.lower(txt(c)).alias(f"_{c}") for c in names])
+    f = [F.col(f"_{c}") for c in names]
     parts = []
     for block in _blocks(asked, QUESTION_BLOCK):
-        j = low.join(F.broadcast(block))
-        s = keyword_scores(j, "keywords", ("_title", "_document_number", "_category", "_subcategory"), "_text", lists)
-        parts.append(s.where(F.col("score") >= threshold).select("question_id", "ordinal", "page_number", "score", "matched"))
+        each = block.select("question_id", F.size("keywords").alias("_size"), F.posexplode("keywords").alias("_at", "_word"))
+        each = each.withColumns({"_k": F.lower("_word"), "_compound": F.array_contains(F.array(*map(F.lit, lists.compounds)).cast("array<string>"), F.col("_word"))})
+        words = sorted(r._k for r in each.where("_k <> ''").select("_k").distinct().collect())
+        if not words:
+            continue
+        there = low.withColumn("_ks", _held(spark.sparkContext.broadcast(words))(F.concat_ws("\x00", *f))).where(F.size("_ks") > 0)
+        points = there.select("ordinal", "page_number", F.explode(keyword_points(F.col("_ks"), *f)).alias("_x")).select("ordinal", "page_number", F.col("_x.k").alias("_k"), "_x.hit", "_x.points")
+        met = points.join(each, "_k").groupBy("question_id", "ordinal", "page_number").agg(
+            F.count_if("hit").alias("_n"), F.sum(F.when(F.col("hit"), F.col("points")).otherwise(0)).alias("_points"), F.first("_size").alias("_size"), F.bool_or("_compound").alias("_held"),
+            F.array_sort(F.collect_list(F.when(F.col("hit"), F.struct("_at", "_word")))).alias("_hits"),
+        )
+        gates = block.select("question_id", (F.size(F.array_intersect("keywords", F.array(*map(F.lit, lists.compounds)).cast("array<string>"))) > 0).alias("_gate"))
+        coverage = F.col("_n") / F.col("_size")
+        met = met.where((F.col("_n") > 0) & ((F.col("_size") == 1) | (coverage >= 0.4))).withColumn("score", rounded(F.col("_points") * (0.5 + coverage))).where(F.col("score") >= threshold)
+        met = met.join(gates, "question_id").where(~F.col("_gate") | F.col("_held"))
+        parts.append(met.select("question_id", "ordinal", "page_number", "score", F.array_distinct(F.transform("_hits", lambda x: x["_word"])).alias("matched")))
+    if not parts:
+        parts = [low.select("ordinal", "page_number").join(questions.select("question_id").where("false")).select("question_id", "ordinal", "page_number", F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("matched"))]
     return _top(_union(parts), k, F.desc("score"), "ordinal", "page_number").join(pages.drop("question_id", "score", "matched", "rank"), ["ordinal", "page_number"])
 
 
+def _nearest(asked: list, vectors: np.ndarray, min_similarity: float, k: int):
+    """A map over batches of (ordinal, embedding): similarities of a batch with all questions are one matrix product, of
+    which the k best of each question, and what ties with the last of them, go on."""
+    size = np.linalg.norm(vectors, axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            there = b.filter(b.column("embedding").is_valid())
+            rows = [np.asarray(x.values, float) for x in there.column("embedding")]
+            fits = [i for i, r in enumerate(rows) if len(r) == vectors.shape[1]]
+            if not fits:
+                continue
+            m = np.stack([rows[i] for i in fits])
+            by = np.outer(np.linalg.norm(m, axis=1), size)
+            sim = np.where(by > 0, np.clip(m @ vectors.T / np.where(by > 0, by, 1.0), -1.0, 1.0), 0.0)
+            least = np.full(len(asked), min_similarity)
+            if len(m) > k:
+                least = np.maximum(least, np.partition(sim, -k, axis=0)[-k])
+            at, of = np.nonzero(sim >= least)
+            ordinals = there.column("ordinal").take(pa.array(np.array(fits)[at]))
+            yield pa.RecordBatch.from_arrays([pa.array(of.astype(np.int32)), ordinals, pa.array(sim[at, of])], names=["q", "ordinal", "sim"])
+
+    return run
+
+
 def top_semantic(questions: DataFrame, vectors: DataFrame, min_similarity: float = 0.65, k: int = 4) -> DataFrame:
     """The k nearest chunks of each question by cosine, at least min_similarity: similarity to 3 places and relevance to 1,
-    rounded after the cut. questions: (question_id, embedding); vectors: (ordinal, ..., embedding). Norms are computed
-    once a row."""
-    v = vectors.withColumn("_norm", norm(F.col("embedding"))).select("ordinal", F.col("embedding").alias("_v"), "_norm")
-    q = questions.select("question_id", F.col("embedding").alias("_q"), norm(F.col("embedding")).alias("_qn"))
+    rounded after the cut. questions: (question_id, embedding); vectors: (ordinal, ..., embedding). Vectors of another
+    length than the questions', or null, are near to nothing.
+
+    Questions are taken in blocks of at most VECTOR_BLOCK, whose matrix goes to all tasks; of a batch of vectors only the
+    best of each question reach the shuffle."""
+    spark, kind = questions.sparkSession, vectors.schema["ordinal"].dataType.simpleString()
     parts = []
-    for block in _blocks(q, QUESTION_BLOCK):
-        s = v.join(F.broadcast(block)).withColumn("sim", cosine(F.col("_q"), F.col("_v"), F.col("_qn"), F.col("_norm")))
-        parts.append(s.where(F.col("sim") >= min_similarity).select("question_id", "ordinal", "sim"))
+    for block in _blocks(questions.where("embedding is not null").select("question_id", "embedding"), VECTOR_BLOCK):
+        got = block.collect()
+        for size in sorted({len(r.embedding) for r in got}):
+            of = [r for r in got if len(r.embedding) == size]
+            ids = spark.createDataFrame([(i, r.question_id) for i, r in enumerate(of)], f"q int, question_id {questions.schema['question_id'].dataType.simpleString()}")
+            near = _nearest([r.question_id for r in of], np.array([r.embedding for r in of], float).reshape(len(of), size), min_similarity, k)
+            s = vectors.select("ordinal", "embedding").mapInArrow(near, f"q int, ordinal {kind}, sim double")
+            parts.append(s.join(F.broadcast(ids), "q").drop("q"))
+    if not parts:
+        parts = [vectors.select("ordinal", F.lit(0.0).alias("sim")).join(questions.select("question_id").where("false"))]
     best = _top(_union(parts), k, F.desc("sim"), "ordinal")
     out = best.withColumns({"similarity": rounded(F.col("sim"), 3), "relevance": rounded(F.col("sim") * 100, 1)})
     return out.join(vectors.drop("embedding", "sim", "rank"), "ordinal")

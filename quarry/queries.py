@@ -245,7 +245,7 @@ def _queries(t: Column | None) -> dict[str, Query]:
         "category_facets": lambda s, d: catalog.category_facets(cat(s, d), s.createDataFrame([("en",), ("fr",), ("none",)], "category string")),
         "dashboard_totals": lambda s, d: catalog.dashboard_totals(cat(s, d), chunk.chunk_pages(cat(s, d), paragraphs="\n").agg(F.count("*").alias("n_chunks"))),
         "corpus_audit": lambda s, d: catalog.corpus_audit(cat(s, d)),
-        "documents_by_category": lambda s, d: catalog.documents_by_category(cat(s, d), ("ordinal", "id")).select("category", F.size("documents").alias("n"), F.get("documents", F.lit(0))["id"].alias("first_id")),
+        "documents_by_category": lambda s, d: catalog.documents_by_category(cat(s, d), ("ordinal", "id")).groupBy("category").agg(F.count("*").cast("int").alias("n"), F.min_by("id", "ordinal").alias("first_id")),
         "recent_documents": lambda s, d: catalog.recent_documents(cat(s, d)).select("id", "issue_date"),
         "table_counts": lambda s, d: catalog.table_counts(documents=read(s, d, "documents"), orders=read(s, d, "orders"), events=read(s, d, "events")),
         "flag_duplicates": lambda s, d: catalog.flag_duplicates(cat(s, d)).select("id", "dup_id", "dup_url", "dup_file"),
