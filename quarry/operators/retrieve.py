@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,10 +11,9 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import PandasUDFType
 
 from quarry import config
-from quarry.functions.retrieval import extract_keywords, keyword_points, question_class, snippet
+from quarry.functions.retrieval import WORD_EDGE, extract_keywords, question_class, snippet
 from quarry.functions.text import garbage_line, rounded, strip, txt
 
 #: Questions sent to every task at once; a larger batch is taken in blocks of this size.
@@ -49,20 +49,46 @@ def route_questions(questions: DataFrame, lists: config.Keywords = config.DEFAUL
     return q.withColumn("question_class", question_class(F.col("question"), lists, F.col("keywords")))
 
 
-def _held(words: Broadcast):
-    """A column function: which of the words a text holds, by one automaton over all of them."""
+def field_hits(automaton, text: str, edge: re.Pattern) -> dict[str, tuple[bool, int]]:
+    """Of each word that a text holds: whether it matches as word_match has it, and how often it stands there without
+    overlap."""
+    out: dict[str, tuple[bool, int]] = {}
+    ends: dict[str, int] = {}
+    for last, w in automaton.iter(text):
+        start = last - len(w) + 1
+        hit, n = out.get(w, (False, 0))
+        if not hit:
+            hit = len(w) > 5 or " " in w or "/" in w or (not start or bool(edge.match(text[start - 1]))) and (last + 1 == len(text) or bool(edge.match(text[last + 1])))
+        if start >= ends.get(w, 0):
+            n, ends[w] = n + 1, last + 1
+        out[w] = hit, n
+    return out
+
+
+def _points(words: Broadcast):
+    """A column function of lower-cased title, number, category, subcategory and text: (k, hit, points) of each word that
+    one of them holds, as keyword_points has them, by one automaton over all words."""
 
-    def run(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(frames: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         import ahocorasick
 
-        automaton = ahocorasick.Automaton()
+        automaton, edge = ahocorasick.Automaton(), re.compile(WORD_EDGE, re.ASCII)
         for w in words.value:
             automaton.add_word(w, w)
         automaton.make_automaton()
-        for texts in frames:
-            yield pd.Series([sorted({w for _, w in automaton.iter(t)}) for t in texts], dtype=object)
+        for fields in frames:
+            rows = []
+            for title, number, kind, kind2, text in zip(*fields, strict=True):
+                t, n, c, s, x = (field_hits(automaton, f, edge) for f in (title, number, kind, kind2, text))
+                row = []
+                for w in sorted({*t, *n, *c, *s, *x}):
+                    at = lambda d, w=w: d.get(w, (False, 0))
+                    hits = at(n)[0], at(t)[0], at(c)[0] or at(s)[0], at(x)[0]
+                    row.append({"k": w, "hit": any(hits), "points": 35 * hits[0] + 20 * hits[1] + 15 * hits[2] + (5 + min(at(x)[1] - 1, 5) if hits[3] else 0)})
+                rows.append(row)
+            yield pd.Series(rows, dtype=object)
 
-    return F.pandas_udf(run, "array<string>", PandasUDFType.SCALAR_ITER)
+    return F.pandas_udf(run, "array<struct<k:string,hit:boolean,points:int>>")
 
 
 def top_keyword(questions: DataFrame, pages: DataFrame, threshold: float = 20.0, k: int = 4, lists: config.Keywords = config.DEFAULT_KEYWORDS) -> DataFrame:
@@ -84,8 +110,8 @@ def top_keyword(questions: DataFrame, pages: DataFrame, threshold: float = 20.0,
         words = sorted(r._k for r in each.where("_k <> ''").select("_k").distinct().collect())
         if not words:
             continue
-        there = low.withColumn("_ks", _held(spark.sparkContext.broadcast(words))(F.concat_ws("\x00", *f))).where(F.size("_ks") > 0)
-        points = there.select("ordinal", "page_number", F.explode(keyword_points(F.col("_ks"), *f)).alias("_x")).select("ordinal", "page_number", F.col("_x.k").alias("_k"), "_x.hit", "_x.points")
+        held = low.select("ordinal", "page_number", F.explode(_points(spark.sparkContext.broadcast(words))(*f)).alias("_x"))
+        points = held.select("ordinal", "page_number", F.col("_x.k").alias("_k"), "_x.hit", "_x.points")
         met = points.join(each, "_k").groupBy("question_id", "ordinal", "page_number").agg(
             F.count_if("hit").alias("_n"), F.sum(F.when(F.col("hit"), F.col("points")).otherwise(0)).alias("_points"), F.first("_size").alias("_size"), F.bool_or("_compound").alias("_held"),
             F.array_sort(F.collect_list(F.when(F.col("hit"), F.struct("_at", "_word")))).alias("_hits"),
