@@ -105,9 +105,11 @@ def top_keyword(questions: DataFrame, pages: DataFrame, threshold: float = 20.0,
     f = [F.col(f"_{c}") for c in names]
     parts = []
     for block in _blocks(asked, QUESTION_BLOCK):
+        # keywords of a block are taken once; what follows reads them as a local table
+        block = spark.createDataFrame(block.collect(), block.schema)
         each = block.select("question_id", F.size("keywords").alias("_size"), F.posexplode("keywords").alias("_at", "_word"))
         each = each.withColumns({"_k": F.lower("_word"), "_compound": F.array_contains(F.array(*map(F.lit, lists.compounds)).cast("array<string>"), F.col("_word"))})
-        words = sorted(r._k for r in each.where("_k <> ''").select("_k").distinct().collect())
+        words = sorted({w for r in each.select("_k").collect() if (w := r._k)})
         if not words:
             continue
         held = low.select("ordinal", "page_number", F.explode(_points(spark.sparkContext.broadcast(words))(*f)).alias("_x"))

@@ -18,6 +18,7 @@ from quarry.functions import facts, ids, retrieval, text
 from quarry.operators import catalog, chat, chunk, html, match, normalize, quality, queue, retrieve
 from quarry.plans.answering import answer_questions
 from quarry.sources import tables
+from quarry.streaming.intake import stream_intake
 
 LISTS = config.Keywords(stopwords=("and", "the", "that", "with"), compounds=("of the", "in the"), core_words=("the", "tion", "ing"), synonyms=())
 Query = Callable[[SparkSession, str], DataFrame]
@@ -197,6 +198,16 @@ def _again(s: SparkSession, write: Callable[[str], None], back: Callable[[SparkS
     return back(s, path)
 
 
+def _streamed(s: SparkSession, d: str) -> DataFrame:
+    """Uploads as files of JSON lines, taken in by the stream until none is left."""
+
+    def write(path: str) -> None:
+        uploads(s, d).select(F.col("batch_id").cast("string").alias("batch_id"), "name", "size_bytes", "checksum", "file_ordinal").write.json(f"{path}/in")
+        stream_intake(s, f"{path}/in", f"{path}/queue", f"{path}/checkpoint").awaitTermination()
+
+    return _again(s, write, lambda s, path: s.read.parquet(f"{path}/queue").select("file_ordinal", "status"))
+
+
 def queries() -> dict[str, Query]:
     """Names and queries; columns are made when a query is called, so no session is needed before that."""
     return {name: lambda s, d, name=name: _queries(F.col("text"))[name](s, d) for name in _queries(None)}
@@ -348,6 +359,8 @@ def _queries(t: Column | None) -> dict[str, Query]:
         # sources: written and read back
         "write_catalogue": lambda s, d: _again(s, lambda path: tables.write_catalogue(cat(s, d), path), tables.read_catalogue).select("id", "title", "category", "total_pages", F.size("attachments").alias("n")),
         "read_vectors": lambda s, d: _again(s, lambda path: tables.write_vectors(_vectors(s, d), path), tables.read_vectors).select("chunk_id", F.size("embedding").alias("n")),
+        "write_report": lambda s, d: _again(s, lambda path: tables.write_report(catalog.status_stats(cat(s, d)), path), lambda s, path: s.read.json(path)),
+        "stream_intake": _streamed,
         "scan_table": lambda s, d: tables.scan_table(s, f"{d}/lineitem.parquet", ("l_orderkey", "l_quantity"), "l_quantity > 45"),
         "top_hybrid": lambda s, d: retrieve.top_hybrid(_hybrid_questions(s, d), corpus(s, d), _hybrid_vectors(s, d), lists=LISTS).select("question_id", "document_id", "rank", "final_score"),
         "user_prompt": lambda s, d: questions(s, d).select("question_id", F.sha2(retrieve.user_prompt(F.col("question"), F.concat(F.lit("context "), F.col("question_id").cast("string"))), 256).alias("prompt_sha")),
@@ -485,6 +498,8 @@ def oracle_sql() -> dict[str, str]:
         "append_exchange": "WITH a AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 7 = 0 AND conv_id IN (SELECT o_orderkey FROM orders)), m AS (SELECT upper(role) AS role FROM conversations UNION ALL SELECT 'USER' FROM a UNION ALL SELECT 'ASSISTANT' FROM a) SELECT role, count(*) AS n FROM m GROUP BY 1",
         "write_catalogue": CAT + "SELECT id, title, category, 1 AS total_pages, CAST(has_attachment AS INTEGER) AS n FROM cat",
         "read_vectors": "SELECT CAST(vec_id AS VARCHAR) AS chunk_id, CAST(len(embedding) AS INTEGER) AS n FROM embeddings",
+        "write_report": CAT + ", s AS (SELECT CASE WHEN effective_status = 'odd' THEN 'unverified' ELSE effective_status END AS s FROM cat) SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE s = '{x}') AS {x}" for x in config.STATUSES) + " FROM s",
+        "stream_intake": UPLOADS + "SELECT event_id AS file_ordinal, CASE WHEN row_number() OVER (PARTITION BY checksum ORDER BY event_id) > 1 THEN 'DUPLICATE' ELSE 'PENDING' END AS status FROM v JOIN q USING (event_id) WHERE ok",
         "scan_table": "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity > 45",
         "user_prompt": r"""SELECT item_id AS question_id, sha256('Documents:' || chr(10) || chr(10) || 'context ' || CAST(item_id AS VARCHAR) || chr(10) || chr(10) || 'Question:' || chr(10) || '"' || text || '"' || chr(10) || chr(10) || 'Answer from the documents above alone; say so if they don''t hold the answer.') AS prompt_sha FROM benchmark""",
     }
