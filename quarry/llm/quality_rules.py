@@ -34,11 +34,17 @@ class LineRules:
     boilerplate_words: int = 40
     boilerplate: str = (
         r"(?i)\b(all rights reserved|licensed under|released under|cookie policy|privacy policy|terms of (use|service)|"
-        r"subscribe to|sign up|log in|click here|javascript is (disabled|required)|copyright (\(c\)|©|\d{4}))"
+        r"subscribe to|sign up|log in|click here|javascript is (disabled|required)|copyright (\(c\)|©|\d{4})|"
+        r"alle rechte vorbehalten|lizenziert unter|hier klicken|zum newsletter|unsere datenschutz|todos los derechos reservados|"
+        r"bajo licencia|haga clic aqu|aviso legal|pol[ií]tica de (privacidad|cookies)|tous droits r|sous licence|cliquez ici|"
+        r"mentions l[ée]gales|politique de confidentialit)"
     )
     #: Boilerplate lines with one of these and, apart from them, no other boilerplate are license lines: removed, but not
     #: counted against their document.
-    license: str = r"(?i)\b(all rights reserved|licensed under|released under|copyright (\(c\)|©|\d{4}))"
+    license: str = (
+        r"(?i)\b(all rights reserved|licensed under|released under|copyright (\(c\)|©|\d{4})|alle rechte vorbehalten|"
+        r"lizenziert unter|todos los derechos reservados|bajo licencia|tous droits r|sous licence)"
+    )
     #: A document goes when rules took more than this share of its characters, or it has fewer words left.
     max_lost_share: float = 0.5
     min_words_left: int = 5
@@ -143,3 +149,43 @@ def op1_quality_rules(docs: DataFrame, rules: LineRules = LineRules()) -> DataFr
         .withColumn("base_failed", failed)
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("rules_kept")).alias("kept"), "lost_share", F.length("clean_text").cast("long").alias("clean_chars"), F.array_join("failed_rules", ",").alias("failed_rules"))
     )
+
+
+_RULES = LineRules()
+ORACLE = rf"""
+WITH t AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM {{docs}}
+), d AS (
+  SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, string_split(t, chr(10)) AS l FROM t
+), g AS (
+  SELECT rid, i, md5(array_to_string(w[i : i + 4], ' ')) AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+), c AS (
+  SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM g) WHERE n > 1) GROUP BY 1
+), x AS (
+  SELECT rid, line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM (SELECT rid, unnest(l) AS line FROM d)
+), m AS (
+  SELECT rid, line, length(array_to_string(w, '')) AS ink, len(w) AS words, len(list_distinct(w)) AS dist, length(regexp_replace(line, '[^{_class(_RULES.symbols)}]+', '', 'g')) AS symbols,
+         length(regexp_replace(line, '[^{_class(_RULES.bars)}]+', '', 'g')) AS bars, length(regexp_replace(line, '[^\p{{Lu}}]+', '', 'g')) AS upper FROM x
+), r AS (
+  SELECT rid, length(line) AS size, words, CASE
+    WHEN ink = 0 THEN NULL
+    WHEN symbols > ink * {_RULES.max_symbol_share}::DOUBLE THEN 'punctuation'
+    WHEN bars > ink * {_RULES.max_bar_share}::DOUBLE THEN 'navigation'
+    WHEN words >= {_RULES.min_words} AND upper > ink * {_RULES.max_upper_share}::DOUBLE THEN 'shouting'
+    WHEN words >= {_RULES.min_words} AND dist < words * {_RULES.min_distinct_share}::DOUBLE THEN 'monotony'
+    WHEN words <= {_RULES.boilerplate_words} AND regexp_matches(line, '{_RULES.boilerplate}') THEN
+      CASE WHEN regexp_matches(regexp_replace(line, '{_RULES.license}', ' ', 'g'), '{_RULES.boilerplate}') THEN 'boilerplate' ELSE 'license' END END AS rule FROM m
+), v AS (
+  SELECT rid, coalesce(sum(size) FILTER (WHERE rule <> 'license'), 0) / greatest(1, sum(size))::DOUBLE AS lost_share, coalesce(sum(words) FILTER (WHERE rule IS NULL), 0) AS words_left,
+         coalesce(sum(size) FILTER (WHERE rule IS NULL), 0) + greatest(0, count(*) FILTER (WHERE rule IS NULL) - 1) AS clean_chars,
+         array_to_string(list_sort(list_distinct(list(CASE WHEN rule = 'license' THEN 'boilerplate' ELSE rule END) FILTER (WHERE rule IS NOT NULL))), ',') AS failed_rules FROM r GROUP BY 1
+), b AS (
+  SELECT doc_id, rid, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN c USING (rid)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost_share <= {_RULES.max_lost_share} AND words_left >= {_RULES.min_words_left} AS kept,
+       lost_share, CAST(clean_chars AS BIGINT) AS clean_chars, coalesce(failed_rules, '') AS failed_rules
+FROM b JOIN v USING (rid)
+"""

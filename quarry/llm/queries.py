@@ -35,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_quality_rules": quality_rules.ORACLE.replace("{docs}", "documents"),
         "op2_ngram_jaccard": ngram_join.ORACLE.replace("{docs}", "documents"),
         "op3_warc": warc.ORACLE.replace("{pages}", "pages"),
         "op4_mixing": mixing.ORACLE.replace("{docs}", "documents"),
