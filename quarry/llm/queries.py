@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat_format, decontaminate, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, token_counts, toxicity, warc
+from quarry.llm import chat_format, decontaminate, filter_audit, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, token_counts, toxicity, url_filters, warc
 from quarry.llm.common import read
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -30,6 +30,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": lambda s, d: decontaminate.op8_decontamination(read(s, d, "documents"), read(s, d, "benchmark")),
         "op9_toxicity": lambda s, d: toxicity.op9_toxicity(read(s, d, "documents"), read(s, d, "labels")),
         "op10_token_counts": _op10,
+        "op11_url_filters": lambda s, d: url_filters.op11_url_filters(read(s, d, "pages")),
+        "op13_filter_audit": lambda s, d: filter_audit.op13_filter_audit(read(s, d, "documents"), read(s, d, "labels")),
     }
 
 
@@ -40,4 +42,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_warc": warc.ORACLE.replace("{pages}", "pages"),
         "op4_mixing": mixing.ORACLE.replace("{docs}", "documents"),
         "op8_decontamination": decontaminate.ORACLE.replace("{docs}", "documents").replace("{items}", "benchmark"),
+        "op11_url_filters": url_filters.ORACLE.replace("{pages}", "pages"),
+        "op13_filter_audit": filter_audit.ORACLE.replace("{docs}", "documents").replace("{labels}", "labels"),
     }

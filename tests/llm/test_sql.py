@@ -22,7 +22,7 @@ def rows(df):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "labels"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     wanted = c.execute(queries.oracle_sql()[name]).df()
     got = queries.queries()[name](spark, DATA).toPandas()
