@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat_format, decontaminate, filter_audit, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, token_counts, toxicity, url_filters, warc
+from quarry.llm import align, chat_format, decontaminate, filter_audit, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, token_counts, toxicity, url_filters, warc
 from quarry.llm.common import read
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def _op10(spark: SparkSession, d: str) -> DataFrame:
@@ -18,6 +18,12 @@ def _op10(spark: SparkSession, d: str) -> DataFrame:
     return token_counts.op10_token_counts(read(spark, d, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def _op12(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.op12_token_alignment(read(spark, d, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": lambda s, d: quality_rules.op1_quality_rules(read(s, d, "documents")),
@@ -31,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": lambda s, d: toxicity.op9_toxicity(read(s, d, "documents"), read(s, d, "labels")),
         "op10_token_counts": _op10,
         "op11_url_filters": lambda s, d: url_filters.op11_url_filters(read(s, d, "pages")),
+        "op12_token_alignment": _op12,
         "op13_filter_audit": lambda s, d: filter_audit.op13_filter_audit(read(s, d, "documents"), read(s, d, "labels")),
     }
 
