@@ -140,13 +140,30 @@ def known_by_number(df: DataFrame, year: Column) -> DataFrame:
     return df.select(number.alias("number"), year.alias("year"), "ordinal").where("number <> ''").groupBy("number").agg(F.max_by("year", "ordinal").alias("year"))
 
 
+def _halves(c: Column, name: str) -> list[Column]:
+    """Two sums that a set of values has in any order: a 64-bit hash in halves, so that no sum runs over."""
+    h = F.when(c.isNotNull(), F.xxhash64(F.lit(name), c))
+    return [F.sum(F.shiftrightunsigned(h, 32)).alias(f"_{name}h"), F.sum(h.bitwiseAND(0xFFFFFFFF)).alias(f"_{name}l")]
+
+
 def stop_at_repeat(items: DataFrame, page: str = "page", url: str = "url") -> DataFrame:
-    """Rows of the pages before the first one that is empty or lists the same urls as an earlier page. An empty page is a
-    row with a null url. Pages are compared by a digest of their sorted urls: one row per page."""
-    sign = items.groupBy(page).agg(F.count(url).alias("_n"), F.sha2(F.array_join(F.array_sort(F.collect_list(url)), "\n").cast("binary"), 256).alias("_s"))
-    firsts = sign.where("_n > 0").groupBy("_s").agg(F.min(page).alias("_first"))
-    bad = sign.join(firsts, "_s", "left").where((F.col("_n") == 0) | (F.col(page) > F.col("_first")))
-    end = bad.agg(F.min(page).alias("_end"))
+    """Rows of the pages before the first one that is empty or lists the same urls, each as often, as an earlier page. An
+    empty page is a row with a null url.
+
+    A page's digest is a count and sums of two hashes of its urls, made by partial aggregation: no page is gathered. What
+    has the digest of an earlier page is compared with it url by url."""
+    digest = ("_n", "_ah", "_al", "_bh", "_bl")
+    sign = items.groupBy(page).agg(F.count(url).alias("_n"), *_halves(F.col(url), "a"), *_halves(F.col(url), "b"))
+    same = sign.where("_n > 0").groupBy(*digest).agg(F.min(page).alias("_first"), F.count("*").alias("_pages")).where("_pages > 1")
+    later = sign.join(same, list(digest)).where(F.col(page) > F.col("_first")).select(F.col(page).alias("_later"), "_first")
+    listed = items.where(F.col(url).isNotNull()).groupBy(page, url).agg(F.count("*").alias("_times"))
+    left = later.join(listed, F.col("_later") == F.col(page)).select("_later", "_first", F.col(url).alias("_u"), F.col("_times").alias("_t"))
+    right = listed.select(F.col(page).alias("_first"), F.col(url).alias("_u"), "_times")
+    # counts are equal, so pages are if no url of the later one is missing or rarer in the first
+    other = left.join(right, ["_first", "_u"], "left").where(F.coalesce("_times", F.lit(0)) < F.col("_t")).select("_later")
+    repeated = later.join(other, "_later", "left_anti").select(F.col("_later").alias("_bad"))
+    bad = repeated.unionByName(sign.where("_n = 0").select(F.col(page).alias("_bad")))
+    end = bad.agg(F.min("_bad").alias("_end"))
     return items.join(end).where(F.col("_end").isNull() | (F.col(page) < F.col("_end"))).drop("_end")
 
 

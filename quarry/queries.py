@@ -6,8 +6,6 @@ hit this prose replace the Vietnamese ones, which tests/ covers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +16,7 @@ from quarry.functions import facts, ids, retrieval, text
 from quarry.operators import catalog, chat, chunk, html, match, normalize, quality, queue, retrieve
 from quarry.plans.answering import answer_questions
 from quarry.sources import tables
+from quarry.sources.shared import shared_folder
 from quarry.streaming.intake import stream_intake
 
 LISTS = config.Keywords(stopwords=("and", "the", "that", "with"), compounds=("of the", "in the"), core_words=("the", "tion", "ing"), synonyms=())
@@ -164,6 +163,29 @@ def users(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"), F.concat("c_name", F.lit("@example.org")).alias("email"), F.when(F.col("c_custkey") % 10 == 0, "ADMIN").otherwise("USER").alias("role"), (F.col("c_custkey") % 7 != 0).alias("is_active"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("c_custkey") * 3600).alias("created_at"))
 
 
+def listed_pages(s: SparkSession, d: str) -> DataFrame:
+    """Events as lists of five urls a page; the last fifth of the pages lists what the first ones do, in another order."""
+    e = read(s, d, "events").select("event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url"))
+    top = e.agg((F.floor(F.max("event_id") * 0.8 / 5) * 5).alias("_top"))
+    i = e.select("event_id").join(top).select((F.floor(F.col("event_id") / 5)).alias("page"), F.when(F.col("event_id") >= F.col("_top"), F.floor((F.col("event_id") - F.col("_top")) / 5) * 5 + 4 - F.col("event_id") % 5).otherwise(F.col("event_id")).alias("event_id"))
+    return i.join(e, "event_id").select("page", "url")
+
+
+#: The same in SQL, and what comes before the first empty or repeated page.
+LISTED = """
+WITH t AS (SELECT CAST(floor(max(event_id) * 0.8 / 5) * 5 AS BIGINT) AS top FROM events),
+n AS (SELECT event_id // 5 AS page, CASE WHEN event_id >= top THEN (event_id - top) // 5 * 5 + 4 - event_id % 5 ELSE event_id END AS event_id FROM events, t),
+p AS (SELECT page, 'u' || CAST(user_id AS VARCHAR) AS url FROM n JOIN events USING (event_id)),
+i AS (SELECT page, {url} AS url FROM p {rows})
+"""
+STOPPED = """,
+s AS (SELECT page, count(url) AS n, string_agg(url, chr(10) ORDER BY url) AS s FROM i GROUP BY 1),
+f AS (SELECT s, min(page) AS first FROM s WHERE n > 0 GROUP BY 1),
+e AS (SELECT min(page) AS stop FROM s LEFT JOIN f USING (s) WHERE n = 0 OR page > first)
+SELECT page, url FROM i, e WHERE stop IS NULL OR page < stop
+"""
+
+
 def events_of(s: SparkSession, d: str) -> DataFrame:
     return html.page_events(read(s, d, "pages"))
 
@@ -192,8 +214,7 @@ def now():
 
 def _again(s: SparkSession, write: Callable[[str], None], back: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
     """What is read back from a table that was written to the shared folder."""
-    base = s.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/quarry"
-    path = f"{base.rstrip('/')}/query-{uuid.uuid4().hex}"
+    path = shared_folder(s, "query")
     write(path)
     return back(s, path)
 
@@ -262,7 +283,8 @@ def _queries(t: Column | None) -> dict[str, Query]:
         "flag_duplicates": lambda s, d: catalog.flag_duplicates(cat(s, d)).select("id", "dup_id", "dup_url", "dup_file"),
         "dedupe_first": lambda s, d: catalog.dedupe_first(cat(s, d), "source_url", "title").select("id"),
         "known_by_number": lambda s, d: catalog.known_by_number(cat(s, d), F.substring("issue_date", 1, 4)),
-        "stop_at_repeat": lambda s, d: catalog.stop_at_repeat(read(s, d, "events").select((F.floor(F.col("event_id") / 5)).alias("page"), F.when(F.col("event_id") < 9000, F.col("user_id").cast("string")).alias("url"))),
+        "stop_at_repeat": lambda s, d: catalog.stop_at_repeat(listed_pages(s, d)),
+        "stop_at_empty": lambda s, d: catalog.stop_at_repeat(listed_pages(s, d).withColumn("url", F.when(F.col("page") % 10 != 7, F.col("url"))).where("page > 2 or page = 0")),
         "claim_checksums": lambda s, d: catalog.claim_checksums(uploads(s, d).select("checksum", F.col("file_ordinal").alias("page"), F.lit(0).alias("item"), F.lit(0).alias("attachment")), uploads(s, d).where("file_ordinal % 50 = 0").select("checksum")).select("page", "claim"),
         "classify_duplicates": lambda s, d: catalog.classify_duplicates(
             cat(s, d).select("id", F.col("source_url").alias("detail_url"), F.sha2("title", 256).alias("checksum"), "document_number", F.substring("issue_date", 1, 4).alias("year")),
@@ -470,7 +492,8 @@ def oracle_sql() -> dict[str, str]:
         "slug": r"SELECT page_id, lower(trim(regexp_replace(regexp_extract(regexp_replace(regexp_extract(regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*', ''), '^([^?#]*)', 1), '/+$', ''), '([^/]*)$', 1), '(.)\.[^.]*$', '\1'))) AS slug FROM pages",
         "normalize_title": r"SELECT doc_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(split_part(text, chr(10), 1) || ' - 03/08/2026', '[-–—\s]*\b\d{1,2}/\d{1,2}/\d{4}\b[^\n]*$', ''), '[.\s\-_–—]+$', ''), '\s+', ' ', 'g'))) AS title FROM documents",
         "conversation_title": r"WITH q AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS q FROM documents), h AS (SELECT *, substr(q, 1, 48) AS h, length(substr(q, 1, 48)) - strpos(reverse(substr(q, 1, 48)), ' ') AS k FROM q) SELECT doc_id, CASE WHEN length(q) <= 45 THEN q WHEN contains(h, ' ') AND k > 25 THEN substr(h, 1, k) || '...' ELSE h || '...' END AS title FROM h",
-        "stop_at_repeat": "WITH i AS (SELECT event_id // 5 AS page, CASE WHEN event_id < 9000 THEN CAST(user_id AS VARCHAR) END AS url FROM events), s AS (SELECT page, count(url) AS n, string_agg(url, chr(10) ORDER BY url) AS s FROM i GROUP BY 1), f AS (SELECT s, min(page) AS first FROM s WHERE n > 0 GROUP BY 1), e AS (SELECT min(page) AS stop FROM s LEFT JOIN f USING (s) WHERE n = 0 OR page > first) SELECT page, url FROM i, e WHERE stop IS NULL OR page < stop",
+        "stop_at_repeat": LISTED.replace("{url}", "url").replace("{rows}", "") + STOPPED,
+        "stop_at_empty": LISTED.replace("{url}", "CASE WHEN page % 10 <> 7 THEN url END").replace("{rows}", "WHERE page > 2 OR page = 0") + STOPPED,
         "classify_duplicates": DUPLICATES + "SELECT id, duplicate_status FROM j",
         "duplicate_facets": DUPLICATES + "SELECT duplicate_status, count(*) AS n FROM j GROUP BY 1",
         "items_by_duplicate_status": DUPLICATES + "SELECT id, duplicate_status FROM j WHERE duplicate_status = 'LIKELY'",

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.schemas import CATALOGUE, EXTRACTED, NOTICE, NOTICE_FIELDS
+from quarry.sources.shared import stored
 
 
 def read_notices(spark: SparkSession, path: str) -> DataFrame:
@@ -25,12 +26,17 @@ def read_notices(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_ordinal(df: DataFrame, *order: Column | str, name: str = "ordinal") -> DataFrame:
-    """Numbers rows from 0 by an order, without bringing them to one task: rows are range-partitioned and sorted, and
-    each partition starts after the sum of the partitions before."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    start = sizes.select(F.col("_p").alias("_q"), (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_at"))
-    return ranged.join(start, F.col("_p") == F.col("_q")).withColumn(name, F.col("_at") + F.col("_i")).drop("_p", "_q", "_i", "_at")
+    """Numbers rows from 0 by an order, without bringing them to one task. Rows are sorted by range once and written with
+    their partition and their place in it; the stored rows then start after the sum of the partitions before. A sort that
+    was planned twice could cut its ranges elsewhere the second time, so nothing is numbered before it is stored. Rows of
+    one key are numbered in any order, each once."""
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_p": F.spark_partition_id(), "_i": place})
+    rows = stored(sorted_, "ordinals")
+    sizes = rows.groupBy("_p").agg(F.count("*").alias("_n"))
+    # one row a partition
+    start = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_at"))
+    return rows.join(start, "_p").withColumn(name, F.col("_at") + F.col("_i")).drop("_p", "_i", "_at")
 
 
 def read_extracted(spark: SparkSession, folder: str) -> DataFrame:

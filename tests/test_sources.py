@@ -36,6 +36,19 @@ def test_catalogue_html_vectors(spark, tmp_path):
 def test_ordinals(spark):
     got = tables.with_ordinal(spark.range(100).withColumn("k", F.col("id") * 7 % 100), "k").orderBy("ordinal").collect()
     assert [(r.ordinal, r.k) for r in got] == [(i, i) for i in range(100)]
+    assert tables.with_ordinal(spark.range(0), "id").collect() == []
+
+
+def test_ordinals_of_many_wide_rows(spark):
+    """Wide rows and narrow counts are planned apart; keys repeat, one of them in a third of the rows."""
+    n = 1_000_000
+    key = F.when(F.col("id") % 3 == 0, -1).otherwise(F.pmod(F.xxhash64("id"), F.lit(400_000)))
+    rows = spark.range(n, numPartitions=11).select("id", key.alias("k"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 3).alias("wide"))
+    got = tables.with_ordinal(rows, "k")
+    a = got.agg(F.count("*").alias("n"), F.count_distinct("ordinal").alias("distinct"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last"), F.count_distinct("id").alias("ids")).first()
+    assert tuple(a) == (n, n, 0, n - 1, n)
+    least = got.groupBy("k").agg(F.min("ordinal").alias("lo"), F.max("ordinal").alias("hi"), F.count("*").alias("c"))
+    assert least.where("hi - lo + 1 <> c").count() == 0
 
 
 def test_stream(spark, tmp_path):
