@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from quarry.functions.ids import basename, extension, normalize_title, slug
 from quarry.functions.text import strip, txt
 from quarry.operators.catalog import attachment_union
+from quarry.operators.substring import contains_join
+from quarry.sources.shared import stored
 
 NONE = "array<string>"
 
@@ -65,45 +67,61 @@ def match_details(details: DataFrame, notices: DataFrame) -> DataFrame:
     return details.join(best, "detail_ordinal", "left")
 
 
-#: Rows up to which the smaller side of a substring join is sent to all tasks.
-SMALL_ROWS = 20_000
-
-
-def contains_join(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
-    """An inner join on a substring test, which no key serves. The right side is counted; up to SMALL_ROWS rows it is
-    broadcast, beyond that it is taken in blocks of that size, each broadcast in turn."""
-    n = right.count()
-    if n <= SMALL_ROWS:
-        return left.join(F.broadcast(right), on)
-    blocks = -(-n // SMALL_ROWS) * 2
-    parts = right.withColumn("_b", F.pmod(F.xxhash64(*right.columns), F.lit(blocks)))
-    out = None
-    for b in range(blocks):
-        p = left.join(F.broadcast(parts.where(F.col("_b") == b).drop("_b")), on)
-        out = p if out is None else out.unionByName(p)
-    return out
+def _either_holds(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """Rows of two sides, each with distinct texts, of which one text holds the other."""
+    return contains_join(left, right, a, b).unionByName(contains_join(right, left, b, a).select(*left.columns, *right.columns)).distinct()
+
+
+def _first_of_a_kind(rest: DataFrame) -> DataFrame:
+    """The details (detail_ordinal, title, _k) that become notices when they are taken in order: one does unless an earlier
+    one that did has a title that holds its own or is held by it, or has its key.
+
+    Decided in rounds, each for all details at once: what an earlier new notice takes goes, and of the others those become
+    notices that no earlier undecided one could take. Rounds are as many as the longest chain of details that wait for one
+    another, not as many as details."""
+    open_, found = stored(rest, "details-open"), None
+    while not open_.isEmpty():
+        titles = open_.where("title <> ''").groupBy("title").agg(F.min("detail_ordinal").alias("_o"))
+        other = titles.select(F.col("title").alias("_t"), F.col("_o").alias("_first"))
+        near = _either_holds(titles, other, "title", "_t").groupBy("title").agg(F.min("_first").alias("_near"))
+        keys = open_.groupBy("_k").agg(F.min("detail_ordinal").alias("_own"))
+        j = open_.join(near, "title", "left").join(keys, F.equal_null(open_["_k"], keys["_k"])).drop(keys["_k"])
+        fresh = stored(j.where("detail_ordinal = _own and (_near is null or _near = detail_ordinal)").select("detail_ordinal", "title", "_k"), "details-new")
+        found = fresh if found is None else found.unionByName(fresh)
+        # a title may be that of several new notices only if it is empty
+        named = fresh.where("title <> ''").select(F.col("title").alias("_t"), F.col("detail_ordinal").alias("_o"))
+        taken = _either_holds(open_.where("title <> ''").select("title").distinct(), named, "title", "_t").groupBy("title").agg(F.min("_o").alias("_by"))
+        same = fresh.select(F.col("_k").alias("_q"), F.col("detail_ordinal").alias("_at"))
+        left = open_.join(taken, "title", "left").join(same, F.equal_null("_k", "_q"), "left")
+        open_ = stored(left.where("(_by is null or _by > detail_ordinal) and (_at is null or _at > detail_ordinal)").select("detail_ordinal", "title", "_k"), "details-open")
+    return rest.limit(0) if found is None else found
 
 
 def enrich_by_title(details: DataFrame, notices: DataFrame) -> DataFrame:
-    """notices with what details add: the first notice whose title holds the detail's or is held by it gets missing
-    attachments, and the first date that isn't empty if it has none; details without one become notices (the first per
-    url, else title, unless a notice has that key). Cases count. Details are matched with the given notices at once:
-    a later detail isn't matched with a notice that an earlier one became."""
+    """notices with what details add, taken in order: the first notice whose title holds the detail's or is held by it gets
+    missing attachments, and the first date that isn't empty if it has none. A detail without one becomes a notice, unless
+    a notice has its key (url, else title), and takes later details as the others do. Cases count."""
+    key = F.coalesce(F.nullif("detail_url", F.lit("")), F.nullif("title", F.lit("")))
     d = details.select("detail_ordinal", txt("title").alias("dt")).where("dt <> ''")
-    n = notices.select("ordinal", txt("title").alias("nt")).where("nt <> ''")
-    pairs = contains_join(n, d, F.contains("nt", "dt") | F.contains("dt", "nt")).groupBy("detail_ordinal").agg(F.min("ordinal").alias("ordinal"))
-    given = details.join(pairs, "detail_ordinal").groupBy("ordinal").agg(
+    # equal titles count once; the first notice of a title stands for all of them
+    first = notices.select("ordinal", txt("title").alias("nt")).where("nt <> ''").groupBy("nt").agg(F.min("ordinal").alias("ordinal"))
+    fits = _either_holds(first, d.select("dt").distinct(), "nt", "dt")
+    pairs = stored(d.join(fits.groupBy("dt").agg(F.min("ordinal").alias("ordinal")), "dt").select("detail_ordinal", "ordinal"), "details-matched")
+    rest = details.join(pairs, "detail_ordinal", "left_anti").withColumn("_k", key)
+    seen = notices.select(key.alias("_k")).where("_k is not null").distinct()
+    fresh = _first_of_a_kind(rest.join(seen, "_k", "left_anti").select("detail_ordinal", txt("title").alias("title"), "_k"))
+    top = notices.agg(F.coalesce(F.max("ordinal"), F.lit(-1)).alias("_top"))
+    made = fresh.join(top).select((F.col("_top") + 1 + F.col("detail_ordinal")).alias("ordinal"), F.col("title").alias("nt"), F.col("detail_ordinal").alias("_from"))
+    late = rest.select("detail_ordinal", txt("title").alias("dt")).where("dt <> ''")
+    by_new = _either_holds(made.where("nt <> ''"), late.select("dt").distinct(), "nt", "dt").select("dt", "ordinal", "_from")
+    more = late.join(by_new, "dt").where("_from < detail_ordinal").groupBy("detail_ordinal").agg(F.min("ordinal").alias("ordinal"))
+    given = details.join(pairs.unionByName(more), "detail_ordinal").groupBy("ordinal").agg(
         F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("detail_ordinal", _list("attachments").alias("a")))), lambda x: x["a"]))).alias("_a"),
         F.min_by("date", F.when(txt("date") != "", F.col("detail_ordinal"))).alias("_d"),
     )
-    out = notices.join(given, "ordinal", "left").withColumns({"attachments": attachment_union(F.col("attachments"), F.col("_a")), "date": F.coalesce(F.nullif("date", F.lit("")), F.col("_d"))}).drop("_a", "_d")
-    rest = details.join(pairs, "detail_ordinal", "left_anti")
-    key = F.coalesce(F.nullif("detail_url", F.lit("")), F.nullif("title", F.lit("")))
-    firsts = rest.groupBy(key.alias("_k")).agg(F.min("detail_ordinal").alias("detail_ordinal"))
-    firsts = firsts.join(notices.select(key.alias("_k")).where("_k is not null").distinct(), "_k", "left_anti").select("detail_ordinal")
-    top = notices.agg(F.coalesce(F.max("ordinal"), F.lit(-1)).alias("_top"))
-    fresh = rest.join(firsts, "detail_ordinal").join(top).withColumn("ordinal", F.col("_top") + 1 + F.col("detail_ordinal")).drop("_top", "detail_ordinal")
-    return out.unionByName(fresh, allowMissingColumns=True)
+    added = details.join(made.select("ordinal", F.col("_from").alias("detail_ordinal")), "detail_ordinal").drop("detail_ordinal")
+    out = notices.unionByName(added, allowMissingColumns=True).join(given, "ordinal", "left")
+    return out.withColumns({"attachments": attachment_union(F.col("attachments"), F.col("_a")), "date": F.coalesce(F.nullif("date", F.lit("")), F.col("_d"))}).drop("_a", "_d")
 
 
 def link_local_files(files: DataFrame, notices: DataFrame) -> DataFrame:
@@ -111,10 +129,11 @@ def link_local_files(files: DataFrame, notices: DataFrame) -> DataFrame:
     whose title holds its stem gets the name appended. files: name."""
     names = files.select("name", F.lower("name").alias("low"), F.lower(F.regexp_replace("name", r"\.[^.]*$", F.lit(""))).alias("stem"))
     at = notices.select(F.explode(_list("attachments")).alias("a")).select(F.lower("a").alias("a")).distinct()
-    known = contains_join(at, names, F.contains("a", "low")).select("name").distinct()
+    known = names.join(contains_join(at, names.select("low").distinct(), "a", "low").select("low").distinct(), "low").select("name")
     open_ = names.join(known, "name", "left_anti").where("stem <> ''")
-    titles = notices.select("ordinal", F.lower(txt("title")).alias("t"))
-    got = contains_join(titles, open_, F.contains("t", "stem")).groupBy("name").agg(F.min("ordinal").alias("ordinal"))
+    titles = notices.select("ordinal", F.lower(txt("title")).alias("t")).groupBy("t").agg(F.min("ordinal").alias("ordinal"))
+    held = contains_join(titles, open_.select("stem").distinct(), "t", "stem").groupBy("stem").agg(F.min("ordinal").alias("ordinal"))
+    got = open_.join(held, "stem").select("name", "ordinal")
     add = got.groupBy("ordinal").agg(F.array_sort(F.collect_list("name")).alias("_a"))
     return notices.join(add, "ordinal", "left").withColumn("attachments", attachment_union(F.col("attachments"), F.col("_a"))).drop("_a")
 
@@ -139,7 +158,9 @@ def find_detail_file(notices: DataFrame, files: DataFrame) -> DataFrame:
     n = notices.select("ordinal", slug(F.col("detail_url")).alias("s")).where("s <> ''")
     exact = n.join(f, F.col("s") == F.col("stem")).groupBy("ordinal").agg(F.min("file").alias("detail_file"))
     left = n.join(exact, "ordinal", "left_anti")
-    loose = contains_join(f, left, F.contains("stem", "s")).groupBy("ordinal").agg(F.min("file").alias("detail_file"))
+    stems = f.groupBy("stem").agg(F.min("file").alias("file"))
+    held = contains_join(stems, left.select("s").distinct(), "stem", "s").groupBy("s").agg(F.min("file").alias("detail_file"))
+    loose = left.join(held, "s").select("ordinal", "detail_file")
     return notices.join(exact.unionByName(loose), "ordinal", "left")
 
 

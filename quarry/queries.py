@@ -186,6 +186,29 @@ SELECT page, url FROM i, e WHERE stop IS NULL OR page < stop
 """
 
 
+#: Details whose titles are new start with others' titles ("New: 18" of "New: 180"), always with an earlier one's.
+ENRICHED = """,
+d AS (
+  SELECT ordinal AS o, CASE WHEN ordinal % 9 = 0 THEN 'New: ' || id ELSE title END AS t,
+    CASE WHEN ordinal % 2 = 0 THEN '01/02/2024' ELSE '' END AS date
+  FROM cat),
+p AS (
+  SELECT o, min(ordinal) AS ordinal FROM d JOIN cat ON d.t <> '' AND title <> '' AND (contains(title, d.t) OR contains(d.t, title)) GROUP BY 1),
+r AS (SELECT o, t, date FROM d WHERE o NOT IN (SELECT o FROM p) AND t NOT IN (SELECT title FROM cat)),
+l AS (SELECT o, t, date FROM r WHERE NOT EXISTS (SELECT 1 FROM r x WHERE x.o < r.o AND contains(r.t, x.t))),
+m AS (SELECT r.o, min(l.o) AS leader FROM r JOIN l ON l.o < r.o AND contains(r.t, l.t) GROUP BY 1),
+g AS (
+  SELECT ordinal, count(*) AS n, CASE WHEN bool_or(date <> '') THEN '01/02/2024' ELSE '' END AS date FROM p JOIN d USING (o) GROUP BY 1),
+h AS (SELECT leader, count(*) AS n, bool_or(date <> '') AS dated FROM m JOIN d USING (o) GROUP BY 1)
+SELECT ordinal, CASE WHEN issue_date IS NULL THEN coalesce(g.date, '') ELSE strftime(CAST(issue_date AS DATE), '%d/%m/%Y') END AS date,
+  CAST(CAST(has_attachment AS INTEGER) + coalesce(g.n, 0) AS INTEGER) AS n
+FROM cat LEFT JOIN g USING (ordinal)
+UNION ALL
+SELECT (SELECT max(ordinal) FROM cat) + 1 + o, CASE WHEN date <> '' OR coalesce(dated, false) THEN '01/02/2024' ELSE '' END, CAST(1 + coalesce(n, 0) AS INTEGER)
+FROM l LEFT JOIN h ON leader = o
+"""
+
+
 def events_of(s: SparkSession, d: str) -> DataFrame:
     return html.page_events(read(s, d, "pages"))
 
@@ -502,7 +525,7 @@ def oracle_sql() -> dict[str, str]:
         "clean_notices": CAT + "SELECT ordinal, CASE WHEN ordinal % 10 = 0 THEN 'pending' ELSE 'ok' END AS crawl_status, CASE WHEN has_attachment AND ordinal % 10 <> 0 THEN 1 ELSE 0 END AS n FROM cat WHERE length(title) > 8",
         "notice_projection": CAT + r"SELECT trim(regexp_replace(title, '\s+', ' ', 'g')) AS title, CASE WHEN issue_date IS NULL THEN '' ELSE strftime(CAST(issue_date AS DATE), '%d/%m/%Y') END AS date, 'http://docs.example/d' || id || '.html' AS detail_url, CAST(has_attachment AS INTEGER) AS n FROM cat",
         "match_detail_pair": CAT + "SELECT ordinal, ordinal % 3 = 1 OR ordinal = 0 AS same FROM cat",
-        "enrich_by_title": CAT + ", d AS (SELECT ordinal AS o, CASE WHEN ordinal % 9 = 0 THEN 'New: ' || id ELSE title END AS t, CASE WHEN ordinal % 2 = 0 THEN '01/02/2024' ELSE '' END AS date FROM cat), p AS (SELECT o, min(ordinal) AS ordinal FROM d JOIN cat ON d.t <> '' AND title <> '' AND (contains(title, d.t) OR contains(d.t, title)) GROUP BY 1), g AS (SELECT ordinal, count(*) AS n, CASE WHEN bool_or(date <> '') THEN '01/02/2024' ELSE '' END AS date FROM p JOIN d USING (o) GROUP BY 1) SELECT ordinal, CASE WHEN issue_date IS NULL THEN coalesce(g.date, '') ELSE strftime(CAST(issue_date AS DATE), '%d/%m/%Y') END AS date, CAST(CAST(has_attachment AS INTEGER) + coalesce(g.n, 0) AS INTEGER) AS n FROM cat LEFT JOIN g USING (ordinal) UNION ALL SELECT (SELECT max(ordinal) FROM cat) + 1 + min(o), max_by(date, -o), 1 FROM d WHERE o NOT IN (SELECT o FROM p) AND t <> '' AND t NOT IN (SELECT title FROM cat) GROUP BY t",
+        "enrich_by_title": CAT + ENRICHED,
         "link_local_files": CAT + ", f AS (SELECT DISTINCT CASE ordinal % 3 WHEN 0 THEN title WHEN 1 THEN 'a' || id ELSE 'none ' || id END || '.pdf' AS name FROM cat), a AS (SELECT 'http://docs.example/a' || id || '.pdf' AS a FROM cat WHERE has_attachment), o AS (SELECT name, lower(regexp_replace(name, '\\.[^.]*$', '')) AS stem FROM f WHERE NOT EXISTS (SELECT 1 FROM a WHERE contains(a, lower(name)))), g AS (SELECT name, min(ordinal) AS ordinal FROM o JOIN cat ON stem <> '' AND contains(lower(title), stem) GROUP BY 1), c AS (SELECT ordinal, count(*) AS n FROM g GROUP BY 1) SELECT ordinal, CAST(CAST(has_attachment AS INTEGER) + coalesce(n, 0) AS INTEGER) AS n FROM cat LEFT JOIN c USING (ordinal)",
         "attachment_index": CAT + "SELECT 'a' || id || '.pdf' AS name, ordinal FROM cat WHERE has_attachment",
         "lookup_attachments": CAT + "SELECT ordinal AS file_ordinal, CASE WHEN ordinal % 8 = 0 THEN ordinal END AS notice_ordinal FROM cat",
