@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,11 +19,11 @@ from quarry.functions.text import garbage_line, rounded, strip, txt
 
 #: Questions sent to every task at once; a larger batch is taken in blocks of this size.
 QUESTION_BLOCK = 10_000
-#: The same for vectors: a block's matrix is at most so many rows of an embedding's length.
-VECTOR_BLOCK = 4_000
+#: The same for vectors, in bytes of a block's matrix; and how many similarities are held at once.
+VECTOR_BYTES, PRODUCTS = 32 << 20, 1_000_000
 
 
-def _blocks(questions: DataFrame, size: int) -> list[DataFrame]:
+def blocks(questions: DataFrame, size: int) -> list[DataFrame]:
     """The questions in blocks of about size rows, each small enough to broadcast."""
     n = questions.count()
     if n <= size:
@@ -31,12 +32,17 @@ def _blocks(questions: DataFrame, size: int) -> list[DataFrame]:
     return [questions.where(F.pmod(F.xxhash64("question_id"), F.lit(k)) == b) for b in range(k)]
 
 
-def _top(scored: DataFrame, k: int, *order: Column | str) -> DataFrame:
+def block_rows(dim: int) -> int:
+    """Questions of a block, by the length of their vectors."""
+    return max(1, VECTOR_BYTES // (8 * max(1, dim)))
+
+
+def best(scored: DataFrame, k: int, *order: Column | str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("question_id").orderBy(*order))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
+def union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -91,6 +97,27 @@ def _points(words: Broadcast):
     return F.pandas_udf(run, "array<struct<k:string,hit:boolean,points:int>>")
 
 
+def scored_pages(points: DataFrame, asked: DataFrame, threshold: float, lists: config.Keywords) -> DataFrame:
+    """(question_id, ordinal, page_number, score, matched) from points (ordinal, page_number, _k, hit, points) of pages that
+    hold a keyword and what is asked (question_id, keywords)."""
+    compounds = F.array(*map(F.lit, lists.compounds)).cast("array<string>")
+    each = asked.select("question_id", F.size("keywords").alias("_size"), F.posexplode("keywords").alias("_at", "_word"))
+    each = each.withColumns({"_k": F.lower("_word"), "_compound": F.array_contains(compounds, F.col("_word"))})
+    met = points.join(each, "_k").groupBy("question_id", "ordinal", "page_number").agg(
+        F.count_if("hit").alias("_n"), F.sum(F.when(F.col("hit"), F.col("points")).otherwise(0)).alias("_points"), F.first("_size").alias("_size"), F.bool_or("_compound").alias("_held"),
+        F.array_sort(F.collect_list(F.when(F.col("hit"), F.struct("_at", "_word")))).alias("_hits"),
+    )
+    gates = asked.select("question_id", (F.size(F.array_intersect("keywords", compounds)) > 0).alias("_gate"))
+    coverage = F.col("_n") / F.col("_size")
+    met = met.where((F.col("_n") > 0) & ((F.col("_size") == 1) | (coverage >= 0.4))).withColumn("score", rounded(F.col("_points") * (0.5 + coverage))).where(F.col("score") >= threshold)
+    met = met.join(gates, "question_id").where(~F.col("_gate") | F.col("_held"))
+    return met.select("question_id", "ordinal", "page_number", "score", F.array_distinct(F.transform("_hits", lambda x: x["_word"])).alias("matched"))
+
+
+def best_pages(scored: DataFrame, k: int) -> DataFrame:
+    return best(scored, k, F.desc("score"), "ordinal", "page_number")
+
+
 def top_keyword(questions: DataFrame, pages: DataFrame, threshold: float = 20.0, k: int = 4, lists: config.Keywords = config.DEFAULT_KEYWORDS) -> DataFrame:
     """The k best pages of each question: (question_id, document_id, page_number, rank, score, matched, ...). pages:
     (ordinal, document_id, page_number, title, document_number, issue_date, category, subcategory, text). Ties keep the
@@ -104,51 +131,44 @@ def top_keyword(questions: DataFrame, pages: DataFrame, threshold: float = 20.0,
     low = pages.where(strip(txt("text")) != "").select("ordinal", "page_number", *[F.lower(txt(c)).alias(f"_{c}") for c in names])
     f = [F.col(f"_{c}") for c in names]
     parts = []
-    for block in _blocks(asked, QUESTION_BLOCK):
+    for block in blocks(asked, QUESTION_BLOCK):
         # keywords of a block are taken once; what follows reads them as a local table
         block = spark.createDataFrame(block.collect(), block.schema)
-        each = block.select("question_id", F.size("keywords").alias("_size"), F.posexplode("keywords").alias("_at", "_word"))
-        each = each.withColumns({"_k": F.lower("_word"), "_compound": F.array_contains(F.array(*map(F.lit, lists.compounds)).cast("array<string>"), F.col("_word"))})
-        words = sorted({w for r in each.select("_k").collect() if (w := r._k)})
+        words = sorted({w for r in block.select(F.explode("keywords").alias("_k")).select(F.lower("_k").alias("_k")).collect() if (w := r._k)})
         if not words:
             continue
         held = low.select("ordinal", "page_number", F.explode(_points(spark.sparkContext.broadcast(words))(*f)).alias("_x"))
         points = held.select("ordinal", "page_number", F.col("_x.k").alias("_k"), "_x.hit", "_x.points")
-        met = points.join(each, "_k").groupBy("question_id", "ordinal", "page_number").agg(
-            F.count_if("hit").alias("_n"), F.sum(F.when(F.col("hit"), F.col("points")).otherwise(0)).alias("_points"), F.first("_size").alias("_size"), F.bool_or("_compound").alias("_held"),
-            F.array_sort(F.collect_list(F.when(F.col("hit"), F.struct("_at", "_word")))).alias("_hits"),
-        )
-        gates = block.select("question_id", (F.size(F.array_intersect("keywords", F.array(*map(F.lit, lists.compounds)).cast("array<string>"))) > 0).alias("_gate"))
-        coverage = F.col("_n") / F.col("_size")
-        met = met.where((F.col("_n") > 0) & ((F.col("_size") == 1) | (coverage >= 0.4))).withColumn("score", rounded(F.col("_points") * (0.5 + coverage))).where(F.col("score") >= threshold)
-        met = met.join(gates, "question_id").where(~F.col("_gate") | F.col("_held"))
-        parts.append(met.select("question_id", "ordinal", "page_number", "score", F.array_distinct(F.transform("_hits", lambda x: x["_word"])).alias("matched")))
+        parts.append(scored_pages(points, block, threshold, lists))
     if not parts:
         parts = [low.select("ordinal", "page_number").join(questions.select("question_id").where("false")).select("question_id", "ordinal", "page_number", F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("matched"))]
-    return _top(_union(parts), k, F.desc("score"), "ordinal", "page_number").join(pages.drop("question_id", "score", "matched", "rank"), ["ordinal", "page_number"])
+    return best_pages(union(parts), k).join(pages.drop("question_id", "score", "matched", "rank"), ["ordinal", "page_number"])
+
+
+def nearest_in(m: np.ndarray, ordinals: np.ndarray, vectors: np.ndarray, of: np.ndarray, min_similarity: float, k: int) -> Iterator[pa.RecordBatch]:
+    """Of rows and questions (numbered of) the similarities that are high enough: the k best of each question, and what ties
+    with the last of them. Rows are taken in slices, so that at most PRODUCTS similarities are held."""
+    size, step = np.linalg.norm(vectors, axis=1), max(1, PRODUCTS // max(1, len(vectors)))
+    for lo in range(0, len(m), step):
+        part = m[lo : lo + step]
+        by = np.outer(np.linalg.norm(part, axis=1), size)
+        sim = np.where(by > 0, np.clip(part @ vectors.T / np.where(by > 0, by, 1.0), -1.0, 1.0), 0.0)
+        least = np.full(len(of), min_similarity)
+        if len(part) > k:
+            least = np.maximum(least, np.partition(sim, -k, axis=0)[-k])
+        at, q = np.nonzero(sim >= least)
+        yield pa.RecordBatch.from_arrays([pa.array(of[q].astype(np.int32)), pa.array(ordinals[lo + at]), pa.array(sim[at, q])], names=["q", "ordinal", "sim"])
 
 
-def _nearest(asked: list, vectors: np.ndarray, min_similarity: float, k: int):
-    """A map over batches of (ordinal, embedding): similarities of a batch with all questions are one matrix product, of
-    which the k best of each question, and what ties with the last of them, go on."""
-    size = np.linalg.norm(vectors, axis=1)
+def _nearest(vectors: np.ndarray, min_similarity: float, k: int):
+    """A map over batches of (ordinal, embedding): similarities with all questions are matrix products."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             there = b.filter(b.column("embedding").is_valid())
-            rows = [np.asarray(x.values, float) for x in there.column("embedding")]
-            fits = [i for i, r in enumerate(rows) if len(r) == vectors.shape[1]]
-            if not fits:
-                continue
-            m = np.stack([rows[i] for i in fits])
-            by = np.outer(np.linalg.norm(m, axis=1), size)
-            sim = np.where(by > 0, np.clip(m @ vectors.T / np.where(by > 0, by, 1.0), -1.0, 1.0), 0.0)
-            least = np.full(len(asked), min_similarity)
-            if len(m) > k:
-                least = np.maximum(least, np.partition(sim, -k, axis=0)[-k])
-            at, of = np.nonzero(sim >= least)
-            ordinals = there.column("ordinal").take(pa.array(np.array(fits)[at]))
-            yield pa.RecordBatch.from_arrays([pa.array(of.astype(np.int32)), ordinals, pa.array(sim[at, of])], names=["q", "ordinal", "sim"])
+            fits = there.filter(pc.equal(pc.list_value_length(there.column("embedding")), vectors.shape[1]))
+            m = np.asarray(fits.column("embedding").flatten(), float).reshape(len(fits), vectors.shape[1])
+            yield from nearest_in(m, fits.column("ordinal").to_numpy(zero_copy_only=False), vectors, np.arange(len(vectors)), min_similarity, k)
 
     return run
 
@@ -158,22 +178,22 @@ def top_semantic(questions: DataFrame, vectors: DataFrame, min_similarity: float
     rounded after the cut. questions: (question_id, embedding); vectors: (ordinal, ..., embedding). Vectors of another
     length than the questions', or null, are near to nothing.
 
-    Questions are taken in blocks of at most VECTOR_BLOCK, whose matrix goes to all tasks; of a batch of vectors only the
+    Questions are taken in blocks of at most VECTOR_BYTES, whose matrix goes to all tasks; of a batch of vectors only the
     best of each question reach the shuffle."""
     spark, kind = questions.sparkSession, vectors.schema["ordinal"].dataType.simpleString()
     parts = []
-    for block in _blocks(questions.where("embedding is not null").select("question_id", "embedding"), VECTOR_BLOCK):
-        got = block.collect()
-        for size in sorted({len(r.embedding) for r in got}):
-            of = [r for r in got if len(r.embedding) == size]
+    there = questions.where("embedding is not null").select("question_id", "embedding")
+    for (dim,) in there.select(F.size("embedding")).distinct().collect():  # the lengths that vectors have
+        for block in blocks(there.where(F.size("embedding") == dim), block_rows(dim)):
+            of = block.collect()
             ids = spark.createDataFrame([(i, r.question_id) for i, r in enumerate(of)], f"q int, question_id {questions.schema['question_id'].dataType.simpleString()}")
-            near = _nearest([r.question_id for r in of], np.array([r.embedding for r in of], float).reshape(len(of), size), min_similarity, k)
+            near = _nearest(np.array([r.embedding for r in of], float).reshape(len(of), dim), min_similarity, k)
             s = vectors.select("ordinal", "embedding").mapInArrow(near, f"q int, ordinal {kind}, sim double")
             parts.append(s.join(F.broadcast(ids), "q").drop("q"))
     if not parts:
         parts = [vectors.select("ordinal", F.lit(0.0).alias("sim")).join(questions.select("question_id").where("false"))]
-    best = _top(_union(parts), k, F.desc("sim"), "ordinal")
-    out = best.withColumns({"similarity": rounded(F.col("sim"), 3), "relevance": rounded(F.col("sim") * 100, 1)})
+    out = best(union(parts), k, F.desc("sim"), "ordinal")
+    out = out.withColumns({"similarity": rounded(F.col("sim"), 3), "relevance": rounded(F.col("sim") * 100, 1)})
     return out.join(vectors.drop("embedding", "sim", "rank"), "ordinal")
 
 
@@ -195,8 +215,8 @@ def fuse_hybrid(keyword: DataFrame, semantic: DataFrame, fusion: config.Fusion =
     alone = ~F.col("_sem")
     kept = j.withColumn("_final", F.when(alone, k0).otherwise(final)).where((F.col("_final") >= fusion.min_final) | (~alone & (k0 >= fusion.strong_keyword)))
     kept = kept.withColumn("final_score", F.when(alone, F.col("_final")).otherwise(rounded(F.col("_final"))))
-    best = _top(kept, fusion.k, F.desc("final_score"), F.coalesce("k_rank", F.lit(1 << 30)), F.coalesce("s_rank", F.lit(1 << 30)), "document_id", "page_number")
-    return best.select("question_id", "document_id", "page_number", "rank", F.coalesce("k_title", "s_title").alias("title"), F.coalesce("k_text", "s_text").alias("text"), k0.alias("keyword_score"), s0.alias("semantic_score"), "final_score", F.col("_sem").alias("is_hybrid"))
+    top = best(kept, fusion.k, F.desc("final_score"), F.coalesce("k_rank", F.lit(1 << 30)), F.coalesce("s_rank", F.lit(1 << 30)), "document_id", "page_number")
+    return top.select("question_id", "document_id", "page_number", "rank", F.coalesce("k_title", "s_title").alias("title"), F.coalesce("k_text", "s_text").alias("text"), k0.alias("keyword_score"), s0.alias("semantic_score"), "final_score", F.col("_sem").alias("is_hybrid"))
 
 
 def top_hybrid(questions: DataFrame, pages: DataFrame, vectors: DataFrame, fusion: config.Fusion = config.Fusion(), lists: config.Keywords = config.DEFAULT_KEYWORDS) -> DataFrame:
@@ -252,7 +272,7 @@ def excerpt_lines(text: Column, keywords: Column, most: int = 8, garbage=garbage
     picked = F.aggregate(
         hits,
         F.array().cast("array<int>"),
-        lambda a, i: F.when(F.size(a) >= most, a).otherwise(F.array_union(a, F.sequence(F.greatest(i - 1, F.lit(0)), F.least(i + 2, last)))),
+        lambda a, i: F.when(F.size(a) >= most, a).otherwise(F.arrayunion(a, F.sequence(F.greatest(i - 1, F.lit(0)), F.least(i + 2, last)))),
     )
     return F.when(F.size(hits) == 0, F.slice(good, 1, most)).otherwise(F.transform(F.array_sort(picked), lambda i: F.get(good, i)))
 

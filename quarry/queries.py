@@ -254,6 +254,18 @@ def _streamed(s: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Names and queries; columns are made when a query is called, so no session is needed before that."""
+    from quarry import queries_stored
+
+    return own_queries() | queries_stored.queries()
+
+
+def oracle_sql() -> dict[str, str]:
+    from quarry import queries_stored
+
+    return own_sql() | queries_stored.oracle_sql()
+
+
+def own_queries() -> dict[str, Query]:
     return {name: lambda s, d, name=name: _queries(F.col("text"))[name](s, d) for name in _queries(None)}
 
 
@@ -441,7 +453,7 @@ UPLOADS = Q + """, u AS (
 """
 
 
-def oracle_sql() -> dict[str, str]:
+def own_sql() -> dict[str, str]:
     return {
         "collapse_space": "SELECT doc_id, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS n FROM documents",
         "strip_boilerplate": "SELECT doc_id, length(array_to_string(list_filter(string_split(text, chr(10)), lambda x : NOT contains(lower(x), 'license') AND NOT contains(lower(x), 'copyright')), chr(10))) AS n FROM documents",
