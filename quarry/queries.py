@@ -411,7 +411,8 @@ def _queries(t: Column | None) -> dict[str, Query]:
         # html
         "list_items": lambda s, d: html.extract_list_items(events_of(s, d), "https://base.example", article="^/").select("page_id", "pos", "title", "detail_url"),
         "page_details": lambda s, d: html.extract_detail(events_of(s, d), "https://base.example").select("page_id", "title", F.length("content").alias("n"), F.size("attachments").alias("n_attachments")),
-        "classify_pages": lambda s, d: html.classify_pages(read(s, d, "pages"), html.extract_list_items(events_of(s, d), "https://base.example", article="^/"), html.extract_detail(events_of(s, d), "https://base.example")).select("page_id", "page_kind"),
+        "classify_pages": lambda s, d: html.page_kinds(read(s, d, "pages"), "https://base.example", article="^/").select("page_id", "page_kind"),
+        "discover_sections": lambda s, d: html.discover_links(events_of(s, d), s.createDataFrame([("https://base.example/of",)], "url string"), "https://base.example", 8, "^/", sections=read(s, d, "pages").select("page_id", (F.col("page_id") % 7).alias("section"), F.floor(F.col("page_id") / 7).alias("page"))).select("url", "page_id"),
         "discover_links": lambda s, d: html.discover_links(events_of(s, d), s.createDataFrame([("https://base.example/of",)], "url string"), "https://base.example", 8, "^/").select("url", "page_id"),
         # sources: written and read back
         "write_catalogue": lambda s, d: _again(s, lambda path: tables.write_catalogue(cat(s, d), path), tables.read_catalogue).select("id", "title", "category", "total_pages", F.size("attachments").alias("n")),
