@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions.retrieval import embedding_input
 from quarry.functions.text import strip, txt
+from quarry.sources.buckets import Buckets
+from quarry.sources.shared import stored
 
 MAX_CHARS = 750
 TEXTS = "array<string>"
@@ -102,3 +104,9 @@ def embedding_failures(chunks: DataFrame) -> DataFrame:
 def replace_vectors(index: DataFrame, new: DataFrame) -> DataFrame:
     """The index with all chunks of the new rows' documents replaced by the new rows."""
     return index.join(new.select("document_id").distinct(), "document_id", "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def replace_vectors_in_place(index: Buckets, new: DataFrame) -> None:
+    """replace_vectors() on a stored index (buckets by document_id): other documents' buckets keep their files."""
+    new = stored(new, "new-vectors")
+    index.change(new.select("document_id"), lambda rows: replace_vectors(rows, new))

@@ -10,6 +10,8 @@ from quarry import config
 from quarry.functions.ids import extension, file_format, sharded_path
 from quarry.functions.text import strip, txt
 from quarry.operators.normalize import assemble_content
+from quarry.sources.buckets import Buckets
+from quarry.sources.shared import stored
 
 STATUSES = ("PENDING", "PROCESSING", "PROCESSED", "FAILED", "PUBLISHED", "DUPLICATE")
 
@@ -205,19 +207,25 @@ def delete_queue_rows(queue: DataFrame, ids: DataFrame) -> DataFrame:
 PAGES = "array<struct<page_number:int,raw_text:string,cleaned_text:string>>"
 
 
-def publish(queue: DataFrame, catalogue: DataFrame, now: Column, prefix: str = "doc_") -> tuple[DataFrame, DataFrame]:
+def _document(prefix: str) -> Column:
+    """The id of a catalogue row from the checksum of its file."""
+    return F.concat(F.lit(prefix), F.substring("checksum", 1, 12))
+
+
+def publish(queue: DataFrame, catalogue: DataFrame, now: Column, prefix: str = "doc_", low: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(queue, catalogue) after publishing: PROCESSED rows with text become catalogue rows, whose id comes from the
-    checksum. One that the catalogue has is replaced in its place, others stand before all old rows."""
+    checksum. One that the catalogue has is replaced in its place, others stand before all old rows. low: one row (_low),
+    the lowest ordinal, where catalogue is only a part."""
     ready = resolve_metadata(queue.where("status = 'PROCESSED'"), or_fields=PUBLISH_OR_FIELDS)
     ready = ready.withColumn("pages", F.from_json(F.get_json_object("extracted_json", "$.pages"), PAGES)).withColumn("content", strip(assemble_content(F.col("pages"), publish=True)))
-    ready = ready.where((F.size("pages") > 0) & (F.col("content") != "")).withColumn("_doc", F.concat(F.lit(prefix), F.substring("checksum", 1, 12)))
+    ready = ready.where((F.size("pages") > 0) & (F.col("content") != "")).withColumn("_doc", _document(prefix))
     one = ready.groupBy("_doc").agg(F.min("id").alias("id"))
     ready = ready.join(one, ["_doc", "id"])
     null = lambda f: F.nullif(strip(txt(f"meta.{f}")), F.lit("")).alias(f)
     rows = ready.select(
         F.col("_doc").alias("id"), *[null(f) for f in FIELDS], F.col("source_url"), F.col("detail_url"), F.col("original_name").alias("source_file"), "file_format", F.size("pages").alias("total_pages"), "content", "pages",
     )
-    low = catalogue.agg(F.coalesce(F.min("ordinal"), F.lit(0)).alias("_low"))
+    low = catalogue.agg(F.coalesce(F.min("ordinal"), F.lit(0)).alias("_low")) if low is None else low
     old = catalogue.groupBy("id").agg(F.min("ordinal").alias("_old"))
     rows = rows.join(old, "id", "left").join(F.broadcast(low)).withColumn("ordinal", F.coalesce("_old", F.col("_low") - 1 - F.pmod(F.xxhash64("id"), F.lit(1 << 40)))).drop("_old", "_low")
     new_catalogue = catalogue.join(rows.select("id"), "id", "left_anti").unionByName(rows.select(*[c for c in rows.columns if c in catalogue.columns]), allowMissingColumns=True)
@@ -228,6 +236,32 @@ def publish(queue: DataFrame, catalogue: DataFrame, now: Column, prefix: str = "
     return q, new_catalogue
 
 
+def publish_in_place(queue: DataFrame, catalogue: Buckets, now: Column, prefix: str = "doc_") -> DataFrame:
+    """publish() to a stored catalogue (buckets by id): only the buckets of published documents are read whole and written,
+    of the others no more than the ordinals. Returns the queue after it."""
+    spark, queue = queue.sparkSession, stored(queue, "publish-queue")
+    low = stored(catalogue.read(spark).agg(F.coalesce(F.min("ordinal"), F.lit(0)).alias("_low")), "publish-low")
+    ids = queue.where("status = 'PROCESSED'").select(_document(prefix).alias(catalogue.key)).where(F.col(catalogue.key).isNotNull())
+    buckets = catalogue.of(ids)
+    if not buckets:
+        return queue
+    done, rows = publish(queue, catalogue.read(spark, buckets), now, prefix, low)
+    done = stored(done, "published-queue")
+    fresh = stored(rows.select(*catalogue.read(spark).columns), "published-rows")
+    catalogue.write(fresh, "dynamic")
+    return done
+
+
+def update_validity_in_place(catalogue: Buckets, updates: DataFrame, now: Column) -> DataFrame:
+    """update_validity() on a stored catalogue (buckets by id); (id, update_outcome) of the rows that were asked for."""
+    spark, updates = updates.sparkSession, stored(updates, "validity-updates")
+    buckets = catalogue.of(updates)
+    done = stored(update_validity(catalogue.read(spark, buckets), updates, now), "validity-updated")
+    if buckets:
+        catalogue.write(done.drop("update_outcome"), "dynamic")
+    return done.where("update_outcome is not null").select("id", "update_outcome")
+
+
 def update_validity(catalogue: DataFrame, updates: DataFrame, now: Column) -> DataFrame:
     """updates: (id, set_fields array of names, effective_status, deadline, effective_from, effective_to, replaced_by,
     status_evidence, status_rationale, verified_by, verification_note). A field in set_fields is written, null too; one

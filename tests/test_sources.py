@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from quarry.sources import tables
-from quarry.streaming.intake import stream_intake
+from quarry.streaming.intake import known_rows, stream_intake
 
 
 def test_notices_and_extracted(spark, tmp_path):
@@ -61,3 +61,31 @@ def test_stream(spark, tmp_path):
     stream_intake(spark, *paths).awaitTermination()
     got = {r.file_ordinal: r.status for r in spark.read.parquet(paths[1]).collect()}
     assert got == {1: "PENDING", 2: "DUPLICATE", 3: "DUPLICATE", 4: "PENDING"}
+
+
+def test_stream_reads_the_folders_of_its_checksums(spark, tmp_path):
+    """Batch after batch: what is read for one doesn't grow with the queue; a batch run again changes nothing."""
+    (tmp_path / "in").mkdir()
+    paths = [f"file://{tmp_path}/{x}" for x in ("in", "queue", "ck")]
+    number = 0
+    for b in range(3):
+        lines = []
+        for i in range(40):
+            number += 1
+            checksum = "ab" + "0" * 10 if i == 0 else f"{(i * 7 + b) % 200:02x}{number:010d}"
+            lines.append(json.dumps({"batch_id": f"b{b}", "name": f"{number}.pdf", "size_bytes": 5, "checksum": checksum, "file_ordinal": number}))
+        (tmp_path / f"in/{b}.json").write_text("\n".join(lines))
+        stream_intake(spark, *paths).awaitTermination()
+    queue = lambda: sorted((r.file_ordinal, r.status, r.existing_id, r.batch) for r in spark.read.parquet(paths[1]).collect())
+    before = queue()
+    assert [r[1] for r in before if r[0] in (1, 41, 81)] == ["PENDING", "DUPLICATE", "DUPLICATE"] and len(before) == 120
+    known = known_rows(spark, paths[1], ["pab"], 99)
+    assert len(known.inputFiles()) == 3 and all("prefix=pab" in f for f in known.inputFiles())
+    assert known_rows(spark, paths[1], ["pzz"], 99).count() == 0
+    assert known.count() == 3
+    # the last batch once more, as after a failure before its commit
+    last = sorted((tmp_path / "ck/commits").glob("[0-9]*"))[-1]
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    stream_intake(spark, *paths).awaitTermination()
+    assert queue() == before
