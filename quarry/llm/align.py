@@ -2,8 +2,8 @@
 
 Both tokenizers read a text with one space in front. Where a token of A and a token of B end at the same byte, the text is
 cut; between cuts lie groups of tokens of both. Cuts are found by dividing: an interval of tokens is cut at the common end
-that is nearest to its middle, looked up by bisection in the other tokenizer's ends, in windows around the middle that
-widen until one is found; both halves go on, and an interval without a common end inside is a group. All intervals of a
+that is nearest to its middle (A's ends are looked up in B's by bisection), in windows around the middle that widen until
+one is found; both halves go on, and an interval without a common end inside is a group. All intervals of a
 batch are divided at once, level by level.
 
 A links to B where the byte ranges of two tokens overlap. The links of a row are kept as distinct pairs of ids with their
@@ -40,8 +40,8 @@ from quarry.llm.common import bound_batches, text_of, written
 PART_CHARS = 250_000
 #: Most frequent pairs that are broadcast: at most 40 bytes each.
 HEAD_PAIRS = 1 << 19
-#: Distinct chunks, and characters of one, that a task remembers.
-MOST_CHUNKS, LONGEST_CHUNK = 300_000, 64
+#: Distinct chunks of a generation that a task remembers, two generations at most.
+MOST_CHUNKS = 200_000
 
 # The characters that stand for bytes in a byte-level vocabulary; all other bytes follow from U+0100 on.
 SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -81,43 +81,73 @@ class Chunks:
         if any(re.search(f"[^{SPACE_PIECE}]{SPACE_PIECE}", p) for p in pieces):
             raise ValueError(f"{path_b} has a piece that goes on over a space")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace(SPACE_PIECE, " ").encode() for p in pieces]
-        self.known: dict[str, tuple[bytes, bytes, bool]] = {}
+        # two generations: what is met again moves to the younger, the older is dropped when the younger is full
+        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.before: dict[str, tuple[bytes, bytes] | None] = {}
         # decimal ids with what follows them: within a group, or at its end
         self.shown = [f"{i}{end}".encode() for i in range(len(self.bytes_a)) for end in ",|"] + [f"{i}{end}".encode() for i in range(len(self.bytes_b)) for end in (",", ";", "")]
         self.length_a, self.length_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
 
-    def _encode(self, chunks: list[str]) -> Iterator[tuple[bytes, bytes, bool]]:
-        a = self.a.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)
-        b = self.b.encode(chunks, num_threads=1) if chunks else []
-        for c, x, y in zip(chunks, a, b, strict=True):
-            y = y if c else [self.b.piece_to_id(SPACE_PIECE)]  # which adds no space to an empty text
-            raw = (" " + c).encode()
-            exact = b"".join(map(self.bytes_a.__getitem__, x.ids)) == raw == b"".join(map(self.bytes_b.__getitem__, y))
-            yield np.array(x.ids, np.int32).tobytes(), np.array(y, np.int32).tobytes(), exact
+    def _encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of both for a text after a space; None if one doesn't give it back byte by byte."""
+        a = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+        b = self.b.encode(text) if text else [self.b.piece_to_id(SPACE_PIECE)]  # which adds no space to an empty text
+        if b"".join(map(self.bytes_a.__getitem__, a)) == (" " + text).encode() == b"".join(map(self.bytes_b.__getitem__, b)):
+            return np.array(a, np.int32), np.array(b, np.int32)
+        return None
+
+    def _encode_new(self, chunks: list[str]) -> Iterator[tuple[bytes, bytes] | None]:
+        """Chunks that don't end in white space, encoded as one text and cut apart again: both have a token's end at each
+        chunk's end."""
+        whole = self._encode(" ".join(chunks))
+        if whole is None:
+            each = map(self._encode, chunks)
+            yield from (e and (e[0].tobytes(), e[1].tobytes()) for e in each)
+            return
+        ends = np.cumsum([len(c.encode()) + 1 for c in chunks])
+        cuts = [np.searchsorted(np.cumsum(length[ids]), ends) + 1 for length, ids in zip((self.length_a, self.length_b), whole, strict=True)]
+        raw = [ids.tobytes() for ids in whole]
+        i = j = 0
+        for k, m in zip((4 * cuts[0]).tolist(), (4 * cuts[1]).tolist(), strict=True):
+            yield raw[0][i:k], raw[1][j:m]
+            i, j = k, m
+
+    def _remember(self, new: list[str]) -> None:
+        if len(self.known) + len(new) > MOST_CHUNKS:
+            self.before, self.known = self.known, {}
+        self.known.update((c, self.before[c]) for c in new if c in self.before)
+        fresh = [c for c in new if c not in self.known]
+        if fresh:
+            self.known.update(zip(fresh, self._encode_new(fresh), strict=True))
 
     def ids(self, part: str) -> tuple[np.ndarray, np.ndarray] | None:
         """The ids of both for a part of a text (its first space left out); None if one doesn't give it back."""
-        chunks = part.split(" ")
-        got = [self.known.get(c) for c in chunks]
-        if None in got:
-            # chunks that aren't known; those that end in white space, or are empty, go on in the next
+        chunks, last = part.split(" "), None
+        new = {c for c in chunks if c not in self.known}
+        if any(not c or c[-1].isspace() for c in new):
+            # what is empty, or ends in white space, goes on in the next chunk; the last one is encoded by itself
             merged, held = [], []
-            for k, c in enumerate(chunks):
+            for c in chunks:
                 held.append(c)
-                if k + 1 == len(chunks) or c and not c[-1].isspace():
-                    merged.append(held[0] if len(held) == 1 else " ".join(held))
+                if c and not c[-1].isspace():
+                    merged.append(" ".join(held))
                     held = []
-            new = list({c for c in merged if c not in self.known})
-            if len(self.known) + len(new) > MOST_CHUNKS:
-                self.known.clear()
-                new = list(set(merged))
-            fresh = dict(zip(new, self._encode(new), strict=True))
-            got = [self.known.get(c) or fresh[c] for c in merged]
-            # what ends in white space depends on what follows and isn't looked up by itself
-            self.known.update((c, v) for c, v in fresh.items() if len(c) <= LONGEST_CHUNK and c and not c[-1].isspace() and " " not in c)
-        if not all(x[2] for x in got):
-            return None
-        return np.frombuffer(b"".join([x[0] for x in got]), np.int32), np.frombuffer(b"".join([x[1] for x in got]), np.int32)
+            if held:
+                last = self._encode(" ".join(held))
+                if last is None:
+                    return None
+            chunks = merged
+            new = {c for c in chunks if c not in self.known}
+        if new:
+            self._remember(list(new))
+        got = list(map(self.known.get, chunks))
+        if None in got:
+            # a generation has just ended, or a chunk isn't given back
+            got = [x or self.before.get(c) for c, x in zip(chunks, got, strict=True)]
+            if None in got:
+                return None
+        tail = [x.tobytes() for x in last] if last else (b"", b"")
+        return np.frombuffer(b"".join([*(x[0] for x in got), tail[0]]), np.int32), np.frombuffer(b"".join([*(x[1] for x in got), tail[1]]), np.int32)
 
 
 @lru_cache(maxsize=1)
@@ -146,43 +176,50 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
-def near_middle(a: np.ndarray, b: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """For intervals of a's ends (first to last, both inside) the index of the one nearest to the middle that is an end of b
-    too, -1 where there is none. The middle is tried first, then windows around it, each four times as wide."""
+def near_middle(common: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """For intervals of a's ends (first to last, both inside) the index of the common one that is nearest to the middle, -1
+    where there is none. The middle is tried first, then windows around it, each four times as wide."""
     found = np.full(len(first), -1)
     middle, todo, width = (first + last) // 2, np.arange(len(first)), 0
+    hit = common[middle]
+    found[hit] = middle[hit]
+    todo = todo[~hit & (first < last)]
     while len(todo):
+        width = max(1, 4 * width)
         lo, hi = np.maximum(first[todo], middle[todo] - width), np.minimum(last[todo], middle[todo] + width)
         sizes = hi - lo + 1
         at = ragged(lo, sizes)
-        place = np.searchsorted(b, a[at])
-        common = b[np.minimum(place, len(b) - 1)] == a[at]
         away = at - np.repeat(middle[todo], sizes)
-        # twice the distance, and one more to the right, so that the least is one place
-        key = np.where(common, 2 * np.abs(away) - (away < 0), np.iinfo(np.int64).max)
+        # twice the distance, and one less to the left, so that the least is one place
+        key = np.where(common[at], 2 * np.abs(away) - (away < 0), np.iinfo(np.int64).max)
         best = np.minimum.reduceat(key, np.cumsum(sizes) - sizes)
         hit = best < np.iinfo(np.int64).max
         step = (best[hit] + 1) // 2
         found[todo[hit]] = middle[todo[hit]] + np.where(best[hit] % 2, -step, step)
-        whole = (lo == first[todo]) & (hi == last[todo])
-        todo, width = todo[~hit & ~whole], max(1, 4 * width)
+        todo = todo[~hit & ((lo > first[todo]) | (hi < last[todo]))]
     return found
 
 
-def divide(a: np.ndarray, b: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where groups end, as indices after their last token in a and in b. a, b: the ends of the tokens of texts one after
-    the other; texts: rows of (first, after the last) in a and in b."""
+def bisected(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of a's ends the first of b's that isn't before it, by bisection, and whether it is the same."""
+    place = np.searchsorted(b, a)
+    return place, b[np.minimum(place, len(b) - 1)] == a
+
+
+def divide(place: np.ndarray, common: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where groups end, as indices after their last token in a and in b, from what bisected() says of the ends of tokens of
+    texts one after the other. texts: rows of (first, after the last) in a and in b."""
     ends_a, ends_b, open_ = [], [], texts
     while len(open_):
         a0, a1, b0, b1 = open_.T
         cut = np.full(len(open_), -1)
         more = np.flatnonzero((a1 - a0 > 1) & (b1 - b0 > 1))
-        cut[more] = near_middle(a, b, a0[more], a1[more] - 2)
+        cut[more] = near_middle(common, a0[more], a1[more] - 2)
         leaf, inner = cut < 0, open_[cut >= 0]
         ends_a.append(a1[leaf])
         ends_b.append(b1[leaf])
         at_a = cut[cut >= 0] + 1
-        at_b = np.searchsorted(b, a[at_a - 1]) + 1
+        at_b = place[at_a - 1] + 1
         open_ = np.concatenate([np.stack([inner[:, 0], at_a, inner[:, 2], at_b], 1), np.stack([at_a, inner[:, 1], at_b, inner[:, 3]], 1)])
     return np.sort(np.concatenate(ends_a)), np.sort(np.concatenate(ends_b))
 
@@ -207,11 +244,12 @@ def align(chunks: Chunks, parts: list[tuple[Row, bool, np.ndarray, np.ndarray]])
     n_a, n_b = (np.array([len(p[k]) for p in parts]) for k in (2, 3))
     ids_a, ids_b = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (2, 3))
     to_a, to_b = np.cumsum(n_a), np.cumsum(n_b)
-    a, b = np.cumsum(chunks.length_a[ids_a]), np.cumsum(chunks.length_b[ids_b])
-    group_a, group_b = divide(a, b, np.stack([to_a - n_a, to_a, to_b - n_b, to_b], 1))
-    # links: for each token of A the tokens of B from the one that holds its first byte to the one that holds its last
-    first = np.searchsorted(b, a - chunks.length_a[ids_a], "right")
-    sizes = np.searchsorted(b, a, "left") - first + 1
+    place, common = bisected(np.cumsum(chunks.length_a[ids_a]), np.cumsum(chunks.length_b[ids_b]))
+    group_a, group_b = divide(place, common, np.stack([to_a - n_a, to_a, to_b - n_b, to_b], 1))
+    # links: for each token of A the tokens of B from the one that holds its first byte, which follows the end of the token
+    # before, to the one that holds its last
+    first = np.concatenate([[0], (place + common)[:-1]])
+    sizes = place - first + 1
     link_b, part_of = ragged(first, sizes), np.repeat(np.arange(len(parts)), n_a)
     wide = len(chunks.bytes_b)
     pair = np.repeat(ids_a, sizes) * wide + ids_b[link_b]

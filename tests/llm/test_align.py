@@ -91,6 +91,6 @@ def test_dividing_finds_all_common_ends():
     for n in (1, 2, 3, 10, 100, 3000):
         for _ in range(20):
             a, b = (np.array(sorted({*rng.sample(range(1, 3 * n), rng.randrange(n)), 3 * n}), np.int64) for _ in range(2))
-            ends_a, ends_b = align.divide(a, b, np.array([[0, len(a), 0, len(b)]]))
+            ends_a, ends_b = align.divide(*align.bisected(a, b), np.array([[0, len(a), 0, len(b)]]))
             both = np.intersect1d(a, b)
             assert a[ends_a - 1].tolist() == both.tolist() and b[ends_b - 1].tolist() == both.tolist()
