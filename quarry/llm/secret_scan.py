@@ -61,31 +61,67 @@ RULES = BASE_RULES + MORE_RULES
 RULE_VERSION = "1"
 
 
-def spans_of(text: Column, rule: Rule, rank: int) -> Column:
-    """A rule's spans in a text. What lies between matches comes from splitting at them, so positions are running sums of
-    lengths, in code points."""
+#: Matches of a text that are folded at once. A fold that grows an array copies it at every step, so long arrays are
+#: folded in blocks, and what blocks add up to is folded once more.
+BLOCK = 256
+
+
+def _blocks(array: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(array) - 1, F.lit(0)), F.lit(BLOCK)), lambda i: F.slice(array, i + 1, BLOCK))
+
+
+def _running(values: Column, step) -> Column:
+    """For each of a few numbers what those before it come to, from 0 on."""
+    return F.aggregate(values, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("before")), lambda a, x: F.struct(step(a["at"], x).alias("at"), F.concat(a["before"], F.array(a["at"])).alias("before")), lambda a: a["before"])
+
+
+def _matches(text: Column, rule: Rule) -> Column:
+    """The matches of a rule in order as (gap, size, value): the code points before each, its own, and those of what the rule
+    judges. Gaps come from splitting at the matches; the last entry is the text's rest. Null without a match."""
     pattern = F.lit(rule.pattern)
-    whole, judged = F.regexp_extract_all(text, pattern, F.lit(0)), F.regexp_extract_all(text, pattern, F.lit(rule.group))
     parts = F.arrays_zip(
         F.transform(F.split(text, rule.pattern, -1), F.length).alias("gap"),
-        F.transform(whole, F.length).alias("size"),
-        F.transform(judged, F.length).alias("value"),
+        F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length).alias("size"),
+        F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length).alias("value"),
     )
-    start = lambda a, x: a["at"] + x["gap"]
-    found = F.aggregate(
-        parts,
+    there = text.rlike(rule.pattern) if rule.hint is None else text.contains(rule.hint) & text.rlike(rule.pattern)
+    return F.when(there, parts)
+
+
+def _placed(block: Column, rule: Rule, rank: int) -> Column:
+    """(at, spans) of a block of matches: its length, and the spans that count, as if the text began with it."""
+    span = lambda start, x: F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (start + x["size"]).alias("end"))
+    return F.aggregate(
+        block,
         F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans")),
         lambda a, x: F.struct(
-            (start(a, x) + F.coalesce(x["size"], F.lit(0))).alias("at"),
-            F.when(
-                x["value"] >= rule.min_chars,
-                F.concat(a["spans"], F.array(F.struct(start(a, x).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (start(a, x) + x["size"]).alias("end")))),
-            ).otherwise(a["spans"]).alias("spans"),
+            (a["at"] + x["gap"] + F.coalesce(x["size"], F.lit(0))).alias("at"),
+            F.when(x["value"] >= rule.min_chars, F.concat(a["spans"], F.array(span(a["at"] + x["gap"], x)))).otherwise(a["spans"]).alias("spans"),
         ),
-        lambda a: a["spans"],
     )
-    there = text.rlike(rule.pattern) if rule.hint is None else text.contains(rule.hint) & text.rlike(rule.pattern)
-    return F.when(there, found).otherwise(F.array().cast(SPANS))
+
+
+def _placed_blocks(matches: Column, rule: Rule, rank: int) -> Column:
+    return F.transform(_blocks(matches), lambda b: _placed(b, rule, rank))
+
+
+def _moved(blocks: Column, starts: Column) -> Column:
+    """The spans of each block where the block begins at its start."""
+    pairs = F.arrays_zip(blocks.alias("b"), starts.alias("at"))
+    place = lambda s, at: F.struct((s["start"] + at).alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), (s["end"] + at).alias("end"))
+    return F.transform(pairs, lambda z: F.transform(z["b"]["spans"], lambda s: place(s, z["at"])))
+
+
+def with_spans(rows: DataFrame, text: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows with spans: of all rules' matches, ordered by start, then rank. Takes time in proportion to a text's length
+    and its matches. Each step is columns of its own, so that none is computed again inside another."""
+    numbers = range(len(rules))
+    c = lambda what, k: f"_secret_{what}{k}"
+    rows = rows.withColumns({c("matches", k): _matches(F.col(text), r) for k, r in enumerate(rules)})
+    rows = rows.withColumns({c("blocks", k): _placed_blocks(F.col(c("matches", k)), r, k) for k, r in enumerate(rules)})
+    rows = rows.withColumns({c("starts", k): _running(F.transform(F.col(c("blocks", k)), lambda b: b["at"]), lambda a, x: a + x) for k in numbers})
+    found = [F.coalesce(F.flatten(_moved(F.col(c("blocks", k)), F.col(c("starts", k)))), F.array().cast(SPANS)) for k in numbers]
+    return rows.withColumn("spans", F.array_sort(F.concat(*found))).drop(*[c(what, k) for what in ("matches", "blocks", "starts") for k in numbers])
 
 
 def blob(text: Column) -> Column:
@@ -97,8 +133,7 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule
     blobs = versions.select(blob(F.col(text)).alias("blob"), text_of(text).alias("_text")).groupBy("blob").agg(F.first("_text").alias("_text"))
     if ledger is not None:
         blobs = blobs.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    found = F.array_sort(F.concat(*[spans_of(F.col("_text"), r, k) for k, r in enumerate(rules)]))
-    return blobs.select("blob", F.lit(rule_version).alias("rule_version"), found.alias("spans"))
+    return with_spans(blobs, "_text", rules).select("blob", F.lit(rule_version).alias("rule_version"), "spans")
 
 
 def scanned(versions: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION, text: str = "text") -> DataFrame:
@@ -116,18 +151,25 @@ def scanned(versions: DataFrame, ledger_path: str | None = None, rules: tuple[Ru
 
 
 def redacted(scans: DataFrame, text: str = "text", mark: str = "[REDACTED]") -> DataFrame:
-    """The rows of scanned() with every span replaced in the text; overlapping spans are replaced as one."""
-    t = text_of(text)
-    cut = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.when(
-            s["start"] >= a["at"],
-            F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(t, a["at"] + 1, s["start"] - a["at"]), F.lit(mark)).alias("out")),
-        ).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))),
-        lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))),
-    )
-    return scans.withColumn(text, F.when(F.size("spans") > 0, cut).otherwise(F.col(text)))
+    """The rows of scanned() with every span replaced in the text; overlapping spans are replaced as one. A text with spans
+    is cut into its characters once, and what stays is joined from slices of them."""
+    there = F.size("spans") > 0
+    b, top, chars, kept = (F.col(f"_secret_{x}") for x in ("blocks", "tops", "chars", "kept"))
+    rows = scans.withColumns({"_secret_blocks": F.when(there, _blocks(F.col("spans"))), "_secret_chars": F.when(there, F.split(text_of(text), ""))})
+    # where the spans before each block end
+    rows = rows.withColumn("_secret_tops", _running(F.transform(b, lambda x: F.array_max(F.transform(x, lambda s: s["end"]))), F.greatest))
+
+    def gaps(block: Column, before: Column) -> Column:
+        """What lies between spans: from the farthest end so far to the start of one that is beyond it."""
+        gap = lambda a, s: F.array(F.struct(a["top"].alias("lo"), s["start"].alias("hi")))
+        start = F.struct(before.alias("top"), F.array().cast("array<struct<lo:int,hi:int>>").alias("out"))
+        return F.aggregate(block, start, lambda a, s: F.struct(F.greatest(a["top"], s["end"]).alias("top"), F.when(s["start"] >= a["top"], F.concat(a["out"], gap(a, s))).otherwise(a["out"]).alias("out")), lambda a: a["out"])
+
+    rows = rows.withColumn("_secret_kept", F.flatten(F.transform(F.arrays_zip(b.alias("b"), top.alias("top")), lambda z: gaps(z["b"], z["top"]))))
+    part = lambda lo, n: F.array_join(F.slice(chars, lo + 1, n), "")
+    end = F.array_max(F.transform("spans", lambda s: s["end"]))
+    cut = F.concat(F.array_join(F.transform(kept, lambda g: F.concat(part(g["lo"], g["hi"] - g["lo"]), F.lit(mark))), ""), part(end, F.greatest(F.size(chars) - end, F.lit(0))))
+    return rows.withColumn(text, F.when(there, cut).otherwise(F.col(text))).drop(*[f"_secret_{x}" for x in ("blocks", "tops", "chars", "kept")])
 
 
 def op6_secret_scan(docs: DataFrame) -> DataFrame:

@@ -306,6 +306,29 @@ def test_secret_scan_of_long_texts(spark, text):
     assert time.time() - began < 60
 
 
+def test_many_secrets_in_one_text(spark):
+    """Folded in blocks: the spans and the redaction of a plain loop, and time in proportion to the matches."""
+    import time
+
+    rng = random.Random(9)
+    words = ["token: abcdefgh%d", "secret = short", "AKIA" + "Q" * 20, "0f" * 20, "passwd='zürich", "api_key:token:abcdefghi%d", "plain 💥 words", "https://me:pass%d@host"]
+    small = [" ".join(rng.choice(words).replace("%d", str(i)) for i in range(n)) for n in (1, 255, 257, 3000)]
+    d = spark.createDataFrame(list(enumerate(small)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256, ",".join(s for s in r.spans.split(",") if s.split(":")[0] in ("assign", "access", "hex"))) for r in secret_scan.op6_secret_scan(d).collect()}
+    same(got, brute.op6(list(enumerate(small))))
+    for r in secret_scan.redacted(secret_scan.scanned(d).withColumn("spans2", F.col("spans"))).collect():
+        out, at = [], 0
+        for s in r.spans2:
+            if s.start >= at:
+                out += [small[r.doc_id][at : s.start], "[REDACTED]"]
+            at = max(at, s.end)
+        assert r.text == "".join(out) + small[r.doc_id][at:]
+    large = spark.createDataFrame([(1, " ".join(f"token: abcdefgh{i:09d}" for i in range(200_000)))], "doc_id long, text string")
+    began = time.time()
+    assert secret_scan.redacted(secret_scan.scanned(large)).select(F.length("text"), F.size("spans")).first() == (200_000 * 11 - 1, 200_000)
+    assert time.time() - began < 60
+
+
 def test_repeated_appends_change_nothing(spark, tmp_path):
     v = spark.createDataFrame([("p1", "token = abcdefgh12"), ("p2", "nothing")], "path string, text string")
     ledger, cache = f"file://{tmp_path}/ledger2", f"file://{tmp_path}/cache2"
