@@ -10,19 +10,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.schemas import CATALOGUE, EXTRACTED, NOTICE, NOTICE_FIELDS
+from quarry.sources.json_array import array_elements
 from quarry.sources.shared import stored
 
 
 def read_notices(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of notices with its order as ordinal. Rows that aren't objects have error set and no fields; a file
-    that isn't an array is one such row."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("value"), F.col("_metadata.file_path").alias("file"))
-    items = F.from_json(F.trim("value"), "array<string>")
-    ok = F.trim(F.col("value")).startswith("[") & items.isNotNull()
-    rows = raw.select("file", F.posexplode_outer(F.when(ok, items)).alias("ordinal", "item"), (~ok).alias("bad"))
-    parsed = rows.withColumn("n", F.when(F.trim("item").startswith("{"), F.from_json("item", NOTICE)))
-    error = F.when(F.col("bad"), "not an array").when(F.col("item").isNotNull() & F.col("n").isNull(), "not an object")
-    return parsed.select(F.coalesce("ordinal", F.lit(0)).alias("ordinal"), *[F.col(f"n.{f}").alias(f) for f in NOTICE_FIELDS], error.alias("error"))
+    """A JSON array of notices with its order as ordinal, read by as many tasks as the file has blocks. Rows that aren't
+    objects have error set and no fields; a file that isn't an array is one such row."""
+    items, bad = array_elements(spark, path)
+    parsed = items.withColumn("n", F.when(F.trim("item").startswith("{"), F.from_json("item", NOTICE)))
+    error = F.when(F.col("n").isNull(), "not an object")
+    rows = parsed.select(F.col("number").alias("ordinal"), *[F.col(f"n.{f}").alias(f) for f in NOTICE_FIELDS], error.alias("error"))
+    return rows.unionByName(bad.select(F.lit(0).cast("long").alias("ordinal"), F.lit("not an array").alias("error")), allowMissingColumns=True)
 
 
 def with_ordinal(df: DataFrame, *order: Column | str, name: str = "ordinal") -> DataFrame:
@@ -39,9 +38,9 @@ def with_ordinal(df: DataFrame, *order: Column | str, name: str = "ordinal") ->
     return rows.join(start, "_p").withColumn(name, F.col("_at") + F.col("_i")).drop("_p", "_i", "_at")
 
 
-def read_extracted(spark: SparkSession, folder: str) -> DataFrame:
+def read_extracted(spark: SparkSession, folder: str, names: str = "*.json") -> DataFrame:
     """Extracted files below a folder, ordered by path (ordinal); files that don't parse are skipped."""
-    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=names)
     rows = files.select(F.col("_metadata.file_path").alias("extracted_file"), F.from_json("value", EXTRACTED, {"mode": "PERMISSIVE"}).alias("e"))
     rows = rows.where("e.source_file is not null or e.pages is not null").select("extracted_file", "e.*")
     return with_ordinal(rows, "extracted_file", name="file_ordinal")
@@ -58,16 +57,28 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], CATALOGUE)
 
 
-def _decode_1258(content: pd.Series) -> pd.Series:
-    """The one code page that Spark's decode lacks."""
-    return content.map(lambda b: None if b is None else bytes(b).decode("cp1258", "replace"))
+def _single_byte(content: pd.Series) -> pd.Series:
+    """Code pages that Spark's decode lacks: windows-1258, or ISO 8859-1 for bytes that it has no character for."""
+
+    def one(b: bytes | None) -> str | None:
+        if b is None:
+            return None
+        try:
+            return bytes(b).decode("cp1258")
+        except UnicodeDecodeError:
+            return bytes(b).decode("latin-1")
+
+    return content.map(one)
 
 
 def decoded(content: Column) -> Column:
-    """Bytes as text: UTF-8 (a byte-order mark dropped) where valid, else UTF-16 by its mark, else windows-1258."""
-    utf8 = F.regexp_replace(content.cast("string"), "^\uFEFF", F.lit(""))
-    mark = F.hex(F.substring(content, 1, 2))
-    return F.when(mark.isin("FFFE", "FEFF"), F.decode(content, "UTF-16")).when(F.is_valid_utf8(content.cast("string")), utf8).otherwise(F.pandas_udf(_decode_1258, "string")(content))
+    """Bytes as text: UTF-16 by its mark, UTF-8 (a byte-order mark dropped) where valid, else a single-byte code page. Only
+    what is left for that goes to Python."""
+    text = content.cast("string")
+    marked = F.hex(F.substring(content, 1, 2)).isin("FFFE", "FEFF")
+    plain = F.is_valid_utf8(text)
+    other = F.pandas_udf(_single_byte, "string")(F.when(~marked & ~plain, content))
+    return F.when(marked, F.decode(content, "UTF-16")).when(plain, F.regexp_replace(text, "^\uFEFF", F.lit(""))).otherwise(other)
 
 
 def read_html(spark: SparkSession, folder: str) -> DataFrame:
