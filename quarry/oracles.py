@@ -188,8 +188,29 @@ scored AS (SELECT *, CASE WHEN n_issues > 0 OR score < 50 THEN 'ERROR' WHEN n_wa
     )
 
 
-def oracle_sql(cat: str, hits: str) -> dict[str, str]:
-    """cat: the catalogue in SQL, as a first table; hits: vectors near to each question's, likewise."""
+#: Notices with the file that is theirs, whose first page names a number and a deadline.
+NORMALIZED = """,
+n AS (
+  SELECT c.ordinal, m.file_ordinal >= 0 AS matched, c.issue_date, CASE WHEN m.file_ordinal >= 0 THEN coalesce(x.document_number, '7/TB') ELSE c.document_number END AS document_number,
+    CASE WHEN x.ordinal % 12 = 0 THEN 'http://docs.example/a' || x.id || '.pdf' WHEN c.has_attachment THEN 'http://docs.example/a' || c.id || '.pdf' ELSE 'http://docs.example/d' || c.id || '.html' END AS url,
+    CASE WHEN m.file_ordinal >= 0 THEN strftime(CAST(coalesce(x.issue_date, '2024-03-01') AS DATE) + 90, '%Y-%m-%d') END AS deadline
+  FROM cat c JOIN matches m USING (ordinal) LEFT JOIN cat x ON x.ordinal = m.file_ordinal),
+norm AS (
+  SELECT *, 'doc_' || substr(sha256(url), 1, 12) AS id, CASE WHEN matched THEN 0 ELSE 2 END + CASE WHEN document_number IS NULL THEN 1 ELSE 0 END AS n_warnings FROM n)
+"""
+
+
+def decided(deadline: str, as_of: str) -> str:
+    """Columns of a status that nothing but a deadline decides."""
+    return f"CASE WHEN {deadline} IS NULL THEN 'unverified' WHEN '{as_of}' > {deadline} THEN 'deadline_passed' ELSE 'active' END"
+
+
+def oracle_sql(cat: str, hits: str, matches: str, as_of: str) -> dict[str, str]:
+    """cat: the catalogue in SQL, as a first table; hits: vectors near to each question's, likewise. matches: the files of
+    notices, after cat."""
+    matched = matches.removeprefix(cat)
+    head, _, tail = matched.rpartition(" SELECT n.ordinal")
+    normalized = cat + head.replace(", n AS", ", nt AS").replace(" n WHERE", " nt WHERE").replace("FROM n JOIN e ON n.t", "FROM nt n JOIN e ON n.t") + ", matches AS (SELECT n.ordinal" + tail.replace("FROM n ", "FROM nt n ") + ")" + NORMALIZED
     top = lambda least=20, k=4: cat + "," + SCORED.replace("{least}", str(least)).replace("{k}", str(k))
     join_tables = lambda first, second: first + ", " + second.strip().removeprefix("WITH")
     fused = join_tables(top(), hits) + r""",
@@ -253,6 +274,9 @@ FROM m"""
         "text_quality_report": TEXT_QUALITY + f", l AS (SELECT *, {LABEL} AS label FROM q) SELECT count(*) AS n_documents, CAST(sum(n_pages) AS BIGINT) AS n_pages, CAST(sum(text_length) AS BIGINT) AS n_chars, " + ", ".join(f"count(*) FILTER (label = '{x}') AS {x.lower()}" for x in ("GOOD", "ACCEPTABLE", "WARNING", "POOR")) + " FROM l",
         "quality_checks": quality + "SELECT id, CAST(n_issues AS INTEGER) AS n_issues, CAST(n_warnings AS INTEGER) AS n_warnings, CAST(score AS INTEGER) AS score, status FROM scored",
         "quality_report": quality + "SELECT count(*) AS n_documents, " + ", ".join(f"count(*) FILTER (status = '{x}') AS {x.lower()}" for x in ("GOOD", "WARNING", "ERROR")) + ", CAST(sum(n_issues) AS BIGINT) AS n_issues, CAST(sum(n_warnings) AS BIGINT) AS n_warnings, round_even(sum(score) * 100.0 / count(*), 0) / 100 AS mean_score FROM scored",
+        "normalize_documents": normalized + f"SELECT ordinal, id, document_number, issue_date, deadline, {decided('deadline', as_of)} AS suggested_status, CASE WHEN deadline IS NULL THEN 'LOW' ELSE 'HIGH' END AS certainty, CAST(n_warnings AS INTEGER) AS n_warnings FROM norm",
+        "normalization_report": normalized + "SELECT count(*) AS n_documents, count(*) FILTER (matched) AS matched, count(*) FILTER (NOT matched) AS missing, CAST(sum(n_warnings) AS BIGINT) AS n_warnings, count(*) FILTER (document_number IS NULL) AS no_number, count(*) FILTER (issue_date IS NULL) AS no_date FROM norm",
+        "reapply_validity": cat + f"SELECT id, CASE WHEN is_verified THEN effective_status ELSE {decided('issue_date', as_of)} END AS effective_status, CASE WHEN NOT is_verified THEN CASE WHEN issue_date IS NULL THEN 'LOW' ELSE 'HIGH' END END AS certainty FROM cat",
         "html_text": f"SELECT page_id, CAST(length({plain}) AS INTEGER) AS n FROM pages",
         "access_state": f"SELECT page_id, CASE WHEN {login} THEN 'login' WHEN {captcha} THEN 'captcha' WHEN page_id % 9 = 0 THEN 'blocked' ELSE 'ok' END AS state FROM pages",
         "normalize_url": f"SELECT page_id, {url} AS url FROM pages",

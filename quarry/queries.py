@@ -262,7 +262,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     from quarry import oracles, queries_stored
 
-    return own_sql() | oracles.oracle_sql(CAT, HITS) | queries_stored.oracle_sql()
+    return own_sql() | oracles.oracle_sql(CAT, HITS, own_sql()["match_extracted"], AS_OF) | queries_stored.oracle_sql()
 
 
 def own_queries() -> dict[str, Query]:
