@@ -254,15 +254,15 @@ def _streamed(s: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Names and queries; columns are made when a query is called, so no session is needed before that."""
-    from quarry import queries_stored
+    from quarry import queries_facts, queries_stored
 
-    return own_queries() | queries_stored.queries()
+    return own_queries() | queries_stored.queries() | queries_facts.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from quarry import oracles, queries_stored
+    from quarry import oracles, queries_facts, queries_stored
 
-    return own_sql() | oracles.oracle_sql(CAT, HITS, own_sql()["match_extracted"], AS_OF) | queries_stored.oracle_sql()
+    return own_sql() | oracles.oracle_sql(CAT, HITS, own_sql()["match_extracted"], AS_OF) | queries_stored.oracle_sql() | queries_facts.oracle_sql()
 
 
 def own_queries() -> dict[str, Query]:
