@@ -221,10 +221,12 @@ def _heading(own_words: tuple[str, ...]) -> Column:
 def _attachments(base: str) -> Column:
     """Addresses of attachments: from links, then from frames, distinct in order."""
     offered = lambda e: e["href"].rlike(config.ATTACHMENT_EXTENSION) | e["href"].rlike(DOWNLOAD_FOLDERS) | e["text"].rlike(DOWNLOAD_WORDS) | (e["title"] == "download")
-    linked = F.transform(F.filter("events", lambda e: _is_link(e) & offered(e)), lambda e: normalize_url(e["href"], base))
-    good = F.filter(linked, lambda u: u.rlike(config.ATTACHMENT_EXTENSION) | u.rlike(r"(?i)/upload/|/media/|/files/"))
-    framed = F.transform(F.filter("events", lambda e: (e["kind"] == "embed") & e["href"].rlike(config.ATTACHMENT_EXTENSION)), lambda e: normalize_url(e["href"], base))
-    return F.array_distinct(F.concat(good, framed))
+    linked = F.filter("events", lambda e: _is_link(e) & offered(e))
+    framed = F.filter("events", lambda e: (e["kind"] == "embed") & e["href"].rlike(config.ATTACHMENT_EXTENSION))
+    # the rules of an address are a large expression, so it stands in the plan once
+    found = F.transform(F.concat(linked, framed), lambda e: F.struct((e["kind"] == "embed").alias("framed"), normalize_url(e["href"], base).alias("u")))
+    good = F.filter(found, lambda x: x["framed"] | x["u"].rlike(config.ATTACHMENT_EXTENSION) | x["u"].rlike(r"(?i)/upload/|/media/|/files/"))
+    return F.array_distinct(F.transform(good, lambda x: x["u"]))
 
 
 def extract_detail(events: DataFrame, base: str, own_words: tuple[str, ...] = ()) -> DataFrame:
