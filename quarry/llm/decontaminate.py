@@ -4,8 +4,11 @@ The normalised words of the test items are put in one suffix automaton. Training
 the state keeps the longest run of words, ending here, that some item holds. Where that run is as long as a window, the
 window is looked up exactly (which items hold it) and its words are hit.
 
-Items come in blocks of about BLOCK_CHARS of text; documents pass through one map per block, and are written between two
-blocks, so that one automaton at a time is broadcast, whatever the benchmark's size. There is no shuffle of documents.
+Items are dealt into blocks of BLOCK_CHARS of text (and one item more at most). A task per block builds its automaton and
+stores it; the driver never unpacks one, but hands a block's bytes to all tasks, one block at a time. Documents are read
+once a block; of all blocks but the last only the hits are written, keyed by a digest of the text, since hits depend on
+nothing else. The last block's map carries the documents themselves, so with one block nothing is written or shuffled;
+with more, the stored hits are joined to its rows by digest.
 
 Edge cases: null or wordless texts have no words, null or wordless items no windows. An item of fewer words than a window
 is one window. items are each counted, items of the same id once; items without id count as one item, whose id is
@@ -15,19 +18,22 @@ Extra columns pass; added names (n_words, n_hit, hit_items, hit_spans) replace t
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm.common import bound_batches, own_columns, written
 
 WINDOW = 10
-BLOCK_CHARS = 4_000_000
+#: Characters of items in a block: its automaton is what a worker holds and what is broadcast.
+BLOCK_CHARS = 1_000_000
 _KEEP = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 #: Bytes to bytes: A-Z lower-cased, what is no part of a word to a space.
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _KEEP else 0x20 for b in range(256))
@@ -142,6 +148,7 @@ class Items:
         return len(words), spans, sorted(items)
 
 
+_SPAN, _SPANS = pa.struct([pa.field("start", pa.int32()), pa.field("end", pa.int32())]), "array<struct<start:int,end:int>>"
 ADDED = [
     T.StructField("n_words", T.LongType()),
     T.StructField("hit_items", T.ArrayType(T.StringType())),
@@ -149,9 +156,10 @@ ADDED = [
 ]
 
 
-def _merge(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, joined where they touch."""
     out: list[tuple[int, int]] = []
-    for s in sorted(a + b):
+    for s in sorted(spans):
         if out and s[0] <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], s[1]))
         else:
@@ -159,50 +167,113 @@ def _merge(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-def _pass(shared, text: str):
+def item_blocks(items: DataFrame, item_id: str, text: str, block_chars: int) -> DataFrame:
+    """(bucket, part, i, t) of the distinct items: as many hash buckets as their characters need, each cut where its running
+    size passes block_chars, so that a block's size is bounded however the hashes fall."""
+    each = items.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("t <> ''").distinct()
+    total = each.agg(F.sum(F.length("t"))).first()[0] or 0
+    bucket = F.pmod(F.xxhash64("i", "t"), F.lit(total // block_chars + 1))
+    before = Window.partitionBy("bucket").orderBy("i", "t").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("t")).over(before), F.lit(0))
+    return each.withColumn("bucket", bucket).withColumn("part", F.floor(start / block_chars))
+
+
+def automata(items: DataFrame, window: int, item_id: str, text: str, block_chars: int) -> DataFrame:
+    """(block, automaton): one pickled automaton per block, each built in a task and stored."""
+
+    def build(table: pa.Table) -> pa.Table:
+        held = Items(list(zip(table["i"].to_pylist(), table["t"].to_pylist(), strict=True)), window)
+        name = f"{table['bucket'][0].as_py()}-{table['part'][0].as_py()}"
+        return pa.table({"block": [name], "automaton": pa.array([pickle.dumps(held)], pa.binary())})
+
+    blocks = item_blocks(items, item_id, text, block_chars)
+    return written(blocks.groupBy("bucket", "part").applyInArrow(build, "block string, automaton binary"), "automata")
+
+
+class Packed:
+    """A pickled value that is unpacked where it is received: bytes on the driver, the value in a task."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+
+    def __reduce__(self):
+        return pickle.loads, (self.data,)
+
+
+def _hits(shared: Broadcast):
+    """Of (text, digest): the digests of texts with hits, once a task and batch, with items and spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items: Items = shared.value
+        for b in batches:
+            out: dict[bytes, tuple[list[str], list[dict[str, int]]]] = {}
+            for t, digest in zip(b.column("t"), b.column("digest").to_pylist(), strict=True):
+                if digest not in out:
+                    _, s, i = items.hits(t.as_py())
+                    if s:
+                        out[digest] = [items.ids[x] for x in i], [{"start": x, "end": y} for x, y in s]
+            ids, spans = [v[0] for v in out.values()], [v[1] for v in out.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(ids, pa.list_(pa.string())), pa.array(spans, pa.list_(_SPAN))], names=["digest", "ids", "spans"])
+
+    return run
+
+
+def _pass(shared: Broadcast, text: str):
+    """Adds n_words, hit_items and hit_spans of one block to all rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = shared.value
-        added = pa.struct([pa.field("start", pa.int32()), pa.field("end", pa.int32())])
         for b in batches:
             n, ids, spans = [], [], []
-            old_ids, old_spans = b.column("hit_items").to_pylist(), b.column("hit_spans").to_pylist()
-            for t, i0, s0 in zip(b.column(text), old_ids, old_spans, strict=True):
+            for t in b.column(text):
                 k, s, i = items.hits(t.as_py())
                 n.append(k)
-                ids.append(i0 + [items.ids[x] for x in i] if i else i0)
-                spans.append([{"start": x, "end": y} for x, y in _merge([(x["start"], x["end"]) for x in s0], s)] if s else s0)
-            rest = [c for c in b.schema.names if c not in ("n_words", "hit_items", "hit_spans")]
-            cols = [b.column(c) for c in rest] + [pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(spans, pa.list_(added))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*rest, "n_words", "hit_items", "hit_spans"])
+                ids.append([items.ids[x] for x in i])
+                spans.append([{"start": x, "end": y} for x, y in s])
+            added = [pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(spans, pa.list_(_SPAN))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, *[f.name for f in ADDED]])
 
     return run
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str, block_chars: int) -> Iterator[list[tuple[object, str | None]]]:
-    """The items, in lists of about block_chars; the driver holds one at a time."""
-    held, size, any_block = [], 0, False
-    for r in items.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).orderBy("i", "t").toLocalIterator():
-        held.append((r.i, r.t))
-        size += len(r.t or "")
-        if size >= block_chars:
-            yield held
-            held, size, any_block = [], 0, True
-    if held or not any_block:
-        yield held
+def _joined(spans: pd.Series) -> pd.Series:
+    return pd.Series([[{"start": a, "end": z} for a, z in _merge([(x["start"], x["end"]) for x in s])] for s in spans], dtype=object)
+
+
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
 def matched(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Adds n_words, n_hit, hit_items (ids as sorted strings) and hit_spans (word positions) to every row."""
     spark = docs.sparkSession
     bound_batches(spark)
-    out = docs.drop("n_hit").withColumns({"n_words": F.lit(0).cast("long"), "hit_items": F.array().cast("array<string>"), "hit_spans": F.array().cast("array<struct<start:int,end:int>>")})
-    rest = [f for f in out.schema.fields if f.name not in ("n_words", "hit_items", "hit_spans")]
-    schema = T.StructType(rest + ADDED)
-    for k, block in enumerate(item_blocks(items, item_id, item_text, block_chars)):
-        if k:  # one automaton at a time
-            out = written(out, "hits")
-        shared = spark.sparkContext.broadcast(Items(block, window))
-        out = out.select(*[f.name for f in schema.fields]).mapInArrow(_pass(shared, text), schema)
+    docs = docs.drop("n_hit", *[f.name for f in ADDED])
+    stored = automata(items, window, item_id, item_text, block_chars)
+    names = sorted(r.block for r in stored.select("block").collect())
+
+    def of(name: str) -> Broadcast:
+        return spark.sparkContext.broadcast(Packed(bytes(stored.where(F.col("block") == name).first().automaton)))
+
+    earlier = None
+    for name in names[:-1]:
+        shared = of(name)
+        found = docs.select(F.col(text).alias("t"), digest_of(F.col(text)).alias("digest")).mapInArrow(_hits(shared), f"digest binary, ids array<string>, spans {_SPANS}")
+        found = written(found, "hits")
+        shared.destroy()
+        earlier = found if earlier is None else earlier.union(found)
+    last = of(names[-1]) if names else spark.sparkContext.broadcast(Items([], window))
+    out = docs.mapInArrow(_pass(last, text), T.StructType([*docs.schema.fields, *ADDED]))
+    if earlier is not None:
+        # a text's hits in one block are the same from every task
+        merged = earlier.distinct().groupBy("digest").agg(F.flatten(F.collect_list("ids")).alias("ids"), F.flatten(F.collect_list("spans")).alias("spans"))
+        merged = written(merged, "hits")  # a table of known size: Spark broadcasts it or not by its own threshold
+        join = F.pandas_udf(_joined, _SPANS)
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+        both = out.select(row, *[f.name for f in ADDED], digest_of(F.col(text)).alias("digest")).join(merged, "digest", "left")
+        spans = F.when(F.col("ids").isNull(), F.col("hit_spans")).otherwise(join(F.concat("hit_spans", F.coalesce("spans", F.array().cast(_SPANS)))))
+        ids = F.concat("hit_items", F.coalesce("ids", F.array().cast("array<string>")))
+        out = both.select("row.*", "n_words", ids.alias("hit_items"), spans.alias("hit_spans"))
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return out.withColumns({"n_hit": n_hit, "hit_items": F.array_sort("hit_items")})
 

@@ -419,6 +419,23 @@ def test_decontamination(request, spark, which):
     assert {r.doc_id: (r.n_words, r.n_hit, r.n) for r in m.select("doc_id", "n_words", "n_hit", F.size(F.array_distinct("hit_items")).alias("n")).collect()} == {k: v[:3] for k, v in wanted.items()}
 
 
+def test_blocks_of_items_are_bounded_and_built_in_tasks(spark):
+    """Every block holds what it may and one item more; a window that several blocks hold, or a text that passes several
+    times, counts as with one block."""
+    base = " ".join(f"w{i}" for i in range(40))
+    items = spark.createDataFrame([(k, f"{base} only{k} " + " ".join(f"v{k}x{j}" for j in range(k % 30))) for k in range(120)] + [(7, None), (None, base)], "item_id long, text string").repartition(5)
+    blocks = decontaminate.item_blocks(items, "item_id", "text", 2000)
+    sizes = blocks.groupBy("bucket", "part").agg(F.sum(F.length("t")).alias("n"), F.max(F.length("t")).alias("top")).collect()
+    assert len(sizes) > 5 and all(r.n <= 2000 + r.top for r in sizes)
+    assert blocks.count() == 121
+    d = spark.createDataFrame([(1, f"x {base} y"), (1, f"x {base} y"), (2, f"{base} only3 v3x0 v3x1 v3x2"), (3, "w0 w1 w2"), (None, None), (4, f"z {base} only9 {base}")], "doc_id long, text string").withColumn("digest", F.lit("mine"))
+    rows = lambda m: sorted(map(str, m.select("doc_id", "digest", "n_words", "n_hit", F.array_sort(F.array_distinct("hit_items")), "hit_spans").collect()))
+    one, many = (decontaminate.matched(d, items, block_chars=n) for n in (10**9, 2000))
+    assert rows(one) == rows(many) and one.where("n_hit > 0").count() == 4
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Repartition" not in plan
+
+
 def test_items_without_id_and_own_columns(spark):
     items = spark.createDataFrame([(None, "b c d e f g h i j k l"), (None, "one two"), (5, "b c d e f g h i j k l")], "item_id long, text string")
     d = spark.createDataFrame([(1, "a b c d e f g h i j k l m", "mine", 7, "x"), (2, "clean words", "mine", 8, "y")], "doc_id long, text string, n_words string, hit_items int, hit_spans string")
