@@ -23,7 +23,8 @@ pointer jumping). A group of near copies becomes one component by that, since it
 other is, mostly. What can still link lies in open buckets, those of several components; there the rarest shingles decide:
 similar sets share one of their first few in the order of frequency, at positions and sizes that leave room for enough
 others, and pairs inside a component, or inside a shingle's largest one, aren't made. So near copies cost a pair each,
-and no link between components is lost.
+and no link between components is lost. Where that join would still make many rows, which is counted beforehand, rounds of
+pivots go first: each class outside of a shingle's main component is tested with a few of those inside.
 
 Edge cases: null or wordless texts have the empty set: component_id is the row's own doc_id. Fewer than five words are one
 shingle. Rows with null doc_id link as others do and get their group's component_id (null if no row of it has an id).
@@ -33,6 +34,7 @@ Repeated rows give repeated results. An empty table gives an empty result. Extra
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -385,38 +387,116 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+#: Most central classes of buckets that a class is tested with first.
+STARS = 16
+
+
 def stars(members: DataFrame, able: DataFrame) -> DataFrame:
-    """(a, b): the most central class of each bucket with each other member of a fitting size."""
+    """(a, b): the most central class of each bucket with each other member of a fitting size; of a member's tests with
+    several such classes the STARS most promising. What isn't tested here stays in an open bucket if it matters."""
     at = members.join(able, "cls")
-    centre = at.groupBy("bucket").agg(F.max(F.struct("central", "cls", "n")).alias("p")).select("bucket", F.col("p.cls").alias("p"), F.col("p.n").alias("m"))
-    return at.join(centre, "bucket").where((F.col("cls") != F.col("p")) & _fit("n", "m")).select(*_pair("cls", "p")).distinct()
+    centre = at.groupBy("bucket").agg(F.max(F.struct("central", "cls", "n")).alias("p")).select("bucket", F.col("p.cls").alias("p"), F.col("p.n").alias("m"), F.col("p.central").alias("best"))
+    tests = at.join(centre, "bucket").where((F.col("cls") != F.col("p")) & _fit("n", "m")).select("cls", "p", "best").distinct()
+    rank = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("best"), "p"))
+    return tests.select("cls", "p", rank.alias("rank")).where(F.col("rank") <= STARS).select(*_pair("cls", "p")).distinct()
 
 
 #: Ratio of the ends of a size cell, in which the prefix join looks for partners.
 CELL = 1.04
+#: A round of pivots gives a class this many classes to be tested with, per shingle.
+PIVOTS = 8
+#: Rows of the prefix join for a row of its input, up to which no (further) round of pivots comes first.
+MOST_ROWS = 2
 
 
-def rare_pairs(open_: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): classes of different components that share one of their rarest shingles, at places that leave room for
-    the overlap they need. open_: (cls, comp, n). If x is no larger than y, similarity needs 4 (x + y) / 9 common elements:
-    at least 8/9 of x and 4/5 of y; the first common one in the order of frequency has as many left from there on."""
+def rare_rows(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """(cls, comp, n, shingle, room): the rarest shingles of open classes (cls, comp, n), one of which two similar ones
+    share at places that leave room for the overlap they need. If x is no larger than y, similarity needs 4 (x + y) / 9
+    common elements: at least 8/9 of x and 4/5 of y; the first common one in the order of frequency has as many left from
+    there on."""
     order = F.array_sort(F.collect_set(F.struct("df", F.xxhash64("shingle").alias("h"), "shingle"))).alias("held")
     mine = _counted(sets.join(open_, "cls", "left_semi")).groupBy("cls").agg(order).join(open_, "cls").where(F.size("held") * DOWN >= F.col("n") * UP)
     # what no other class holds comes first and is passed over
     rows = mine.select("cls", "comp", "n", F.size("held").alias("k"), F.posexplode("held").alias("i", "s")).withColumn("room", F.col("k") - F.col("i"))
-    rows = rows.where(F.col("room") * DOWN >= F.col("n") * UP).select("cls", "comp", "n", "s.shingle", "room")
-    rows = written(rows, "rare")
+    return written(rows.where(F.col("room") * DOWN >= F.col("n") * UP).select("cls", "comp", "n", "s.shingle", "room"), "rare")
+
+
+def between(rows: DataFrame) -> DataFrame:
+    """The rows of shingles that several components hold, with the one that most of their classes are in (main)."""
     comps = rows.groupBy("shingle", "comp").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"))
-    rows = written(rows.join(comps.where("comps > 1").select("shingle", F.col("top.comp").alias("main")), "shingle"), "rare")
+    return written(rows.join(comps.where("comps > 1").select("shingle", F.col("top.comp").alias("main")), "shingle"), "rare")
+
+
+def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The smaller and the larger set of a pair, each in the size cells where they meet."""
     cell = lambda n: F.floor(F.log(n.cast("double")) / math.log(CELL)).cast("int")
     small = rows.where(F.col("room") * 9 >= F.col("n") * 8).select("shingle", cell(F.col("n")).alias("cell"), *[F.col(c).alias(f"x_{c}") for c in ("cls", "comp", "n", "room", "main")])
     most = F.least(F.col("n"), F.floor(F.col("room") * 9 / 4) - F.col("n"))
     least = F.ceil(F.col("n") * UP / DOWN)
-    large = rows.where(most >= least).select("*", F.explode(F.sequence(cell(least), cell(most))).alias("cell"))
+    return small, rows.where(most >= least).select("*", F.explode(F.sequence(cell(least), cell(most))).alias("cell"))
+
+
+def _odd(side: str = "") -> Column:
+    """A row outside of its shingle's main component."""
+    return F.col(f"{side}comp") != F.col(f"{side}main")
+
+
+def meetings(rows: DataFrame) -> int:
+    """Rows that the join of rare_pairs would make, counted without making them."""
+    small, large = _sides(rows)
+    s = small.groupBy("shingle", "cell").agg(F.count_if(_odd("x_")).alias("so"), F.count_if(~_odd("x_")).alias("sm"))
+    n = large.groupBy("shingle", "cell").agg(F.count("*").alias("l"), F.count_if(_odd()).alias("lo"))
+    return s.join(n, ["shingle", "cell"]).agg(F.sum(F.col("so") * F.col("l") + F.col("sm") * F.col("lo"))).first()[0] or 0
+
+
+def rare_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): classes of different components that share one of their rarest shingles with enough room after it."""
+    small, large = _sides(rows)
     room = (F.least("room", "x_room") * 9 >= (F.col("n") + F.col("x_n")) * 4) & (F.col("x_n") <= F.col("n")) & (F.col("comp") != F.col("x_comp"))
-    odd, x_odd = F.col("comp") != F.col("main"), F.col("x_comp") != F.col("x_main")
     meet = lambda a, b: a.join(b.drop("main"), ["shingle", "cell"]).where(room).select(*_pair("cls", "x_cls"))
-    return meet(small.where(x_odd), large).union(meet(small.where(~x_odd), large.where(odd))).distinct()
+    return meet(small.where(_odd("x_")), large).union(meet(small.where(~_odd("x_")), large.where(_odd()))).distinct()
+
+
+def pivot_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each class outside of a shingle's main component with a few of those inside. Who they are is up to a hash of
+    their names and the turn, so that a class meets the same few in all its shingles."""
+    by_hash = Window.partitionBy("shingle").orderBy(F.xxhash64("cls", F.lit(turn)), "cls")
+    few = rows.where(~_odd()).select("shingle", "cls", "n", "room", F.row_number().over(by_hash).alias("rank")).where(F.col("rank") <= PIVOTS)
+    few = few.select("shingle", F.col("cls").alias("p"), F.col("n").alias("m"), F.col("room").alias("p_room"))
+    room = F.least("room", "p_room") * 9 >= (F.col("n") + F.col("m")) * 4
+    return rows.where(_odd()).join(few, "shingle").where(_fit("n", "m") & room).select(*_pair("cls", "p")).distinct()
+
+
+def _merged(found: DataFrame, open_: DataFrame) -> DataFrame:
+    """(comp, into): components of the components of open classes that links join."""
+    of = lambda side: open_.select(F.col("cls").alias(side), F.col("comp").alias(f"{side}_comp"))
+    joined = found.join(of("a"), "a").join(of("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
+    return components(joined).select(F.col("cls").alias("comp"), F.col("comp").alias("into"))
+
+
+def rare_links(open_: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """(comp, into) by the links between open classes of different components; null if there are none. Where the join of
+    rare shingles would make many rows (texts put together from shared passages), rounds of pivots go first: they bring
+    most classes into the main component at a few tests each, and the join has only the others left. Rounds end when the
+    join is small, or when fewer than an eighth of the classes found a link."""
+    rows = rare_rows(open_, sets)
+    left, found, into = between(rows), None, None
+    for turn in itertools.count():
+        odd = left.where(_odd()).select("cls").distinct().count()
+        if not odd or meetings(left) <= MOST_ROWS * left.count():
+            break
+        new = written(links_of(written(pivot_pairs(left, turn), "pivots"), sets), "verified")
+        linked = new.count()
+        if linked:
+            found = new if found is None else found.union(new)
+            into = _merged(found, open_)
+            left = between(rows.join(into, "comp", "left").withColumn("comp", F.coalesce("into", "comp")).drop("into"))
+        if linked * 8 < odd:
+            break
+    new = written(links_of(written(rare_pairs(left), "pairs"), sets), "verified")
+    if new.isEmpty():
+        return into
+    return _merged(new if found is None else found.union(new), open_)
 
 
 def _first_shingles(docs: DataFrame, text: str) -> DataFrame:
@@ -458,12 +538,9 @@ def _classed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
     mixed = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
     open_ = written(at.join(mixed, "bucket", "left_semi").select("cls", "comp").distinct().join(able.select("cls", "n"), "cls"), "open")
     named = rows.where("cls <> 0").groupBy("cls").agg(F.min("key").alias("least")).join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    more = written(links_of(written(rare_pairs(open_, sets), "pairs"), sets), "verified")
-    if not more.isEmpty():
-        of = lambda side: open_.select(F.col("cls").alias(side), F.col("comp").alias(f"{side}_comp"))
-        joined = more.join(of("a"), "a").join(of("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
-        joined = components(joined).select(F.col("cls").alias("comp"), F.col("comp").alias("into"))
-        named = named.join(joined, "comp", "left").withColumn("comp", F.coalesce("into", "comp"))
+    into = rare_links(open_, sets)
+    if into is not None:
+        named = named.join(into, "comp", "left").withColumn("comp", F.coalesce("into", "comp"))
     comp = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     return rows, named.join(comp, "comp").select("cls", "component_id")
 

@@ -120,6 +120,17 @@ def test_crowds_cost_a_pair_a_member(spark, monkeypatch):
     assert sum(tested) < 12 * len(rows)
 
 
+def test_texts_of_shared_passages_cost_less_than_all_pairs(spark, monkeypatch):
+    """34 of 40 paragraphs each: about every seventh pair is similar, all share most of their shingles."""
+    rng, tested = random.Random(3), []
+    pool = [" ".join(f"p{k}w{rng.randrange(10**6)}" for _ in range(25)) for k in range(40)]
+    rows = [(i, " ".join(pool[k] for k in sorted(rng.sample(range(40), 34)))) for i in range(400)]
+    real = ngram_join.links_of
+    monkeypatch.setattr(ngram_join, "links_of", lambda pairs, sets: tested.append(pairs.count()) or real(pairs, sets))
+    same(table(ngram_join.op2_ngram_jaccard(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)), "n_shingles", "component_id"), brute.op2(rows))
+    assert len(tested) > 2 and sum(tested) < 400 * 399 / 2 / 2
+
+
 def near_copies(seed, groups=12, members=9):
     rng = random.Random(seed)
     rows = []
