@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators.match import enrich_by_title
+from quarry.operators.match import enrich_by_title, match_extracted
 from quarry.operators.substring import contains_join
 
 
@@ -59,3 +59,14 @@ def test_running_match(spark, seed):
     d = spark.createDataFrame([(i, *r.values()) for i, r in enumerate(details)], f"detail_ordinal long, {schema}")
     got = enrich_by_title(d, n).collect()
     assert sorted((r.title, tuple(r.attachments), r.date) for r in got) == running(details, notices)
+
+
+def test_common_titles_are_matched_once(spark):
+    """A title that all notices and files share makes a row a notice, not one a pair."""
+    n = spark.range(4000).select(F.col("id").alias("ordinal"), F.lit("a title that all of them share").alias("title"), F.array(F.col("id").cast("string")).alias("attachments"), F.array().cast("array<string>").alias("attachments_downloaded"))
+    e = spark.range(4000).select(F.col("id").alias("file_ordinal"), F.lit("").alias("source_url"), F.lit("x.pdf").alias("source_file"), F.lit("A title that all of them share ").alias("notification_title"), F.lit(-1).alias("notification_index"))
+    got = match_extracted(n, e)
+    # every join meets one file a key; no file tells an index or address here, which leaves two
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("min(file_ordinal") == 2
+    seen = got.agg(F.count("*"), F.max("file_ordinal"), F.min("match_rule")).first()
+    assert tuple(seen) == (4000, 0, 4)
