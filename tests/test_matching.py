@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators.match import enrich_by_title, match_extracted
+from quarry.operators.match import enrich_by_title, match_details, match_extracted
 from quarry.operators.substring import contains_join
 
 
@@ -70,3 +70,11 @@ def test_common_titles_are_matched_once(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("min(file_ordinal") == 2
     seen = got.agg(F.count("*"), F.max("file_ordinal"), F.min("match_rule")).first()
     assert tuple(seen) == (4000, 0, 4)
+
+
+def test_titles_are_compared_as_told(spark):
+    n = spark.createDataFrame([(0, "http://x/a.html", "Twelve letters.")], "ordinal long, detail_url string, title string")
+    d = spark.createDataFrame([(0, "http://x/b.html", "Twelve letters.")], "detail_ordinal long, url string, title string")
+    # fifteen characters, of which the default drops the point
+    assert [r.notice_ordinal for r in match_details(d, n).collect()] == [None]
+    assert [r.notice_ordinal for r in match_details(d, n, lambda c: F.regexp_replace(c, r"\s+", " ")).collect()] == [0]
