@@ -208,3 +208,28 @@ def test_assembled_content(spark):
     kind = "array<struct<page_number:int,raw_text:string,cleaned_text:string>>"
     assert one(spark, normalize.assemble_content, pages, kind) == "a\n\nb"
     assert one(spark, lambda c: normalize.assemble_content(c, True), pages, kind) == "a\n\nb\n\nraw"
+
+
+def test_clauses_have_their_signs():
+    """Each clause's pattern asks for one of its signs, so that looking for them first loses nothing."""
+    from quarry.functions.facts import CLAUSES, SIGNS
+
+    assert set(SIGNS) == set(CLAUSES)
+    said = {
+        "issue": "Hà Nội, NGÀY 1 THÁNG 2 NĂM 2024", "replaces": "THAY THẾ Quyết định số 12/QĐ", "until_new": "Quy định này có HIỆU LỰC từ nay cho đến khi có thông báo mới", "signed": "có HIỆU LỰC kể từ ngày ký",
+        "from": "có hiệu lực từ ngày 1 tháng 2 năm 2024", "to": "hết hiệu lực từ ngày 1 tháng 2 năm 2024", "due": "HẠN CUỐI đến ngày 01/02/2024", "event": "DIỄN RA VÀO ngày 01/02/2024", "before": "TRƯỚC ngày 01/02/2024",
+    }
+    assert all(any(sign in said[k] for sign in SIGNS[k]) for k in CLAUSES)
+
+
+def test_strip_and_marks(spark):
+    import re
+
+    from quarry.functions.text import BLANKS, strip, text_marks
+
+    texts = ["", " 　a b \n", "﻿\x1c", "x" * 5 + "\n" * 9 + "yyyyyy zzzz", "no runs here.", " ab\u0085c​ "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in df.select("i", "t", strip(F.col("t")).alias("s"), text_marks(F.col("t")).alias("m")).collect():
+        assert r.s == r.t.strip(BLANKS)
+        assert (r.m.ink, r.m.inner) == (sum(c not in BLANKS for c in r.t), len(r.s))
+        assert r.m.runs == len(re.findall(r"([^\n])\1{4,}", r.t)) and r.m.letters == sum(c.isalnum() for c in r.t)
