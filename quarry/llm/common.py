@@ -10,21 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.shared import bound_batches  # noqa: F401
+
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
-#: Bytes of an Arrow batch, so that what a Python worker holds at once doesn't depend on how long texts are.
-BATCH_BYTES = 8 << 20
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Lowers the session's limit for Arrow batches to BATCH_BYTES, if it is higher."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).rstrip("bB")) > BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

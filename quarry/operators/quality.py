@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry import config
-from quarry.functions.text import SPACE, page_score, quality_label, strip, text_metrics, txt
+from quarry.functions.text import page_score, quality_label, strip, text_marks, text_metrics, txt
 from quarry.operators.catalog import flag_duplicates
+from quarry.sources.shared import bound_batches
 
 
 def score_pages(pages: DataFrame, patterns: tuple[tuple[str, str], ...] = config.LEGAL_PATTERNS) -> DataFrame:
@@ -82,18 +83,21 @@ def quality_checks(docs: DataFrame, files: DataFrame | None = None) -> DataFrame
         d = d.join(there, F.col("source_file") == F.col("_path"), "left").withColumn("_there", F.col("_path").isNotNull()).drop("_path")
     else:
         d = d.withColumn("_there", F.lit(True))
-    blank = lambda c: strip(txt(c)) == ""
+    bound_batches(docs.sparkSession)
+    # what several checks ask of a text is made once a row, as columns of their own
+    d = d.withColumns({"_marks": text_marks(F.col("content")), "_words": F.transform(F.regexp_extract_all(txt("title"), F.lit(r"(?U)\b([\wđĐ]{4,})\b"), F.lit(1)), F.lower)})
+    d = d.withColumn("_held", F.get(F.transform(F.array(F.lower(txt("content"))), lambda low: F.size(F.filter("_words", lambda w: F.contains(low, w)))), F.lit(0)))
+    mark = lambda name: F.col(f"_marks.{name}")
+    blank = lambda c: mark("inner") == 0 if c == "content" else strip(txt(c)) == ""
     date, content = strip(txt("issue_date")), txt("content")
     iso = date.rlike(r"^\d{4}-\d{2}-\d{2}$")
     pages = F.coalesce("pages", F.expr("cast(array() as array<struct<page_number:int,raw_text:string,cleaned_text:string>>)"))
     n_pages = F.size(pages)
-    short = F.filter(pages, lambda p: F.length(strip(F.coalesce(p["cleaned_text"], F.lit("")))) < 30)
-    ink = F.length(F.regexp_replace(content, rf"(?U)[{SPACE}]", F.lit("")))
-    odd = F.length(F.regexp_replace(content, f"[^{config.SUSPICIOUS}]", F.lit(""))) / ink
-    plain = F.length(F.regexp_replace(content, r"[^\p{L}\p{N}]", F.lit(""))) / ink
-    runs = F.size(F.regexp_extract_all(content, F.lit(r"(([^\n])\2{4,})"), F.lit(1)))
-    words = F.transform(F.regexp_extract_all(txt("title"), F.lit(r"(?U)\b([\wđĐ]{4,})\b"), F.lit(1)), F.lower)
-    related = F.size(F.filter(words, lambda w: F.contains(F.lower(content), w))) / F.size(words)
+    d = d.withColumn("_short", F.transform(F.filter(pages, lambda p: F.length(strip(F.coalesce(p["cleaned_text"], F.lit("")))) < 30), lambda p: F.struct(p["page_number"].alias("page_number"))))
+    short, words, runs = F.col("_short"), F.col("_words"), mark("runs")
+    ink = mark("ink")
+    odd, plain = mark("suspicious") / F.nullif(ink, F.lit(0)), mark("letters") / F.nullif(ink, F.lit(0))
+    related = F.col("_held") / F.nullif(F.size(words), F.lit(0))
     prov = F.col("provenance")
     missing = F.array_compact(F.array(*[F.when(prov[k].isNull(), F.lit(k)) for k in ("notification_index", "notification_title", "detail_file", "document_file", "extracted_file")]))
     has = (content != "") & (ink > 0)
@@ -109,7 +113,7 @@ def quality_checks(docs: DataFrame, files: DataFrame | None = None) -> DataFrame
         ("source_file", blank("source_file"), True, F.lit("source_file: missing")),
         ("source_file", ~blank("source_file") & ~F.col("_there"), True, say("source_file: no such file: %s", txt("source_file"))),
         ("content", blank("content"), True, F.lit("content: empty")),
-        ("content", ~blank("content") & (F.length(strip(content)) < 100), False, say("content: only %d characters", F.length(strip(content)))),
+        ("content", ~blank("content") & (mark("inner") < 100), False, say("content: only %d characters", mark("inner"))),
         ("page_count", F.coalesce("total_pages", F.lit(0)) != n_pages, True, say("page_count: %d told, %d there", F.coalesce("total_pages", F.lit(0)), n_pages)),
         ("ocr_characters", has & (runs > 0), False, say("ocr_characters: %d long runs of a character", runs)),
         ("ocr_characters", has & (odd > 0.05), False, F.lit("ocr_characters: many odd characters")),
@@ -132,7 +136,7 @@ def quality_checks(docs: DataFrame, files: DataFrame | None = None) -> DataFrame
     per_page = F.transform(short, lambda p: F.format_string("ocr_text: page %s has little text", F.coalesce(p["page_number"].cast("string"), F.lit("?"))))
     after = [F.when(t, m) for n, t, i, m in rules if not i and n not in ("document_number", "issue_date", "content")]
     warnings = F.concat(F.array_compact(F.array(*before)), per_page, F.array_compact(F.array(*after)))
-    return d.withColumns({"checks": checks, "issues": F.array_compact(F.array(*texts(True))), "warnings": warnings}).drop("_there", "dup_id", "dup_url", "dup_file")
+    return d.withColumns({"checks": checks, "issues": F.array_compact(F.array(*texts(True))), "warnings": warnings}).drop("_there", "_marks", "_words", "_held", "_short", "dup_id", "dup_url", "dup_file")
 
 
 def quality_score(n_issues: Column, n_warnings: Column, profile: str = "catalogue") -> Column:
