@@ -5,44 +5,128 @@ one that the fewest texts hold; texts meet the parts by an equi-join of hashed g
 tested. Texts and parts don't go with the grams: a candidate is a pair of hashes, to which both are joined before the
 test, so what hashes confuse is only tested for nothing.
 
-Parts of LONG characters or more are indexed by grams of that size, shorter ones by grams of MIDDLE characters, the
-shortest by themselves; texts give grams of all these sizes.
+Grams by a part's length: below EXACT characters the part itself; below 2 * EXACT all its grams of EXACT; above, by powers of
+two, of every window of that many characters the gram of half its size with the least hash. A text chooses in its windows as
+the part does in its own, so that it holds all grams that the part has, of which it gives few: the longer, the fewer. Texts
+give only the grams of the lengths that parts have, and of those only what a bitmap of all parts' grams lets through; its
+size is fixed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LONG, MIDDLE = 8, 3
+from quarry.sources.shared import bound_batches, stored
+
+EXACT, LONGEST = 8, 128
+#: Bits of the bitmap of grams; Spark makes it in buckets of 32,768.
+BITS, BUCKET = 1 << 24, 1 << 15
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _kind(length: Column) -> Column:
+    """How a part of a length is indexed: the length of its windows."""
+    out = F.lit(LONGEST)
+    k = LONGEST // 2
+    while k >= EXACT:
+        out = F.when(length < 2 * k, k).otherwise(out)
+        k //= 2
+    return F.when(length < EXACT, length).otherwise(out).cast("int")
+
+
+def _hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    """Of every place the hash of the size characters from there on; what reaches over the end isn't told apart."""
+    out, power, n = codes, int(MULTIPLIER), 1
+    ahead = lambda a, k: np.concatenate([a[k:], np.zeros(min(k, len(a)), np.uint64)])
+    if size < EXACT:
+        for k in range(1, size):
+            out = out * MULTIPLIER + ahead(codes, k)
+    else:
+        while n < size:
+            out, power, n = out * np.uint64(power) + ahead(out, n), power * power % (1 << 64), 2 * n
+    # mixed, so that the least of several is any of them and bits are even
+    out = out + np.uint64(size * int(MULTIPLIER) % (1 << 64))
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        out = (out ^ (out >> np.uint64(shift))) * np.uint64(by)
+    return out ^ (out >> np.uint64(31))
+
 
+def _least(a: np.ndarray, width: int) -> np.ndarray:
+    """Of every place the least of width values from there on."""
+    ahead = lambda x, k: np.concatenate([x[k:], np.full(min(k, len(x)), np.iinfo(np.uint64).max, np.uint64)])
+    n = 1
+    while 2 * n <= width:
+        a, n = np.minimum(a, ahead(a, n)), 2 * n
+    return np.minimum(a, ahead(a, width - n)) if width > n else a
 
-def _grams(text: str, size: int) -> Column:
-    """Hashes of a text's grams of a size. The text's characters stand in a column of their own, as an array, so that a long
-    text isn't read from its start for each gram."""
-    n = F.size("_chars") - size + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice("_chars", i, size)))).otherwise(F.array().cast("array<bigint>"))
 
+def _grams_of(texts: pa.Array, ids: np.ndarray, kinds: list[int], own: np.ndarray | None, bits: np.ndarray | None) -> Iterator[pd.DataFrame]:
+    """(id, gram) of a batch's texts, each once: of all kinds, or if own is given of each text's own kind."""
+    sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    codes = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    left = np.cumsum(sizes)[row] - np.arange(len(codes))
+    for kind in kinds:
+        gram = kind if kind < 2 * EXACT else kind // 2
+        values = _least(_hashes(codes, gram), kind - gram + 1)
+        ok = left >= kind
+        if own is not None:
+            ok &= own[row] == kind
+        if bits is not None:
+            bit = values & np.uint64(BITS - 1)
+            ok &= (bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        at = np.flatnonzero(ok)
+        yield pd.DataFrame({"id": ids[row[at]], "gram": values[at].view(np.int64)}).drop_duplicates()
 
-def _with_chars(rows: DataFrame, text: str) -> DataFrame:
-    return rows.select(F.xxhash64(text).alias("_id"), F.split(F.col(text), "").alias("_chars"))
+
+def _grams(rows: DataFrame, text: str, kinds: list[int], bits: bytes | None = None, own: bool = False) -> DataFrame:
+    """(_id, _gram) of the texts of rows, by the hash of the text."""
+    spark = rows.sparkSession
+    held = spark.sparkContext.broadcast(bits) if bits is not None else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(held.value, np.uint8) if held is not None else None
+        for b in batches:
+            of = b.column("_kind").to_numpy(zero_copy_only=False) if own else None
+            for found in _grams_of(b.column("_text"), b.column("_id").to_numpy(zero_copy_only=False), kinds, of, table):
+                for lo in range(0, len(found), 200_000):
+                    yield pa.RecordBatch.from_pandas(found[lo : lo + 200_000].set_axis(["_id", "_gram"], axis=1), preserve_index=False)
+
+    return rows.select(F.xxhash64(text).alias("_id"), F.col(text).alias("_text"), _kind(F.length(text)).alias("_kind")).mapInArrow(run, "_id long, _gram long")
+
+
+def _bitmap(grams: DataFrame) -> bytes:
+    """A bit for each gram's last bits. BITS / 8 bytes reach the driver, whatever the number of grams."""
+    bit = F.col("_gram").bitwiseAND(BITS - 1)
+    made = grams.groupBy(F.floor(bit / BUCKET).alias("b")).agg(F.bitmap_construct_agg(bit % BUCKET).alias("m")).collect()
+    out = bytearray(BITS // 8)
+    for r in made:
+        out[r.b * BUCKET // 8 : (r.b + 1) * BUCKET // 8] = r.m
+    return bytes(out)
 
 
 def contains_join(texts: DataFrame, parts: DataFrame, text: str, part: str) -> DataFrame:
     """The rows of texts and of parts of which text contains part; empty and null ones meet nothing. Both should hold each
-    text once: what has the same text is best folded before, and joined back after.
-
-    Cost: one row a distinct gram of a text, and what shares a part's rarest gram."""
-    t, p = texts.where(F.length(text) > 0), parts.where(F.length(part) > 0)
-    sizes = (1, 2, MIDDLE, LONG)
-    held = _with_chars(t, text).select("_id", F.explode(F.array_distinct(F.concat(*[_grams(text, k) for k in sizes]))).alias("_gram"))
-    n = F.size("_chars")
-    own = F.when(n >= LONG, _grams(part, LONG)).when(n >= MIDDLE, _grams(part, MIDDLE)).when(n == 2, _grams(part, 2)).otherwise(_grams(part, 1))
-    wanted = _with_chars(p, part).select(F.col("_id").alias("_part"), F.explode(F.array_distinct(own)).alias("_gram"))
-    common = held.join(wanted.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_n"))
+    text once: what has the same text is best folded before, and joined back after. Both are written to the shared folder,
+    as are the grams, so that none is made twice.
+
+    Cost: one row a gram of a text that a part may have, and what shares a part's rarest gram."""
+    bound_batches(texts.sparkSession)
+    t, p = stored(texts.where(F.length(text) > 0), "texts"), stored(parts.where(F.length(part) > 0), "parts")
+    kinds = sorted(r._k for r in p.select(_kind(F.length(part)).alias("_k")).distinct().collect())  # at most a dozen
+    wanted = stored(_grams(p, part, kinds, own=True).select(F.col("_id").alias("_part"), "_gram"), "part-grams")
+    held = stored(_grams(t, text, kinds, bits=_bitmap(wanted)), "text-grams")
+    common = held.groupBy("_gram").agg(F.count("*").alias("_n"))
     # a part with a gram that no text holds is in none
     index = wanted.join(common, "_gram", "left").groupBy("_part").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_least"))
-    index = index.where("_least.n > 0").select("_part", F.col("_least.gram").alias("_gram"))
+    index = stored(index.where("_least.n > 0").select("_part", F.col("_least.gram").alias("_gram")), "part-index")
     candidates = held.join(index, "_gram").select("_id", "_part").distinct()
     met = candidates.join(p.withColumn("_part", F.xxhash64(part)), "_part").join(t.withColumn("_id", F.xxhash64(text)), "_id")
     return met.where(F.contains(text, part)).drop("_id", "_part")

@@ -2,11 +2,14 @@
 
 import random
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators.match import enrich_by_title, match_details, match_extracted
-from quarry.operators.substring import contains_join
+from quarry.operators.substring import _grams_of, contains_join
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -78,3 +81,16 @@ def test_titles_are_compared_as_told(spark):
     # fifteen characters, of which the default drops the point
     assert [r.notice_ordinal for r in match_details(d, n).collect()] == [None]
     assert [r.notice_ordinal for r in match_details(d, n, lambda c: F.regexp_replace(c, r"\s+", " ")).collect()] == [0]
+
+
+def test_long_parts_and_many_short_ones(spark):
+    """Parts of every way of indexing are found, and short ones meet no text that doesn't hold them whole."""
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    parts = sorted({word(n) for n in (1, 5, 7, 8, 15, 16, 17, 31, 32, 63, 64, 127, 128, 129, 300)})
+    texts = sorted({word(40) + p + word(200) for p in parts})
+    found = pd.concat(_grams_of(pa.array(texts), np.arange(len(texts)), [128], None, None))
+    # of windows of 128 few grams are given: fewer than a twelfth of the places
+    assert 0 < len(found) < sum(map(len, texts)) / 12
+    got = contains_join(spark.createDataFrame([(t,) for t in texts], "t string"), spark.createDataFrame([(p,) for p in parts], "p string"), "t", "p")
+    assert {(r.t, r.p) for r in got.collect()} == {(t, p) for t in texts for p in parts if p in t}
