@@ -68,3 +68,17 @@ def test_products_are_sliced(monkeypatch):
     monkeypatch.setattr(retrieve, "PRODUCTS", 400)
     parts = list(retrieve.nearest_in(m, np.arange(500), q, np.arange(40), 0.2, 500))
     assert len(parts) == 50 and whole == {(i, o) for b in parts for i, o in zip(b.column("q").to_pylist(), b.column("ordinal").to_pylist(), strict=True)}
+
+
+def test_keyword_search_bounds_its_batches(spark):
+    """Pages reach a Python worker in batches of a limited size, whatever the session's limit was."""
+    from quarry import queries as library
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(64 << 20))
+    try:
+        library.keyword_hits(spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get(key)) <= 8 << 20
+    finally:
+        spark.conf.set(key, old)
