@@ -6,12 +6,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import queries as base
 from quarry.operators import postings, vector_index
 from quarry.sources import tables
+from quarry.sources.files import key_in, write_files
 from quarry.sources.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,33 +50,23 @@ def skipped_clusters(s: SparkSession, d: str) -> DataFrame:
 ENCODINGS = (("UTF-8", ""), ("UTF-8", "\ufeff"), ("UTF-16", ""), ("ISO-8859-1", ""))
 
 
-def _files(rows: DataFrame, path: str, key: str, encoding: str, extension: str) -> None:
-    """One file a row: the column text as it is, below a folder named by the key."""
-    plain = {"quote": "", "escape": "", "sep": "\u0001", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    rows.select(key, "text").write.mode("append").partitionBy(key).options(encoding=encoding, extension=extension, **plain).csv(path)
-
-
 def _page_files(s: SparkSession, d: str) -> str:
     """Pages, each on one line, as files in one of four encodings."""
     path = shared_folder(s, "page-files")
     pages = base.read(s, d, "pages").select("page_id", F.regexp_replace("html", "[\r\n]+", F.lit(" ")).alias("text"))
     for k, (encoding, mark) in enumerate(ENCODINGS):
-        _files(pages.where(F.pmod("page_id", F.lit(4)) == k).withColumn("text", F.concat(F.lit(mark), "text")), path, "page_id", encoding, "htm")
+        write_files(pages.where(F.pmod("page_id", F.lit(4)) == k).withColumn("text", F.concat(F.lit(mark), "text")), path, "page_id", encoding, "htm")
     return path
 
 
-def _key_in(path: str) -> Column:
-    return F.regexp_extract(path, r"/[a-z]+_id=(\d+)/", 1).cast("long")
-
-
 def read_html(s: SparkSession, d: str) -> DataFrame:
     pages = tables.read_html(s, _page_files(s, d))
-    return pages.select(_key_in("path").alias("page_id"), F.sha2(F.regexp_replace("html", "\n$", F.lit("")), 256).alias("sha"))
+    return pages.select(key_in("path").alias("page_id"), F.sha2(F.regexp_replace("html", "\n$", F.lit("")), 256).alias("sha"))
 
 
 def list_input_files(s: SparkSession, d: str) -> DataFrame:
     files = tables.list_input_files(s, _page_files(s, d))
-    return files.select(_key_in("path").alias("page_id"), "extension", "length")
+    return files.select(key_in("path").alias("page_id"), "extension", "length")
 
 
 def list_documents(s: SparkSession, d: str) -> DataFrame:
@@ -85,9 +76,9 @@ def list_documents(s: SparkSession, d: str) -> DataFrame:
     numbered = tables.with_ordinal(items, "item_id").withColumnRenamed("ordinal", "item_no_id")
     for k, extension in enumerate(("pdf", "doc", "txt")):
         rows = numbered.where(F.col("item_no_id") % 3 == k).select(F.col("item_no_id").alias("row_id"), "text")
-        _files(rows, path, "row_id", "UTF-8", extension)
+        write_files(rows, path, "row_id", "UTF-8", extension)
     files = tables.list_documents(s, path)
-    return files.select(_key_in("path").alias("row_id"), "extension", "length")
+    return files.select(key_in("path").alias("row_id"), "extension", "length")
 
 
 def read_extracted(s: SparkSession, d: str) -> DataFrame:
@@ -96,7 +87,7 @@ def read_extracted(s: SparkSession, d: str) -> DataFrame:
     body = F.to_json(F.struct("source_file", "source_url", "notification_title", "notification_index", "file_format", "total_pages", "pages"))
     whole = F.when(F.col("file_ordinal") % 10 == 3, F.substring(body, 1, 30)).otherwise(body)
     rows = x.select(F.format_string("%012d", "file_ordinal").alias("doc_id"), whole.alias("text"))
-    _files(rows, path, "doc_id", "UTF-8", "jsn")
+    write_files(rows, path, "doc_id", "UTF-8", "jsn")
     got = tables.read_extracted(s, path, "*.jsn")
     page = F.col("pages")[0]["raw_text"]
     return got.select("file_ordinal", "source_file", "notification_title", F.size("pages").alias("n_pages"), F.sha2(page, 256).alias("sha"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.schemas import CATALOGUE, EXTRACTED, NOTICE, NOTICE_FIELDS
+from quarry.sources.files import bound_opens
 from quarry.sources.json_array import array_elements
 from quarry.sources.shared import stored
 
@@ -39,11 +40,13 @@ def with_ordinal(df: DataFrame, *order: Column | str, name: str = "ordinal") ->
 
 
 def read_extracted(spark: SparkSession, folder: str, names: str = "*.json") -> DataFrame:
-    """Extracted files below a folder, ordered by path (ordinal); files that don't parse are skipped."""
+    """Extracted files below a folder, ordered by path (ordinal); files that don't parse are skipped. Files are opened once:
+    what was read is stored before its order, which reads rows twice, is made."""
+    bound_opens(spark)
     files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=names)
     rows = files.select(F.col("_metadata.file_path").alias("extracted_file"), F.from_json("value", EXTRACTED, {"mode": "PERMISSIVE"}).alias("e"))
     rows = rows.where("e.source_file is not null or e.pages is not null").select("extracted_file", "e.*")
-    return with_ordinal(rows, "extracted_file", name="file_ordinal")
+    return with_ordinal(stored(rows, "extracted"), "extracted_file", name="file_ordinal")
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
@@ -82,6 +85,7 @@ def decoded(content: Column) -> Column:
 
 
 def read_html(spark: SparkSession, folder: str) -> DataFrame:
+    bound_opens(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{html,htm}").load(folder)
     return files.select("path", decoded(F.col("content")).alias("html"))
 
@@ -89,6 +93,7 @@ def read_html(spark: SparkSession, folder: str) -> DataFrame:
 def list_files(spark: SparkSession, folder: str, extensions: tuple[str, ...]) -> DataFrame:
     """path, length, modified and extension of the files below a folder with one of the extensions, any case; contents
     aren't read."""
+    bound_opens(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", F.col("modificationTime").alias("modified"))
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     return files.withColumn("extension", ext).where(F.col("extension").isin(*extensions))
