@@ -82,3 +82,23 @@ def test_keyword_search_bounds_its_batches(spark):
         assert int(spark.conf.get(key)) <= 8 << 20
     finally:
         spark.conf.set(key, old)
+
+
+def test_only_the_best_of_a_batch_leave_a_task():
+    """Scores of pages and questions are folded where pages are read: k rows a question and batch, whatever they hold."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from quarry.operators import keyword_scores
+
+    asked = keyword_scores.Asked([["aa", "of the"], ["fee"], ["aa"]], [["aa", "of the"], ["fee"], ["aa"]], ("of the",))
+    texts = ["aaaaa aa, fee of the", "coffee", "of\nthe aa", "(fee) fee", *["aa of the fee"] * 200]
+    empty = pa.array([""] * len(texts))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([1] * len(texts), pa.int32()), *[empty] * 4, pa.array(texts)], names=list("abcdefg"))
+    (out,) = keyword_scores.best_of_texts(SimpleNamespace(value=asked), 1.0, 3)(iter([batch]))
+    rows = sorted((r["q"], -r["score"], r["ordinal"], r["matched"]) for r in out.to_pylist())
+    # "aa" stands three times in "aaaaa aa" without overlap; a page without "of the" isn't an answer to a question with it
+    assert rows[:3] == [(0, -18.0, 0, ["aa", "of the"]), (0, -15.0, 4, ["aa", "of the"]), (0, -15.0, 5, ["aa", "of the"])]
+    assert rows[3:6] == [(1, -9.0, 3, ["fee"]), (1, -7.5, 0, ["fee"]), (1, -7.5, 4, ["fee"])]
+    assert rows[6:] == [(2, -10.5, 0, ["aa"]), (2, -7.5, 2, ["aa"]), (2, -7.5, 4, ["aa"])]
