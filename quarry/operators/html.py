@@ -15,7 +15,7 @@ from quarry.functions.facts import posted_date, title_number
 from quarry.functions.ids import absolute_url, normalize_url
 from quarry.functions.text import collapse_space, txt
 from quarry.operators.match import valid_notice
-from quarry.sources.shared import stored
+from quarry.sources.shared import bound_batches, stored
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset(("script", "style", "noscript", "template"))
@@ -30,6 +30,8 @@ ARTICLE = r"(?i)(chi-tiet|thong-bao|tin-tuc|bai-viet).*\.html$"
 ELEMENT = "struct<kind:string,pos:int,block:int,first:boolean,href:string,title:string,text:string>"
 MODEL = f"events array<{ELEMENT}>, blocks map<int,string>, content string, text string"
 ADDED = ("events", "blocks", "content", "text")
+#: Pages whose parsed rows a Python worker holds at once.
+PARSED_PAGES = 128
 
 
 def _usable_href(href: str) -> bool:
@@ -153,13 +155,15 @@ def page_events(pages: DataFrame) -> DataFrame:
     """Pages (page_id, html, ...) as one nested row each, without the html: events are its links (kind row, card or link, by
     where they stand), headings, embeds, inputs and addresses in order; a link's block is the row, card or element around
     it, whose text blocks has, and first marks the first usable link of a row or card. content and text are the page's.
-    Links of one block share its text, so a list of many links in one element isn't copied for each."""
+    Links of one block share its text, so a list of many links in one element isn't copied for each. A worker holds a batch of
+    limited bytes and the rows of PARSED_PAGES pages."""
+    bound_batches(pages.sparkSession)
     kept = pages.drop(*ADDED)
     names = [c for c in kept.columns if c != "html"]
     fields = [pa.field("events", pa.list_(pa.struct([("kind", pa.string()), ("pos", pa.int32()), ("block", pa.int32()), ("first", pa.bool_()), ("href", pa.string()), ("title", pa.string()), ("text", pa.string())]))), pa.field("blocks", pa.map_(pa.int32(), pa.string())), pa.field("content", pa.string()), pa.field("text", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(lo, PARSED_PAGES) for whole in batches for lo in range(0, whole.num_rows, PARSED_PAGES)):
             models = [_model(h.as_py()) for h in b.column("html")]
             made = [pa.array([m[f.name] for m in models], f.type) for f in fields]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *made], names=[*names, *ADDED])

@@ -61,3 +61,20 @@ def test_sections_end(spark):
     got = html.discover_links(html.page_events(pages), spark.createDataFrame([(f"{BASE}/known.html",)], "url string"), BASE, sections=pages.select("page_id", "section", "page"))
     assert sorted(r.url.rsplit("/")[-1] for r in got.collect()) == ["a1.html", "a3.html"]
     assert html.discover_links(html.page_events(pages), spark.createDataFrame([], "url string"), BASE).where(F.col("page_id") == 5).count() == 1
+
+
+def test_parsing_bounds_its_batches(spark):
+    """Pages reach the parser in batches of a limited size, and leave it a limited number at a time."""
+    from quarry.operators import html as pages_of
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(64 << 20))
+    try:
+        n = 3 * pages_of.PARSED_PAGES + 5
+        pages = spark.range(n, numPartitions=1).selectExpr("id as page_id", "concat('<a href=\"/p', id, '\">a link of a page</a>') as html")
+        got = pages_of.page_events(pages).selectExpr("page_id", "events[0].href as href").collect()
+        assert int(spark.conf.get(key)) <= 8 << 20
+        assert sorted((r.page_id, r.href) for r in got) == [(i, f"/p{i}") for i in range(n)]
+    finally:
+        spark.conf.set(key, old)
