@@ -43,8 +43,9 @@ def read_extracted(spark: SparkSession, folder: str, names: str = "*.json") -> D
     """Extracted files below a folder, ordered by path (ordinal); files that don't parse are skipped. Files are opened once:
     what was read is stored before its order, which reads rows twice, is made."""
     bound_opens(spark)
-    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=names)
-    rows = files.select(F.col("_metadata.file_path").alias("extracted_file"), F.from_json("value", EXTRACTED, {"mode": "PERMISSIVE"}).alias("e"))
+    # as bytes: a reader of whole texts sets up more for each file
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(folder)
+    rows = files.select(F.col("_metadata.file_path").alias("extracted_file"), F.from_json(F.col("content").cast("string"), EXTRACTED, {"mode": "PERMISSIVE"}).alias("e"))
     rows = rows.where("e.source_file is not null or e.pages is not null").select("extracted_file", "e.*")
     return with_ordinal(stored(rows, "extracted"), "extracted_file", name="file_ordinal")
 

@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from quarry.sources import tables
+from quarry.sources.files import key_in, write_files
 from quarry.streaming.intake import known_rows, stream_intake
 
 
@@ -20,6 +21,16 @@ def test_notices_and_extracted(spark, tmp_path):
     assert [(r.file_ordinal, r.source_file) for r in got] == [(0, "b.pdf"), (1, "a.pdf")]
 
 
+def test_many_files_written_and_read(spark, tmp_path):
+    """A file a row, few folders; read back as bytes, in the order of their paths."""
+    body = F.concat(F.lit('{"source_file": "Điều '), F.col("id").cast("string"), F.lit('.pdf"}'))
+    rows = spark.range(2500).select(F.format_string("%06d", "id").alias("doc_id"), F.when(F.col("id") % 10 == 3, "{").otherwise(body).alias("text"))
+    write_files(rows, f"file://{tmp_path}/many", "doc_id", "UTF-8", "jsn")
+    assert len(list((tmp_path / "many").iterdir())) == 3 and len(list((tmp_path / "many").glob("*/*.jsn"))) == 2500
+    got = tables.read_extracted(spark, f"file://{tmp_path}/many", "*.jsn").orderBy("file_ordinal").select("source_file", key_in("extracted_file").alias("k")).collect()
+    assert [(r.source_file, r.k) for r in got] == [(f"Điều {i}.pdf", i) for i in range(2500) if i % 10 != 3]
+
+
 def test_catalogue_html_vectors(spark, tmp_path):
     assert tables.read_catalogue(spark, f"file://{tmp_path}/none.parquet").count() == 0
     for name, raw in (("u.html", "Điều".encode()), ("w.html", "Vi\xeat".encode("cp1252")), ("m.htm", "﻿x".encode())):
