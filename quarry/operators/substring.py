@@ -3,7 +3,7 @@
 A text that holds a part holds all grams (runs of a few characters) of it. Each part is indexed by one of its grams, the
 one that the fewest texts hold; texts meet the parts by an equi-join of hashed grams, and only those that share it are
 tested. Texts and parts don't go with the grams: a candidate is a pair of hashes, to which both are joined before the
-test, so what hashes confuse is only tested for nothing.
+test, so what hashes confuse is only tested for nothing. Equal ones meet by a digest and aren't tested.
 
 Grams by a part's length: below EXACT characters the part itself; below 2 * EXACT all its grams of EXACT; above, by powers of
 two, of every window of that many characters the gram of half its size with the least hash. A text chooses in its windows as
@@ -26,8 +26,11 @@ from pyspark.sql import functions as F
 from quarry.sources.shared import bound_batches, stored
 
 EXACT, LONGEST = 8, 128
-#: Bits of the bitmap of grams; Spark makes it in buckets of 32,768.
-BITS, BUCKET = 1 << 24, 1 << 15
+#: Bits of the bitmap of a length's grams, two of which stand for a gram; Spark makes it in buckets of 32,768.
+LOG_BITS, BUCKET = 24, 1 << 15
+BITS = 1 << LOG_BITS
+#: An id's last bits are the text's length, or this if it is longer.
+LENGTHS = (1 << 16) - 1
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,8 +70,13 @@ def _least(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(a, ahead(a, width - n)) if width > n else a
 
 
-def _grams_of(texts: pa.Array, ids: np.ndarray, kinds: list[int], own: np.ndarray | None, bits: np.ndarray | None) -> Iterator[pd.DataFrame]:
-    """(id, gram) of a batch's texts, each once: of all kinds, or if own is given of each text's own kind."""
+def _has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    at = at & np.uint64(BITS - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _grams_of(texts: pa.Array, ids: np.ndarray, kinds: list[int], own: np.ndarray | None, bits: dict[int, np.ndarray] | None) -> Iterator[pd.DataFrame]:
+    """(id, gram, kind) of a batch's texts, each once a kind: of all kinds, or if own is given of each text's own kind."""
     sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
     codes = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
     row = np.repeat(np.arange(len(sizes)), sizes)
@@ -79,54 +87,76 @@ def _grams_of(texts: pa.Array, ids: np.ndarray, kinds: list[int], own: np.ndarra
         ok = left >= kind
         if own is not None:
             ok &= own[row] == kind
-        if bits is not None:
-            bit = values & np.uint64(BITS - 1)
-            ok &= (bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
         at = np.flatnonzero(ok)
-        yield pd.DataFrame({"id": ids[row[at]], "gram": values[at].view(np.int64)}).drop_duplicates()
+        if bits is not None:
+            at = at[_has(bits[kind], values[at])]
+            at = at[_has(bits[kind], values[at] >> np.uint64(LOG_BITS))]
+        yield pd.DataFrame({"id": ids[row[at]], "gram": values[at].view(np.int64)}).drop_duplicates().assign(kind=np.int32(kind))
 
 
-def _grams(rows: DataFrame, text: str, kinds: list[int], bits: bytes | None = None, own: bool = False) -> DataFrame:
-    """(_id, _gram) of the texts of rows, by the hash of the text."""
+def _id(text: str) -> Column:
+    """A hash of a text that ends in its length, so that of two ids the one of the longer text shows."""
+    return F.xxhash64(text).bitwiseAND(~LENGTHS).bitwiseOR(F.least(F.length(text), F.lit(LENGTHS)).cast("long"))
+
+
+def _grams(rows: DataFrame, text: str, kinds: list[int], bits: dict[int, bytes] | None = None, own: bool = False) -> DataFrame:
+    """(_id, _gram, _kind) of the texts of rows."""
     spark = rows.sparkSession
     held = spark.sparkContext.broadcast(bits) if bits is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(held.value, np.uint8) if held is not None else None
+        table = {k: np.frombuffer(x, np.uint8) for k, x in held.value.items()} if held is not None else None
         for b in batches:
             of = b.column("_kind").to_numpy(zero_copy_only=False) if own else None
             for found in _grams_of(b.column("_text"), b.column("_id").to_numpy(zero_copy_only=False), kinds, of, table):
                 for lo in range(0, len(found), 200_000):
-                    yield pa.RecordBatch.from_pandas(found[lo : lo + 200_000].set_axis(["_id", "_gram"], axis=1), preserve_index=False)
+                    yield pa.RecordBatch.from_pandas(found[lo : lo + 200_000].set_axis(["_id", "_gram", "_kind"], axis=1), preserve_index=False)
 
-    return rows.select(F.xxhash64(text).alias("_id"), F.col(text).alias("_text"), _kind(F.length(text)).alias("_kind")).mapInArrow(run, "_id long, _gram long")
+    return rows.select(_id(text).alias("_id"), F.col(text).alias("_text"), _kind(F.length(text)).alias("_kind")).mapInArrow(run, "_id long, _gram long, _kind int")
 
 
-def _bitmap(grams: DataFrame) -> bytes:
-    """A bit for each gram's last bits. BITS / 8 bytes reach the driver, whatever the number of grams."""
-    bit = F.col("_gram").bitwiseAND(BITS - 1)
-    made = grams.groupBy(F.floor(bit / BUCKET).alias("b")).agg(F.bitmap_construct_agg(bit % BUCKET).alias("m")).collect()
-    out = bytearray(BITS // 8)
-    for r in made:
-        out[r.b * BUCKET // 8 : (r.b + 1) * BUCKET // 8] = r.m
-    return bytes(out)
+def _bitmaps(grams: DataFrame, kinds: list[int]) -> dict[int, bytes]:
+    """By kind, two bits for each gram. BITS / 8 bytes a kind reach the driver, whatever the number of grams; there are at
+    most a dozen kinds."""
+    two = F.explode(F.array("_gram", F.shiftrightunsigned("_gram", LOG_BITS))).alias("_bit")
+    bit = F.col("_bit").bitwiseAND(BITS - 1)
+    made = grams.select("_kind", two).groupBy("_kind", F.floor(bit / BUCKET).alias("b")).agg(F.bitmap_construct_agg(bit % BUCKET).alias("m"))
+    out = {k: bytearray(BITS // 8) for k in kinds}
+    for r in made.toLocalIterator():
+        out[r["_kind"]][r.b * BUCKET // 8 : (r.b + 1) * BUCKET // 8] = r.m
+    return {k: bytes(x) for k, x in out.items()}
 
 
-def contains_join(texts: DataFrame, parts: DataFrame, text: str, part: str) -> DataFrame:
-    """The rows of texts and of parts of which text contains part; empty and null ones meet nothing. Both should hold each
-    text once: what has the same text is best folded before, and joined back after. Both are written to the shared folder,
-    as are the grams, so that none is made twice.
+def strictly_held(t: DataFrame, p: DataFrame, text: str, part: str) -> DataFrame:
+    """The rows of t and p of which text contains part and is longer. Both are stored, without empty texts, and should hold
+    each text once. What is made of them on the way is written to the shared folder, so that none is made twice.
 
     Cost: one row a gram of a text that a part may have, and what shares a part's rarest gram."""
-    bound_batches(texts.sparkSession)
-    t, p = stored(texts.where(F.length(text) > 0), "texts"), stored(parts.where(F.length(part) > 0), "parts")
+    bound_batches(t.sparkSession)
     kinds = sorted(r._k for r in p.select(_kind(F.length(part)).alias("_k")).distinct().collect())  # at most a dozen
-    wanted = stored(_grams(p, part, kinds, own=True).select(F.col("_id").alias("_part"), "_gram"), "part-grams")
-    held = stored(_grams(t, text, kinds, bits=_bitmap(wanted)), "text-grams")
+    wanted = stored(_grams(p, part, kinds, own=True).withColumnRenamed("_id", "_part"), "part-grams")
+    held = stored(_grams(t, text, kinds, bits=_bitmaps(wanted, kinds)).drop("_kind"), "text-grams")
     common = held.groupBy("_gram").agg(F.count("*").alias("_n"))
     # a part with a gram that no text holds is in none
     index = wanted.join(common, "_gram", "left").groupBy("_part").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_least"))
     index = stored(index.where("_least.n > 0").select("_part", F.col("_least.gram").alias("_gram")), "part-index")
-    candidates = held.join(index, "_gram").select("_id", "_part").distinct()
-    met = candidates.join(p.withColumn("_part", F.xxhash64(part)), "_part").join(t.withColumn("_id", F.xxhash64(text)), "_id")
-    return met.where(F.contains(text, part)).drop("_id", "_part")
+    size = lambda c: F.col(c).bitwiseAND(LENGTHS)
+    longer = (size("_id") > size("_part")) | (size("_id") == LENGTHS)
+    # stored, so that few of them are known to be few before texts move to them
+    candidates = stored(held.join(index, "_gram").where(longer).select("_id", "_part").distinct(), "candidates")
+    met = candidates.join(p.withColumn("_part", _id(part)), "_part").join(t.withColumn("_id", _id(text)), "_id")
+    return met.where(F.contains(text, part) & (F.length(text) > F.length(part))).select(*t.columns, *p.columns)
+
+
+def equal_texts(t: DataFrame, p: DataFrame, text: str, part: str) -> DataFrame:
+    """The rows of t and p of which text equals part. They meet by a digest of 256 bits; only t's text goes with it."""
+    digest = lambda c: F.unhex(F.sha2(c, 256)).alias("_s")
+    met = t.select("*", digest(text)).join(p.select(*[c for c in p.columns if c != part], digest(part)), "_s")
+    return met.withColumn(part, F.col(text)).select(*t.columns, *p.columns)
+
+
+def contains_join(texts: DataFrame, parts: DataFrame, text: str, part: str) -> DataFrame:
+    """The rows of texts and of parts of which text contains part; empty and null ones meet nothing. Both should hold each
+    text once: what has the same text is best folded before, and joined back after. Both are written to the shared folder."""
+    t, p = stored(texts.where(F.length(text) > 0), "texts"), stored(parts.where(F.length(part) > 0), "parts")
+    return strictly_held(t, p, text, part).unionByName(equal_texts(t, p, text, part))

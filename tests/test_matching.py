@@ -1,6 +1,7 @@
 """Substring joins and the running match, against loops over rows."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -8,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.operators import substring
 from quarry.operators.match import enrich_by_title, match_details, match_extracted
 from quarry.operators.substring import _grams_of, contains_join
 
@@ -94,3 +96,24 @@ def test_long_parts_and_many_short_ones(spark):
     assert 0 < len(found) < sum(map(len, texts)) / 12
     got = contains_join(spark.createDataFrame([(t,) for t in texts], "t string"), spark.createDataFrame([(p,) for p in parts], "p string"), "t", "p")
     assert {(r.t, r.p) for r in got.collect()} == {(t, p) for t in texts for p in parts if p in t}
+
+
+def test_grams_of_long_parts_let_no_short_ones_through():
+    """Each length has its bitmap: a full one of long windows leaves that of short windows as it is."""
+    texts = pa.array(["abcdefgh and then " + "x y z " * 40])
+    full, none = np.full(substring.BITS // 8, 255, np.uint8), np.zeros(substring.BITS // 8, np.uint8)
+    found = pd.concat(_grams_of(texts, np.arange(1), [8, 128], None, {8: none, 128: full}))
+    assert set(found["kind"]) == {128}
+
+
+def test_titles_are_written_once_a_side(spark):
+    """What enrich_by_title writes on the way: the titles of each side once, and less than as much again besides."""
+    at = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    written = lambda: sum(p.stat().st_size for p in Path(at).rglob("*.parquet"))
+    title = F.concat(*[F.sha2(F.concat(F.col("id").cast("string"), F.lit(str(k))), 256) for k in range(9)])
+    n = spark.range(3000).select(F.col("id").alias("ordinal"), title.alias("title"), F.lit("").alias("detail_url"), F.array(F.lit("a")).alias("attachments"), F.lit("").alias("date"))
+    d = n.withColumnRenamed("ordinal", "detail_ordinal").withColumns({"title": F.when(F.col("detail_ordinal") % 9 == 0, F.concat(F.lit("New: "), "detail_ordinal")).otherwise(F.col("title")), "date": F.lit("d")})
+    before, plain = written(), sum(r.n for r in (n.agg(F.sum(F.length("title")).alias("n")).first(), d.agg(F.sum(F.length("title")).alias("n")).first()))
+    got = enrich_by_title(d, n).where("ordinal < 3000").groupBy("date").count().collect()
+    assert {r["date"]: r["count"] for r in got} == {"d": 2666, None: 334}
+    assert written() - before < 2 * plain
