@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.schemas import CATALOGUE, EXTRACTED, NOTICE, NOTICE_FIELDS
-from quarry.sources.files import bound_opens
+from quarry.sources.files import bound_opens, dealt, files_below, reachable_folder, with_content
 from quarry.sources.json_array import array_elements
 from quarry.sources.shared import stored
 
@@ -40,12 +40,23 @@ def with_ordinal(df: DataFrame, *order: Column | str, name: str = "ordinal") ->
 
 
 def read_extracted(spark: SparkSession, folder: str, names: str = "*.json") -> DataFrame:
-    """Extracted files below a folder, ordered by path (ordinal); files that don't parse are skipped. Files are opened once:
-    what was read is stored before its order, which reads rows twice, is made."""
+    """Extracted files below a folder, ordered by path (ordinal); files that don't parse are skipped. Tasks list the folders
+    and read the files twice: once for the names of those that parse, which are numbered, and once for the rows, whenever
+    these are used. So neither does the driver hold a list of files, nor are texts written or sorted. A pattern instead of a folder, or a store that Arrow
+    can't open, is left to Spark's reader, whose list of files the driver holds."""
+    read = F.from_json(F.col("content").cast("string"), EXTRACTED, {"mode": "PERMISSIVE"})
+    if at := reachable_folder(spark, folder):
+        found = files_below(spark, at, names)
+        # one look at what was read, where two conditions would parse it twice
+        parses = F.exists(F.array(read), lambda e: e["source_file"].isNotNull() | e["pages"].isNotNull())
+        whole = stored(with_content(dealt(found, found).select("path"), at).where(parses).select("path"), "extracted")
+        files = with_content(dealt(with_ordinal(whole, "path", name="file_ordinal"), found), at)
+        rows = files.select(F.concat(F.lit(at.address), "path").alias("extracted_file"), read.alias("e"), "file_ordinal")
+        return rows.select("extracted_file", "e.*", "file_ordinal")
     bound_opens(spark)
     # as bytes: a reader of whole texts sets up more for each file
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(folder)
-    rows = files.select(F.col("_metadata.file_path").alias("extracted_file"), F.from_json(F.col("content").cast("string"), EXTRACTED, {"mode": "PERMISSIVE"}).alias("e"))
+    rows = files.select(F.col("_metadata.file_path").alias("extracted_file"), read.alias("e"))
     rows = rows.where("e.source_file is not null or e.pages is not null").select("extracted_file", "e.*")
     return with_ordinal(stored(rows, "extracted"), "extracted_file", name="file_ordinal")
 

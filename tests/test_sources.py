@@ -1,5 +1,6 @@
 import json
 
+from pyspark.sql import DataFrameReader
 from pyspark.sql import functions as F
 
 from quarry.sources import tables
@@ -31,6 +32,32 @@ def test_many_files_written_and_read(spark, tmp_path):
     assert [(r.source_file, r.k) for r in got] == [(f"Điều {i}.pdf", i) for i in range(2500) if i % 10 != 3]
 
 
+def test_extracted_files_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """The files that Spark's reader finds, with its addresses, in its order; the driver holds no list of them."""
+    top = tmp_path / "a top"
+    body = lambda k: json.dumps({"source_file": k})
+    names = ["a.json", "b c.json", "Điều.json", "p%20q#1.json", "x+y.json", "[z]{w}.json", "no\u00a0break.json", "x.jsonl", "_left.json", ".out.json", "_k=1/in.json", "_d/out.json", "d/e/f/deep.json", "d/e.json/g.json", "q/a^b`c|d.json"]
+    for name in names:
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_text(body(name))
+    (top / "d/broken.json").write_text("{")
+    (top / "d/empty.json").write_text("")
+    (top / "link.json").symlink_to(top / "none")
+    with monkeypatch.context() as m:
+        m.setattr(tables, "reachable_folder", lambda spark, folder: None)
+        plain = tables.read_extracted(spark, f"file://{top}").orderBy("file_ordinal").collect()
+    formats = []
+    monkeypatch.setattr(DataFrameReader, "format", lambda self, kind, f=DataFrameReader.format: formats.append(kind) or f(self, kind))
+    for folder in (f"file://{top}", f"{top}/"):
+        df = tables.read_extracted(spark, folder)
+        assert df.orderBy("file_ordinal").collect() == plain
+    assert df.columns[0] == "extracted_file" and df.columns[-1] == "file_ordinal" and "binaryFile" not in formats
+    assert sorted(r.source_file for r in plain) == sorted(set(names) - {"x.jsonl", "_left.json", ".out.json", "_d/out.json"})
+    assert tables.read_extracted(spark, str(top), "{a,x+y}.js*").count() == 2
+    assert tables.read_extracted(spark, str(top), "*.none").count() == 0
+    assert tables.read_extracted(spark, f"{tmp_path}/a t?p").count() == len(plain)  # a pattern goes to Spark's reader
+
+
 def test_catalogue_html_vectors(spark, tmp_path):
     assert tables.read_catalogue(spark, f"file://{tmp_path}/none.parquet").count() == 0
     for name, raw in (("u.html", "Điều".encode()), ("w.html", "Vi\xeat".encode("cp1252")), ("m.htm", "﻿x".encode())):
