@@ -15,6 +15,7 @@ size is fixed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,8 @@ LOG_BITS, BUCKET = 24, 1 << 15
 BITS = 1 << LOG_BITS
 #: An id's last bits are the text's length, or this if it is longer.
 LENGTHS = (1 << 16) - 1
+#: Characters of texts that are taken at once, about; each takes some 100 bytes then.
+SLICE = 1 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -107,10 +110,13 @@ def _grams(rows: DataFrame, text: str, kinds: list[int], bits: dict[int, bytes]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = {k: np.frombuffer(x, np.uint8) for k, x in held.value.items()} if held is not None else None
         for b in batches:
-            of = b.column("_kind").to_numpy(zero_copy_only=False) if own else None
-            for found in _grams_of(b.column("_text"), b.column("_id").to_numpy(zero_copy_only=False), kinds, of, table):
-                for lo in range(0, len(found), 200_000):
-                    yield pa.RecordBatch.from_pandas(found[lo : lo + 200_000].set_axis(["_id", "_gram", "_kind"], axis=1), preserve_index=False)
+            turn = np.cumsum(pc.utf8_length(b.column("_text")).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE
+            cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(turn)]
+            for x in (b.slice(lo, hi - lo) for lo, hi in pairwise(cuts) if lo < hi):
+                of = x.column("_kind").to_numpy(zero_copy_only=False) if own else None
+                for found in _grams_of(x.column("_text"), x.column("_id").to_numpy(zero_copy_only=False), kinds, of, table):
+                    for lo in range(0, len(found), 200_000):
+                        yield pa.RecordBatch.from_pandas(found[lo : lo + 200_000].set_axis(["_id", "_gram", "_kind"], axis=1), preserve_index=False)
 
     return rows.select(_id(text).alias("_id"), F.col(text).alias("_text"), _kind(F.length(text)).alias("_kind")).mapInArrow(run, "_id long, _gram long, _kind int")
 

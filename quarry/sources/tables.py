@@ -42,8 +42,8 @@ def with_ordinal(df: DataFrame, *order: Column | str, name: str = "ordinal") ->
 def read_extracted(spark: SparkSession, folder: str, names: str = "*.json") -> DataFrame:
     """Extracted files below a folder, ordered by path (ordinal); files that don't parse are skipped. Tasks list the folders
     and read the files twice: once for the names of those that parse, which are numbered, and once for the rows, whenever
-    these are used. So neither does the driver hold a list of files, nor are texts written or sorted. A pattern instead of a folder, or a store that Arrow
-    can't open, is left to Spark's reader, whose list of files the driver holds."""
+    these are used. So neither does the driver hold a list of files, nor are texts written or sorted. A pattern instead of a
+    folder, or a store that Arrow can't open, is left to Spark's reader, whose list of files the driver holds."""
     read = F.from_json(F.col("content").cast("string"), EXTRACTED, {"mode": "PERMISSIVE"})
     if at := reachable_folder(spark, folder):
         found = files_below(spark, at, names)
